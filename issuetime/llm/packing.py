@@ -63,7 +63,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
         import numpy as np
         import pyarrow as pa
 
-        encoder, end = PieceEncoder(tokenizer), np.array([END_ID], "<u4").tobytes()
+        encoder, end = PieceEncoder.shared(tokenizer), np.array([END_ID], "<u4").tobytes()
         for doc_ids, texts in blocks(batches, ("doc_id", "text")):
             rows = []
             for d, b in zip(doc_ids, encoder.encode(texts), strict=True):

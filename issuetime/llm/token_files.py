@@ -116,7 +116,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, file_tokens: int = 4_000_0
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, part = PieceEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = PieceEncoder.shared(tokenizer), TaskContext.get().partitionId()
         end, block, ids, sizes, parts = np.array([END_ID], "<u4").tobytes(), 0, [], [], []
 
         def out():

@@ -4,59 +4,74 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-#: White space before which a byte-level tokenizer always starts a new piece, and what needs the plain path.
-_PIECES = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
-_OTHER_SPACE = r"[^\S \t\r\n]"
+# The byte-level pre-tokenizer's pieces and its characters for bytes, for texts in the characters below.
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+_PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
+_OTHER = re.compile("[^\x00-\x1b\x20-ɏ‐-‧‰-⁞]")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_CHARACTER = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+_encoders: dict[str, PieceEncoder] = {}
 
 
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    A byte-level pre-tokenizer never joins a non-space and the white space after it, so texts are encoded piece by piece
-    (white space and the word behind it) and the ids of each distinct piece are kept. Texts with an added token or with
-    other white space, and very long pieces, go to the tokenizer as they are. At most ``limit`` pieces are kept at a time.
+    A byte-level BPE encodes each piece of its pre-tokenizer by itself, so each distinct piece goes to the tokenizer's model
+    once and its ids are kept, at most ``limit`` pieces at a time. Texts with an added token or with characters whose class
+    could depend on the Unicode version go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, limit: int = 300_000, longest: int = 64) -> None:
+    def __init__(self, path: str, limit: int = 900_000, longest: int = 40) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.longest = Tokenizer.from_file(path), limit, longest
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.plain = re.compile("|".join([_OTHER_SPACE, *added]))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
         self.kept: dict[str, bytes] = {}
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    @staticmethod
+    def shared(path: str) -> PieceEncoder:
+        """This worker process's encoder; its kept pieces serve all tasks that run here."""
+        if path not in _encoders:
+            _encoders[path] = PieceEncoder(path)
+        return _encoders[path]
 
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin1").translate(_CHARACTER))]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
-        pieces = [None if t and self.plain.search(t) else _PIECES.findall(t or "") for t in texts]
         if len(self.kept) > self.limit:
             self.kept = {}
-        kept = self.kept
-        missing = list(set().union(*(p for p in pieces if p)) - kept.keys())
-        long = {p for p in missing if len(p) > self.longest}
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            kept.update(zip(part, self._bytes(part), strict=True))
-        out = [self._bytes([t])[0] if p is None else b"".join([kept[x] for x in p]) for t, p in zip(texts, pieces, strict=True)]
-        for p in long:
-            del kept[p]
+        kept, out = self.kept, []
+        for t in texts:
+            if t and (_OTHER.search(t) or any(a in t for a in self.added)):
+                out.append(array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
+                continue
+            pieces = _PIECES.findall(t or "")
+            ids = list(map(kept.get, pieces))
+            if None in ids:
+                for i, p in enumerate(pieces):
+                    if ids[i] is None:
+                        ids[i] = kept[p] if p in kept else self._piece(p)
+                        if len(p) <= self.longest:
+                            kept[p] = ids[i]
+            out.append(b"".join(ids))
         return out
 
 
 def blocks(batches, columns: tuple[str, ...], text: str = "text", rows: int = 256, chars: int = 4_000_000):
     """Lists of the columns' values, a bounded number of rows and characters at a time, from Arrow batches."""
+    import pyarrow.compute as pc
+
     for batch in batches:
-        i, lengths = 0, None
         values = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-        import pyarrow.compute as pc
-
         lengths = pc.fill_null(pc.utf8_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
+        i = 0
         while i < len(lengths):
             j, total = i, 0
             while j < len(lengths) and j - i < rows and (j == i or total + lengths[j] <= chars):

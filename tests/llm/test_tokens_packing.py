@@ -116,6 +116,6 @@ def test_packing_of_odd_rows(odd_docs, no_docs, tokenizer):
     assert packing.pack_documents(no_docs, tokenizer_path()).count() == 0
 
 
-def test_packing_wastes_little(spark, sf, tokenizer):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+def test_packing_wastes_little(spark, tokenizer):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert check_packing(docs, packing.pack_documents(docs, tokenizer_path()), tokenizer) < 0.01
