@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issuetime.llm import exact_dedup, mixing, packing, token_files
+from issuetime.llm import exact_dedup, language_model, minhash, mixing, packing, pii, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,26 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), seed="mix")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digest(pii.personal_data(_table(spark, sf_dir, "documents")))
+
+
+def op5_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.record_table(spark, warc.write_archive(_table(spark, sf_dir, "pages")))
+
+
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -69,10 +85,45 @@ groups AS (SELECT text_sha256, count(*) AS group_size, arg_min(doc_id, (-n, doc_
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM rows JOIN groups USING (text_sha256)
 """
 
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) >= 5 THEN array_to_string(w[i:i + 4], ' ') ELSE array_to_string(w, ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT u, v FROM common c JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * c.n >= 75 * (x.n + y.n - c.n)),
+reach AS (
+  SELECT doc_id AS node, doc_id AS label FROM documents
+  UNION
+  SELECT links.v, reach.label FROM reach JOIN links ON links.u = reach.node)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT node AS doc_id, min(label) AS component_id FROM reach GROUP BY node) r USING (doc_id)
+"""
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {15 - 5 * k}) & 31)::INT + 1, 1)" for i in range(8) for k in range(4)
+)
+OP5_SQL = f"""
+WITH rows AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT h, max(page_id) AS f FROM rows GROUP BY h)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to
+FROM rows JOIN firsts USING (h)
+"""
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_token_files": op3_token_files,
+    "op4_personal_data": op4_personal_data,
+    "op5_web_archive": op5_web_archive,
+    "op7_language_model": op7_language_model,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
 }
-ORACLES = {"op1_mix_sources": OP1_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op5_web_archive": OP5_SQL, "op9_exact_dedup": OP9_SQL}
