@@ -9,16 +9,19 @@ Candidates are confirmed on the full sets, and only confirmed links make compone
 At a similarity of 0.75 a coordinate collides with probability 0.75; with K = 32 and T = 12 a link is missed with
 probability 2e-6, and less above.
 
-Posting lists are not expanded into pairs: a round links each class only to one pivot of each of its lists, and pairs that
-have become connected are never looked at again. When what is left between different components is small against the
-postings (or after ``STAR_ROUNDS`` rounds) exactly those remaining pairs are checked, so that no link between components is lost.
+Posting lists are not expanded into pairs. First, rounds link each class only to one pivot of each of its lists, the class
+that shares most, which connects most of a group of copies. Then what is left between different components is taken exactly:
+classes of lists that still hold several components meet on their rarest whole-set shingles. A set of n shingles has a
+link to a smaller or equal one only through the rarest n - ceil(3n/4) + 1 of its own and the rarest n - ceil(6n/7) + 1 of the other,
+so that copies changed too much to link with anything (most of a large group) hold only shingles of their own there and
+form no pair at all, and no link between components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from issuetime.llm.common import stored
@@ -26,7 +29,7 @@ from issuetime.llm.components import components
 from issuetime.llm.shingles import Shingler, mix
 from issuetime.llm.tokens import blocks
 
-K, T, STAR_ROUNDS, SURROGATE = 32, 12, 5, 1 << 62
+K, T, STAR_ROUNDS, SURROGATE = 32, 12, 2, 1 << 62
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -108,35 +111,62 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFram
     return near.join(set_of("u"), "u").join(set_of("v"), "v").select("u", "v", "x_u", "x_v").mapInArrow(verify, "u bigint, v bigint")
 
 
+def rare_pairs(open_ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different labels among the open classes (id, label) whose sets can have a similarity of 0.75.
+
+    Shingles are ordered by how many open classes have them; u is the smaller set (of equal ones the smaller id).
+    """
+
+    def listed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            n = np.array([len(x) for x in found], np.int64)
+            flat = np.concatenate([*found, np.zeros(0, np.int64)])
+            rows = np.repeat(np.arange(len(n)), n)
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0).take(pa.array(rows)), "n": pa.array(n[rows]), "label": batch.column(2).take(pa.array(rows)), "shingle": pa.array(flat)})
+
+    tokens = stored(sets.join(open_ids, "id").select("id", "shingles", "label").mapInArrow(listed, "id bigint, n bigint, label bigint, shingle bigint"), "shingles")
+    common = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # shingles that no other open class has come first in every class, and fill its prefix
+    shared = tokens.join(common, "shingle")
+    own = shared.groupBy("id").agg((F.first("n") - F.count(F.lit(1))).alias("alone"))
+    by_rarity = Window.partitionBy("id").orderBy("df", "shingle")
+    prefix = shared.withColumn("at", F.row_number().over(by_rarity)).join(own, "id").withColumn("at", F.col("at") + F.col("alone"))
+    prefix = stored(prefix.where("at <= n - ceil(3 * n / 4) + 1").select("shingle", "id", "n", "label", "at"), "prefix")
+    small = prefix.where("at <= n - ceil(6 * n / 7) + 1").select("shingle", F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("label").alias("label_u"), F.col("at").alias("at_u"))
+    large = prefix.select("shingle", F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("label").alias("label_v"), F.col("at").alias("at_v"))
+    fits = "label_u <> label_v and (n_u < n_v or (n_u = n_v and u < v)) and 100 * n_u >= 75 * n_v"
+    # what is left behind this shingle in either set must still allow the overlap
+    enough = "175 * (1 + least(n_u - at_u, n_v - at_v) + least(at_u, at_v) - 1) >= 75 * (n_u + n_v)"
+    return small.join(large, "shingle").where(f"{fits} and {enough}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def class_labels(docs: DataFrame, classes: DataFrame, words: int = 5) -> DataFrame:
     """id, label of the classes that links connect."""
     lists = stored(postings(classes), "postings")
     posted = lists.select("id").distinct().join(classes.select("id", "set_hash"), "id")
     sets = stored(full_sets(docs, posted, words), "sets")
-    size = lists.count()
     links, labels, labelled = None, None, lists.withColumn("label", F.col("id"))
     for turn in range(STAR_ROUNDS + 1):
-        inside = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
-        across = inside.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where("labels > 1")
-        left = across.agg(F.sum("pairs")).first()[0] or 0
-        if not left:
+        several = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+        open_lists = stored(labelled.join(several, "token"), "open-lists")
+        if open_lists.isEmpty():
             break
-        last = left <= 2 * size or turn == STAR_ROUNDS
-        open_lists = labelled.join(across.select("token"), "token")
-        if last:
-            other = open_lists.select("token", F.col("id").alias("v"), F.col("label").alias("label_v"))
-            pairs = open_lists.withColumnRenamed("id", "u").join(other, "token").where("label < label_v")
-        else:
-            order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-            pivot = open_lists.groupBy("token").agg(F.min_by(F.struct("id", "label"), F.struct(order, "id")).alias("p")).select("token", F.col("p.id").alias("v"), F.col("p.label").alias("label_v"))
+        if turn < STAR_ROUNDS:
+            central = open_lists.groupBy("id").agg(F.count(F.lit(1)).alias("lists"))
+            order = F.struct(-F.col("lists"), F.xxhash64("id", F.lit(turn)), "id")
+            pivot = open_lists.join(central, "id").groupBy("token").agg(F.min_by(F.struct("id", "label"), order).alias("p")).select("token", F.col("p.id").alias("v"), F.col("p.label").alias("label_v"))
             pairs = open_lists.withColumnRenamed("id", "u").join(pivot, "token").where("label <> label_v")
-        found = confirmed(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), classes, sets)
-        found = stored(found, "confirmed")
+            pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        else:
+            pairs = rare_pairs(open_lists.select("id", "label").distinct(), sets)
+        found = stored(confirmed(pairs, classes, sets), "confirmed")
         links = found if links is None else links.union(found)
         labels = stored(components(links).withColumnRenamed("node", "id"), "labels")
         labelled = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        if last:
-            break
     return labels if labels is not None else classes.select("id", F.col("id").alias("label")).where("false")
 
 
@@ -164,8 +194,6 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
 
 def kept_documents(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, all without words, and of repeated rows of an id one."""
-    from pyspark.sql import Window
-
     stay = near_duplicates(docs, words).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.length("text"))
     rows = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
