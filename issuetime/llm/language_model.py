@@ -20,7 +20,7 @@ from issuetime.llm.common import shared_dir, stored
 from issuetime.llm.shingles import WordHasher, mix
 from issuetime.llm.tokens import blocks
 
-CHUNK_BYTES, RANGE_BYTES = 16 << 20, 32 << 20
+CHUNK_BYTES, RANGE_BYTES = 8 << 20, 12 << 20
 _END, _STEP = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 
 
@@ -60,7 +60,7 @@ class Grams:
         parts, sizes, i = [], [], 0
         while i < len(texts):  # the hasher's memory is some 40 times its input
             j, size = i, 0
-            while j < len(texts) and (j == i or size + len(texts[j]) < 2_000_000):
+            while j < len(texts) and (j == i or size + len(texts[j]) < 1_000_000):
                 size, j = size + len(texts[j]), j + 1
             words, bounds = self.hasher.words(texts[i:j])
             parts.append(np.insert(words, bounds[1:], np.uint64(_END)))
