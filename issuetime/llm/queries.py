@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issuetime.llm import exact_dedup, language_model, minhash, mixing, packing, pii, token_files, warc
+from issuetime.llm import exact_dedup, language_model, minhash, mixing, neighbours, packing, pii, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.record_table(spark, warc.write_archive(_table(spark, sf_dir, "pages")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_documents(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -122,8 +130,10 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_personal_data": op4_personal_data,
     "op5_web_archive": op5_web_archive,
+    "op6_toxicity": op6_toxicity,
     "op7_language_model": op7_language_model,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_neighbours": op10_neighbours,
 }
 ORACLES = {"op1_mix_sources": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op5_web_archive": OP5_SQL, "op9_exact_dedup": OP9_SQL}
