@@ -1 +1,220 @@
-"""Queries of this family."""
+"""Joins under visibility: as-of, bitemporal, range, overlap, nearest, and set operations on keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from issuetime.operators import buckets as bk
+from issuetime.operators import joins as jn
+from issuetime.plans.targets import B, r6
+from issuetime.registry import query
+from issuetime.schemas import DAY, HOUR, MINUTE, issues, readings, receipts, runs
+
+ISSUE = 1_705_536_000_000_000  # 18 January
+
+
+@query("p02_visible_at", f" SELECT obs_id, visible_us FROM readings WHERE visible_us <= {ISSUE}")
+def visible_at(spark, sf_dir):
+    return readings(spark, sf_dir).where(F.col("visible_us") <= ISSUE).select("obs_id", "visible_us")
+
+
+@query("j01_asof_latest_run", """, o AS (SELECT run_id, fetched FROM runs QUALIFY row_number() OVER (PARTITION BY fetched ORDER BY run_id DESC) = 1)
+  SELECT i.issue_id, o.run_id, o.fetched FROM issues i ASOF LEFT JOIN o ON i.issue_us >= o.fetched""")
+def asof_latest_run(spark, sf_dir):
+    right = runs(spark, sf_dir).select(F.lit("all").alias("series"), "run_id", "fetched")
+    left = issues(spark, sf_dir).select(F.lit("all").alias("series"), "issue_id", "issue_us")
+    # runs hold for every series: reduced to the last of each clock before the join
+    return jn.asof_join(left, right.groupBy("series", "fetched").agg(F.max("run_id").alias("run_id")), "issue_us", "fetched").select("issue_id", "right.run_id", "right.fetched")
+
+
+@query("j01_asof_visible_reading", """, r AS (SELECT * FROM readings QUALIFY row_number() OVER (PARTITION BY series, visible_us ORDER BY obs_id DESC) = 1)
+  SELECT i.issue_id, r.obs_id, r.v FROM issues i ASOF LEFT JOIN r ON i.series = r.series AND i.issue_us >= r.visible_us""")
+def asof_visible_reading(spark, sf_dir):
+    right = readings(spark, sf_dir).select("series", "obs_id", "visible_us", "v")
+    return jn.asof_join(issues(spark, sf_dir), right, "issue_us", "visible_us", tie="obs_id").select("issue_id", "right.obs_id", "right.v")
+
+
+@query("j02_revision_asof", f""" SELECT series, obs_id, receipt_id, round(v, 6) AS v FROM receipts WHERE greatest(available, confirmed) <= {ISSUE}
+  QUALIFY row_number() OVER (PARTITION BY series, obs_id ORDER BY greatest(available, confirmed) DESC, receipt_id DESC) = 1""")
+def revision_asof(spark, sf_dir):
+    return jn.revision_asof(receipts(spark, sf_dir), ISSUE).select("series", "obs_id", "receipt_id", r6("v").alias("v"))
+
+
+@query("j03_receipts_and_legacy", f""", known AS (SELECT series, obs_id, us, v FROM receipts WHERE greatest(available, confirmed) <= {ISSUE}
+  QUALIFY row_number() OVER (PARTITION BY series, obs_id ORDER BY greatest(available, confirmed) DESC, receipt_id DESC) = 1)
+  SELECT series, obs_id, round(v, 6) AS v, TRUE AS known FROM known UNION ALL
+  SELECT series, obs_id, round(v, 6), FALSE FROM readings r WHERE us + 60000000 <= {ISSUE} AND NOT EXISTS (SELECT 1 FROM receipts x WHERE x.obs_id = r.obs_id)""")
+def receipts_and_legacy(spark, sf_dir):
+    tracked = receipts(spark, sf_dir)
+    known = jn.revision_asof(tracked, ISSUE).select("series", "obs_id", r6("v").alias("v"), F.lit(True).alias("known"))
+    legacy = readings(spark, sf_dir).where(F.col("us") + MINUTE <= ISSUE).join(tracked.select("obs_id").distinct(), "obs_id", "left_anti")
+    return known.unionByName(legacy.select("series", "obs_id", r6("v").alias("v"), F.lit(False).alias("known")))
+
+
+@query("j04_newest_visible", f""", x AS (SELECT series, visible_us, max(us) OVER (PARTITION BY series ORDER BY visible_us) AS newest FROM readings),
+  y AS (SELECT DISTINCT series, visible_us, newest FROM x)
+  SELECT i.issue_id, y.newest, i.issue_us - y.newest <= {2 * HOUR} AS fresh FROM issues i ASOF LEFT JOIN y ON i.series = y.series AND i.issue_us >= y.visible_us""")
+def newest_visible(spark, sf_dir):
+    seen = jn.newest_visible(readings(spark, sf_dir).select("series", "us", "visible_us"), "visible_us", "us").select("series", "visible_us", F.col("newest.us").alias("newest"))
+    out = jn.asof_join(issues(spark, sf_dir), seen.distinct(), "issue_us", "visible_us")
+    return out.select("issue_id", "right.newest", (F.col("issue_us") - F.col("right.newest") <= 2 * HOUR).alias("fresh"))
+
+
+@query("j05_nearest_in_band", f""" SELECT i.issue_id, arg_min(round(i.ref - r.v, 6), (abs(i.issue_us - {HOUR} - r.us), r.obs_id)) AS change FROM issues i JOIN readings r
+  ON r.series = i.series AND r.us BETWEEN i.issue_us - {90 * MINUTE} AND i.issue_us - {45 * MINUTE} GROUP BY i.issue_id""")
+def nearest_in_band(spark, sf_dir):
+    near = jn.trailing_join(issues(spark, sf_dir), readings(spark, sf_dir), "issue_us", "us", 2 * HOUR).where((F.col("us") >= F.col("issue_us") - 90 * MINUTE) & (F.col("us") <= F.col("issue_us") - 45 * MINUTE))
+    best = F.min_by(r6(F.col("ref") - F.col("v")), F.struct(F.abs(F.col("issue_us") - HOUR - F.col("us")), "obs_id"))
+    return near.groupBy("issue_id").agg(best.alias("change"))
+
+
+@query("j07_trailing_readings", f" SELECT i.issue_id, r.obs_id FROM issues i JOIN readings r ON r.series = i.series AND r.us > i.issue_us - {3 * HOUR} AND r.us <= i.issue_us")
+def trailing_readings(spark, sf_dir):
+    return jn.trailing_join(issues(spark, sf_dir), readings(spark, sf_dir), "issue_us", "us", 3 * HOUR).select("issue_id", "obs_id")
+
+
+@query("j09_truth_and_prediction", f""", p AS (SELECT series, label, med AS pred FROM closed WHERE (label // {B}) % 3 <> 0)
+  SELECT series, label, round(c.med - p.pred, 6) AS e FROM closed c JOIN p USING (series, label)""")
+def truth_and_prediction(spark, sf_dir):
+    truth = bk.closed_series(readings(spark, sf_dir))
+    pred = truth.where(F.col("label") / B % 3 != 0).select("series", "label", F.col("med").alias("pred"))
+    return truth.join(pred, ["series", "label"]).select("series", "label", r6(F.col("med") - F.col("pred")).alias("e"))
+
+
+@query("j12_nearest_before_onset", f""", onsets AS (SELECT a.series, a.label FROM closed a JOIN closed b ON a.series = b.series AND b.label = a.label - {B} AND abs(a.med - b.med) >= 20),
+  last AS (SELECT series, recorded_us, max(issue_id) AS issue_id FROM issues GROUP BY ALL)
+  SELECT o.series, o.label, CASE WHEN o.label - l.recorded_us <= {6 * HOUR} THEN l.issue_id END AS issue_id FROM onsets o ASOF LEFT JOIN last l ON o.series = l.series AND o.label > l.recorded_us""")
+def nearest_before_onset(spark, sf_dir):
+    steps = bk.at_offset(bk.closed_series(readings(spark, sf_dir)), -1, B, "before")
+    onsets = steps.where(F.abs(F.col("med") - F.col("before")) >= 20).select("series", "label")
+    out = jn.asof_join(onsets, issues(spark, sf_dir).select("series", "issue_id", "recorded_us"), "label", "recorded_us", tie="issue_id", strict=True)
+    return out.select("series", "label", F.when(F.col("label") - F.col("right.recorded_us") <= 6 * HOUR, F.col("right.issue_id")).alias("issue_id"))
+
+
+@query("j13_cutoff_expansion", f""", days AS (SELECT DISTINCT series, (label - 1) // {DAY} * {DAY} AS day FROM closed)
+  SELECT d.series, d.day, count(c.med) AS n, round(avg(c.med), 9) AS mean FROM days d LEFT JOIN closed c ON c.series = d.series AND c.label > d.day - {14 * DAY} AND c.label < d.day - {44 * HOUR} GROUP BY ALL""")
+def cutoff_expansion(spark, sf_dir):
+    closed = bk.closed_series(readings(spark, sf_dir)).withColumn("own_day", bk.anchor(F.col("label") - 1, DAY))
+    # every row goes to the evaluation days that may train on it: a bounded number of days each
+    days = closed.select("series", F.col("own_day").alias("day")).distinct()
+    spread = closed.withColumn("day", F.explode(F.sequence(F.col("own_day"), F.col("own_day") + 15 * DAY, F.lit(DAY))))
+    used = spread.where((F.col("label") > F.col("day") - 14 * DAY) & (F.col("label") < F.col("day") - 44 * HOUR)).groupBy("series", "day").agg(F.count("med").alias("n"), F.round(F.avg("med"), 9).alias("mean"))
+    return days.join(used, ["series", "day"], "left").select("series", "day", F.coalesce("n", F.lit(0)).alias("n"), "mean")
+
+
+@query("j14_same_clock_lags", " SELECT a.series, a.label, " + ", ".join(f"round(max(CASE WHEN b.label = a.label - {d * DAY} THEN b.med END), 6) AS lag{d}" for d in range(1, 4)) + f" FROM closed a LEFT JOIN closed b ON a.series = b.series AND b.label IN (a.label - {DAY}, a.label - {2 * DAY}, a.label - {3 * DAY}) GROUP BY a.series, a.label")
+def same_clock_lags(spark, sf_dir):
+    out = bk.closed_series(readings(spark, sf_dir))
+    for d in (1, 2, 3):
+        out = bk.at_offset(out, -d * DAY // B, B, f"lag{d}")
+    return out.select("series", "label", *(r6(f"lag{d}").alias(f"lag{d}") for d in (1, 2, 3)))
+
+
+@query("j17_slot_matching", f" SELECT series, issue_us // {B} AS slot, arg_min(issue_id, (recorded_us, issue_id)) AS issue_id FROM issues GROUP BY series, slot")
+def slot_matching(spark, sf_dir):
+    return issues(spark, sf_dir).groupBy("series", F.expr(f"issue_us div {B}").alias("slot")).agg(F.min_by("issue_id", F.struct("recorded_us", "issue_id")).alias("issue_id"))
+
+
+@query("j18_ledger_agreement", " SELECT a.series, count(*) AS n, round(max(abs(a.pred - b.v)), 6) AS max_diff, round(avg(CASE WHEN a.ref = b.v THEN 1 ELSE 0 END), 6) AS exact FROM issues a JOIN readings b ON a.issue_id = b.obs_id GROUP BY a.series")
+def ledger_agreement(spark, sf_dir):
+    a, b = issues(spark, sf_dir), readings(spark, sf_dir).select(F.col("obs_id").alias("issue_id"), "v")
+    return a.join(b, "issue_id").groupBy("series").agg(F.count(F.lit(1)).alias("n"), r6(F.max(F.abs(F.col("pred") - F.col("v")))).alias("max_diff"), r6(F.avg((F.col("ref") == F.col("v")).cast("int"))).alias("exact"))
+
+
+@query("u02_last_revision", " SELECT obs_id, arg_max(round(v, 6), available) AS v, count(DISTINCT v) = 1 AS single FROM receipts GROUP BY obs_id")
+def last_revision(spark, sf_dir):
+    return receipts(spark, sf_dir).groupBy("obs_id").agg(r6(F.max_by("v", "available")).alias("v"), (F.count_distinct("v") == 1).alias("single"))
+
+
+@query("u03_untracked", " SELECT obs_id FROM readings EXCEPT SELECT obs_id FROM receipts")
+def untracked(spark, sf_dir):
+    return readings(spark, sf_dir).select("obs_id").join(receipts(spark, sf_dir).select("obs_id"), "obs_id", "left_anti")
+
+
+@query("u04_common_days", f" SELECT (us // {DAY}) AS day FROM readings WHERE series = 'click' AND v > 60 INTERSECT SELECT us // {DAY} FROM readings WHERE series = 'error' AND v > 60")
+def common_days(spark, sf_dir):
+    days = lambda s: readings(spark, sf_dir).where((F.col("series") == s) & (F.col("v") > 60)).select(F.expr(f"us div {DAY}").alias("day"))
+    return days("click").intersect(days("error"))
+
+
+@query("u07_merge_intervals", f""", x AS (SELECT source, fetched AS s, fetched + {20 * MINUTE} AS e FROM runs),
+  y AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY source ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS is_new FROM x),
+  z AS (SELECT *, sum(is_new) OVER (PARTITION BY source ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM y)
+  SELECT source, min(s) AS s, max(e) AS e, count(*) AS n FROM z GROUP BY source, g""")
+def merge_intervals(spark, sf_dir):
+    x = runs(spark, sf_dir).select("source", F.col("fetched").alias("s"), (F.col("fetched") + 20 * MINUTE).alias("e"))
+    order = Window.partitionBy("source").orderBy("s", "e")
+    fresh = F.when(F.col("s") <= F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
+    return x.withColumn("new", fresh).withColumn("g", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("source", "g").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count(F.lit(1)).alias("n")).drop("g")
+
+
+@query("l09_latest_rows", " SELECT series, arg_max(obs_id, (us, obs_id)) AS obs_id, max(us) AS us FROM readings GROUP BY series")
+def latest_rows(spark, sf_dir):
+    return readings(spark, sf_dir).groupBy("series").agg(F.max_by("obs_id", F.struct("us", "obs_id")).alias("obs_id"), F.max("us").alias("us"))
+
+
+@query("j11_paired_days", f""", d AS (SELECT series, (label - 1) // {DAY} AS day, CASE WHEN (label - 1) % {DAY} < {12 * HOUR} THEN 'am' ELSE 'pm' END AS half, avg(med) AS m FROM closed GROUP BY ALL)
+  SELECT a.series, a.day, round(a.m, 6) AS am, round(b.m, 6) AS pm FROM d a JOIN d b ON a.series = b.series AND a.day = b.day AND a.half = 'am' AND b.half = 'pm'""")
+def paired_days(spark, sf_dir):
+    c = bk.closed_series(readings(spark, sf_dir))
+    half = F.when((F.col("label") - 1) % DAY < 12 * HOUR, F.lit("am")).otherwise("pm")
+    days = c.withColumn("half", half).withColumn("day", F.expr(f"(label - 1) div {DAY}")).groupBy("series", "day").pivot("half", ["am", "pm"]).agg(F.avg("med"))
+    return days.where("am is not null and pm is not null").select("series", "day", r6("am").alias("am"), r6("pm").alias("pm"))
+
+
+@query("u05_unpivot_heads", " SELECT issue_id, head, round(value, 6) AS value FROM issues UNPIVOT (value FOR head IN (ref, pred, p_fall, p_rise))")
+def unpivot_heads(spark, sf_dir):
+    return issues(spark, sf_dir).unpivot("issue_id", ["ref", "pred", "p_fall", "p_rise"], "head", "value").withColumn("value", r6("value"))
+
+
+@query("u06_pivot_series", f" SELECT label, " + ", ".join(f"round(max(CASE WHEN series = '{s}' THEN med END), 6) AS \"{s}\"" for s in ("click", "error", "purchase")) + " FROM closed WHERE series IN ('click', 'error', 'purchase') GROUP BY label")
+def pivot_series(spark, sf_dir):
+    names = ["click", "error", "purchase"]
+    wide = bk.closed_series(readings(spark, sf_dir)).where(F.col("series").isin(names)).groupBy("label").pivot("series", names).agg(F.max("med"))
+    return wide.select("label", *(r6(n).alias(n) for n in names))
+
+
+@query("s02_validated_readings", f""", raw AS (SELECT series, us, obs_id, CASE WHEN obs_id % 17 = 0 THEN NULL ELSE v END AS v, us - us % {10 * MINUTE} AS slot FROM readings WHERE us <= {ISSUE} + 60000000)
+  SELECT series, slot, arg_max(obs_id, (us, obs_id)) AS obs_id, count(*) AS n FROM raw GROUP BY series, slot""")
+def validated_readings(spark, sf_dir):
+    from issuetime.sources.ingest import ingest_readings
+
+    raw = readings(spark, sf_dir).withColumn("v", F.when(F.col("obs_id") % 17 == 0, F.lit(float("nan"))).otherwise(F.col("v"))).withColumn("slot", F.col("us") - F.col("us") % (10 * MINUTE))
+    good, _ = ingest_readings(raw, ISSUE)
+    return good.groupBy("series", "slot").agg(F.max_by("obs_id", F.struct("us", "obs_id")).alias("obs_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query("s10_append_once", """, firsts AS (SELECT source, fetched, min(run_id) AS run_id FROM runs WHERE run_id % 4 = 0 GROUP BY ALL),
+  later AS (SELECT source, fetched, min(run_id) AS run_id FROM runs WHERE run_id % 4 <> 0 GROUP BY ALL)
+  SELECT * FROM firsts UNION ALL SELECT * FROM later l WHERE NOT EXISTS (SELECT 1 FROM firsts f WHERE f.source = l.source AND f.fetched = l.fetched)""")
+def append_once(spark, sf_dir):
+    from issuetime.sources.ingest import missing_issues
+
+    r = runs(spark, sf_dir).select("source", "fetched", "run_id")
+    first = missing_issues(r.where("run_id % 4 = 0"), None, ["source", "fetched"], "run_id")
+    return first.unionByName(missing_issues(r.where("run_id % 4 <> 0"), first, ["source", "fetched"], "run_id"))
+
+
+@query("s01_readings_scan", f" SELECT series, us, obs_id, v FROM readings WHERE us BETWEEN {ISSUE} AND {ISSUE + 3 * DAY}")
+def readings_scan(spark, sf_dir):
+    from issuetime.sources.ingest import read_readings
+
+    return read_readings(spark, f"{sf_dir}/events.parquet", ISSUE, ISSUE + 3 * DAY)
+
+
+@query("s06_station_reports", f""" SELECT us - us % {HOUR} AS report_us, arg_max(us - us % {HOUR} + k * 60000000, (us, obs_id)) AS visible_us, arg_max(20 + v % 15, (us, obs_id)) AS temp FROM readings WHERE series = 'error' GROUP BY 1""")
+def station_reports(spark, sf_dir):
+    hour = F.col("us") - F.col("us") % HOUR
+    r = readings(spark, sf_dir).where("series = 'error'").withColumn("report_us", hour)
+    last = F.struct("us", "obs_id")
+    return r.groupBy("report_us").agg(F.max_by(F.col("report_us") + F.col("k") * MINUTE, last).alias("visible_us"), F.max_by(20 + F.col("v") % 15, last).alias("temp"))
+
+
+@query("l03_daily_clock", f""" SELECT source, fetched // {DAY} AS day, run_id FROM runs WHERE abs(fetched % {DAY} - {9 * HOUR}) <= {HOUR}
+  QUALIFY row_number() OVER (PARTITION BY source, fetched // {DAY} ORDER BY abs(fetched % {DAY} - {9 * HOUR}), fetched, run_id) = 1""")
+def daily_clock(spark, sf_dir):
+    far = F.abs(F.col("fetched") % DAY - 9 * HOUR)
+    r = runs(spark, sf_dir).where(far <= HOUR).withColumn("day", F.expr(f"fetched div {DAY}"))
+    order = Window.partitionBy("source", "day").orderBy(far, "fetched", "run_id")
+    return r.withColumn("n", F.row_number().over(order)).where("n = 1").select("source", "day", "run_id")
