@@ -1,7 +1,7 @@
 """A content-addressed web archive: payload bytes once per digest, record headers exactly as written, joined again on reading.
 
-An archive is a folder with two tables. ``payloads`` (sha256, payload) holds the bytes of each distinct payload once, under
-a strong digest that is checked against the bytes whenever they are read. ``headers`` (record_id, sha256, header) holds the
+An archive is a folder with two tables. ``payloads`` (sha256, packed) holds the bytes of each distinct payload once, compressed by
+themselves, under a strong digest that is checked against the bytes whenever they are read. ``headers`` (record_id, sha256, header) holds the
 exact WARC/1.1 header block of each record. A response record is its header, a blank line, its payload and two line ends;
 a revisit record has the same without payload and names the response's record id, so readers get its payload by the join.
 """
@@ -68,11 +68,21 @@ def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int =
         _line("Content-Length", F.when(response, F.col("payload_bytes")).otherwise(F.lit(0))),
     )
     numbered.select(_record_id(F.col("page_id"), F.col("copy")).alias("record_id"), "sha256", header.cast("binary").alias("header")).write.parquet(f"{path}/headers")
-    # the bytes: of one response per digest, met on (digest, id) so that copies stay apart until they are dropped
+    # the bytes, compressed one by one: of one response per digest, met on (digest, id) so that copies stay apart until they are dropped
+    def compressed(batches):
+        import pyarrow as pa
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=6)
+        for batch in batches:
+            packed = pa.array([pack.compress(x.as_buffer()) for x in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["sha256", "page_id", "packed"])
+
     first = groups.select(F.col("sha256").alias("_sha"), F.col("first_id").alias("_id"))
-    chosen = keyed.join(first, (F.col("sha256") == F.col("_sha")) & F.col("page_id").eqNullSafe(F.col("_id"))).select("sha256", "page_id", "payload")
+    packed = keyed.select("sha256", F.col("page_id").cast("long").alias("page_id"), "payload").mapInArrow(compressed, "sha256 string, page_id bigint, packed binary")
+    chosen = packed.join(first, (F.col("sha256") == F.col("_sha")) & F.col("page_id").eqNullSafe(F.col("_id"))).select("sha256", "page_id", "packed")
     once = Window.partitionBy("sha256", "page_id").orderBy(F.lit(0))
-    chosen.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("sha256", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    chosen.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("sha256", "packed").write.parquet(f"{path}/payloads")
     return path
 
 
@@ -81,12 +91,30 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     A payload whose bytes do not give its digest ends the read with an error.
     """
+
+    def rebuilt(batches):
+        import pyarrow as pa
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            records, payloads = [], []
+            for sha256, header, packed in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+                try:
+                    payload = unpack.decompress(packed.as_buffer())
+                except zstandard.ZstdError as e:
+                    raise ValueError(f"damaged payload {sha256.as_py()}") from e
+                if hashlib.sha256(payload).hexdigest() != sha256.as_py():
+                    raise ValueError(f"damaged payload {sha256.as_py()}")
+                head = header.as_py()
+                block = payload if b"WARC-Type: response\r\n" in head else b""
+                records.append(b"".join([head, b"\r\n", block, b"\r\n\r\n"]))
+                payloads.append(payload)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(records, pa.binary()), pa.array(payloads, pa.binary())], names=["record_id", "record", "payload"])
+
     headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    end = F.lit("\r\n").cast("binary")
-    sound = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), "sha256")).cast("binary"))
-    rows = headers.join(payloads.select("sha256", sound.alias("payload")), "sha256")
-    own = F.when(F.instr(F.col("header").cast("string"), "WARC-Type: response\r\n") > 0, F.col("payload")).otherwise(F.lit("").cast("binary"))
-    return rows.select("record_id", F.concat("header", end, own, end, end).alias("record"), "payload")
+    rows = headers.join(payloads, "sha256").select("record_id", "sha256", "header", "packed")
+    return rows.mapInArrow(rebuilt, "record_id string, record binary, payload binary")
 
 
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:

@@ -78,7 +78,7 @@ def test_small_payloads_and_damage(spark):
     path = warc.write_archive(pages, least_bytes=3)
     kinds = {r["page_id"]: r["record_type"] for r in warc.record_table(spark, path).collect()}
     assert kinds == {1: "response", 2: "response", 3: "revisit", 4: "response"}
-    spark.read.parquet(f"{path}/payloads").withColumn("payload", F.lit("zz").cast("binary")).write.parquet(f"{path}-bad/payloads")
+    spark.read.parquet(f"{path}/payloads").withColumn("packed", F.lit("zz").cast("binary")).write.parquet(f"{path}-bad/payloads")
     spark.read.parquet(f"{path}/headers").write.parquet(f"{path}-bad/headers")
     with pytest.raises(Exception, match="damaged payload"):
         warc.record_table(spark, f"{path}-bad").collect()
