@@ -1 +1,121 @@
-"""Queries of this family."""
+"""Detectors and states over closed buckets, geometry, and event tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from issuetime.operators import buckets as bk
+from issuetime.operators import frames as fr
+from issuetime.operators.scores import islands
+from issuetime.plans.targets import B, r6
+from issuetime.registry import query
+from issuetime.schemas import DAY, HOUR, readings, table
+
+
+def closed(spark, sf_dir):
+    return bk.closed_series(readings(spark, sf_dir))
+
+
+ONSETS = f", onsets AS (SELECT a.series, a.label, a.med - b.med AS d, sign(a.med - b.med)::BIGINT AS dir FROM closed a JOIN closed b ON a.series = b.series AND b.label = a.label - {B} AND abs(a.med - b.med) >= 20)"
+
+
+def onsets(spark, sf_dir):
+    out = bk.at_offset(closed(spark, sf_dir), -1, B, "b").withColumn("d", F.col("med") - F.col("b")).where(F.abs("d") >= 20)
+    return out.select("series", "label", "d", F.signum("d").cast("long").alias("dir"))
+
+
+@query("e04_rapid_episodes", f"""{ONSETS}, j AS (SELECT *, CASE WHEN label - lag(label) OVER w > {12 * HOUR} OR dir <> lag(dir) OVER w THEN 1 ELSE 0 END AS j FROM onsets WINDOW w AS (PARTITION BY series ORDER BY label)), g AS (SELECT *, sum(j) OVER (PARTITION BY series ORDER BY label) AS g FROM j)
+  SELECT series, min(label) AS start, max(label) AS stop, min(dir) AS dir, round(max(abs(d)), 6) AS largest, count(*) AS n FROM g GROUP BY series, g""")
+def rapid_episodes(spark, sf_dir):
+    runs = islands(onsets(spark, sf_dir), 12 * HOUR, "label", "series", "dir")
+    return runs.groupBy("series", "island").agg(F.min("label").alias("start"), F.max("label").alias("stop"), F.min("dir").alias("dir"), r6(F.max(F.abs("d"))).alias("largest"), F.count(F.lit(1)).alias("n")).drop("island")
+
+
+@query("e06_representatives", f"{ONSETS} SELECT series, label, dir FROM onsets QUALIFY coalesce(label - lag(label) OVER (PARTITION BY series ORDER BY label) > {6 * HOUR}, TRUE)")
+def representatives(spark, sf_dir):
+    first = F.col("label") - F.lag("label").over(Window.partitionBy("series").orderBy("label")) > 6 * HOUR
+    return onsets(spark, sf_dir).withColumn("_f", F.coalesce(first, F.lit(True))).where("_f").select("series", "label", "dir")
+
+
+JOINT = f""", c AS (SELECT label, max(med) FILTER (series = 'click') AS a, max(med) FILTER (series = 'error') AS b, max(med) FILTER (series = 'purchase') AS s FROM closed WHERE series IN ('click', 'error', 'purchase') GROUP BY label),
+  f AS (SELECT x.label, x.a - y.a AS da, x.b - y.b AS db, x.s - y.s AS ds FROM c x LEFT JOIN c y ON y.label = x.label - {B})"""
+
+
+def channels(spark, sf_dir):
+    """Three channels on one bucket grid with their one-bucket changes."""
+    wide = closed(spark, sf_dir).where(F.col("series").isin("click", "error", "purchase")).groupBy("label").pivot("series", ["click", "error", "purchase"]).agg(F.max("med")).toDF("label", "a", "b", "s")
+    before = wide.select((F.col("label") + B).alias("label"), *(F.col(c).alias(f"{c}0") for c in "abs"))
+    return wide.join(before, "label", "left").select("label", *((F.col(c) - F.col(f"{c}0")).alias(f"d{c}") for c in "abs"))
+
+
+@query("e07_joint_drop", f"{JOINT} SELECT label, coalesce(da <= -5 AND db <= -5, FALSE) AS joint, coalesce(da <= -5 AND db <= -5 AND ds < 0, FALSE) AS supported FROM f")
+def joint_drop(spark, sf_dir):
+    both = (F.col("da") <= -5) & (F.col("db") <= -5)
+    return channels(spark, sf_dir).select("label", F.coalesce(both, F.lit(False)).alias("joint"), F.coalesce(both & (F.col("ds") < 0), F.lit(False)).alias("supported"))
+
+
+@query("e09_sustained_fall", f""", x AS (SELECT a.series, a.label, a.med, a.med - b.med AS d, a.med - c.med AS fall FROM closed a LEFT JOIN closed b ON a.series = b.series AND b.label = a.label - {B} LEFT JOIN closed c ON c.series = a.series AND c.label = a.label - {3 * B})
+  SELECT series, label, coalesce(fall <= -15 AND (count(*) FILTER (d < 0) OVER w) >= 2 AND med <= (min(med) OVER w) + 5, FALSE) AS sustained FROM x WINDOW w AS (PARTITION BY series ORDER BY label RANGE BETWEEN {2 * B} PRECEDING AND CURRENT ROW)""")
+def sustained_fall(spark, sf_dir):
+    x = bk.at_offset(bk.at_offset(closed(spark, sf_dir), -1, B, "b"), -3, B, "c")
+    w = fr.steps_back(3, B)
+    falls = F.sum((F.col("med") < F.col("b")).cast("int")).over(w)
+    return x.select("series", "label", F.coalesce((F.col("med") - F.col("c") <= -15) & (F.coalesce(falls, F.lit(0)) >= 2) & (F.col("med") <= F.min("med").over(w) + 5), F.lit(False)).alias("sustained"))
+
+
+@query("e12_air_state", f""", x AS (SELECT a.series, a.label, a.med, a.med - b.med AS d1, a.med - c.med AS d2 FROM closed a LEFT JOIN closed b ON a.series = b.series AND b.label = a.label - {B} LEFT JOIN closed c ON c.series = a.series AND c.label = a.label - {2 * B})
+  SELECT series, label, CASE WHEN d1 IS NULL OR d2 IS NULL THEN 'collecting' WHEN d1 >= 20 THEN 'fast_rise' WHEN d1 <= -20 THEN 'rapid_improvement' WHEN d2 >= 10 THEN 'rising' WHEN d2 <= -10 THEN 'improving' WHEN med > 55 THEN 'stable_high' ELSE 'steady' END AS state FROM x""")
+def air_state(spark, sf_dir):
+    x = bk.at_offset(bk.at_offset(closed(spark, sf_dir), -1, B, "b"), -2, B, "c")
+    d1, d2 = F.col("med") - F.col("b"), F.col("med") - F.col("c")
+    state = F.when(d1.isNull() | d2.isNull(), "collecting").when(d1 >= 20, "fast_rise").when(d1 <= -20, "rapid_improvement").when(d2 >= 10, "rising").when(d2 <= -10, "improving").when(F.col("med") > 55, "stable_high").otherwise("steady")
+    return x.select("series", "label", state.alias("state"))
+
+
+@query("e13_prior_outlook", f"""{ONSETS}, o AS (SELECT a.series, a.label, a.dir, b.med - c.med AS outcome, a.label + {2 * B} AS closes FROM onsets a JOIN closed c ON c.series = a.series AND c.label = a.label JOIN closed b ON b.series = a.series AND b.label = a.label + {2 * B}),
+  f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY series, dir, (label - 1) // {DAY} ORDER BY label) = 1)
+  SELECT x.series, x.label, x.dir, count(f.label) AS events, round(CASE WHEN count(f.label) >= 2 THEN median(f.outcome) END, 6) AS outlook FROM onsets x LEFT JOIN f ON f.series = x.series AND f.dir = x.dir AND f.closes < x.label AND f.label >= x.label - {14 * DAY} GROUP BY ALL""")
+def prior_outlook(spark, sf_dir):
+    from issuetime.operators.joins import trailing_join
+
+    ahead = bk.at_offset(closed(spark, sf_dir), 2, B, "later").select("series", "label", (F.col("later") - F.col("med")).alias("outcome"))
+    on = onsets(spark, sf_dir).select("series", "label", "dir")
+    done = on.join(ahead, ["series", "label"]).where("outcome is not null").withColumn("day", F.expr(f"(label - 1) div {DAY}"))
+    first = Window.partitionBy("series", "dir", "day").orderBy("label")
+    done = done.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("series", F.col("label").alias("was"), F.col("dir").alias("was_dir"), "outcome")
+    seen = trailing_join(on, done, "label", "was", 14 * DAY + 1).where((F.col("dir") == F.col("was_dir")) & (F.col("was") + 2 * B < F.col("label")))
+    found = seen.groupBy("series", "label").agg(F.count(F.lit(1)).alias("events"), F.median("outcome").alias("m"))
+    return on.join(found, ["series", "label"], "left").select("series", "label", "dir", F.coalesce("events", F.lit(0)).alias("events"), r6(F.when(F.col("events") >= 2, F.col("m"))).alias("outlook"))
+
+
+POINTS = "(SELECT event_id, value, (event_id % 200 - 100) / 100.0::DOUBLE * 110.57 AS n, ((event_id * 7) % 200 - 100) / 100.0::DOUBLE * 111.32 AS e FROM events)"
+
+
+def points(spark, sf_dir):
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", "value", ((e % 200 - 100) / 100.0 * 110.57).alias("n"), ((e * 7 % 200 - 100) / 100.0 * 111.32).alias("e"))
+
+
+@query("e17_sector_ring", f"SELECT least(floor(sqrt(n * n + e * e) / 40), 3)::BIGINT AS ring, (floor(fmod(degrees(atan2(e, n)) + 360, 360) / 45 + 0.5)::BIGINT % 8) AS sector, count(*) AS points, round(sum(value), 4) AS weight FROM {POINTS} GROUP BY ALL", inputs=False)
+def sector_ring(spark, sf_dir):
+    n, e = F.col("n"), F.col("e")
+    ring = F.least(F.floor(F.sqrt(n * n + e * e) / 40), F.lit(3)).cast("long")
+    sector = F.floor(F.pmod(F.degrees(F.atan2(e, n)) + 360, F.lit(360.0)) / 45 + 0.5) % 8
+    return points(spark, sf_dir).groupBy(ring.alias("ring"), sector.alias("sector")).agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("value"), 4).alias("weight"))
+
+
+POLYGON = ((-60.0, -50.0), (70.0, -40.0), (55.0, 62.0), (-20.0, 30.0))
+
+
+def _crosses_sql(i: int) -> str:
+    (x1, y1), (x2, y2) = POLYGON[i], POLYGON[(i + 1) % len(POLYGON)]
+    return f"(CASE WHEN ({y1}::DOUBLE > n) <> ({y2}::DOUBLE > n) AND e < ({x2 - x1})::DOUBLE * (n - {y1}::DOUBLE) / ({y2 - y1})::DOUBLE + {x1}::DOUBLE THEN 1 ELSE 0 END)"
+
+
+@query("j16_point_in_polygon", f"SELECT event_id, ({' + '.join(_crosses_sql(i) for i in range(4))}) % 2 = 1 AS inside FROM {POINTS}", inputs=False)
+def point_in_polygon(spark, sf_dir):
+    """Crossings of a ray with the polygon's edges, which are few and part of the expression."""
+    edges = zip(POLYGON, (*POLYGON[1:], POLYGON[0]), strict=True)
+    crossing = [F.when(((F.lit(y1) > F.col("n")) != (F.lit(y2) > F.col("n"))) & (F.col("e") < (x2 - x1) * (F.col("n") - y1) / (y2 - y1) + x1), 1).otherwise(0) for (x1, y1), (x2, y2) in edges]
+    return points(spark, sf_dir).select("event_id", (sum(crossing[1:], crossing[0]) % 2 == 1).alias("inside"))

@@ -1 +1,132 @@
-"""Queries of this family."""
+"""Queries on issued forecast runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from issuetime.operators import weather as wx
+from issuetime.plans.targets import r6
+from issuetime.registry import query
+from issuetime.schemas import HOUR, MINUTE, run_hours, runs
+
+START, LENGTH = F.col("fetched") + 90 * MINUTE, 2 * HOUR
+WINDOW = f""", h2 AS (SELECT run_id, s, s + {2 * HOUR} AS e, s // {HOUR} * {HOUR} + k * {HOUR} AS hr FROM (SELECT run_id, fetched + {90 * MINUTE} AS s, unnest(range(3)) AS k FROM runs) WHERE s // {HOUR} * {HOUR} + k * {HOUR} < s + {2 * HOUR}),
+  w AS (SELECT h2.*, least(e, h2.hr + {HOUR}) - greatest(s, h2.hr) AS w, speed, direction, temp, precip, pprob FROM h2 LEFT JOIN run_hours r ON r.run_id = h2.run_id AND r.valid = h2.hr)"""
+
+
+def touched(spark, sf_dir):
+    return wx.window_hours(run_hours(spark, sf_dir), START, LENGTH)
+
+
+@query("s03_exploded_runs", " SELECT run_id, h, valid, speed, direction, temp, precip, pprob FROM run_hours WHERE source IN ('1-URGENT', '5-LOW') AND h % 6 = 0")
+def exploded_runs(spark, sf_dir):
+    return run_hours(spark, sf_dir).where(F.col("source").isin("1-URGENT", "5-LOW") & (F.col("h") % 6 == 0)).select("run_id", "h", "valid", "speed", "direction", "temp", "precip", "pprob")
+
+
+@query("p03_sanitised_points", " SELECT run_id, h, CASE WHEN pprob - 5 BETWEEN 0 AND 90 THEN pprob - 5 END AS pprob, CASE WHEN precip - 0.5 >= 0 THEN round(precip - 0.5, 6) END AS precip FROM run_hours WHERE h < 4")
+def sanitised_points(spark, sf_dir):
+    p, rain = F.col("pprob") - 5, F.col("precip") - 0.5
+    return run_hours(spark, sf_dir).where("h < 4").select("run_id", "h", F.when(p.between(0, 90), p).alias("pprob"), r6(F.when(rain >= 0, rain)).alias("precip"))
+
+
+@query("p05_age_gate", f" SELECT run_id, CASE WHEN fetched % {6 * HOUR} <= {2 * HOUR} THEN fetched END AS usable FROM runs")
+def age_gate(spark, sf_dir):
+    return runs(spark, sf_dir).select("run_id", F.when(F.col("fetched") % (6 * HOUR) <= 2 * HOUR, F.col("fetched")).alias("usable"))
+
+
+@query("p06_source_allow_list", " SELECT source, count(*) AS n FROM runs WHERE source IN ('1-URGENT', '2-HIGH') GROUP BY source")
+def source_allow_list(spark, sf_dir):
+    return runs(spark, sf_dir).where(F.col("source").isin("1-URGENT", "2-HIGH")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j08_overlap_weights", f"{WINDOW} SELECT run_id, hr, w FROM w")
+def overlap_weights(spark, sf_dir):
+    return touched(spark, sf_dir).select("run_id", F.col("at").alias("hr"), "w")
+
+
+@query("a16_window_weather", f"{WINDOW} SELECT run_id, CASE WHEN count(temp) = count(*) THEN round(sum(temp * w) / sum(w), 6) END AS temp, CASE WHEN count(speed) = count(*) THEN max(speed) END AS gust, CASE WHEN count(precip) = count(*) THEN round(sum(precip * w / {HOUR}), 6) END AS rain FROM w GROUP BY run_id")
+def window_weather(spark, sf_dir):
+    w = F.col("w")
+    return touched(spark, sf_dir).groupBy("run_id").agg(
+        r6(wx.complete(F.sum(F.col("temp") * w) / F.sum(w), F.col("temp"))).alias("temp"), wx.complete(F.max("speed"), F.col("speed")).alias("gust"), r6(wx.complete(F.sum(F.col("precip") * w / HOUR), F.col("precip"))).alias("rain"),
+    )
+
+
+@query("a15_circular_mean", f"{WINDOW}, c AS (SELECT run_id, count(direction) = count(*) AS whole, sum(cos(radians(direction)) * w) AS x, sum(sin(radians(direction)) * w) AS y, sum(w) AS t FROM w GROUP BY run_id) SELECT run_id, CASE WHEN whole AND sqrt(x * x + y * y) > 1e-6 * t THEN round(fmod(degrees(atan2(y, x)) + 360, 360), 5) END AS direction FROM c")
+def circular_mean(spark, sf_dir):
+    d = F.col("direction")
+    return touched(spark, sf_dir).groupBy("run_id").agg(F.round(wx.complete(wx.circular_mean(d, F.col("w")), d), 5).alias("direction"))
+
+
+@query("a17_rain_interval", f"{WINDOW} SELECT run_id, CASE WHEN count(pprob) = count(*) THEN max(pprob) END AS top, CASE WHEN count(pprob) = count(*) THEN count(*) FILTER (pprob >= 60) END::DOUBLE AS likely, CASE WHEN count(precip) = count(*) THEN min(CASE WHEN precip > 0 THEN greatest(s, hr) - s END) END::DOUBLE AS first_wet FROM w GROUP BY run_id")
+def rain_interval(spark, sf_dir):
+    p, rain = F.col("pprob"), F.col("precip")
+    wet = F.min(F.when(rain > 0, F.greatest("start", "at") - F.col("start")))
+    return touched(spark, sf_dir).groupBy("run_id").agg(wx.complete(F.max(p), p).alias("top"), wx.complete(F.count_if(p >= 60), p).cast("double").alias("likely"), wx.complete(wet, rain).cast("double").alias("first_wet"))
+
+
+@query("a18_rain_exposure", f"{WINDOW} SELECT run_id, CASE WHEN count(precip) = count(*) THEN round(sum(precip / {HOUR} * (pow((e - greatest(s, hr))::DOUBLE, 2) - pow((e - least(e, hr + {HOUR}))::DOUBLE, 2)) / 2) / (max(e) - max(s)), 6) END AS exposure FROM w GROUP BY run_id")
+def rain_exposure(spark, sf_dir):
+    a, b = F.col("stop") - F.greatest("start", "at"), F.col("stop") - F.least(F.col("stop"), F.col("at") + HOUR)
+    part = F.col("precip") / HOUR * (F.pow(a.cast("double"), 2) - F.pow(b.cast("double"), 2)) / 2
+    return touched(spark, sf_dir).groupBy("run_id").agg(r6(wx.complete(F.sum(part) / (F.max("stop") - F.max("start")), F.col("precip"))).alias("exposure"))
+
+
+@query("a19_path_average", """, x AS (SELECT run_id, h, temp, lead(temp) OVER (PARTITION BY run_id ORDER BY h) AS nxt FROM run_hours WHERE h <= 6) SELECT run_id, CASE WHEN count(nxt) = 6 AND count(temp) = 7 THEN round(sum((temp + nxt) / 2) / 6, 6) END AS mean, min(temp) AS low, max(temp) AS high FROM x GROUP BY run_id""")
+def path_average(spark, sf_dir):
+    nxt = F.lead("temp").over(Window.partitionBy("run_id").orderBy("h"))
+    x = run_hours(spark, sf_dir).where("h <= 6").select("run_id", "temp", nxt.alias("next"))
+    whole = (F.count("next") == 6) & (F.count("temp") == 7)
+    return x.groupBy("run_id").agg(r6(F.when(whole, F.sum((F.col("temp") + F.col("next")) / 2) / 6)).alias("mean"), F.min("temp").alias("low"), F.max("temp").alias("high"))
+
+
+@query("a50_morning_block", f" SELECT run_id, CASE WHEN count(pprob) = 2 THEN max(pprob) END AS rain_chance, CASE WHEN count(temp) = 2 THEN max(temp) END AS warmest, CASE WHEN count(speed) = 2 THEN avg(speed) END AS wind FROM run_hours WHERE valid % {24 * HOUR} IN ({7 * HOUR}, {8 * HOUR}) AND h < 24 GROUP BY run_id")
+def morning_block(spark, sf_dir):
+    rows = run_hours(spark, sf_dir).where((F.col("valid") % (24 * HOUR)).isin(7 * HOUR, 8 * HOUR) & (F.col("h") < 24))
+    two = lambda f, c: F.when(F.count(c) == 2, f(c))
+    return rows.groupBy("run_id").agg(two(F.max, "pprob").alias("rain_chance"), two(F.max, "temp").alias("warmest"), two(F.avg, "speed").alias("wind"))
+
+
+@query("f11_wind_vectors", " SELECT run_id, h, round(-speed * sin(radians(direction)), 6) + 0.0 AS u, round(-speed * cos(radians(direction)), 6) + 0.0 AS v, ['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW'][(floor(direction / 22.5 + 0.5)::BIGINT % 16 + 1)] AS compass FROM run_hours WHERE h < 3")
+def wind_vectors(spark, sf_dir):
+    u, v = wx.wind_uv(F.col("speed"), F.col("direction"))
+    return run_hours(spark, sf_dir).where("h < 3").select("run_id", "h", (r6(u) + 0.0).alias("u"), (r6(v) + 0.0).alias("v"), wx.compass(F.col("direction")).alias("compass"))
+
+
+@query("f13_interpolated_point", f""", t AS (SELECT run_id, fetched + {90 * MINUTE} AS t FROM runs)
+  SELECT t.run_id, round(CASE WHEN t % {HOUR} = 0 THEN a.temp ELSE a.temp * (1 - (t % {HOUR}) / {HOUR}::DOUBLE) + b.temp * ((t % {HOUR}) / {HOUR}::DOUBLE) END, 6) AS temp
+  FROM t LEFT JOIN run_hours a ON a.run_id = t.run_id AND a.valid = t - t % {HOUR} LEFT JOIN run_hours b ON b.run_id = t.run_id AND b.valid = t - t % {HOUR} + {HOUR}""")
+def interpolated_point(spark, sf_dir):
+    hours = run_hours(spark, sf_dir)
+    side = lambda n: hours.select(F.col("run_id"), F.col("valid").alias(f"at{n}"), F.col("temp").alias(f"temp{n}"))
+    t = runs(spark, sf_dir).select("run_id", (F.col("fetched") + 90 * MINUTE).alias("t")).withColumn("at0", F.col("t") - F.col("t") % HOUR).withColumn("at1", F.col("at0") + HOUR)
+    share = F.col("t") % HOUR / HOUR
+    joined = t.join(side(0), ["run_id", "at0"], "left").join(side(1), ["run_id", "at1"], "left")
+    return joined.select("run_id", r6(F.when(F.col("t") % HOUR == 0, F.col("temp0")).otherwise(F.col("temp0") * (1 - share) + F.col("temp1") * share)).alias("temp"))
+
+
+@query("e14_wet_timing", """, x AS (SELECT run_id, h, precip > 0 AS wet, precip IS NULL AS missing FROM run_hours WHERE h <= 24), f AS (SELECT run_id, min(h) FILTER (wet) AS first_wet, bool_or(missing) AS gaps FROM x GROUP BY run_id)
+  SELECT f.run_id, CASE WHEN gaps THEN 'missing' WHEN first_wet IS NULL THEN 'dry' WHEN min(x.h) IS NULL THEN 'open' ELSE 'ends' END AS status, f.first_wet::DOUBLE AS first_wet, min(x.h)::DOUBLE AS dry_again FROM f LEFT JOIN x ON x.run_id = f.run_id AND x.h > f.first_wet AND NOT x.wet GROUP BY f.run_id, gaps, first_wet""")
+def wet_timing(spark, sf_dir):
+    x = run_hours(spark, sf_dir).where("h <= 24").select("run_id", "h", (F.col("precip") > 0).alias("wet"))
+    first = F.min(F.when(F.col("wet"), F.col("h"))).over(Window.partitionBy("run_id"))
+    out = x.withColumn("first_wet", first).groupBy("run_id").agg(F.first("first_wet").alias("first_wet"), F.bool_or(F.col("wet").isNull()).alias("gaps"), F.min(F.when((F.col("h") > F.col("first_wet")) & ~F.col("wet"), F.col("h"))).alias("dry_again"))
+    status = F.when(F.col("gaps"), "missing").when(F.col("first_wet").isNull(), "dry").when(F.col("dry_again").isNull(), "open").otherwise("ends")
+    return out.select("run_id", status.alias("status"), F.col("first_wet").cast("double").alias("first_wet"), F.col("dry_again").cast("double").alias("dry_again"))
+
+
+@query("w16_revision_delta", """, r AS (SELECT source, valid, run_id, temp, lag(temp) OVER (PARTITION BY source, valid ORDER BY fetched, run_id) AS before FROM run_hours WHERE h < 6 AND temp IS NOT NULL) SELECT source, valid, run_id, round(temp - before, 6) AS revision FROM r WHERE before IS NOT NULL""")
+def revision_delta(spark, sf_dir):
+    order = Window.partitionBy("source", "valid").orderBy("fetched", "run_id")
+    r = run_hours(spark, sf_dir).where("h < 6 and temp is not null").withColumn("before", F.lag("temp").over(order))
+    return r.where("before is not null").select("source", "valid", "run_id", r6(F.col("temp") - F.col("before")).alias("revision"))
+
+
+@query("w20_wind_summaries", f"{WINDOW}, v AS (SELECT *, -speed * sin(radians(direction)) AS u, -speed * cos(radians(direction)) AS n FROM w) SELECT run_id, CASE WHEN count(u) = count(*) THEN round(sum(u * w) / sum(w), 6) END AS u, CASE WHEN count(u) = count(*) THEN round(sum(n * w) / sum(w), 6) END AS v, CASE WHEN count(u) = count(*) THEN round(sqrt(pow(sum(u * w), 2) + pow(sum(n * w), 2)) / sum(speed * w), 6) END AS coherence FROM v GROUP BY run_id")
+def wind_summaries(spark, sf_dir):
+    u, v = wx.wind_uv(F.col("speed"), F.col("direction"))
+    rows, w = touched(spark, sf_dir).withColumn("u", u).withColumn("v", v), F.col("w")
+    total = lambda c: F.sum(F.col(c) * w)
+    whole = lambda c: r6(wx.complete(c, F.col("u")))
+    return rows.groupBy("run_id").agg(whole(total("u") / F.sum(w)).alias("u"), whole(total("v") / F.sum(w)).alias("v"), whole(F.sqrt(F.pow(total("u"), 2) + F.pow(total("v"), 2)) / total("speed")).alias("coherence"))
