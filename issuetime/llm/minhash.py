@@ -13,7 +13,7 @@ Posting lists are not expanded into pairs. First, rounds link each class only to
 that shares most, which connects most of a group of copies. Then what is left between different components is taken exactly:
 classes of lists that still hold several components meet on their rarest whole-set shingles. A set of n shingles has a
 link to a smaller or equal one only through the rarest n - ceil(3n/4) + 1 of its own and the rarest n - ceil(6n/7) + 1 of the other,
-so that copies changed too much to link with anything (most of a large group) hold only shingles of their own there and
+and at their first common one enough of both must be left behind it, so that copies changed too much to link with anything (most of a large group) hold only shingles of their own there and
 form no pair at all, and no link between components is lost.
 """
 
@@ -139,8 +139,8 @@ def rare_pairs(open_ids: DataFrame, sets: DataFrame) -> DataFrame:
     small = prefix.where("at <= n - ceil(6 * n / 7) + 1").select("shingle", F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("label").alias("label_u"), F.col("at").alias("at_u"))
     large = prefix.select("shingle", F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("label").alias("label_v"), F.col("at").alias("at_v"))
     fits = "label_u <> label_v and (n_u < n_v or (n_u = n_v and u < v)) and 100 * n_u >= 75 * n_v"
-    # what is left behind this shingle in either set must still allow the overlap
-    enough = "175 * (1 + least(n_u - at_u, n_v - at_v) + least(at_u, at_v) - 1) >= 75 * (n_u + n_v)"
+    # at a pair's first common shingle, what is left behind it in either set must still allow the whole overlap
+    enough = "175 * (1 + least(n_u - at_u, n_v - at_v)) >= 75 * (n_u + n_v)"
     return small.join(large, "shingle").where(f"{fits} and {enough}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
