@@ -1 +1,126 @@
-"""Queries of this family."""
+"""Walk-forward models and distributions of the issue ledger."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from issuetime.operators import learn as ln
+from issuetime.operators import scores as sc
+from issuetime.plans.targets import TARGET, arrival_targets, r6
+from issuetime.registry import query
+from issuetime.schemas import DAY, HOUR, issues, readings
+
+LOOK, HOLD = 14 * DAY, 44 * HOUR
+TRAIN = f"""{TARGET}, days AS (SELECT DISTINCT series, issue_us // {DAY} AS day FROM issues),
+train AS (SELECT t.*, d.day FROM targets t JOIN days d ON d.series = t.series AND t.target IS NOT NULL AND t.issue_us > d.day * {DAY} - {LOOK} AND t.issue_us < d.day * {DAY} - {HOLD} AND t.complete < d.day * {DAY})"""
+
+
+def evaluated(spark, sf_dir):
+    """Evaluation days of each series."""
+    return issues(spark, sf_dir).select("series", F.expr(f"issue_us div {DAY}").alias("day")).distinct()
+
+
+@query("p07_training_rows", f"{TRAIN} SELECT series, day, count(*) AS n, min(issue_id) AS first, max(issue_id) AS last FROM train GROUP BY series, day")
+def training_rows(spark, sf_dir):
+    rows = ln.training_rows(arrival_targets(spark, sf_dir)).join(evaluated(spark, sf_dir), ["series", "day"])
+    return rows.groupBy("series", "day").agg(F.count(F.lit(1)).alias("n"), F.min("issue_id").alias("first"), F.max("issue_id").alias("last"))
+
+
+@query("m02_ridge_days", f"{TRAIN}, s AS (SELECT series, day, count(*) AS n, avg(ref) AS mx, avg(target) AS my, count(*) * covar_pop(ref, target) AS sxy, count(*) * var_pop(ref) AS sxx FROM train GROUP BY series, day) SELECT series, day, n, round(sxy / (sxx + 100), 6) AS slope, round(my - sxy / (sxx + 100) * mx, 5) AS intercept FROM s")
+def ridge_days(spark, sf_dir):
+    fit = ln.ridge_days(arrival_targets(spark, sf_dir), "target", "ref", 100.0).join(evaluated(spark, sf_dir), ["series", "day"])
+    return fit.select("series", "day", "n", r6("slope").alias("slope"), F.round("intercept", 5).alias("intercept"))
+
+
+@query("m01_walk_forward", f"{TRAIN}, s AS (SELECT series, day, count(*) AS n, avg(target - ref) AS shift FROM train GROUP BY series, day) SELECT i.issue_id, CASE WHEN n >= 10 THEN round(i.ref + shift, 5) END AS pred FROM issues i LEFT JOIN s ON s.series = i.series AND s.day = i.issue_us // {DAY}")
+def walk_forward(spark, sf_dir):
+    def mean_shift(train, test):
+        shift = (train["target"] - train["ref"]).mean() if len(train) >= 10 else float("nan")
+        out = test[["issue_id"]].copy()
+        out["pred"] = test["ref"] + shift
+        return out
+
+    pred = ln.walk_forward(arrival_targets(spark, sf_dir), mean_shift, "issue_id bigint, pred double")
+    return pred.select("issue_id", F.round(F.nanvl("pred", F.lit(None).cast("double")), 5).alias("pred"))
+
+
+@query("m11_ratio_distribution", f"{TRAIN} SELECT series, day, count(*) AS n, round(avg((ln((target + 5) / (ref + 5)) <= ln(75 / 55.0::DOUBLE))::INT), 6) AS below FROM train GROUP BY series, day")
+def ratio_distribution(spark, sf_dir):
+    """Share of past log ratios that keep a level of 50 at or under 70."""
+    z = F.log((F.col("target") + 5) / (F.col("ref") + 5))
+    rows = ln.training_rows(arrival_targets(spark, sf_dir)).join(evaluated(spark, sf_dir), ["series", "day"])
+    return rows.groupBy("series", "day").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((z <= F.log(F.lit(75 / 55.0))).cast("int"))).alias("below"))
+
+
+@query("m31_scaled_persistence", f"{TRAIN}, q AS (SELECT series, day, median(ln((target + 5) / (ref + 5))) AS z FROM train GROUP BY series, day) SELECT i.issue_id, round((i.ref + 5) * exp(z) - 5, 5) AS pred FROM issues i JOIN q ON q.series = i.series AND q.day = i.issue_us // {DAY}")
+def scaled_persistence(spark, sf_dir):
+    z = F.median(F.log((F.col("target") + 5) / (F.col("ref") + 5)))
+    fit = ln.training_rows(arrival_targets(spark, sf_dir)).groupBy("series", "day").agg(z.alias("z"))
+    now = issues(spark, sf_dir).withColumn("day", F.expr(f"issue_us div {DAY}"))
+    return now.join(fit, ["series", "day"]).select("issue_id", F.round((F.col("ref") + 5) * F.exp("z") - 5, 5).alias("pred"))
+
+
+@query("m12_block_folds", f"{TARGET}, d AS (SELECT DISTINCT series, issue_us // {DAY} AS day FROM targets), f AS (SELECT *, ntile(4) OVER (PARTITION BY series ORDER BY day) AS fold FROM d), x AS (SELECT t.series, t.target - t.ref AS y, f.fold FROM targets t JOIN f ON f.series = t.series AND f.day = t.issue_us // {DAY} WHERE target IS NOT NULL), s AS (SELECT series, fold, sum(y) AS y, count(*) AS n FROM x GROUP BY ALL) SELECT series, fold, n, round((sum(y) OVER w - y) / (sum(n) OVER w - n), 6) AS out_of_fold FROM s WINDOW w AS (PARTITION BY series)")
+def block_folds(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = arrival_targets(spark, sf_dir).withColumn("day", F.expr(f"issue_us div {DAY}"))
+    folds = rows.select("series", "day").distinct().withColumn("fold", F.ntile(4).over(Window.partitionBy("series").orderBy("day")))
+    s = rows.where("target is not null").join(folds, ["series", "day"]).groupBy("series", "fold").agg(F.sum(F.col("target") - F.col("ref")).alias("y"), F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("series")
+    return s.select("series", F.col("fold").cast("long").alias("fold"), "n", r6((F.sum("y").over(w) - F.col("y")) / (F.sum("n").over(w) - F.col("n"))).alias("out_of_fold"))
+
+
+@query("f19_cumulative_incidence", " SELECT issue_id, " + ", ".join(f"round({p} * (1 - pow(1 - p_fall - p_rise, 3)) / (p_fall + p_rise), 6) AS {n}" for p, n in (("p_fall", "fall"), ("p_rise", "rise"))) + " FROM issues")
+def cumulative_incidence(spark, sf_dir):
+    h = F.array(*[F.struct(F.col("p_fall").alias("fall"), F.col("p_rise").alias("rise")) for _ in range(3)])
+    out = issues(spark, sf_dir).withColumn("c", ln.cumulative_incidence(h))
+    return out.select("issue_id", r6("c.fall").alias("fall"), r6("c.rise").alias("rise"))
+
+
+@query("a44_inverse_error_weights", f"{TARGET}, e AS (SELECT series, avg(abs(pred - target)) AS a, avg(abs(ref - target)) AS b FROM targets WHERE target IS NOT NULL GROUP BY series) SELECT series, round(1 / pow(a + 3, 2) / (1 / pow(a + 3, 2) + 1 / pow(b + 3, 2)), 6) AS w_pred FROM e")
+def inverse_error_weights(spark, sf_dir):
+    e = arrival_targets(spark, sf_dir).where("target is not null").groupBy("series").agg(*sc.point_metrics("target", "pred", "ref"))
+    a, b = 1 / F.pow(F.col("mae") + 3, 2), 1 / F.pow(F.col("ref_mae") + 3, 2)
+    return e.select("series", r6(a / (a + b)).alias("w_pred"))
+
+
+@query("m06_logistic_change")
+def logistic_change(spark, sf_dir):
+    """Multinomial classes of the change with weights that balance them, fitted on the first half and scored on the second."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = arrival_targets(spark, sf_dir).where("target is not null").withColumn("y", F.when(F.col("target") - F.col("ref") <= -20, 0.0).when(F.col("target") - F.col("ref") < 20, 1.0).otherwise(2.0))
+    cutoff = rows.agg(F.percentile_approx("issue_us", 0.5)).first()[0] or 0
+    train = rows.where(F.col("complete") < cutoff)
+    counts = train.groupBy("y").agg(F.count(F.lit(1)).alias("c"))
+    train = train.join(counts, "y").withColumn("w", 1 / F.sqrt(F.col("c")))
+    for step in (Imputer(inputCols=["ref", "p_fall"], outputCols=["ref_i", "fall_i"]), VectorAssembler(inputCols=["ref_i", "fall_i"], outputCol="x"), StandardScaler(inputCol="x", outputCol="z", withMean=True)):
+        model = step.fit(train) if hasattr(step, "fit") else step
+        train, rows = model.transform(train), model.transform(rows)
+    model = LogisticRegression(featuresCol="z", labelCol="y", weightCol="w", family="multinomial", regParam=0.01, maxIter=30).fit(train)
+    p = vector_to_array("probability")
+    return model.transform(rows.where(F.col("issue_us") >= cutoff)).select("issue_id", p[0].alias("p_fall"), p[1].alias("p_none"), p[2].alias("p_rise"))
+
+
+@query("m16_isotonic_quality")
+def isotonic_quality(spark, sf_dir):
+    """Monotone map from text length to the probability of quality."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    from issuetime.schemas import table
+
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.least(F.lit(1.0), F.col("n_chars") / 20000.0).alias("p"), F.col("quality").cast("double").alias("y"))
+    return IsotonicRegression(featuresCol="p", labelCol="y").fit(rows).transform(rows).select("doc_id", "p", F.col("prediction").alias("calibrated"))
+
+
+@query("m29_fresh_shift", " SELECT i.issue_id, round(i.pred + (r.v - c.med), 6) AS pred FROM issues i JOIN readings r ON r.obs_id = i.issue_id JOIN closed c ON c.series = i.series AND c.label = i.issue_us // 7200000000 * 7200000000")
+def fresh_shift(spark, sf_dir):
+    from issuetime.operators import buckets as bk
+    from issuetime.plans.targets import B
+
+    r = readings(spark, sf_dir)
+    now = issues(spark, sf_dir).withColumn("label", bk.anchor(F.col("issue_us"), B)).join(r.select(F.col("obs_id").alias("issue_id"), "v"), "issue_id")
+    return now.join(bk.closed_series(r), ["series", "label"]).select("issue_id", r6(F.col("pred") + (F.col("v") - F.col("med"))).alias("pred"))

@@ -1 +1,45 @@
-"""Queries of this family."""
+"""Streams run to their end over the event files; each must equal its batch operator on what the watermark has closed."""
+
+from __future__ import annotations
+
+import tempfile
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from issuetime.plans.targets import r6
+from issuetime.registry import query
+from issuetime.schemas import table
+from issuetime.streaming import buckets as st
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``; a machine-local one only in local mode with that setting unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{base or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid4().hex}"
+
+
+def reading_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return raw.select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("obs_id"), F.col("value").alias("v"))
+
+
+def finished(stream: DataFrame) -> DataFrame:
+    spark, at = stream.sparkSession, work_dir(stream.sparkSession)
+    st.run_to_end(stream, f"{at}/out", f"{at}/state")
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+@query("t03_stream_buckets", " SELECT series, label, round(med, 6) AS med FROM closed WHERE label <= (SELECT max(us) - 1 - 3600000000 FROM readings)")
+def stream_buckets(spark, sf_dir):
+    return finished(st.closed_buckets(reading_stream(spark, sf_dir), "1 hour")).select("series", "label", r6("med").alias("med"))
+
+
+@query("t05_stream_sessions", """, j AS (SELECT *, CASE WHEN us - lag(us) OVER w >= 3600000000 THEN 1 ELSE 0 END AS j FROM readings WINDOW w AS (PARTITION BY series ORDER BY us)), s AS (SELECT *, sum(j) OVER (PARTITION BY series ORDER BY us) AS g FROM j)
+  SELECT series, min(us) AS start, max(us) + 3600000000 AS "end", count(*) AS n FROM s GROUP BY series, g HAVING max(us) + 3600000000 <= (SELECT max(us) - 3600000000 FROM readings)""")
+def stream_sessions(spark, sf_dir):
+    return finished(st.sessions(reading_stream(spark, sf_dir), "1 hour", "1 hour"))
