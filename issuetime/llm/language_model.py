@@ -20,7 +20,7 @@ from issuetime.llm.common import shared_dir, stored
 from issuetime.llm.shingles import WordHasher, mix
 from issuetime.llm.tokens import blocks
 
-CHUNK_BYTES, RANGE_BYTES = 8 << 20, 12 << 20
+CHUNK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
 _END, _STEP = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 
 
