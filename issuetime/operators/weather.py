@@ -12,7 +12,8 @@ from issuetime.schemas import HOUR
 def window_hours(hours: DataFrame, start: Column, length: int) -> DataFrame:
     """run_id, fetched, start, stop, at, w and the fields of every hour that the run's window touches (null if missing)."""
     windows = hours.groupBy("run_id").agg(F.first("fetched").alias("fetched")).withColumn("start", start).withColumn("stop", F.col("start") + length)
-    return overlap_join(windows, hours.drop("fetched").withColumn("at", F.col("valid")), "run_id", HOUR)
+    near = hours.withColumn("_start", start).where((F.col("valid") > F.col("_start") - HOUR) & (F.col("valid") < F.col("_start") + length))
+    return overlap_join(windows, near.drop("fetched", "_start").withColumn("at", F.col("valid")), "run_id", HOUR)
 
 
 def complete(value: Column, over: Column) -> Column:

@@ -10,13 +10,13 @@ from issuetime.plans.targets import r6
 from issuetime.registry import query
 from issuetime.schemas import HOUR, MINUTE, run_hours, runs
 
-START, LENGTH = F.col("fetched") + 90 * MINUTE, 2 * HOUR
+LENGTH = 2 * HOUR
 WINDOW = f""", h2 AS (SELECT run_id, s, s + {2 * HOUR} AS e, s // {HOUR} * {HOUR} + k * {HOUR} AS hr FROM (SELECT run_id, fetched + {90 * MINUTE} AS s, unnest(range(3)) AS k FROM runs) WHERE s // {HOUR} * {HOUR} + k * {HOUR} < s + {2 * HOUR}),
   w AS (SELECT h2.*, least(e, h2.hr + {HOUR}) - greatest(s, h2.hr) AS w, speed, direction, temp, precip, pprob FROM h2 LEFT JOIN run_hours r ON r.run_id = h2.run_id AND r.valid = h2.hr)"""
 
 
 def touched(spark, sf_dir):
-    return wx.window_hours(run_hours(spark, sf_dir), START, LENGTH)
+    return wx.window_hours(run_hours(spark, sf_dir), F.col("fetched") + 90 * MINUTE, LENGTH)
 
 
 @query("s03_exploded_runs", " SELECT run_id, h, valid, speed, direction, temp, precip, pprob FROM run_hours WHERE source IN ('1-URGENT', '5-LOW') AND h % 6 = 0")
