@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from issuetime.llm.common import SPACE, WORD
+from issuetime.llm.common import SPACE, WORD, stored
 
 
 def word_count(text: Column) -> Column:
@@ -63,9 +63,9 @@ def mix_sources(
     source of its own; repeated rows are separate documents; ties of the key fall to doc_id; an empty table gives no rows.
     """
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _name(F.col("source")).alias("_source"), key.alias("_key")).withColumn(
-        "_bucket", F.substring("_key", 1, digits)
-    )
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _name(F.col("source")).alias("_source"), key.alias("_key"))
+    # texts are read once; sums and places are taken from the narrow rows
+    sized = stored(sized.withColumn("_bucket", F.substring("_key", 1, digits)), "sizes")
     buckets = sized.groupBy("_source", "_bucket").agg(F.first("source").alias("source"), F.sum("size").alias("_words"))
     targets = source_targets(buckets.groupBy("_source").agg(F.first("source").alias("source"), F.sum("_words").alias("source_size")), weights, share, cap)
     earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
