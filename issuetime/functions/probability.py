@@ -23,3 +23,12 @@ def masses(edges: list[Column]) -> list[Column]:
 def tails(p: list[Column]) -> tuple[Column, Column, Column, Column]:
     """Large fall, any fall, any rise, large rise from five ordered classes."""
     return p[0], p[0] + p[1], p[3] + p[4], p[4]
+
+
+def array_weighted_median(pairs: Column) -> Column:
+    """First value of an array of (v, w) whose cumulative weight reaches half; null if all weights are zero."""
+    ordered = F.array_sort(F.filter(pairs, lambda x: x["w"] > 0))
+    total = F.aggregate(ordered, F.lit(0.0), lambda s, x: s + x["w"])
+    start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("v"))
+    step = lambda s, x: F.struct((s["c"] + x["w"]).alias("c"), F.when(s["v"].isNull() & (s["c"] + x["w"] >= total / 2), x["v"]).otherwise(s["v"]).alias("v"))
+    return F.aggregate(ordered, start, step, lambda s: s["v"])
