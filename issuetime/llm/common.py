@@ -5,13 +5,20 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space and words of the contracts: ASCII only, the same in Java, Python and RE2.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def row_key(*columns: str) -> Column:
+    """SHA-256 (binary) over all of the columns, with their lengths, so that only rows equal in each share it; null differs from any text."""
+    text = [F.col(c).cast("string") for c in columns]
+    return F.unhex(F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]).cast("binary"), 256))
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
 

@@ -24,18 +24,17 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from issuetime.llm.common import stored
+from issuetime.llm.common import row_key, stored
 from issuetime.llm.components import components
 from issuetime.llm.shingles import Shingler, mix
 from issuetime.llm.tokens import blocks
 
-K, T, STAR_ROUNDS, SURROGATE = 32, 12, 2, 1 << 62
+K, T, STAR_ROUNDS = 32, 12, 2
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and an id that is never null: rows without doc_id get one from their text, above all real ids."""
-    own = F.shiftright(F.xxhash64(F.lit("no id"), F.coalesce("text", F.lit(""))), 2).bitwiseAND(F.lit(SURROGATE - 1)) + F.lit(SURROGATE)
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("id"), "text")
+    """doc_id, text and ``row``, the key of both: rows without doc_id, and different texts under one id, are told apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row"), "text")
 
 
 def _set_hash(hashes) -> bytes:
@@ -43,23 +42,23 @@ def _set_hash(hashes) -> bytes:
 
 
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """id, n_shingles, set_hash (of the whole set) and signature (array of ``K`` int, null without shingles) of every row."""
+    """doc_id, row, n_shingles, set_hash (of the whole set) and signature (array of ``K`` int, null without shingles) of every row."""
 
     def sketch(batches):
         import numpy as np
         import pyarrow as pa
 
         shingler, factor = Shingler(words), mix(np.arange(101, 101 + K, dtype=np.uint64)) | np.uint64(1)
-        for ids, texts in blocks(batches, ("id", "text")):
+        for ids, keyed, texts in blocks(batches, ("doc_id", "row", "text")):
             n, keys, signatures = [], [], []
             for hashes in shingler.sets(texts):
                 n.append(len(hashes))
                 keys.append(_set_hash(hashes))
                 low = [np.min(hashes[i : i + 20_000, None] * factor, axis=0) for i in range(0, len(hashes), 20_000)]
                 signatures.append((np.min(low, axis=0) >> np.uint64(32)).astype(np.uint32).view(np.int32) if low else None)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n_shingles": pa.array(n, pa.int64()), "set_hash": pa.array(keys, pa.binary()), "signature": pa.array(signatures, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "row": pa.array(keyed, pa.binary()), "n_shingles": pa.array(n, pa.int64()), "set_hash": pa.array(keys, pa.binary()), "signature": pa.array(signatures, pa.list_(pa.int32()))})
 
-    return _keyed(docs).mapInArrow(sketch, "id bigint, n_shingles bigint, set_hash binary, signature array<int>")
+    return _keyed(docs).mapInArrow(sketch, "doc_id bigint, row binary, n_shingles bigint, set_hash binary, signature array<int>")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -83,7 +82,7 @@ def full_sets(docs: DataFrame, posted: DataFrame, words: int = 5) -> DataFrame:
             rows = [(i, h.tobytes()) for i, w, h in zip(ids, wanted, shingler.sets(texts), strict=True) if _set_hash(h) == w]
             yield pa.RecordBatch.from_pydict({"id": pa.array([r[0] for r in rows], pa.int64()), "shingles": pa.array([r[1] for r in rows], pa.binary())})
 
-    return _keyed(docs).join(posted, "id").select("id", "set_hash", "text").mapInArrow(sets, "id bigint, shingles binary")
+    return _keyed(docs).select("row", "text").join(posted, "row").select("id", "set_hash", "text").mapInArrow(sets, "id bigint, shingles binary")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -147,7 +146,7 @@ def rare_pairs(open_ids: DataFrame, sets: DataFrame) -> DataFrame:
 def class_labels(docs: DataFrame, classes: DataFrame, words: int = 5) -> DataFrame:
     """id, label of the classes that links connect."""
     lists = stored(postings(classes), "postings")
-    posted = lists.select("id").distinct().join(classes.select("id", "set_hash"), "id")
+    posted = lists.select("id").distinct().join(classes.select("id", "set_hash", "row"), "id")
     sets = stored(full_sets(docs, posted, words), "sets")
     links, labels, labelled = None, None, lists.withColumn("label", F.col("id"))
     for turn in range(STAR_ROUNDS + 1):
@@ -170,6 +169,21 @@ def class_labels(docs: DataFrame, classes: DataFrame, words: int = 5) -> DataFra
     return labels if labels is not None else classes.select("id", F.col("id").alias("label")).where("false")
 
 
+def _decided(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, row, n_shingles and ``best`` of every row: the component's first row (no_id, doc_id, row), null without shingles."""
+    rows = stored(sketches(docs, words), "sketches")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    classes = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min(place).alias("own"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    # classes are nodes by a number of their own, as several may hold one doc_id or none
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "set_hash", "own", F.col("own.row").alias("row"), "n_shingles", "signature"), "classes")
+    labels = class_labels(docs, classes, words)
+    linked = classes.select("id", "own").join(labels, "id")
+    best = linked.groupBy("label").agg(F.min("own").alias("best"))
+    of_class = classes.select("id", "set_hash", "own").join(linked.join(best, "label").select("id", "best"), "id", "left")
+    of_class = of_class.select(F.col("set_hash").alias("class"), F.coalesce("best", "own").alias("best"))
+    return rows.withColumn("_class", F.when(F.col("n_shingles") > 0, F.col("set_hash"))).join(of_class, F.col("_class") == F.col("class"), "left").select("doc_id", "row", "n_shingles", "best")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (columns read: doc_id, text).
 
@@ -178,23 +192,18 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     shingles and are linked with nothing; repeated rows are links of similarity 1 and share a component. Rows without
     doc_id come after all ids: their component_id is null unless a row with an id is linked. An empty table gives no rows.
     """
-    rows = stored(sketches(docs, words), "sketches")
-    classes = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    classes = stored(classes, "classes")
-    labels = class_labels(docs, classes, words)
-    of_class = classes.select("set_hash", "id").join(labels, "id", "left").select(F.col("set_hash").alias("class"), F.coalesce("label", "id").alias("label"))
-    label = F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("id"))
-    named = lambda c: F.when(c < F.lit(SURROGATE), c)
-    return (
-        rows.withColumn("_class", F.when(F.col("n_shingles") > 0, F.col("set_hash")))
-        .join(of_class, F.col("_class") == F.col("class"), "left")
-        .select(named(F.col("id")).alias("doc_id"), "n_shingles", named(label).alias("component_id"), (F.col("id") == label).alias("kept"))
-    )
+    none, same_row = F.col("best").isNull(), F.col("row") == F.col("best.row")
+    kept = none | F.when(F.col("best.no_id"), same_row).otherwise(F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
+    return _decided(docs, words).select("doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"), kept.alias("kept"))
 
 
 def kept_documents(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, all without words, and of repeated rows of an id one."""
-    stay = near_duplicates(docs, words).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.length("text"))
-    rows = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    """The rows of ``docs`` that stay: one of each component, all without words, and of repeated rows of an id one.
+
+    Decisions meet their rows on doc_id and text together.
+    """
+    stay = _decided(docs, words).where(F.col("best").isNull() | (F.col("row") == F.col("best.row"))).select(F.col("row").alias("_stay")).distinct()
+    rows = docs.withColumn("_row", row_key("doc_id", "text"))
+    rows = rows.join(stay, F.col("_row") == F.col("_stay"), "left_semi")
+    same = Window.partitionBy("_row").orderBy(F.lit(1))
     return rows.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from issuetime.llm.common import SPACE, WORD, stored
+from issuetime.llm.common import SPACE, WORD, row_key, stored
 
 
 def word_count(text: Column) -> Column:
@@ -62,8 +62,13 @@ def mix_sources(
     ``digits`` sets 16**digits key buckets per source. Null or blank texts have size 0 and give nothing; a null source is a
     source of its own; repeated rows are separate documents; ties of the key fall to doc_id; an empty table gives no rows.
     """
+    return _placed(docs, weights, share, cap, seed, digits).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def _placed(docs: DataFrame, weights, share: float, cap: float, seed: str, digits: int, keyed: bool = False) -> DataFrame:
+    """:func:`mix_sources`, with ``epochs`` (whole passes of the source) and, if ``keyed``, ``_row``: the key of doc_id, source and text."""
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _name(F.col("source")).alias("_source"), key.alias("_key"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _name(F.col("source")).alias("_source"), key.alias("_key"), *([row_key("doc_id", "source", "text").alias("_row")] if keyed else []))
     # texts are read once; sums and places are taken from the narrow rows
     sized = stored(sized.withColumn("_bucket", F.substring("_key", 1, digits)), "sizes")
     buckets = sized.groupBy("_source", "_bucket").agg(F.first("source").alias("source"), F.sum("size").alias("_words"))
@@ -72,7 +77,7 @@ def mix_sources(
     cuts = buckets.select("_source", "_bucket", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_bucket_start")).join(
         targets.select(_name(F.col("source")).alias("_source"), "source_size", "target"), "_source"
     )
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", *(["_row"] if keyed else [])).rowsBetween(Window.unboundedPreceding, -1)
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
     return (
@@ -87,23 +92,32 @@ def mix_sources(
             "source_size",
             F.col("target").cast("double").alias("target"),
             (F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least("size", "_rest"))).cast("long").alias("taken"),
+            F.col("_epochs").cast("long").alias("epochs"),
+            *(["_row"] if keyed else []),
         )
     )
 
 
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix", digits: int = 3) -> DataFrame:
     """The mix itself, with the columns of ``docs``: every document as often as it is taken.
 
     A document with taken = q * size + r comes q times whole and, if r > 0, once more with its first r words (their spacing
     kept; n_chars, if there, counts what is left). At most one document of a source is cut. Documents without words have
-    nothing to give and are left out. Rows of one doc_id that differ must not share it: rows are matched by doc_id.
+    nothing to give and are left out. Decisions meet their rows on doc_id, source and text together; rows equal in all three
+    are numbered, and share what their group is given beyond whole epochs in that order.
     """
-    taken = mix_sources(docs, **settings).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
+    groups = _placed(docs, weights, share, cap, seed, digits, keyed=True).where("size > 0").groupBy("_row")
+    groups = groups.agg(F.first("size").alias("_size"), F.first("epochs").alias("_epochs"), F.sum(F.col("taken") - F.col("epochs") * F.col("size")).alias("_extra")).where("_epochs > 0 or _extra > 0")
+    same = Window.partitionBy("_row").orderBy(F.lit(1))
+    extra = F.greatest(F.lit(0), F.least("_size", F.col("_extra") - (F.row_number().over(same) - 1) * F.col("_size")))
     rest = F.col("_taken") % F.col("_size")
     pieces = F.split(F.col("text"), f"(?<=[^\\x20\\x09-\\x0D])(?={SPACE})")
     cut = (F.col("_copy") > F.col("_taken") / F.col("_size")) & (rest > 0)
     out = (
-        docs.join(taken.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+        docs.withColumn("_row", row_key("doc_id", "source", "text"))
+        .join(groups, "_row")
+        .withColumn("_taken", F.col("_epochs") * F.col("_size") + extra)
+        .where("_taken > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
         .withColumn("_text", F.when(cut, F.array_join(F.slice(pieces, F.lit(1), rest.cast("int")), "")).otherwise(F.col("text")))
     )
