@@ -35,3 +35,13 @@ def corrected(level: Column, humidity: Column) -> Column:
     share = level / 20 - 1.5
     slope = F.when(level < 30, F.lit(low)).when(level < 50, high * share + low * (1 - share)).otherwise(F.lit(high))
     return slope * level - wet * humidity + base
+
+
+def corrected_everywhere(level: Column, humidity: Column) -> Column:
+    """:func:`corrected` with the blend from 210 to 260 and the curve above; the raw level without finite humidity; never below 0."""
+    share = level / 50 - 21 / 5
+    blend = (0.69 * share + 0.786 * (1 - share)) * level - 0.0862 * humidity * (1 - share) + 2.966 * share + 5.75 * (1 - share)
+    full = F.when(level < 210, corrected(level, humidity)).when(level < 260, blend).otherwise(2.966 + 0.69 * level + 8.84e-4 * level * level)
+    dry = humidity.isNull() | F.isnan(humidity) | (F.abs(humidity) == float("inf"))
+    value = F.when(level == 0, F.lit(0.0)).when(dry, level).otherwise(full)
+    return F.when(level.isNotNull() & ~F.isnan(level), F.greatest(value, F.lit(0.0)))

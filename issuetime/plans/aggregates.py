@@ -129,6 +129,13 @@ def corrected_level(spark, sf_dir):
     return readings(spark, sf_dir).where("v < 210").select("obs_id", F.round(corrected(F.col("v"), 40 + F.col("k") / 2), 5).alias("c"))
 
 
+@query("f10_all_levels")
+def all_corrected_levels(spark, sf_dir):
+    from issuetime.functions.clock import corrected_everywhere
+
+    return readings(spark, sf_dir).select("obs_id", F.round(corrected_everywhere(F.col("v"), 40 + F.col("k") / 2), 5).alias("c"))
+
+
 @query("f12_geo_offset", f" SELECT event_id, round((lon - 101.5) * 111.32 * cos(radians(3.0)), 5) AS east, round((lat - 3.0) * 110.57, 5) AS north FROM (SELECT event_id, 3.0::DOUBLE + (event_id % 200 - 100) / 100.0::DOUBLE AS lat, 101.5::DOUBLE + ((event_id * 7) % 200 - 100) / 100.0::DOUBLE AS lon FROM events)")
 def geo_offset(spark, sf_dir):
     e = F.col("event_id")

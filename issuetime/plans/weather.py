@@ -21,13 +21,23 @@ def touched(spark, sf_dir):
 
 @query("s03_exploded_runs", " SELECT run_id, h, valid, speed, direction, temp, precip, pprob FROM run_hours WHERE source IN ('1-URGENT', '5-LOW') AND h % 6 = 0")
 def exploded_runs(spark, sf_dir):
-    return run_hours(spark, sf_dir).where(F.col("source").isin("1-URGENT", "5-LOW") & (F.col("h") % 6 == 0)).select("run_id", "h", "valid", "speed", "direction", "temp", "precip", "pprob")
+    return all_run_hours(spark, sf_dir).where("h % 6 = 0")
+
+
+@query("s03_all_run_hours")
+def all_run_hours(spark, sf_dir):
+    return run_hours(spark, sf_dir).where(F.col("source").isin("1-URGENT", "5-LOW")).select("run_id", "h", "valid", "speed", "direction", "temp", "precip", "pprob")
 
 
 @query("p03_sanitised_points", " SELECT run_id, h, CASE WHEN pprob - 5 BETWEEN 0 AND 90 THEN pprob - 5 END AS pprob, CASE WHEN precip - 0.5 >= 0 THEN round(precip - 0.5, 6) END AS precip FROM run_hours WHERE h < 4")
 def sanitised_points(spark, sf_dir):
+    return all_points(spark, sf_dir).where("h < 4")
+
+
+@query("p03_all_points")
+def all_points(spark, sf_dir):
     p, rain = F.col("pprob") - 5, F.col("precip") - 0.5
-    return run_hours(spark, sf_dir).where("h < 4").select("run_id", "h", F.when(p.between(0, 90), p).alias("pprob"), r6(F.when(rain >= 0, rain)).alias("precip"))
+    return run_hours(spark, sf_dir).select("run_id", "h", F.when(p.between(0, 90), p).alias("pprob"), r6(F.when(rain >= 0, rain)).alias("precip"))
 
 
 @query("p05_age_gate", f" SELECT run_id, CASE WHEN fetched % {6 * HOUR} <= {2 * HOUR} THEN fetched END AS usable FROM runs")
@@ -90,8 +100,13 @@ def morning_block(spark, sf_dir):
 
 @query("f11_wind_vectors", " SELECT run_id, h, round(-speed * sin(radians(direction)), 6) + 0.0 AS u, round(-speed * cos(radians(direction)), 6) + 0.0 AS v, ['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW'][(floor(direction / 22.5 + 0.5)::BIGINT % 16 + 1)] AS compass FROM run_hours WHERE h < 3")
 def wind_vectors(spark, sf_dir):
+    return all_vectors(spark, sf_dir).where("h < 3")
+
+
+@query("f11_all_vectors")
+def all_vectors(spark, sf_dir):
     u, v = wx.wind_uv(F.col("speed"), F.col("direction"))
-    return run_hours(spark, sf_dir).where("h < 3").select("run_id", "h", (r6(u) + 0.0).alias("u"), (r6(v) + 0.0).alias("v"), wx.compass(F.col("direction")).alias("compass"))
+    return run_hours(spark, sf_dir).select("run_id", "h", (r6(u) + 0.0).alias("u"), (r6(v) + 0.0).alias("v"), wx.compass(F.col("direction")).alias("compass"))
 
 
 @query("f13_interpolated_point", f""", t AS (SELECT run_id, fetched + {90 * MINUTE} AS t FROM runs)
@@ -116,10 +131,34 @@ def wet_timing(spark, sf_dir):
     return out.select("run_id", status.alias("status"), F.col("first_wet").cast("double").alias("first_wet"), F.col("dry_again").cast("double").alias("dry_again"))
 
 
+@query("e14_whole_runs")
+def whole_wet_timing(spark, sf_dir):
+    """First and last wet hour of the run's first day; the end of the last wet stretch is sought up to the run's last hour."""
+    run = Window.partitionBy("run_id")
+    x = run_hours(spark, sf_dir).select("run_id", "h", (F.col("precip") > 0).alias("wet"))
+    inside = F.col("h") <= 24
+    x = x.withColumn("last", F.max(F.when(inside & F.col("wet"), F.col("h"))).over(run))
+    later = F.min_by(F.struct(F.col("wet").isNull().alias("gap"), "h"), F.when((F.col("h") > F.col("last")) & ~F.coalesce("wet", F.lit(False)), F.col("h")))
+    out = x.groupBy("run_id").agg(F.min(F.when(inside & F.col("wet"), F.col("h"))).alias("first_wet"), F.bool_or(inside & F.col("wet").isNull()).alias("gaps"), later.alias("later"))
+    status = F.when(F.col("gaps"), "missing").when(F.col("first_wet").isNull(), "dry").when(F.col("later").isNull(), "open").when(F.col("later.gap"), "end missing").otherwise("ends")
+    known = ~F.col("gaps") & ~F.col("later.gap")
+    return out.select("run_id", status.alias("status"), F.col("first_wet").cast("double").alias("first_wet"), F.when(known, F.col("later.h")).cast("double").alias("dry_again"))
+
+
 @query("w16_revision_delta", """, r AS (SELECT source, valid, run_id, temp, lag(temp) OVER (PARTITION BY source, valid ORDER BY fetched, run_id) AS before FROM run_hours WHERE h < 6 AND temp IS NOT NULL) SELECT source, valid, run_id, round(temp - before, 6) AS revision FROM r WHERE before IS NOT NULL""")
 def revision_delta(spark, sf_dir):
+    return revisions(run_hours(spark, sf_dir).where("h < 6"))
+
+
+@query("w16_all_revisions")
+def all_revisions(spark, sf_dir):
+    return revisions(run_hours(spark, sf_dir))
+
+
+def revisions(hours):
+    """What each run changes against the run before it that has the same hour."""
     order = Window.partitionBy("source", "valid").orderBy("fetched", "run_id")
-    r = run_hours(spark, sf_dir).where("h < 6 and temp is not null").withColumn("before", F.lag("temp").over(order))
+    r = hours.where("temp is not null").withColumn("before", F.lag("temp").over(order))
     return r.where("before is not null").select("source", "valid", "run_id", r6(F.col("temp") - F.col("before")).alias("revision"))
 
 
