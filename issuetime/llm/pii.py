@@ -2,7 +2,7 @@
 
 Base kinds (email, ip, card, phone) follow fixed patterns and checks and are always kept; the score only says how sure they
 are. Further kinds (iban, ssn) count only if their score reaches a threshold: an IBAN by its mod-97 checksum, a social
-security number by its form and a context word close by. A further span never overlaps a base span.
+security number by its form and a context word close by. Further spans may overlap base spans, which stay as they are.
 """
 
 from __future__ import annotations
@@ -24,6 +24,11 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_LENGTHS = {k: int(n) for n, ks in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,CR,HR,LI,LV 22:BG,BH,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV "
+    "29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+).split()) for k in ks.split(",")}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4}
 _CONTEXT = {
@@ -63,6 +68,22 @@ def _emails(text: str):
         at = text.find("@", max(after, at + 1))
 
 
+def _ibans(text: str):
+    """Confirmed IBANs. The pattern may take in words or numbers behind one, so it may also end at a space: at its country's fixed length, or the longest that fits."""
+    found = _IBAN.search(text)
+    while found:
+        a, b = found.span()
+        ends = [b, *(a + i for i in range(b - a - 1, 0, -1) if text[a + i] == " ")]
+        sizes = {e: e - a - text.count(" ", a, e) for e in ends}
+        fixed = _LENGTHS.get(text[a : a + 2])
+        ends = [e for e in ends if e == b or (sizes[e] == fixed if fixed else sizes[e] >= 15)]
+        ends.sort(key=lambda e: (sizes[e] != fixed, -e))
+        end = next((e for e in ends if mod97(text[a:e].replace(" ", ""))), None)
+        if end:
+            yield a, end
+        found = _IBAN.search(text, end or a + 1)
+
+
 def _long_number(text: str) -> bool:
     digits = sum(map(text.count, "0123456789"))
     return 13 <= digits <= 19 and luhn("".join(c for c in text if c.isdigit()))
@@ -88,9 +109,8 @@ def score(text: str, kind: str, start: int, end: int) -> float:
 def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     """All spans of a text with their scores, by kind as listed, then start."""
     base = base_spans(text)
-    more = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    more = [("iban", *x) for x in _ibans(text)]
     more += [("ssn", *m.span()) for m in _SSN.finditer(text)]
-    more = [x for x in more if not any(a < x[2] and x[1] < b for _, a, b in base)]
     scored = [(k, a, b, score(text, k, a, b)) for k, a, b in [*base, *more]]
     return [x for x in scored if x[0] in BASE_KINDS or x[3] >= _THRESHOLD]
 
