@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from typing import NamedTuple
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +14,6 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def row_key(*columns: str) -> Column:
-    """SHA-256 (binary) over all of the columns, with their lengths, so that only rows equal in each share it; null differs from any text."""
-    text = [F.col(c).cast("string") for c in columns]
-    return F.unhex(F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]).cast("binary"), 256))
-
-
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -33,6 +28,29 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid4().hex}"
 
 
+class OwnRows(NamedTuple):
+    """Rows under private names: the caller's columns as ``_own_<i>``, ``_row`` (a number of each row, fixed once written), and more."""
+
+    table: DataFrame
+    names: dict[str, str]
+
+    def those(self, rows: DataFrame) -> DataFrame:
+        """The caller's rows, under their own names, whose ``_row`` is in ``rows``: the numbers make the hash tables, the wide rows stream
+        past them unsorted."""
+        return self.named(self.table.join(rows.select("_row").hint("shuffle_hash"), "_row", "left_semi"))
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*(F.col(v).alias(k) for k, v in self.names.items()))
+
+
+def own_rows(docs: DataFrame, label: str, **more: Column) -> OwnRows:
+    """``docs`` written once under private names, with the columns ``more`` taken of them, so that no column of the caller clashes with
+    those of an operator and decisions are joined back to exactly the row they were made for."""
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    columns = [F.col(f"`{c}`").alias(v) for c, v in names.items()]
+    return OwnRows(stored(docs.select(*columns, F.monotonically_increasing_id().alias("_row"), *(c.alias(k) for k, c in more.items())), label), names)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read again: its lineage ends there, and lost executors lose nothing."""
     path = shared_dir(df.sparkSession, label)

@@ -24,7 +24,7 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from issuetime.llm.common import row_key, stored
+from issuetime.llm.common import own_rows, stored
 from issuetime.llm.components import components
 from issuetime.llm.shingles import Shingler, mix
 from issuetime.llm.tokens import blocks
@@ -32,33 +32,31 @@ from issuetime.llm.tokens import blocks
 K, T, STAR_ROUNDS = 32, 12, 2
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``row``, the key of both: rows without doc_id, and different texts under one id, are told apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row"), "text")
-
-
 def _set_hash(hashes) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, row, n_shingles, set_hash (of the whole set) and signature (array of ``K`` int, null without shingles) of every row."""
+def sketches(keyed: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, row, n_shingles, set_hash (of the whole set) and signature (array of ``K`` int, null without shingles) of every row.
+
+    ``keyed``: doc_id, row (a number of its own for each row), text.
+    """
 
     def sketch(batches):
         import numpy as np
         import pyarrow as pa
 
         shingler, factor = Shingler(words), mix(np.arange(101, 101 + K, dtype=np.uint64)) | np.uint64(1)
-        for ids, keyed, texts in blocks(batches, ("doc_id", "row", "text")):
+        for ids, rows, texts in blocks(batches, ("doc_id", "row", "text")):
             n, keys, signatures = [], [], []
             for hashes in shingler.sets(texts):
                 n.append(len(hashes))
                 keys.append(_set_hash(hashes))
                 low = [np.min(hashes[i : i + 20_000, None] * factor, axis=0) for i in range(0, len(hashes), 20_000)]
                 signatures.append((np.min(low, axis=0) >> np.uint64(32)).astype(np.uint32).view(np.int32) if low else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "row": pa.array(keyed, pa.binary()), "n_shingles": pa.array(n, pa.int64()), "set_hash": pa.array(keys, pa.binary()), "signature": pa.array(signatures, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "row": pa.array(rows, pa.int64()), "n_shingles": pa.array(n, pa.int64()), "set_hash": pa.array(keys, pa.binary()), "signature": pa.array(signatures, pa.list_(pa.int32()))})
 
-    return _keyed(docs).mapInArrow(sketch, "doc_id bigint, row binary, n_shingles bigint, set_hash binary, signature array<int>")
+    return keyed.select("doc_id", "row", "text").mapInArrow(sketch, "doc_id bigint, row bigint, n_shingles bigint, set_hash binary, signature array<int>")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -71,18 +69,18 @@ def postings(classes: DataFrame) -> DataFrame:
     return mine.where(F.size("mine") >= T).select("id", F.explode(F.slice("mine", F.lit(1), F.size("mine") - F.lit(T - 1))).alias("x")).select("x.token", "id")
 
 
-def full_sets(docs: DataFrame, posted: DataFrame, words: int = 5) -> DataFrame:
+def full_sets(keyed: DataFrame, posted: DataFrame, words: int = 5) -> DataFrame:
     """id and whole sorted shingle set (binary, 8 bytes each) of the posted classes' representatives."""
 
     def sets(batches):
         import pyarrow as pa
 
         shingler = Shingler(words)
-        for ids, wanted, texts in blocks(batches, ("id", "set_hash", "text")):
-            rows = [(i, h.tobytes()) for i, w, h in zip(ids, wanted, shingler.sets(texts), strict=True) if _set_hash(h) == w]
-            yield pa.RecordBatch.from_pydict({"id": pa.array([r[0] for r in rows], pa.int64()), "shingles": pa.array([r[1] for r in rows], pa.binary())})
+        for ids, texts in blocks(batches, ("id", "text")):
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "shingles": pa.array([h.tobytes() for h in shingler.sets(texts)], pa.binary())})
 
-    return _keyed(docs).select("row", "text").join(posted, "row").select("id", "set_hash", "text").mapInArrow(sets, "id bigint, shingles binary")
+    # the posted rows' numbers make the hash tables, texts stream past them unsorted
+    return keyed.select("row", "text").join(posted.select("id", "row").hint("shuffle_hash"), "row").select("id", "text").mapInArrow(sets, "id bigint, shingles binary")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -143,11 +141,11 @@ def rare_pairs(open_ids: DataFrame, sets: DataFrame) -> DataFrame:
     return small.join(large, "shingle").where(f"{fits} and {enough}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def class_labels(docs: DataFrame, classes: DataFrame, words: int = 5) -> DataFrame:
+def class_labels(keyed: DataFrame, classes: DataFrame, words: int = 5) -> DataFrame:
     """id, label of the classes that links connect."""
     lists = stored(postings(classes), "postings")
-    posted = lists.select("id").distinct().join(classes.select("id", "set_hash", "row"), "id")
-    sets = stored(full_sets(docs, posted, words), "sets")
+    posted = lists.select("id").distinct().join(classes.select("id", "row"), "id")
+    sets = stored(full_sets(keyed, posted, words), "sets")
     links, labels, labelled = None, None, lists.withColumn("label", F.col("id"))
     for turn in range(STAR_ROUNDS + 1):
         several = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
@@ -169,14 +167,14 @@ def class_labels(docs: DataFrame, classes: DataFrame, words: int = 5) -> DataFra
     return labels if labels is not None else classes.select("id", F.col("id").alias("label")).where("false")
 
 
-def _decided(docs: DataFrame, words: int) -> DataFrame:
+def _decided(keyed: DataFrame, words: int) -> DataFrame:
     """doc_id, row, n_shingles and ``best`` of every row: the component's first row (no_id, doc_id, row), null without shingles."""
-    rows = stored(sketches(docs, words), "sketches")
+    rows = stored(sketches(keyed, words), "sketches")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min(place).alias("own"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     # classes are nodes by a number of their own, as several may hold one doc_id or none
     classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "set_hash", "own", F.col("own.row").alias("row"), "n_shingles", "signature"), "classes")
-    labels = class_labels(docs, classes, words)
+    labels = class_labels(keyed, classes, words)
     linked = classes.select("id", "own").join(labels, "id")
     best = linked.groupBy("label").agg(F.min("own").alias("best"))
     of_class = classes.select("id", "set_hash", "own").join(linked.join(best, "label").select("id", "best"), "id", "left")
@@ -194,16 +192,18 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """
     none, same_row = F.col("best").isNull(), F.col("row") == F.col("best.row")
     kept = none | F.when(F.col("best.no_id"), same_row).otherwise(F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
-    return _decided(docs, words).select("doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"), kept.alias("kept"))
+    keyed = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row")), "texts")
+    return _decided(keyed, words).select("doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"), kept.alias("kept"))
 
 
 def kept_documents(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, all without words, and of repeated rows of an id one.
+    """The rows of ``docs`` that stay, with their own columns: of each component the row with the smallest doc_id, and all rows without words.
 
-    Decisions meet their rows on doc_id and text together.
+    Rows are decided one by one, also without doc_id, under a shared doc_id or repeated; any columns are carried, whatever
+    their names. Null, empty and blank texts have no words and stay. An empty table gives no rows.
     """
-    stay = _decided(docs, words).where(F.col("best").isNull() | (F.col("row") == F.col("best.row"))).select(F.col("row").alias("_stay")).distinct()
-    rows = docs.withColumn("_row", row_key("doc_id", "text"))
-    rows = rows.join(stay, F.col("_row") == F.col("_stay"), "left_semi")
-    same = Window.partitionBy("_row").orderBy(F.lit(1))
-    return rows.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)
+    own = own_rows(docs, "near-rows")
+    text, doc_id = own.names["text"], own.names["doc_id"]
+    keyed = own.table.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("_row").alias("row"), F.col(text).alias("text"))
+    stay = _decided(keyed, words).where(F.col("best").isNull() | (F.col("row") == F.col("best.row")))
+    return own.those(stay.select(F.col("row").alias("_row")))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from issuetime.llm.common import SPACE, WORD, row_key, stored
+from issuetime.llm.common import SPACE, WORD, own_rows, stored
 
 
 def word_count(text: Column) -> Column:
@@ -28,6 +28,7 @@ def source_targets(totals: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap
     """Target of each source: ``share`` of all words by weight, at most ``cap`` times the source, the excess reshared.
 
     ``totals``: one row per source (source, source_size). Weights repeat over the sources by code point, null last.
+    The sources are ordered in one task: they are names, a few million of them at most, never documents.
     Filling by weight with caps ends where every uncapped source has the same words per weight. In ascending order of
     cap / weight the capped sources come first, so that one pass of running sums finds them. Returns source, source_size, target.
     """
@@ -60,41 +61,31 @@ def mix_sources(
     Columns read: doc_id, text, source; others are ignored. Returns doc_id, source, size, source_size, target, taken.
     The document at a source's cut gives part of its words, so that the source's sum is floor(target).
     ``digits`` sets 16**digits key buckets per source. Null or blank texts have size 0 and give nothing; a null source is a
-    source of its own; repeated rows are separate documents; ties of the key fall to doc_id; an empty table gives no rows.
+    source of its own; repeated rows are separate documents; ties of the key fall to doc_id, then size and a hash of the text, so that
+    reruns cut the same document; an empty table gives no rows.
     """
-    return _placed(docs, weights, share, cap, seed, digits).select("doc_id", "source", "size", "source_size", "target", "taken")
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"))
+    return _placed(stored(rows, "sizes"), weights, share, cap, seed, digits).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-def _placed(docs: DataFrame, weights, share: float, cap: float, seed: str, digits: int, keyed: bool = False) -> DataFrame:
-    """:func:`mix_sources`, with ``epochs`` (whole passes of the source) and, if ``keyed``, ``_row``: the key of doc_id, source and text."""
+def _placed(sized: DataFrame, weights, share: float, cap: float, seed: str, digits: int) -> DataFrame:
+    """``sized`` (stored: doc_id, source, size, _tie) with source_size, target and taken."""
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _name(F.col("source")).alias("_source"), key.alias("_key"), *([row_key("doc_id", "source", "text").alias("_row")] if keyed else []))
-    # texts are read once; sums and places are taken from the narrow rows
-    sized = stored(sized.withColumn("_bucket", F.substring("_key", 1, digits)), "sizes")
+    sized = sized.withColumn("_source", _name(F.col("source"))).withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, digits))
     buckets = sized.groupBy("_source", "_bucket").agg(F.first("source").alias("source"), F.sum("size").alias("_words"))
     targets = source_targets(buckets.groupBy("_source").agg(F.first("source").alias("source"), F.sum("_words").alias("source_size")), weights, share, cap)
     earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     cuts = buckets.select("_source", "_bucket", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_bucket_start")).join(
         targets.select(_name(F.col("source")).alias("_source"), "source_size", "target"), "_source"
     )
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", *(["_row"] if keyed else [])).rowsBetween(Window.unboundedPreceding, -1)
-    budget = F.floor("target").cast("long")
+    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
+    rest = F.floor("target").cast("long") - F.col("_epochs") * F.col("source_size") - F.col("_bucket_start") - F.col("_within")
     return (
         sized.withColumn("_within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(cuts, ["_source", "_bucket"])
-        .withColumn("_epochs", epochs)
-        .withColumn("_rest", budget - F.col("_epochs") * F.col("source_size") - F.col("_bucket_start") - F.col("_within"))
-        .select(
-            "doc_id",
-            "source",
-            "size",
-            "source_size",
-            F.col("target").cast("double").alias("target"),
-            (F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least("size", "_rest"))).cast("long").alias("taken"),
-            F.col("_epochs").cast("long").alias("epochs"),
-            *(["_row"] if keyed else []),
-        )
+        .join(cuts.withColumn("_epochs", epochs), ["_source", "_bucket"])
+        .withColumn("target", F.col("target").cast("double"))
+        .withColumn("taken", (F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long"))
     )
 
 
@@ -103,23 +94,22 @@ def mixed_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap:
 
     A document with taken = q * size + r comes q times whole and, if r > 0, once more with its first r words (their spacing
     kept; n_chars, if there, counts what is left). At most one document of a source is cut. Documents without words have
-    nothing to give and are left out. Decisions meet their rows on doc_id, source and text together; rows equal in all three
-    are numbered, and share what their group is given beyond whole epochs in that order.
+    nothing to give and are left out; an empty table gives no rows. Rows are decided one by one, also without doc_id, under a
+    shared doc_id or repeated, and columns of any name are carried.
     """
-    groups = _placed(docs, weights, share, cap, seed, digits, keyed=True).where("size > 0").groupBy("_row")
-    groups = groups.agg(F.first("size").alias("_size"), F.first("epochs").alias("_epochs"), F.sum(F.col("taken") - F.col("epochs") * F.col("size")).alias("_extra")).where("_epochs > 0 or _extra > 0")
-    same = Window.partitionBy("_row").orderBy(F.lit(1))
-    extra = F.greatest(F.lit(0), F.least("_size", F.col("_extra") - (F.row_number().over(same) - 1) * F.col("_size")))
-    rest = F.col("_taken") % F.col("_size")
-    pieces = F.split(F.col("text"), f"(?<=[^\\x20\\x09-\\x0D])(?={SPACE})")
-    cut = (F.col("_copy") > F.col("_taken") / F.col("_size")) & (rest > 0)
+    own = own_rows(docs, "mix-rows", _size=word_count(F.col("text")), _hash=F.xxhash64("text"))
+    doc_id, source, text = (F.col(own.names[c]) for c in ("doc_id", "source", "text"))
+    sized = own.table.select(doc_id.alias("doc_id"), source.alias("source"), F.col("_size").alias("size"), F.col("_hash").alias("_tie"), F.col("_row").alias("_number"))
+    taken = _placed(sized, weights, share, cap, seed, digits).where("taken > 0").select(F.col("_number").alias("_row"), F.col("taken").alias("_taken"))
+    whole, rest = F.expr("_taken div _size"), F.col("_taken") % F.col("_size")
+    pieces = F.split(text, f"(?<=[^\\x20\\x09-\\x0D])(?={SPACE})")
+    cut = (F.col("_copy") > whole) & (rest > 0)
     out = (
-        docs.withColumn("_row", row_key("doc_id", "source", "text"))
-        .join(groups, "_row")
-        .withColumn("_taken", F.col("_epochs") * F.col("_size") + extra)
-        .where("_taken > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
-        .withColumn("_text", F.when(cut, F.array_join(F.slice(pieces, F.lit(1), rest.cast("int")), "")).otherwise(F.col("text")))
+        own.table.join(taken.hint("shuffle_hash"), "_row")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), (whole + (rest > 0).cast("int")).cast("int"))))
+        .withColumn(own.names["text"], F.when(cut, F.array_join(F.slice(pieces, F.lit(1), rest.cast("int")), "")).otherwise(text))
     )
-    texts = {"text": F.col("_text").alias("text"), "n_chars": F.when(cut, F.length("_text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes).get("n_chars", "long")).alias("n_chars")} if "n_chars" in docs.columns else {"text": F.col("_text").alias("text")}
-    return out.select(*[texts.get(c, F.col(c)) for c in docs.columns])
+    if "n_chars" in own.names:
+        n = own.names["n_chars"]
+        out = out.withColumn(n, F.when(cut, F.length(own.names["text"]).cast(dict(own.table.dtypes)[n])).otherwise(F.col(n)))
+    return own.named(out)

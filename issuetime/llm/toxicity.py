@@ -1,6 +1,6 @@
 """Toxicity by a classifier chain of linear models.
 
-The categories are predicted one after another: each model sees a text's features and the probabilities of the categories before
+The categories are predicted one after another, low quality before toxic, which is all that the labels tell: each model sees a text's features and the probabilities of the categories before
 it. While training, those probabilities are out of fold, from models that have not seen the row, so that a later model learns from
 estimates as good as it gets when scoring. Models are fitted on a bounded sample of labelled rows; every document is scored.
 
@@ -39,7 +39,7 @@ def word_features(word: str) -> list[str]:
 class Numbering:
     """Numbers of a text's chosen features, with those of each word kept."""
 
-    def __init__(self, numbers: dict[str, int], limit: int = 300_000) -> None:
+    def __init__(self, numbers: dict[str, int], limit: int = 100_000) -> None:
         self.numbers, self.limit, self.known = numbers, limit, {}
 
     def of(self, text: str | None) -> tuple[list[int], float]:
@@ -62,8 +62,8 @@ class Chain(NamedTuple):
     models: list
     categories: tuple
 
-    def probabilities(self, docs: DataFrame, keep: tuple = ("doc_id",)) -> DataFrame:
-        """The columns ``keep`` of ``docs`` with p_<category> of every category; needs text; 0 without models."""
+    def probabilities(self, docs: DataFrame, keep: tuple = ("doc_id",), text_col: str = "text") -> DataFrame:
+        """The columns ``keep`` of ``docs`` with p_<category> of every category; 0 without models."""
         numbers, models, types = self.numbers, self.models, dict(docs.dtypes)
         names = [f"p_{c}" for c in self.categories]
         if not models:
@@ -76,7 +76,7 @@ class Chain(NamedTuple):
             numbering, weights = Numbering(numbers), np.array([m[0] for m in models])
             for batch in batches:
                 out = [[] for _ in models]
-                for (texts,) in blocks([batch], ("text",)):
+                for (texts,) in blocks([batch], (text_col,), text_col):
                     for text in texts:
                         ids, weight = numbering.of(text)
                         sums, before = weights[:, ids].sum(axis=1) * weight, []
@@ -87,7 +87,7 @@ class Chain(NamedTuple):
                 columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.float64()) for c in out)], names=[*keep, *names])
 
-        columns = list(dict.fromkeys([*keep, "text"]))
+        columns = list(dict.fromkeys([*keep, text_col]))
         return docs.select(*columns).mapInArrow(scored, ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"{n} double" for n in names)]))
 
 
@@ -204,8 +204,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, t
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with their own columns, that the chain does not reject."""
+    """The rows of ``docs``, with their own columns whatever their names, that the chain does not reject.
+
+    Null and empty texts have the models' base rates, far below the threshold, and stay; so does every row without labels to
+    learn from. Repeated rows and rows without doc_id are scored each; an empty table gives no rows.
+    """
     chain = fit_chain(labelled(docs, labels, train_rows))
     inner = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
-    scored = chain.probabilities(docs.withColumnsRenamed(inner).withColumn("text", F.col(inner["text"])), tuple(inner.values()))
+    renamed = docs.select(*(F.col(f"`{k}`").alias(v) for k, v in inner.items()))
+    scored = chain.probabilities(renamed, tuple(inner.values()), inner["text"])
     return scored.where(F.col("p_toxic") < threshold).select(*(F.col(v).alias(k) for k, v in inner.items()))

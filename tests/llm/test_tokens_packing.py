@@ -19,7 +19,7 @@ def tokenizer():
 
 @pytest.fixture(scope="module")
 def encoder():
-    return PieceEncoder(tokenizer_path(), limit=50)
+    return PieceEncoder(tokenizer_path(), limit=2000)
 
 
 def expected(docs, tokenizer, end):
