@@ -1,6 +1,7 @@
 """A corpus from ``documents``: toxic texts out, exact and near copies out, sources mixed to their targets, packed sequences.
 
 Every stage is one operator of ``issuetime.llm`` with the parameters of its query, and works on all that the stage before it kept.
+Rows may hold nulls in any column and columns of any further name; an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -16,22 +17,27 @@ ORACLE_SQL = None
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the chain does not call toxic; null and empty texts stay, every row is judged by itself."""
     return toxicity.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.kept_rows(docs, exact_dedup.dedup_documents(docs))
+    """Of texts equal but for white space the longest row, then the smallest doc_id; null and blank texts are one such text."""
+    return exact_dedup.kept_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, that with the smallest doc_id, and every row without words."""
     return minhash.kept_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row as often as its source's target takes it; rows without words, which no target takes, end here."""
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of every row that is left, repeats included."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
