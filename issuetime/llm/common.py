@@ -54,5 +54,5 @@ def own_rows(docs: DataFrame, label: str, **more: Column) -> OwnRows:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read again: its lineage ends there, and lost executors lose nothing."""
     path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -62,7 +62,25 @@ def test_held_out_texts_gain_from_contexts(spark):
 
 def test_odd_rows(odd_docs, no_docs):
     got = lm.score_texts(odd_docs).collect()
-    want, _, _ = brute([(r["doc_id"], r["text"]) for r in odd_docs.collect()], 20.0, 2)
+    want, _, _ = brute([(r["doc_id"], r["text"]) for r in odd_docs.collect()], 20.0, lm.ORDER)
     for x, y in zip(sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got), want, strict=True):
         assert x[:4] == y[:4] and x[4:] == pytest.approx(y[4:], rel=1e-9)
     assert lm.score_texts(no_docs).count() == 0
+
+
+def test_walks_in_stretches_and_failure_arcs(spark, monkeypatch):
+    """Long texts are walked in stretches from the state that their words lead to; backoff takes several failure arcs."""
+    text = " ".join(f"w{i * i % 23}" for i in range(1500))
+    rows = [(i, text[i:] if i % 5 else f"w{i} new{i} w1 w4 w9 w{i}") for i in range(40)] + [(40, "w1 w1 unseen w4 w9 w16")]
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string"), order=4).collect()}
+    want, _, _ = brute(rows, 20.0, 4)
+    assert got == {int(w[0]): pytest.approx(w[5], rel=1e-9) for w in want}
+
+
+def test_very_long_words_and_texts():
+    from issuetime.llm.shingles import WordHasher
+
+    texts = ["x" * 3000 + " a " + "é" * 900, "", " b\tB ", "a " * 500, None, "tail"]
+    whole, parted = WordHasher().words(texts), WordHasher(part=64).words(texts)
+    assert whole[0].tolist() == parted[0].tolist() and whole[1].tolist() == parted[1].tolist()
+    assert whole[1].tolist() == [0, 3, 3, 5, 505, 505, 506] and whole[0][3] == whole[0][4]
