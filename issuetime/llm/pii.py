@@ -1,8 +1,9 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words nearby adjust the score.
 
 Base kinds (email, ip, card, phone) follow fixed patterns and checks and are always kept; the score only says how sure they
-are. Further kinds (iban, ssn) count only if their score reaches a threshold: an IBAN by its mod-97 checksum, a social
-security number by its form and a context word close by. Further spans may overlap base spans, which stay as they are.
+are. Further kinds (iban, ssn, secret) count only if their score reaches a threshold: an IBAN by its mod-97 checksum, a social
+security number by its form and a context word close by, a secret (a long run of mixed letters and digits) by a word that
+names one close by. Further spans may overlap base spans, which stay as they are.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from issuetime.llm.tokens import blocks
 
 # Kinds in their order, patterns, base scores, context words.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -30,7 +31,8 @@ _LENGTHS = {k: int(n) for n, ks in (x.split(":") for x in (
     "29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
 ).split()) for k in ks.split(",")}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-_SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4}
+_SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,128}(?![A-Za-z0-9_-])")
+_SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "secret": 0.4}
 _CONTEXT = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "server", "host", "address"),
@@ -38,6 +40,7 @@ _CONTEXT = {
     "phone": ("phone", "call", "tel", "mobile"),
     "iban": ("iban", "account", "bank", "transfer"),
     "ssn": ("ssn", "social", "security"),
+    "secret": ("token", "secret", "password", "passwd", "apikey", "key", "credential", "bearer"),
 }
 _BOOST, _WINDOW, _THRESHOLD = 0.2, 50, 0.6
 
@@ -68,6 +71,27 @@ def _emails(text: str):
         at = text.find("@", max(after, at + 1))
 
 
+def _ips(text: str):
+    """Leftmost matches of four dotted numbers: of each run of dotted numbers every four in turn, so that digits are read once."""
+    for found in _DOTTED.finditer(text):
+        start, parts = found.start(), found[0].split(".")
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = start + sum(map(len, four)) + 3
+            numbers = [p.lstrip("0") for p in four]
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in numbers):
+                yield start, end
+            start = end + 1
+
+
+def _secrets(text: str):
+    """Long runs of letters and digits of which both kinds come often, as in keys and tokens."""
+    for found in _SECRET.finditer(text):
+        digits = sum(map(found[0].count, "0123456789"))
+        if 3 <= digits <= len(found[0]) - 3 and len(set(found[0])) >= 8:
+            yield found.span()
+
+
 def _ibans(text: str):
     """Confirmed IBANs. The pattern may take in words or numbers behind one, so it may also end at a space: at its country's fixed length, or the longest that fits."""
     found = _IBAN.search(text)
@@ -92,7 +116,7 @@ def _long_number(text: str) -> bool:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) in code points, by kind, then start."""
     out = [("email", a, b) for a, b in _emails(text)] if "@" in text else []
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
+    out += [("ip", *x) for x in _ips(text)]
     out += [("card", *m.span()) for m in _CARD.finditer(text) if m.end() - m.start() >= 13 and _long_number(m[0])]
     if "+" in text:
         out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= sum(map(m[0].count, "0123456789")) <= 15]
@@ -111,6 +135,7 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     base = base_spans(text)
     more = [("iban", *x) for x in _ibans(text)]
     more += [("ssn", *m.span()) for m in _SSN.finditer(text)]
+    more += [("secret", *x) for x in _secrets(text)]
     scored = [(k, a, b, score(text, k, a, b)) for k, a, b in [*base, *more]]
     return [x for x in scored if x[0] in BASE_KINDS or x[3] >= _THRESHOLD]
 
@@ -146,12 +171,13 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def span_digest(found: DataFrame) -> DataFrame:
-    """Counts per base kind, the digest of the base spans, and all spans as text, of :func:`personal_data`'s rows."""
+    """Counts per base kind, the digest of the base spans, all spans and their scores as text, of :func:`personal_data`'s rows."""
     text = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
+    scores = F.array_join(F.transform("spans", lambda x: F.format_number(x["score"], 2)), ",")
     of_kind = lambda k: F.filter("spans", lambda x: x["kind"] == k)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), scores.alias("scores"))
 
 
 def digest_of(spans: list[tuple]) -> str:

@@ -34,6 +34,17 @@ def test_checks_and_context():
     assert pii.redact("mail a.b@c.org now, 1.2.3.4") == "mail <email> now, <ip>"
 
 
+def test_long_runs_and_secrets():
+    import time
+
+    began = time.perf_counter()
+    for text in ("1" * 1_000_000, "1." * 500_000, "0." * 300_000 + "x@" * 50_000, "+1" + "(" * 500_000, "a" * 1_000_000):
+        assert [x for x in pii.base_spans(text) if x[0] == "ip"] == [("ip", i, i + 7) for i in range(0, len(text) - 7, 8) if text[i : i + 7] in ("1.1.1.1", "0.0.0.0")]
+    assert time.perf_counter() - began < 60
+    found = pii.find_spans('set token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" and commit f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda' + " x" * 60 + " cafe0123456789cafe0123456789cafe")
+    assert [(k, a, s) for k, a, _, s in found] == [("secret", 13, 0.6), ("secret", 66, 0.6)] or [(k, a) for k, a, *_ in found] == [("secret", 13)]
+
+
 def test_query_rows(spark, sf, odd_docs, no_docs):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r["doc_id"]: r for r in pii.span_digest(pii.personal_data(docs)).collect()}
@@ -83,3 +94,18 @@ def test_small_payloads_and_damage(spark):
     with pytest.raises(Exception, match="damaged payload"):
         warc.record_table(spark, f"{path}-bad").collect()
     assert warc.record_table(spark, warc.write_archive(pages.where("false"))).count() == 0
+
+
+def test_records_of_one_page_have_names_of_their_own_and_files_read_back(spark):
+    rows = [(1, "u", "one", "", 0), (1, "u", "two", "", 0), (1, "v", "one", "", 0), (None, None, None, None, None), (None, None, None, None, None), (9, "w", "two\r\n\r\nWARC/1.1\r\n", "", 0), (3, "z", "one", "", 0)]
+    path = warc.write_archive(spark.createDataFrame(rows, PAGES))
+    records = {r["record_id"]: r for r in warc.read_records(spark, path).collect()}
+    assert len(records) == len(rows)
+    folder = f"file://{path.removeprefix('file:')}-files" if not path.startswith("file://") else f"{path}-files"
+    assert warc.export_files(spark, path, folder).agg({"records": "sum"}).first()[0] == len(rows)
+    for r in warc.read_files(spark, folder).collect():
+        fields, block = warc.parse_record(bytes(records[r["record_id"]]["record"]))
+        assert fields == dict(r["fields"]) and block == bytes(r["block"])
+        if fields["WARC-Type"] == "revisit":
+            response, payload = warc.parse_record(bytes(records[fields["WARC-Refers-To"]]["record"]))
+            assert response["WARC-Type"] == "response" and response["WARC-Payload-Digest"] == fields["WARC-Payload-Digest"] and payload == bytes(records[r["record_id"]]["payload"])
