@@ -5,13 +5,17 @@ Spark range-partitions the places, which gives every vector its rank on each cur
 ranks: blocks of consecutive vectors meet the queries whose window reaches them, the best of every block are kept, and the
 blocks of all curves are merged and ranked by the exact cosine.
 
-The window's width comes from the data: for a sample of queries of bounded size the true neighbours are found among all
-vectors, and the window is the distance in rank, on the nearest curve, that holds the wanted share of them. All vectors
-are indexed and all candidates in the windows are scored.
+The window's width and the number of curves come from the data: for a sample of queries of bounded size the true neighbours
+are found among all vectors, and for each number of curves (two at least) the window is the distance in rank, on the nearest of
+them, that holds the wanted share. The number that scores the fewest vectors is taken, so that data without structure, where
+windows hold most rows on any curve, cost about an exact scan and not one for each curve. All vectors are indexed and all
+candidates in the windows are scored.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,10 +63,15 @@ def curve_keys(vectors, curves: int, dimensions: int, bits: int):
 
 
 def _unit(raw):
-    """Vectors of a binary Arrow column as doubles, and their lengths."""
+    """Vectors of a binary Arrow column as doubles, and their lengths.
+
+    Each is divided by the power of two next to its largest component, which changes no digit of a cosine and keeps squares
+    from overflowing or vanishing.
+    """
     import numpy as np
 
     v = np.stack([np.frombuffer(x.as_buffer(), "<f8") for x in raw])
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
     return v, np.sqrt(np.einsum("ij,ij->i", v, v))
 
 
@@ -137,19 +146,27 @@ def positions(classes: DataFrame, curves: int, dimensions: int, bits: int, parti
     return ranked.join(bases, ["curve", "part"]).select("class", "curve", (F.col("base") + F.col("at")).alias("pos"))
 
 
-def _window(classes: DataFrame, queries: DataFrame, places: DataFrame, k: int, sample: int, share: float) -> int:
-    """The distance in rank, on the best curve, within which ``share`` of the sampled queries' true neighbours lie."""
+class Windows(NamedTuple):
+    """How many curves are searched, how far in rank to either side, and about how many vectors a query then scores."""
+
+    curves: int
+    reach: int
+    scored: int
+
+
+def _windows(classes: DataFrame, queries: DataFrame, places: DataFrame, k: int, sample: int, share: float, curves: int, block: int) -> Windows:
+    """The cheapest windows that hold ``share`` of the sampled queries' true neighbours."""
     rows = queries.orderBy(F.xxhash64("class")).limit(sample).select("class", "vector").collect()  # at most `sample` vectors
     if not rows:
-        return 0
+        return Windows(1, 1, 0)
     names, raw = [bytes(r[0]) for r in rows], [bytes(r[1]) for r in rows]
 
     def nearest(batches):
         import numpy as np
         import pyarrow as pa
 
-        q = np.stack([np.frombuffer(x, "<f8") for x in raw])
-        q /= np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]
+        q, own = _unit(pa.array(raw, pa.binary()))
+        q = q / own[:, None]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -162,8 +179,12 @@ def _window(classes: DataFrame, queries: DataFrame, places: DataFrame, k: int, s
     top = Window.partitionBy("query").orderBy(F.desc("score"), "class")
     true = classes.select("class", "vector").mapInArrow(nearest, "query binary, class binary, score double").withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
     own = places.select(F.col("class").alias("query"), "curve", F.col("pos").alias("own"))
-    apart = true.join(places, "class").join(own, ["query", "curve"]).groupBy("query", "class").agg(F.min(F.abs(F.col("pos") - F.col("own"))).alias("apart"))
-    return int(apart.agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY apart)")).first()[0] or 0)
+    away, tried = F.abs(F.col("pos") - F.col("own")), range(min(2, curves), curves + 1)
+    apart = true.join(places, "class").join(own, ["query", "curve"]).groupBy("query", "class").agg(*(F.min(F.when(F.col("curve") < c, away)).alias(f"apart{c}") for c in tried))
+    reaches = apart.agg(*(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY apart{c})") for c in tried)).first()
+    n = places.where("curve = 0").count()
+    plans = [Windows(c, max(r or 0, 1), c * min(n, 2 * max(r or 0, 1) + block)) for c, r in zip(tried, reaches, strict=True)]
+    return min(plans, key=lambda w: (w.scored, w.curves))
 
 
 def nearest_neighbours(
@@ -173,19 +194,23 @@ def nearest_neighbours(
     """The ``k`` nearest found of every row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score (cosine).
 
     Columns read: vec_id, embedding. Rows with a null id, or a vector that is null, empty, zero or not finite throughout, take no
-    part. Equal vectors are one class on the curves; of a class the k + 1 smallest ids can be in a result, so no more are
+    part, nor do vectors of another length than most (of equally common lengths the larger). Equal vectors are one class on the curves; of a class the k + 1 smallest ids can be in a result, so no more are
     carried. Ties go to the smaller vec_id; with fewer candidates all are returned; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = stored(usable(vectors), "vectors")
+    lengths = rows.groupBy(F.octet_length("vector").alias("bytes")).agg(F.count(F.lit(1)).alias("n"))  # one row per length
+    common = lengths.agg(F.max_by("bytes", F.struct("n", "bytes"))).first()[0] or 0
+    rows = rows.where(F.octet_length("vector") == common)
     first = Window.partitionBy("class").orderBy("vec_id")
     members = stored(rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1), "members")
     classes = members.where("n = 1").select("class", "vector", F.col("vec_id").alias("least_id"))
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "class")
     queries = asked.select("class").distinct().join(classes, "class")
     places = stored(positions(classes, curves, dimensions, bits, partitions), "positions")
-    reach = max(_window(classes, queries, places, k, sample, share), 1)
+    curves, reach, _ = _windows(classes, queries, places, k, sample, share, curves, block)
+    places = places.where(F.col("curve") < curves)
 
     blocks = places.withColumn("block", F.floor(F.col("pos") / block)).join(classes, "class").select("curve", "block", "class", "least_id", "vector")
     span = F.sequence(F.floor(F.greatest(F.lit(0), F.col("pos") - reach) / block), F.floor((F.col("pos") + reach) / block))

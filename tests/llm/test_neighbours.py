@@ -52,3 +52,23 @@ def test_copies_ties_and_unusable_vectors(spark):
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in v], abs=1e-12)
     assert nn.nearest_neighbours(table.where("vec_id < 3 and vec_id > 0 or vec_id = 50")).count() == 2
     assert nn.nearest_neighbours(table.where("false")).count() == 0
+
+
+def test_recall_of_queries_that_set_no_window(spark):
+    """The registered parameters over several blocks; most queries are not among those that the windows are measured on."""
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((400, 64))
+    x = np.concatenate([rng.standard_normal((6000, 64)), np.repeat(centres, 15, axis=0) + 0.6 * rng.standard_normal((6000, 64))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.permutation(x))], "vec_id bigint, embedding array<double>")
+    want = brute([(r["vec_id"], r["embedding"]) for r in table.collect()], every=10)
+    got = found(nn.nearest_neighbours(table, every=10))
+    assert len(want) == 1200 > 4 * nn.SAMPLE and set(got) == set(want)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * 5 * len(want)
+
+
+def test_huge_tiny_and_ragged_vectors(spark):
+    rows = [(0, [1e200, 0.0, 1e200]), (1, [1.0, 0.0, 1.0]), (2, [1e-300, 1e-300, 0.0]), (3, [1.0, 2.0]), (50, [0.0, 5e-324, 0.0]), (4, [-1.0, 0.0, 0.0])]
+    got = found(nn.nearest_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")))
+    assert [i for i, _ in got[0]] == [1, 2, 50, 4] and [s for _, s in got[0]] == pytest.approx([1.0, 0.5, 0.0, -(0.5**0.5)])
+    assert [i for i, _ in got[50]] == [2, 0, 1, 4] and got[50][0][1] == pytest.approx(0.5**0.5)
