@@ -24,7 +24,7 @@ from issuetime.llm.common import shared_dir, stored
 from issuetime.llm.shingles import WordHasher, mix
 from issuetime.llm.tokens import blocks
 
-ORDER, CHUNK_BYTES, RANGE_BYTES, STRETCH, SPARE_BITS = 3, 8 << 20, 16 << 20, 256, 24
+ORDER, CHUNK_BYTES, RANGE_BYTES, STRETCH, SPARE_BITS = 3, 4 << 20, 12 << 20, 256, 24
 _END, _STEP = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 
 
