@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -40,11 +42,12 @@ def segments(rows: DataFrame, gap: int, ts: str = "us", on: str = "series") -> D
 def segmented_ewm(buckets: DataFrame, span: int, bucket: int) -> DataFrame:
     """Exponential average (weight 2 / (span + 1), first value of a segment first) that restarts after each missing bucket.
 
-    The recursion has the closed form sum(a * (1-a)^(n-i) * x_i) with the first value weighing (1-a)^n; within a segment it is
-    folded over the rows gathered so far, which are as many as the segment is long.
+    The recursion has the closed form sum(a * (1-a)^(n-i) * x_i) with the first value weighing (1-a)^n. It is folded over as many
+    rows back as weigh more than 1e-18: what comes before changes no digit of a double, so the frame is bounded and nothing is lost.
     """
     alpha = 2.0 / (span + 1)
+    back = math.ceil(math.log(1e-18) / math.log(1 - alpha)) if alpha < 1 else 1
     order = Window.partitionBy("series", "segment").orderBy("label")
-    so_far = F.collect_list("med").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    fold = F.aggregate(F.slice(so_far, 2, 1_000_000), F.element_at(so_far, 1), lambda a, x: a * (1 - alpha) + x * alpha)
+    so_far = F.collect_list("med").over(order.rowsBetween(-back, 0))
+    fold = F.aggregate(F.slice(so_far, 2, back), F.element_at(so_far, 1), lambda a, x: a * (1 - alpha) + x * alpha)
     return segments(buckets, bucket, "label").withColumn("ewm", fold)

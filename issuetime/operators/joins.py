@@ -25,6 +25,23 @@ def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, on
     return both.withColumn("right", F.last("_right", ignorenulls=True).over(seen)).where("_side = 0").select("_left.*", "right")
 
 
+def asof_join_blocks(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, block: int, on: str = "series", tie: str | None = None) -> DataFrame:
+    """:func:`asof_join` with every key's time cut into blocks, so that one hot key is spread over many tasks.
+
+    Each block starts with the last right row of the blocks before it, found from one row per key and block.
+    """
+    bin_of = lambda c: F.floor(F.col(c) / block)
+    row = F.struct(*[F.col(c) for c in right.columns])
+    lasts = right.groupBy(on, bin_of(right_ts).alias("_bin")).agg(F.max_by(row, F.struct(right_ts, *([tie] if tie else []))).alias("_row"))
+    bins = left.select(on, bin_of(left_ts).alias("_bin")).distinct().join(lasts, [on, "_bin"], "full")
+    before = Window.partitionBy(on).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = bins.select("_bin", F.last("_row", ignorenulls=True).over(before).alias("_row")).where("_row is not null").select("_bin", "_row.*")
+    key = F.struct(F.col(on).alias("key"), F.col("_bin").alias("bin"))
+    rights = right.withColumn("_bin", bin_of(right_ts)).unionByName(carried).withColumn("on_block", key).drop("_bin")
+    lefts = left.withColumn("_bin", bin_of(left_ts)).withColumn("on_block", key).drop("_bin")
+    return asof_join(lefts, rights, left_ts, right_ts, "on_block", tie).drop("on_block")
+
+
 def newest_visible(obs: DataFrame, visible: str, end: str, on: str = "series") -> DataFrame:
     """``obs`` with ``newest``: the row (struct) with the newest observation end among those visible so far, itself included."""
     seen = Window.partitionBy(on).orderBy(visible).rangeBetween(Window.unboundedPreceding, 0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from issuetime.operators import buckets as bk
 from issuetime.operators import scores as sc
+from issuetime.operators.ranks import ranked
 from issuetime.plans.targets import B, r6
 from issuetime.registry import query
 from issuetime.schemas import DAY, HOUR, MINUTE, readings, table
@@ -57,17 +58,16 @@ def interpolated_quantiles(spark, sf_dir):
 
 @query("a13_conservative_quantile", ", r AS (SELECT series, v, row_number() OVER (PARTITION BY series ORDER BY v) AS i, count(*) OVER (PARTITION BY series) AS n FROM readings) SELECT series, max(v) FILTER (i = least(n, ceil((n + 1) * 0.9::DOUBLE))) AS upper, round(max(least(n, ceil((n + 1) * 0.9::DOUBLE)) / (n + 1)), 6) AS covers FROM r GROUP BY series")
 def conservative_quantile(spark, sf_dir):
-    w = Window.partitionBy("series")
-    rank = F.least(F.col("n").cast("double"), F.ceil((F.col("n") + 1) * 0.9).cast("double"))
-    r = readings(spark, sf_dir).select("series", "v", F.row_number().over(w.orderBy("v")).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    return r.groupBy("series").agg(F.max(F.when(F.col("i") == rank, F.col("v"))).alias("upper"), r6(F.max(rank / (F.col("n") + 1))).alias("covers"))
+    rank = F.least(F.col("total").cast("double"), F.ceil((F.col("total") + 1) * 0.9).cast("double"))
+    r = ranked(readings(spark, sf_dir).select("series", "v"), "series", "v")
+    return r.groupBy("series").agg(F.max(F.when(F.col("place") == rank, F.col("v"))).alias("upper"), r6(F.max(rank / (F.col("total") + 1))).alias("covers"))
 
 
-@query("a14_wilson_bound", "SELECT lang, count(*) AS n, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS lower FROM (SELECT lang, avg(quality) AS p, count(*)::DOUBLE AS n, 1.96::DOUBLE AS z FROM documents JOIN labels USING (doc_id) GROUP BY lang) GROUP BY ALL", inputs=False)
+@query("a14_wilson_bound", "SELECT lang, n::BIGINT AS n, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS lower FROM (SELECT lang, avg(quality) AS p, count(*)::DOUBLE AS n, 1.96::DOUBLE AS z FROM documents JOIN labels USING (doc_id) GROUP BY lang)", inputs=False)
 def wilson_bound(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     good = rows.groupBy("lang").agg(F.sum("quality").alias("hits"), F.count(F.lit(1)).alias("m"))
-    return good.select("lang", F.lit(1).cast("long").alias("n"), r6(sc.wilson_lower(F.col("hits"), F.col("m"))).alias("lower"))
+    return good.select("lang", F.col("m").alias("n"), r6(sc.wilson_lower(F.col("hits"), F.col("m"))).alias("lower"))
 
 
 @query("a20_network_medians", f", s AS (SELECT label, series, med FROM closed), m AS (SELECT label, median(med) AS m, min(med) AS low, max(med) AS high, count(*) AS n FROM s GROUP BY label) SELECT m.label, round(max(m), 6) AS med, max(low) AS low, max(high) AS high, max(n) AS n, round(median(abs(s.med - m)), 6) AS mad FROM m JOIN s USING (label) GROUP BY m.label")
@@ -80,11 +80,10 @@ def network_medians(spark, sf_dir):
 
 @query("a23_spearman", "WITH r AS (SELECT l_returnflag AS g, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0::DOUBLE AS y FROM lineitem) SELECT g, count(*) AS n, round(corr(x, y), 6) AS rho FROM r GROUP BY g", inputs=False)
 def spearman(spark, sf_dir):
-    def average_rank(c):
-        return F.rank().over(Window.partitionBy("g").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("g", c)) - 1) / 2
-
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"))
-    return rows.select("g", average_rank("q").alias("x"), average_rank("p").alias("y")).groupBy("g").agg(F.count(F.lit(1)).alias("n"), r6(F.corr("x", "y")).alias("rho"))
+    x = ranked(rows, "g", "q").select("g", "p", F.col("average").alias("x"))
+    y = ranked(x, "g", "p").withColumnRenamed("average", "y")
+    return y.groupBy("g").agg(F.count(F.lit(1)).alias("n"), r6(F.corr("x", "y")).alias("rho"))
 
 
 @query("a43_effective_n", " SELECT series, round(pow(sum(k), 2) / sum(k * k), 6) AS effective FROM readings GROUP BY series")
@@ -122,15 +121,14 @@ def next_session(spark, sf_dir):
     return readings(spark, sf_dir).select("obs_id", next_session_start(F.col("us"), (9, 14), 90 * MINUTE).alias("start"))
 
 
-@query("f10_corrected_level", " SELECT obs_id, round(CASE WHEN v < 30 THEN 0.524 * v - 0.0862 * (40 + k / 2.0) + 5.75 WHEN v < 50 THEN (0.786 * (v / 20 - 1.5) + 0.524 * (1 - (v / 20 - 1.5))) * v - 0.0862 * (40 + k / 2.0) + 5.75 WHEN v < 210 THEN 0.786 * v - 0.0862 * (40 + k / 2.0) + 5.75 ELSE v END, 5) AS c FROM (SELECT obs_id, v, k::DOUBLE AS k FROM readings WHERE v < 210)")
-def corrected_level(spark, sf_dir):
-    from issuetime.functions.clock import corrected
-
-    return readings(spark, sf_dir).where("v < 210").select("obs_id", F.round(corrected(F.col("v"), 40 + F.col("k") / 2), 5).alias("c"))
+LEVELS = """ SELECT obs_id, round(greatest(CASE WHEN v = 0 THEN 0 WHEN v < 30 THEN 0.524 * v - 0.0862 * rh + 5.75 WHEN v < 50 THEN (0.786 * (v / 20 - 1.5) + 0.524 * (1 - (v / 20 - 1.5))) * v - 0.0862 * rh + 5.75
+  WHEN v < 210 THEN 0.786 * v - 0.0862 * rh + 5.75 WHEN v < 260 THEN (0.69 * s + 0.786 * (1 - s)) * v - 0.0862 * rh * (1 - s) + 2.966 * s + 5.75 * (1 - s) ELSE 2.966 + 0.69 * v + 8.84e-4 * v * v END, 0), 5) AS c
+  FROM (SELECT obs_id, v, 40 + k / 2.0::DOUBLE AS rh, v / 50 - 21 / 5.0::DOUBLE AS s FROM readings)"""
 
 
-@query("f10_all_levels")
-def all_corrected_levels(spark, sf_dir):
+@query("f10_all_levels", LEVELS)
+@query("f10_corrected_level", LEVELS)
+def corrected_level(spark, sf_dir):
     from issuetime.functions.clock import corrected_everywhere
 
     return readings(spark, sf_dir).select("obs_id", F.round(corrected_everywhere(F.col("v"), 40 + F.col("k") / 2), 5).alias("c"))

@@ -38,21 +38,26 @@ def representatives(spark, sf_dir):
     return onsets(spark, sf_dir).withColumn("_f", F.coalesce(first, F.lit(True))).where("_f").select("series", "label", "dir")
 
 
-JOINT = f""", c AS (SELECT label, max(med) FILTER (series = 'click') AS a, max(med) FILTER (series = 'error') AS b, max(med) FILTER (series = 'purchase') AS s FROM closed WHERE series IN ('click', 'error', 'purchase') GROUP BY label),
-  f AS (SELECT x.label, x.a - y.a AS da, x.b - y.b AS db, x.s - y.s AS ds FROM c x LEFT JOIN c y ON y.label = x.label - {B})"""
+JOINT = f""", c AS (SELECT label, max(med) FILTER (series = 'click') AS a, max(med) FILTER (series = 'error') AS b, max(med) FILTER (series = 'purchase') AS s0, max(med) FILTER (series = 'signup') AS s1, max(med) FILTER (series = 'view') AS s2 FROM closed GROUP BY label),
+  f AS (SELECT x.label, x.a - y.a AS da, x.b - y.b AS db, x.s0 - y.s0 AS d0, x.s1 - y.s1 AS d1, x.s2 - y.s2 AS d2 FROM c x LEFT JOIN c y ON y.label = x.label - {B})"""
+
+
+CHANNELS = dict(zip(("a", "b", "s0", "s1", "s2"), ['click', 'error', 'purchase', 'signup', 'view'], strict=True))
 
 
 def channels(spark, sf_dir):
-    """Three channels on one bucket grid with their one-bucket changes."""
-    wide = closed(spark, sf_dir).where(F.col("series").isin("click", "error", "purchase")).groupBy("label").pivot("series", ["click", "error", "purchase"]).agg(F.max("med")).toDF("label", "a", "b", "s")
-    before = wide.select((F.col("label") + B).alias("label"), *(F.col(c).alias(f"{c}0") for c in "abs"))
-    return wide.join(before, "label", "left").select("label", *((F.col(c) - F.col(f"{c}0")).alias(f"d{c}") for c in "abs"))
+    """Five channels on one bucket grid (two levels, three that can support them) with their one-bucket changes."""
+    wide = closed(spark, sf_dir).groupBy("label").pivot("series", list(CHANNELS.values())).agg(F.max("med")).toDF("label", *CHANNELS)
+    before = wide.select((F.col("label") + B).alias("label"), *(F.col(c).alias(f"{c}_before") for c in CHANNELS))
+    return wide.join(before, "label", "left").select("label", *CHANNELS, *((F.col(c) - F.col(f"{c}_before")).alias(f"d{c[-1]}") for c in CHANNELS))
 
 
-@query("e07_joint_drop", f"{JOINT} SELECT label, coalesce(da <= -5 AND db <= -5, FALSE) AS joint, coalesce(da <= -5 AND db <= -5 AND ds < 0, FALSE) AS supported FROM f")
+@query("e07_joint_drop", f"{JOINT} SELECT label, coalesce(da <= -5 AND db <= -5, FALSE) AS joint, coalesce(da <= -5 AND db <= -5, FALSE) AND (coalesce(d0 < 0, FALSE) OR coalesce(d1 < 0, FALSE) OR coalesce(d2 < 0, FALSE)) AS supported FROM f")
 def joint_drop(spark, sf_dir):
-    both = (F.col("da") <= -5) & (F.col("db") <= -5)
-    return channels(spark, sf_dir).select("label", F.coalesce(both, F.lit(False)).alias("joint"), F.coalesce(both & (F.col("ds") < 0), F.lit(False)).alias("supported"))
+    """Both levels drop in one bucket; supported if any further channel falls with them."""
+    both = F.coalesce((F.col("da") <= -5) & (F.col("db") <= -5), F.lit(False))
+    fell = lambda c: F.coalesce(F.col(c) < 0, F.lit(False))
+    return channels(spark, sf_dir).select("label", both.alias("joint"), (both & (fell("d0") | fell("d1") | fell("d2"))).alias("supported"))
 
 
 @query("e09_sustained_fall", f""", x AS (SELECT a.series, a.label, a.med, a.med - b.med AS d, a.med - c.med AS fall FROM closed a LEFT JOIN closed b ON a.series = b.series AND b.label = a.label - {B} LEFT JOIN closed c ON c.series = a.series AND c.label = a.label - {3 * B})

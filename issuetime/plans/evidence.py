@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from issuetime.operators import buckets as bk
 from issuetime.operators import scores as sc
-from issuetime.plans.scoring import DAYS, SCORED, day_sums, scored
+from issuetime.plans.scoring import DAYS, KNOWN, SCORED, day_sums, known_before, scored
 from issuetime.plans.streams import work_dir
 from issuetime.plans.targets import B, r6
 from issuetime.registry import query
@@ -45,11 +45,12 @@ def detections(spark, sf_dir):
     return files.load_detections(spark, path)
 
 
-@query("v12_published_sessions", f"{SCORED}, g AS (SELECT series, 1 - avg(abs(pred - target)) / avg(abs(d)) > 0 AS ok FROM scored GROUP BY series) SELECT i.issue_id, coalesce(g.ok, FALSE) AS qualified, round(CASE WHEN g.ok THEN i.pred ELSE i.ref END, 6) AS published FROM issues i LEFT JOIN g USING (series)")
+@query("v12_published_sessions", f"{KNOWN} SELECT i.issue_id, coalesce(1 - a / b > 0, FALSE) AS qualified, round(CASE WHEN coalesce(1 - a / b > 0, FALSE) THEN i.pred ELSE i.ref END, 6) AS published FROM issues i JOIN known k ON k.series = i.series AND k.day = i.issue_us // {DAY}")
 def published_sessions(spark, sf_dir):
-    gate = scored(spark, sf_dir).groupBy("series").agg(*sc.point_metrics("target", "pred", "ref")).select("series", (F.col("skill") > 0).alias("ok"))
-    ok = F.coalesce("ok", F.lit(False))
-    return issues(spark, sf_dir).join(gate, "series", "left").select("issue_id", ok.alias("qualified"), r6(F.when(ok, F.col("pred")).otherwise(F.col("ref"))).alias("published"))
+    """The forecast where its skill over persistence, from outcomes closed before the issue's day, is positive; else the level."""
+    now = issues(spark, sf_dir).withColumn("day", F.expr(f"issue_us div {DAY}")).join(known_before(spark, sf_dir), ["series", "day"])
+    ok = F.coalesce(1 - F.try_divide(F.col("a"), F.col("b")) > 0, F.lit(False))
+    return now.select("issue_id", ok.alias("qualified"), r6(F.when(ok, F.col("pred")).otherwise(F.col("ref"))).alias("published"))
 
 
 #: Metrics of day sums as (numerator, denominator), the same for all days, resampled days and left-out days.

@@ -12,6 +12,7 @@ from issuetime.registry import query
 from issuetime.schemas import DAY, HOUR, MINUTE, issues, readings, receipts, runs
 
 ISSUE = 1_705_536_000_000_000  # 18 January
+NAMES = ["click", "error", "purchase", "signup", "view"]
 
 
 @query("p02_visible_at", f" SELECT obs_id, visible_us FROM readings WHERE visible_us <= {ISSUE}")
@@ -22,10 +23,10 @@ def visible_at(spark, sf_dir):
 @query("j01_asof_latest_run", """, o AS (SELECT run_id, fetched FROM runs QUALIFY row_number() OVER (PARTITION BY fetched ORDER BY run_id DESC) = 1)
   SELECT i.issue_id, o.run_id, o.fetched FROM issues i ASOF LEFT JOIN o ON i.issue_us >= o.fetched""")
 def asof_latest_run(spark, sf_dir):
-    right = runs(spark, sf_dir).select(F.lit("all").alias("series"), "run_id", "fetched")
+    # runs hold for every series: reduced to the last of each clock, then joined block by block of time
+    right = runs(spark, sf_dir).groupBy("fetched").agg(F.max("run_id").alias("run_id")).withColumn("series", F.lit("all"))
     left = issues(spark, sf_dir).select(F.lit("all").alias("series"), "issue_id", "issue_us")
-    # runs hold for every series: reduced to the last of each clock before the join
-    return jn.asof_join(left, right.groupBy("series", "fetched").agg(F.max("run_id").alias("run_id")), "issue_us", "fetched").select("issue_id", "right.run_id", "right.fetched")
+    return jn.asof_join_blocks(left, right, "issue_us", "fetched", HOUR).select("issue_id", "right.run_id", "right.fetched")
 
 
 @query("j01_asof_visible_reading", """, r AS (SELECT * FROM readings QUALIFY row_number() OVER (PARTITION BY series, visible_us ORDER BY obs_id DESC) = 1)
@@ -168,11 +169,10 @@ def unpivot_heads(spark, sf_dir):
     return issues(spark, sf_dir).unpivot("issue_id", ["ref", "pred", "p_fall", "p_rise"], "head", "value").withColumn("value", r6("value"))
 
 
-@query("u06_pivot_series", f" SELECT label, " + ", ".join(f"round(max(CASE WHEN series = '{s}' THEN med END), 6) AS \"{s}\"" for s in ("click", "error", "purchase")) + " FROM closed WHERE series IN ('click', 'error', 'purchase') GROUP BY label")
+@query("u06_pivot_series", f" SELECT label, " + ", ".join(f"round(max(CASE WHEN series = '{s}' THEN med END), 6) AS \"{s}\"" for s in NAMES) + " FROM closed GROUP BY label")
 def pivot_series(spark, sf_dir):
-    names = ["click", "error", "purchase"]
-    wide = bk.closed_series(readings(spark, sf_dir)).where(F.col("series").isin(names)).groupBy("label").pivot("series", names).agg(F.max("med"))
-    return wide.select("label", *(r6(n).alias(n) for n in names))
+    wide = bk.closed_series(readings(spark, sf_dir)).groupBy("label").pivot("series", NAMES).agg(F.max("med"))
+    return wide.select("label", *(r6(n).alias(n) for n in NAMES))
 
 
 @query("s02_validated_readings", f""", raw AS (SELECT series, us, obs_id, CASE WHEN obs_id % 17 = 0 THEN NULL ELSE v END AS v, us - us % {10 * MINUTE} AS slot FROM readings WHERE us <= {ISSUE} + 60000000)

@@ -34,13 +34,22 @@ def ridge_days(spark, sf_dir):
 
 @query("m01_walk_forward", f"{TRAIN}, s AS (SELECT series, day, count(*) AS n, avg(target - ref) AS shift FROM train GROUP BY series, day) SELECT i.issue_id, CASE WHEN n >= 10 THEN round(i.ref + shift, 5) END AS pred FROM issues i LEFT JOIN s ON s.series = i.series AND s.day = i.issue_us // {DAY}")
 def walk_forward(spark, sf_dir):
-    def mean_shift(train, test):
-        shift = (train["target"] - train["ref"]).mean() if len(train) >= 10 else float("nan")
+    fit = ln.training_rows(arrival_targets(spark, sf_dir)).groupBy("series", "day").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("target") - F.col("ref")).alias("shift"))
+    now = issues(spark, sf_dir).withColumn("day", F.expr(f"issue_us div {DAY}")).join(fit, ["series", "day"], "left")
+    return now.select("issue_id", F.round(F.when(F.col("n") >= 10, F.col("ref") + F.col("shift")), 5).alias("pred"))
+
+
+@query("x01_fit_predict", f"{TRAIN}, s AS (SELECT series, day, count(*) AS n, median(target - ref) AS shift FROM train GROUP BY series, day) SELECT i.issue_id, CASE WHEN n >= 10 THEN round(i.ref + shift, 5) END AS pred FROM issues i LEFT JOIN s ON s.series = i.series AND s.day = i.issue_us // {DAY}")
+def fit_predict(spark, sf_dir):
+    """The contract of a model: pandas frames of one window's training rows and one day's test rows in, predictions out."""
+
+    def median_shift(train, test):
+        shift = (train["target"] - train["ref"]).median() if len(train) >= 10 else float("nan")
         out = test[["issue_id"]].copy()
         out["pred"] = test["ref"] + shift
         return out
 
-    pred = ln.walk_forward(arrival_targets(spark, sf_dir), mean_shift, "issue_id bigint, pred double")
+    pred = ln.walk_forward(arrival_targets(spark, sf_dir), median_shift, "issue_id bigint, pred double")
     return pred.select("issue_id", F.round(F.nanvl("pred", F.lit(None).cast("double")), 5).alias("pred"))
 
 

@@ -57,14 +57,25 @@ def station_match(spark, sf_dir):
     return met.select("run_id", "valid", r6(F.col("temp") - F.col("was")).alias("error"))
 
 
-@query("j15_stations", f", st AS (SELECT series, 3.0::DOUBLE + 0.05 * i AS lat, 101.5::DOUBLE + 0.07 * ((i * 3) % 5) AS lon FROM (SELECT series, row_number() OVER (ORDER BY series) - 1 AS i FROM (SELECT DISTINCT series FROM readings))) SELECT i.issue_id, st.series AS station, round(sqrt(pow((lat - 3.0) * 110.57, 2) + pow((lon - 101.5) * 111.32 * cos(radians(3.0)), 2)), 6) AS km FROM issues i CROSS JOIN st WHERE i.series = 'click' AND st.series <> 'click'")
+STATIONS = """, names AS (SELECT series, 3.0::DOUBLE + 0.05 * i AS lat, 101.5::DOUBLE + 0.07 * ((i * 3) % 5) AS lon FROM (SELECT series, row_number() OVER (ORDER BY series) - 1 AS i FROM (SELECT DISTINCT series FROM readings))),
+  near AS (SELECT a.series, b.series AS station, (b.lon - a.lon) * 111.32 * cos(radians(3.0::DOUBLE)) AS east, (b.lat - a.lat) * 110.57 AS north FROM names a JOIN names b ON a.series <> b.series),
+  st AS (SELECT series, station, sqrt(east * east + north * north) AS km, east / sqrt(east * east + north * north) AS ue, north / sqrt(east * east + north * north) AS un FROM near)"""
+
+
+def station_pairs(spark, sf_dir):
+    """series, station, km and unit vector (ue, un) towards it, of each two stations: the fixed handful of series names."""
+    place = readings(spark, sf_dir).select("series").distinct().withColumn("i", F.row_number().over(Window.orderBy("series")) - 1)
+    place = place.select("series", (3.0 + 0.05 * F.col("i")).alias("lat"), (101.5 + 0.07 * (F.col("i") * 3 % 5)).alias("lon"))
+    other = place.toDF("station", "lat2", "lon2")
+    east, north = (F.col("lon2") - F.col("lon")) * 111.32 * F.cos(F.radians(F.lit(3.0))), (F.col("lat2") - F.col("lat")) * 110.57
+    km = F.sqrt(east * east + north * north)
+    return place.join(other, F.col("series") != F.col("station")).select("series", "station", km.alias("km"), (east / km).alias("ue"), (north / km).alias("un"))
+
+
+@query("j15_stations", f"{STATIONS} SELECT issue_id, station, round(km, 6) AS km, round(ue, 6) AS ue, round(un, 6) AS un FROM issues JOIN st USING (series)")
 def stations(spark, sf_dir):
-    """Issues of the target station with each neighbour: the stations are the fixed handful of series names."""
-    names = readings(spark, sf_dir).select("series").distinct()
-    place = names.withColumn("i", F.row_number().over(Window.orderBy("series")) - 1)
-    north, east = 0.05 * F.col("i") * 110.57, 0.07 * (F.col("i") * 3 % 5) * 111.32 * F.cos(F.radians(F.lit(3.0)))
-    near = place.where("series <> 'click'").select(F.lit("click").alias("series"), F.col("series").alias("station"), r6(F.sqrt(north * north + east * east)).alias("km"))
-    return issues(spark, sf_dir).where("series = 'click'").join(near, "series").select("issue_id", "station", "km")
+    """Every issue with each neighbour of its station: distance and unit vector."""
+    return issues(spark, sf_dir).join(station_pairs(spark, sf_dir), "series").select("issue_id", "station", *(r6(c).alias(c) for c in ("km", "ue", "un")))
 
 
 @query("p10_common_rows", f"{SCORED} SELECT issue_id FROM scored WHERE target IS NOT NULL AND pred IS NOT NULL AND ref > 5")
@@ -128,11 +139,14 @@ def particle_mix(spark, sf_dir):
     return readings(spark, sf_dir).select("obs_id", r6(F.greatest(k - v, F.lit(0.0))).alias("coarse"), r6(F.when(k != 0, F.least(F.greatest(F.try_divide(100 * v, k), F.lit(0.0)), F.lit(100.0)))).alias("fine_share"))
 
 
-@query("a45_manifest", " SELECT series, count(*) AS n, count(receipt_id) AS known, max(receipt_id) AS last, sha256(string_agg(obs_id || ':' || coalesce(receipt_id, -1), ',' ORDER BY obs_id, receipt_id)) AS digest FROM (SELECT r.series, r.obs_id, x.receipt_id FROM readings r LEFT JOIN receipts x USING (obs_id)) GROUP BY series")
+@query("a45_manifest", f" , x AS (SELECT r.series, r.us // {DAY} AS day, r.obs_id, x.receipt_id FROM readings r LEFT JOIN receipts x USING (obs_id)), d AS (SELECT series, day, count(*) AS n, count(receipt_id) AS known, max(receipt_id) AS last, sha256(string_agg(obs_id || ':' || coalesce(receipt_id, -1), ',' ORDER BY obs_id, receipt_id)) AS digest FROM x GROUP BY ALL) SELECT series, sum(n)::BIGINT AS n, sum(known)::BIGINT AS known, max(last) AS last, sha256(string_agg(digest, ',' ORDER BY day)) AS digest FROM d GROUP BY series")
 def manifest(spark, sf_dir):
-    rows = readings(spark, sf_dir).select("series", "obs_id").join(receipts(spark, sf_dir).select("obs_id", "receipt_id"), "obs_id", "left")
+    """Digests of each day's inputs, and the digest of these per series: no more than a day's rows are ever gathered."""
+    rows = readings(spark, sf_dir).select("series", F.expr(f"us div {DAY}").alias("day"), "obs_id").join(receipts(spark, sf_dir).select("obs_id", "receipt_id"), "obs_id", "left")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("obs_id", F.coalesce("receipt_id", F.lit(-1)).alias("r")))), lambda x: F.concat_ws(":", x["obs_id"], x["r"])), ",")
-    return rows.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.count("receipt_id").alias("known"), F.max("receipt_id").alias("last"), F.sha2(text, 256).alias("digest"))
+    days = rows.groupBy("series", "day").agg(F.count(F.lit(1)).alias("n"), F.count("receipt_id").alias("known"), F.max("receipt_id").alias("last"), F.sha2(text, 256).alias("digest"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("day", "digest"))), lambda x: x["digest"]), ",")
+    return days.groupBy("series").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.max("last").alias("last"), F.sha2(whole, 256).alias("digest"))
 
 
 @query("a47_pair_decisions", f""", d AS (SELECT series, (label - 1) // {DAY} AS day, avg(med) FILTER ((label - 1) % {DAY} < {12 * HOUR}) AS am, avg(med) FILTER ((label - 1) % {DAY} >= {12 * HOUR}) AS pm FROM closed GROUP BY ALL), c AS (SELECT *, abs(am - pm) >= greatest(5, 0.1 * least(am, pm)) AS call FROM d WHERE am IS NOT NULL AND pm IS NOT NULL)

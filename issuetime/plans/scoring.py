@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from issuetime.operators import buckets as bk
 from issuetime.operators import scores as sc
+from issuetime.operators.ranks import ranked
 from issuetime.plans.targets import B, TARGET, arrival_targets, r6
 from issuetime.registry import query
-from issuetime.schemas import DAY, HOUR, readings, table
+from issuetime.schemas import DAY, HOUR, issues, readings, table
 
 SCORED = f"{TARGET}, scored AS (SELECT *, target - ref AS d, pred - ref AS call, (issue_us // {DAY}) AS day FROM targets WHERE target IS NOT NULL)"
 
@@ -148,10 +149,27 @@ def walk_forward_prior(spark, sf_dir):
     return rows.select("series", "day").distinct().join(known, ["series", "day"], "left").fillna(0, ["n", "falls", "rises"])
 
 
-@query("a39_smoothed_prior", f"{SCORED} SELECT series, round((count(*) FILTER (d <= -20) + 1) / (count(*) + 3), 6) AS fall, round((count(*) FILTER (d >= 20) + 1) / (count(*) + 3), 6) AS rise FROM scored GROUP BY series")
+KNOWN = f"""{SCORED}, sums AS (SELECT series, complete // {DAY} AS closed_day, count(*) AS n, count(*) FILTER (d <= -20) AS falls, count(*) FILTER (d >= 20) AS rises, sum(abs(pred - target)) AS a, sum(abs(d)) AS b FROM scored GROUP BY ALL),
+  known AS (SELECT i.series, i.day, coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(falls), 0)::BIGINT AS falls, coalesce(sum(rises), 0)::BIGINT AS rises, sum(a) AS a, sum(b) AS b FROM (SELECT DISTINCT series, issue_us // {DAY} AS day FROM issues) i LEFT JOIN sums s ON s.series = i.series AND s.closed_day < i.day GROUP BY i.series, i.day)"""
+
+
+def known_before(spark, sf_dir):
+    """Per series and issue day what was known when the day began: n, falls, rises and error sums of the outcomes closed on earlier days."""
+    rows = scored(spark, sf_dir)
+    fell, rose = F.count_if(F.col("d") <= -20), F.count_if(F.col("d") >= 20)
+    sums = rows.groupBy("series", F.expr(f"complete div {DAY}").alias("day")).agg(F.count(F.lit(1)).alias("n"), fell.alias("falls"), rose.alias("rises"), F.sum(F.abs(F.col("pred") - F.col("target"))).alias("a"), F.sum(F.abs("d")).alias("b"))
+    days = issues(spark, sf_dir).select("series", F.expr(f"issue_us div {DAY}").alias("day")).distinct()
+    before = Window.partitionBy("series").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # one row per series and day
+    total = lambda c: F.sum(c).over(before).alias(c)
+    out = days.withColumn("asked", F.lit(True)).join(sums, ["series", "day"], "full").select("series", "day", "asked", *(total(c) for c in ("n", "falls", "rises", "a", "b")))
+    return out.where("asked").drop("asked").fillna(0, ["n", "falls", "rises"])
+
+
+@query("a39_smoothed_prior", f"{KNOWN} SELECT i.issue_id, round((falls + 1) / (n + 3), 6) AS fall, round((rises + 1) / (n + 3), 6) AS rise FROM issues i JOIN known k ON k.series = i.series AND k.day = i.issue_us // {DAY}")
 def smoothed_prior(spark, sf_dir):
-    n = F.count(F.lit(1))
-    return scored(spark, sf_dir).groupBy("series").agg(r6((F.count_if(F.col("d") <= -20) + 1) / (n + 3)).alias("fall"), r6((F.count_if(F.col("d") >= 20) + 1) / (n + 3)).alias("rise"))
+    """The class prior as it could be issued: from outcomes that had closed before the issue's day."""
+    now = issues(spark, sf_dir).withColumn("day", F.expr(f"issue_us div {DAY}")).join(known_before(spark, sf_dir), ["series", "day"])
+    return now.select("issue_id", r6((F.col("falls") + 1) / (F.col("n") + 3)).alias("fall"), r6((F.col("rises") + 1) / (F.col("n") + 3)).alias("rise"))
 
 
 TAUS = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3)
@@ -166,8 +184,8 @@ def operating_curve(spark, sf_dir):
 
 @query("a41_ranking_scores", f"{SCORED}, r AS (SELECT series, (d <= -20)::INT AS y, rank() OVER (PARTITION BY series ORDER BY p_fall) + (count(*) OVER (PARTITION BY series, p_fall) - 1) / 2.0::DOUBLE AS rk FROM scored) SELECT series, sum(y)::BIGINT AS positives, round((sum(rk * y) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * sum(1 - y)), 6) AS auc FROM r GROUP BY series")
 def ranking_scores(spark, sf_dir):
-    rank = F.rank().over(Window.partitionBy("series").orderBy("p_fall")) + (F.count(F.lit(1)).over(Window.partitionBy("series", "p_fall")) - 1) / 2
-    rows = scored(spark, sf_dir).select("series", (F.col("d") <= -20).cast("int").alias("y"), rank.alias("rk"))
+    rows = scored(spark, sf_dir).select("series", (F.col("d") <= -20).cast("int").alias("y"), "p_fall")
+    rows = ranked(rows, "series", "p_fall").withColumnRenamed("average", "rk")
     y = F.sum("y")
     return rows.groupBy("series").agg(y.alias("positives"), r6(F.try_divide(F.sum(F.col("rk") * F.col("y")) - y * (y + 1) / 2, y * F.sum(1 - F.col("y")))).alias("auc"))
 
@@ -198,9 +216,10 @@ def policy_gates(spark, sf_dir):
     return m.unpivot("series", ["n", "mae", "skill"], "gate", "value").select("series", "gate", r6(value).alias("value"), passed.alias("passed"))
 
 
-@query("m20_climatology_blend", f"{SCORED}, c AS (SELECT series, avg((d <= -20)::INT) AS base FROM scored GROUP BY series) SELECT series, w::DOUBLE AS w, round(avg((w * p_fall + (1 - w) * base - (d <= -20)::INT) ** 2), 6) AS brier FROM scored JOIN c USING (series) CROSS JOIN (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS w) GROUP BY series, w")
+@query("m20_climatology_blend", f"{KNOWN} SELECT s.series, w::DOUBLE AS w, count(*) AS n, round(avg((w * p_fall + (1 - w) * falls / k.n::DOUBLE - (d <= -20)::INT) ** 2), 6) AS brier FROM scored s JOIN known k ON k.series = s.series AND k.day = s.day AND k.n > 0 CROSS JOIN (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS w) GROUP BY s.series, w")
 def climatology_blend(spark, sf_dir):
-    rows = scored(spark, sf_dir).withColumn("y", (F.col("d") <= -20).cast("int"))
-    base = rows.groupBy("series").agg(F.avg("y").alias("base"))
-    each = rows.join(base, "series").withColumn("w", F.explode(F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)))))
-    return each.groupBy("series", "w").agg(r6(F.avg(F.pow(F.col("w") * F.col("p_fall") + (1 - F.col("w")) * F.col("base") - F.col("y"), 2))).alias("brier"))
+    """Issued probabilities blended with the base rate that was known before the issue's day, at five weights."""
+    known = known_before(spark, sf_dir).where("n > 0").select("series", "day", (F.col("falls") / F.col("n")).alias("base"))
+    rows = scored(spark, sf_dir).withColumn("y", (F.col("d") <= -20).cast("int")).join(known, ["series", "day"])
+    each = rows.withColumn("w", F.explode(F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)))))
+    return each.groupBy("series", "w").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.pow(F.col("w") * F.col("p_fall") + (1 - F.col("w")) * F.col("base") - F.col("y"), 2))).alias("brier"))

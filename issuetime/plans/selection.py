@@ -29,17 +29,45 @@ def first_per_slot(spark, sf_dir):
     return sel.first_by(rows, ["series", "version", "slot"], "recorded_us", "issue_id").select("series", "version", "slot", "issue_id")
 
 
-@query("l06_kernel_neighbours", "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), d AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: pow(q.x[i] - e.x[i], 2))) AS d FROM e q JOIN e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM d) SELECT query_id, vec_id, rank, round(exp(-d / max(d) OVER (PARTITION BY query_id)), 6) AS weight FROM r WHERE rank <= 10", inputs=False)
-def kernel_neighbours(spark, sf_dir):
-    """Queries (a hundredth of the rows, sent in blocks of a bounded size) against all rows; each task keeps its best ten."""
-    from issuetime.operators.nearest import nearest_blocks
+NEAR = """WITH e AS (SELECT vec_id, unnest(list_transform(embedding, lambda x: x::DOUBLE)) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings), st AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM e GROUP BY i),
+  z AS (SELECT vec_id, list((v - m) / s * CASE WHEN i <= 32 THEN 1.0 ELSE 0.5 END ORDER BY i) AS x FROM e JOIN st USING (i) GROUP BY vec_id),
+  d AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: pow(q.x[i] - e.x[i], 2))) AS d FROM z q JOIN z e ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM d)"""
+
 
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    near = nearest_blocks(e.where("vec_id % 100 = 0"), e, 10)
+def standardised(spark, sf_dir):
+    """Vectors with each column standardised over all rows; the second half of the columns is a block of half weight."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
+    st = e.groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))  # one row per column
+    scaled = e.join(F.broadcast(st), "i").withColumn("z", (F.col("v") - F.col("m")) / F.col("s") * F.when(F.col("i") < 32, 1.0).otherwise(0.5))
+    return scaled.groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "z"))), lambda x: x["z"]).alias("embedding"))
+
+
+@query("l06_kernel_neighbours", f"{NEAR} SELECT query_id, vec_id, rank, round(exp(-d / max(d) OVER (PARTITION BY query_id)), 6) AS weight FROM r WHERE rank <= 10", inputs=False)
+def kernel_neighbours(spark, sf_dir):
+    """Queries (every id divisible by 50, sent in blocks of a bounded size) against all rows; each task keeps its best ten."""
+    near = nearest_ten(spark, sf_dir)
     far = F.max("d").over(Window.partitionBy("query_id"))
     return near.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), r6(F.exp(-F.col("d") / far)).alias("weight"))
 
 
+def nearest_ten(spark, sf_dir):
+    from issuetime.operators.nearest import nearest_blocks
+
+    e = standardised(spark, sf_dir)
+    return nearest_blocks(e.where("vec_id % 50 = 0"), e, 10)
+
+
+@query("m17_analogue_forecast", f"{NEAR}, k AS (SELECT query_id, vec_id, exp(-d / max(d) OVER (PARTITION BY query_id)) AS w FROM r WHERE rank <= 10) SELECT query_id, round(sum(w * label) / sum(w), 6) AS mean, round((sum(w) FILTER (label = 0) + 2 * 0.1) / (sum(w) + 2), 6) AS share FROM (SELECT k.*, e.label FROM k JOIN embeddings e USING (vec_id)) GROUP BY query_id".replace("sum(w) FILTER (label = 0)", "coalesce(sum(w) FILTER (label = 0), 0)"), inputs=False)
+def analogue_forecast(spark, sf_dir):
+    """From the kernel-weighted nearest cases: the weighted mean of their outcome, and the share of one class shrunk to its prior."""
+    near = nearest_ten(spark, sf_dir)
+    w = F.exp(-F.col("d") / F.max("d").over(Window.partitionBy("query_id")))
+    cases = near.select("query_id", "vec_id", w.alias("w")).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    share = (F.coalesce(F.sum(F.when(F.col("label") == 0, F.col("w"))), F.lit(0.0)) + 2 * 0.1) / (F.sum("w") + 2)
+    return cases.groupBy("query_id").agg(r6(F.sum(F.col("w") * F.col("label")) / F.sum("w")).alias("mean"), r6(share).alias("share"))
+
+
 @query("l07_bin_extremes", """, x AS (SELECT *, min(us) OVER w AS f, max(us) OVER w AS l FROM readings WINDOW w AS (PARTITION BY series)), b AS (SELECT *, least(floor((us - f) * 24 / (l - f + 1)::DOUBLE), 23) AS bin FROM x),
   r AS (SELECT *, row_number() OVER (PARTITION BY series, bin ORDER BY v, us) AS lo, row_number() OVER (PARTITION BY series, bin ORDER BY v DESC, us) AS hi FROM b) SELECT series, us, v FROM r WHERE lo = 1 OR hi = 1 OR us IN (f, l)""")
 def bin_extremes(spark, sf_dir):

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from issuetime.operators import weather as wx
 from issuetime.plans.targets import r6
+from issuetime.operators.joins import asof_join_blocks
 from issuetime.registry import query
-from issuetime.schemas import HOUR, MINUTE, run_hours, runs
+from issuetime.schemas import DAY, HOUR, MINUTE, issues, run_hours, runs
+from issuetime.sources import files
 
 LENGTH = 2 * HOUR
 WINDOW = f""", h2 AS (SELECT run_id, s, s + {2 * HOUR} AS e, s // {HOUR} * {HOUR} + k * {HOUR} AS hr FROM (SELECT run_id, fetched + {90 * MINUTE} AS s, unnest(range(3)) AS k FROM runs) WHERE s // {HOUR} * {HOUR} + k * {HOUR} < s + {2 * HOUR}),
@@ -19,30 +21,39 @@ def touched(spark, sf_dir):
     return wx.window_hours(run_hours(spark, sf_dir), F.col("fetched") + 90 * MINUTE, LENGTH)
 
 
-@query("s03_exploded_runs", " SELECT run_id, h, valid, speed, direction, temp, precip, pprob FROM run_hours WHERE source IN ('1-URGENT', '5-LOW') AND h % 6 = 0")
-def exploded_runs(spark, sf_dir):
-    return all_run_hours(spark, sf_dir).where("h % 6 = 0")
+RUN_HOURS = " SELECT run_id, h, valid, speed, direction, temp, precip, pprob FROM run_hours WHERE source IN ('1-URGENT', '5-LOW')"
 
 
-@query("s03_all_run_hours")
-def all_run_hours(spark, sf_dir):
-    return run_hours(spark, sf_dir).where(F.col("source").isin("1-URGENT", "5-LOW")).select("run_id", "h", "valid", "speed", "direction", "temp", "precip", "pprob")
+@query("s03_all_run_hours", RUN_HOURS)
+@query("s03_exploded_runs", RUN_HOURS)
+def exploded_runs(spark, sf_dir):
+    """Runs of the accepted sources from their payloads: the hours as a JSON array, decoded and exploded."""
+    fields = ("h", "valid", "speed", "direction", "temp", "precip", "pprob")
+    hours = run_hours(spark, sf_dir).where(F.col("source").isin("1-URGENT", "5-LOW"))
+    payload = F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(*fields))).alias("hourly")))  # 48 hours a run
+    return files.decode_runs(hours.groupBy("run_id").agg(payload.alias("payload")), "run_id", fields)
 
 
-@query("p03_sanitised_points", " SELECT run_id, h, CASE WHEN pprob - 5 BETWEEN 0 AND 90 THEN pprob - 5 END AS pprob, CASE WHEN precip - 0.5 >= 0 THEN round(precip - 0.5, 6) END AS precip FROM run_hours WHERE h < 4")
-def sanitised_points(spark, sf_dir):
-    return all_points(spark, sf_dir).where("h < 4")
+POINTS = " SELECT run_id, h, CASE WHEN pprob - 5 BETWEEN 0 AND 90 THEN pprob - 5 END AS pprob, CASE WHEN precip - 0.5 >= 0 THEN round(precip - 0.5, 6) END AS precip, CASE WHEN direction + 30 BETWEEN 0 AND 360 THEN direction + 30 END AS direction FROM run_hours"
 
 
-@query("p03_all_points")
-def all_points(spark, sf_dir):
-    p, rain = F.col("pprob") - 5, F.col("precip") - 0.5
-    return run_hours(spark, sf_dir).select("run_id", "h", F.when(p.between(0, 90), p).alias("pprob"), r6(F.when(rain >= 0, rain)).alias("precip"))
+@query("p03_all_points", POINTS)
+@query("p03_sanitised_points", POINTS)
+def sanitised_points(spark, sf_dir):
+    """Out-of-range chances, amounts and directions become null; the shifts make some points fall outside."""
+    p, rain, direction = F.col("pprob") - 5, F.col("precip") - 0.5, F.col("direction") + 30
+    return run_hours(spark, sf_dir).select("run_id", "h", F.when(p.between(0, 90), p).alias("pprob"), r6(F.when(rain >= 0, rain)).alias("precip"), F.when(direction.between(0, 360), direction).alias("direction"))
 
 
-@query("p05_age_gate", f" SELECT run_id, CASE WHEN fetched % {6 * HOUR} <= {2 * HOUR} THEN fetched END AS usable FROM runs")
+@query("p05_age_gate", f""", o AS (SELECT source, fetched, max(run_id) AS run_id FROM runs GROUP BY ALL)
+  SELECT i.issue_id, s.source, CASE WHEN i.issue_us - o.fetched <= {2 * MINUTE} THEN o.run_id END AS usable FROM (SELECT * FROM issues CROSS JOIN (SELECT DISTINCT source FROM runs)) s JOIN issues i USING (issue_id) ASOF LEFT JOIN o ON o.source = s.source AND i.issue_us >= o.fetched""")
 def age_gate(spark, sf_dir):
-    return runs(spark, sf_dir).select("run_id", F.when(F.col("fetched") % (6 * HOUR) <= 2 * HOUR, F.col("fetched")).alias("usable"))
+    """Per issue and source the newest run, or null if it is older than the limit at the issue."""
+    newest = runs(spark, sf_dir).groupBy("source", "fetched").agg(F.max("run_id").alias("run_id"))
+    sources = F.array(*(F.lit(s) for s in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
+    wanted = issues(spark, sf_dir).select("issue_id", "issue_us", F.explode(sources).alias("source"))
+    met = asof_join_blocks(wanted, newest, "issue_us", "fetched", DAY, on="source")
+    return met.select("issue_id", "source", F.when(F.col("issue_us") - F.col("right.fetched") <= 2 * MINUTE, F.col("right.run_id")).alias("usable"))
 
 
 @query("p06_source_allow_list", " SELECT source, count(*) AS n FROM runs WHERE source IN ('1-URGENT', '2-HIGH') GROUP BY source")
@@ -98,13 +109,12 @@ def morning_block(spark, sf_dir):
     return rows.groupBy("run_id").agg(two(F.max, "pprob").alias("rain_chance"), two(F.max, "temp").alias("warmest"), two(F.avg, "speed").alias("wind"))
 
 
-@query("f11_wind_vectors", " SELECT run_id, h, round(-speed * sin(radians(direction)), 6) + 0.0 AS u, round(-speed * cos(radians(direction)), 6) + 0.0 AS v, ['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW'][(floor(direction / 22.5 + 0.5)::BIGINT % 16 + 1)] AS compass FROM run_hours WHERE h < 3")
-def wind_vectors(spark, sf_dir):
-    return all_vectors(spark, sf_dir).where("h < 3")
+VECTORS = " SELECT run_id, h, round(-speed * sin(radians(direction)), 6) + 0.0 AS u, round(-speed * cos(radians(direction)), 6) + 0.0 AS v, ['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW'][(floor(direction / 22.5 + 0.5)::BIGINT % 16 + 1)] AS compass FROM run_hours"
 
 
-@query("f11_all_vectors")
-def all_vectors(spark, sf_dir):
+@query("f11_all_vectors", VECTORS)
+@query("f11_wind_vectors", VECTORS)
+def wind_vectors(spark, sf_dir):
     u, v = wx.wind_uv(F.col("speed"), F.col("direction"))
     return run_hours(spark, sf_dir).select("run_id", "h", (r6(u) + 0.0).alias("u"), (r6(v) + 0.0).alias("v"), wx.compass(F.col("direction")).alias("compass"))
 
@@ -121,18 +131,14 @@ def interpolated_point(spark, sf_dir):
     return joined.select("run_id", r6(F.when(F.col("t") % HOUR == 0, F.col("temp0")).otherwise(F.col("temp0") * (1 - share) + F.col("temp1") * share)).alias("temp"))
 
 
-@query("e14_wet_timing", """, x AS (SELECT run_id, h, precip > 0 AS wet, precip IS NULL AS missing FROM run_hours WHERE h <= 24), f AS (SELECT run_id, min(h) FILTER (wet) AS first_wet, bool_or(missing) AS gaps FROM x GROUP BY run_id)
-  SELECT f.run_id, CASE WHEN gaps THEN 'missing' WHEN first_wet IS NULL THEN 'dry' WHEN min(x.h) IS NULL THEN 'open' ELSE 'ends' END AS status, f.first_wet::DOUBLE AS first_wet, min(x.h)::DOUBLE AS dry_again FROM f LEFT JOIN x ON x.run_id = f.run_id AND x.h > f.first_wet AND NOT x.wet GROUP BY f.run_id, gaps, first_wet""")
-def wet_timing(spark, sf_dir):
-    x = run_hours(spark, sf_dir).where("h <= 24").select("run_id", "h", (F.col("precip") > 0).alias("wet"))
-    first = F.min(F.when(F.col("wet"), F.col("h"))).over(Window.partitionBy("run_id"))
-    out = x.withColumn("first_wet", first).groupBy("run_id").agg(F.first("first_wet").alias("first_wet"), F.bool_or(F.col("wet").isNull()).alias("gaps"), F.min(F.when((F.col("h") > F.col("first_wet")) & ~F.col("wet"), F.col("h"))).alias("dry_again"))
-    status = F.when(F.col("gaps"), "missing").when(F.col("first_wet").isNull(), "dry").when(F.col("dry_again").isNull(), "open").otherwise("ends")
-    return out.select("run_id", status.alias("status"), F.col("first_wet").cast("double").alias("first_wet"), F.col("dry_again").cast("double").alias("dry_again"))
+WET = """, x AS (SELECT run_id, h, precip > 0 AS wet FROM run_hours), f AS (SELECT run_id, min(h) FILTER (wet AND h <= 24) AS first_wet, max(h) FILTER (wet AND h <= 24) AS last, coalesce(bool_or(wet IS NULL) FILTER (h <= 24), FALSE) AS gaps FROM x GROUP BY run_id),
+  l AS (SELECT f.run_id, min(x.h) AS h, arg_min(x.wet IS NULL, x.h) AS gap FROM f JOIN x ON x.run_id = f.run_id AND x.h > f.last AND NOT coalesce(x.wet, FALSE) GROUP BY f.run_id)
+  SELECT f.run_id, CASE WHEN gaps THEN 'missing' WHEN first_wet IS NULL THEN 'dry' WHEN l.h IS NULL THEN 'open' WHEN gap THEN 'end missing' ELSE 'ends' END AS status, first_wet::DOUBLE AS first_wet, CASE WHEN NOT gaps AND NOT gap THEN l.h END::DOUBLE AS dry_again FROM f LEFT JOIN l USING (run_id)"""
 
 
-@query("e14_whole_runs")
-def whole_wet_timing(spark, sf_dir):
+@query("e14_whole_runs", WET)
+@query("e14_wet_timing", WET)
+def wet_timing(spark, sf_dir):
     """First and last wet hour of the run's first day; the end of the last wet stretch is sought up to the run's last hour."""
     run = Window.partitionBy("run_id")
     x = run_hours(spark, sf_dir).select("run_id", "h", (F.col("precip") > 0).alias("wet"))
@@ -145,21 +151,17 @@ def whole_wet_timing(spark, sf_dir):
     return out.select("run_id", status.alias("status"), F.col("first_wet").cast("double").alias("first_wet"), F.when(known, F.col("later.h")).cast("double").alias("dry_again"))
 
 
-@query("w16_revision_delta", """, r AS (SELECT source, valid, run_id, temp, lag(temp) OVER (PARTITION BY source, valid ORDER BY fetched, run_id) AS before FROM run_hours WHERE h < 6 AND temp IS NOT NULL) SELECT source, valid, run_id, round(temp - before, 6) AS revision FROM r WHERE before IS NOT NULL""")
-def revision_delta(spark, sf_dir):
-    return revisions(run_hours(spark, sf_dir).where("h < 6"))
-
-
-@query("w16_all_revisions")
-def all_revisions(spark, sf_dir):
-    return revisions(run_hours(spark, sf_dir))
+REVISIONS = f""", r AS (SELECT source, valid, run_id, temp, arg_max(temp, (fetched, run_id)) OVER (PARTITION BY source, valid ORDER BY fetched RANGE BETWEEN UNBOUNDED PRECEDING AND {HOUR} PRECEDING) AS before FROM run_hours WHERE temp IS NOT NULL)
+  SELECT source, valid, run_id, round(temp - before, 6) AS revision FROM r WHERE before IS NOT NULL"""
 
 
-def revisions(hours):
-    """What each run changes against the run before it that has the same hour."""
-    order = Window.partitionBy("source", "valid").orderBy("fetched", "run_id")
-    r = hours.where("temp is not null").withColumn("before", F.lag("temp").over(order))
-    return r.where("before is not null").select("source", "valid", "run_id", r6(F.col("temp") - F.col("before")).alias("revision"))
+@query("w16_all_revisions", REVISIONS)
+@query("w16_revision_delta", REVISIONS)
+def revision_delta(spark, sf_dir):
+    """What each run changes against the newest run with the same hour that is at least an hour older."""
+    older = Window.partitionBy("source", "valid").orderBy("fetched").rangeBetween(Window.unboundedPreceding, -HOUR)
+    r = run_hours(spark, sf_dir).where("temp is not null").withColumn("before", F.max(F.struct("fetched", "run_id", "temp")).over(older))
+    return r.where("before is not null").select("source", "valid", "run_id", r6(F.col("temp") - F.col("before.temp")).alias("revision"))
 
 
 @query("w20_wind_summaries", f"{WINDOW}, v AS (SELECT *, -speed * sin(radians(direction)) AS u, -speed * cos(radians(direction)) AS n FROM w) SELECT run_id, CASE WHEN count(u) = count(*) THEN round(sum(u * w) / sum(w), 6) END AS u, CASE WHEN count(u) = count(*) THEN round(sum(n * w) / sum(w), 6) END AS v, CASE WHEN count(u) = count(*) THEN round(sqrt(pow(sum(u * w), 2) + pow(sum(n * w), 2)) / sum(speed * w), 6) END AS coherence FROM v GROUP BY run_id")

@@ -30,3 +30,10 @@ def load_detections(spark: SparkSession, path: str) -> DataFrame:
     rows = raw.select(number("latitude").alias("lat"), number("longitude").alias("lon"), (micros(F.expr("try_cast(acq_date as timestamp_ntz)")) + minutes.cast("long") * MINUTE).alias("acq_us"), number("frp").alias("frp"), clock.alias("_clock"))
     good = rows.where("lat between -90 and 90 and lon between -180 and 180 and acq_us is not null and length(_clock) = 4")
     return good.groupBy("lat", "lon", "acq_us").agg(F.max("frp").alias("frp"))
+
+
+def decode_runs(runs: DataFrame, key: str, fields: tuple[str, ...], payload: str = "payload") -> DataFrame:
+    """One row per run and hour from payloads of JSON text with an array ``hourly``; runs whose payload is malformed give none."""
+    kinds = ", ".join(f"{f} {'bigint' if f in ('h', 'valid') else 'double'}" for f in fields)
+    hours = F.explode(F.from_json(payload, f"hourly array<struct<{kinds.replace(' ', ':').replace(',:', ', ')}>>")["hourly"])
+    return runs.select(key, hours.alias("_hour")).select(key, *(F.col("_hour")[f].alias(f) for f in fields))

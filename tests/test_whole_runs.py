@@ -35,10 +35,10 @@ def test_all_points_and_vectors(spark, hours):
 def test_all_revisions(spark, hours):
     want, before = {}, {}
     for r in sorted((r for r in hours if r["temp"] is not None), key=lambda r: (r["fetched"], r["run_id"])):
-        at = r["source"], r["valid"]
-        if at in before:
-            want[(*at, r["run_id"])] = round(r["temp"] - before[at], 6)
-        before[at] = r["temp"]
+        older = [x for x in before.setdefault((r["source"], r["valid"]), []) if x["fetched"] <= r["fetched"] - 3_600_000_000]
+        if older:
+            want[r["source"], r["valid"], r["run_id"]] = round(r["temp"] - older[-1]["temp"], 6)
+        before[r["source"], r["valid"]].append(r)
     assert {(r["source"], r["valid"], r["run_id"]): r["revision"] for r in Q["w16_all_revisions"](spark, DIR).collect()} == want
 
 
