@@ -69,7 +69,7 @@ def station_pairs(spark, sf_dir):
     other = place.toDF("station", "lat2", "lon2")
     east, north = (F.col("lon2") - F.col("lon")) * 111.32 * F.cos(F.radians(F.lit(3.0))), (F.col("lat2") - F.col("lat")) * 110.57
     km = F.sqrt(east * east + north * north)
-    return place.join(other, F.col("series") != F.col("station")).select("series", "station", km.alias("km"), (east / km).alias("ue"), (north / km).alias("un"))
+    return place.join(other, F.col("series") != F.col("station")).select("series", "station", km.alias("km"), F.try_divide(east, km).alias("ue"), F.try_divide(north, km).alias("un"))
 
 
 @query("j15_stations", f"{STATIONS} SELECT issue_id, station, round(km, 6) AS km, round(ue, 6) AS ue, round(un, 6) AS un FROM issues JOIN st USING (series)")

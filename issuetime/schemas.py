@@ -44,15 +44,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series, us, obs_id, v, k, visible_us: irregular readings with the clock at which each became visible."""
+    return readings_of(table(spark, sf_dir, "events"))
+
+
+def readings_of(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_type").alias("series"), micros(F.col("ts")).alias("us"), F.col("event_id").alias("obs_id"), F.col("value").alias("v"), k.alias("k")
     ).withColumn("visible_us", F.col("us") + F.col("k") * MINUTE)
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series, obs_id, us, receipt_id, available, confirmed, v: every receipt of a tracked reading, corrections included."""
-    r = readings(spark, sf_dir).where("obs_id % 13 <> 0")
+    return receipts_of(readings(spark, sf_dir))
+
+
+def receipts_of(readings: DataFrame) -> DataFrame:
+    r = readings.where("obs_id % 13 <> 0")
     first = r.select("series", "obs_id", "us", (2 * F.col("obs_id")).alias("receipt_id"), F.col("visible_us").alias("available"), "v")
     again = r.where("obs_id % 7 = 0").select(
         "series", "obs_id", "us", (2 * F.col("obs_id") + 1).alias("receipt_id"), (F.col("visible_us") + 30 * MINUTE).alias("available"), (F.col("v") * 1.1).alias("v")
@@ -63,9 +71,13 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run_id, fetched, source, cust: one issued forecast run per order."""
+    return runs_of(table(spark, sf_dir, "orders"))
+
+
+def runs_of(orders: DataFrame) -> DataFrame:
     day = F.dayofyear("o_orderdate") % 30
     start = 1_704_067_200 * SECOND
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         F.col("o_orderkey").alias("run_id"), (F.lit(start) + day * DAY + F.col("o_orderkey") % 1440 * MINUTE).cast("long").alias("fetched"), F.col("o_orderpriority").alias("source"), F.col("o_custkey").alias("cust")
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +36,17 @@ def missing_issues(new: DataFrame, existing: DataFrame | None, keys: list[str],
     return once if existing is None else once.join(existing.select(*keys), keys, "left_anti")
 
 
-def append_issues(new: DataFrame, path: str, keys: list[str], order: str) -> None:
-    """Append to the table at ``path`` the rows whose key it lacks."""
-    spark = new.sparkSession
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if nothing has been written there."""
     try:
-        existing = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        existing = None
-    missing_issues(new, existing, keys, order).write.mode("append").parquet(path)
+        return None
+
+
+def append_issues(new: DataFrame, path: str, keys: list[str], order: str, partition: str | None = None) -> None:
+    """Append to the table at ``path`` the rows whose key it lacks. One writer at a time; a batch that is repeated adds nothing."""
+    writer = missing_issues(new, existing(new.sparkSession, path), keys, order).write.mode("append")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
