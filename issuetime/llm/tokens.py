@@ -37,7 +37,7 @@ class PieceEncoder:
     kind of tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 16 << 20, longest: int = 40) -> None:
+    def __init__(self, path: str, limit: int = 48 << 20, longest: int = 40) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,18 +59,26 @@ class PieceEncoder:
         return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin1").translate(_CHARACTER))]).tobytes()
 
     def _known(self, piece: str) -> bytes:
-        ids = self.kept.get(piece) or self.old.get(piece) or self._piece(piece)
-        if len(piece) <= self.longest and piece not in self.kept:
+        """Ids of a piece that the new generation lacked when its text began."""
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.kept.get(piece)
+            if ids is not None:
+                return ids
+            ids = self._piece(piece)
+        if len(piece) <= self.longest:
             self.kept[piece] = ids
-            self.size += 200 + 2 * len(piece) + len(ids)  # about what the two objects and their entry take
+            self.size += 200 + 2 * len(piece)  # about what the two objects and their entry take
             if self.size > self.limit:
                 self.kept, self.old, self.size = {}, self.kept, 0
         return ids
 
     def _joined(self, pieces: list[str]) -> bytes:
         ids = list(map(self.kept.get, pieces))
-        if None in ids:
-            ids = [x or self._known(p) for x, p in zip(ids, pieces, strict=True)]
+        at = -1
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at + 1)
+            ids[at] = self._known(pieces[at])
         return b"".join(ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
