@@ -7,9 +7,8 @@ blocks of all curves are merged and ranked by the exact cosine.
 
 The window's width and the number of curves come from the data: for a sample of queries of bounded size the true neighbours
 are found among all vectors, and for each number of curves (two at least) the window is the distance in rank, on the nearest of
-them, that holds the wanted share. The number that scores the fewest vectors is taken, so that data without structure, where
-windows hold most rows on any curve, cost about an exact scan and not one for each curve. All vectors are indexed and all
-candidates in the windows are scored.
+them, that holds the wanted share. The number that scores the fewest vectors is taken. On data without structure, windows hold a large part of the rows on
+any curve, and the search costs more than an exact scan. All vectors are indexed and all candidates in the windows are scored.
 """
 
 from __future__ import annotations
@@ -183,7 +182,7 @@ def _windows(classes: DataFrame, queries: DataFrame, places: DataFrame, k: int,
     apart = true.join(places, "class").join(own, ["query", "curve"]).groupBy("query", "class").agg(*(F.min(F.when(F.col("curve") < c, away)).alias(f"apart{c}") for c in tried))
     reaches = apart.agg(*(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY apart{c})") for c in tried)).first()
     n = places.where("curve = 0").count()
-    plans = [Windows(c, max(r or 0, 1), c * min(n, 2 * max(r or 0, 1) + block)) for c, r in zip(tried, reaches, strict=True)]
+    plans = [Windows(c, r, c * min(n, 2 * r + block)) for c, r in zip(tried, (max(int(x or 0), 1) for x in reaches), strict=True)]
     return min(plans, key=lambda w: (w.scored, w.curves))
 
 
