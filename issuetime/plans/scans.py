@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from issuetime.operators import buckets as bk
 from issuetime.operators import scores as sc
+from issuetime.operators.weather import explode_grid
 from issuetime.plans.scoring import EVENTS, SCORED, event_rows, scored
 from issuetime.plans.targets import B, r6
 from issuetime.registry import query
 from issuetime.schemas import DAY, HOUR, MINUTE, issues, readings, receipts, run_hours, table
 
-GRID = "grid AS (SELECT n_nationkey AS run, i, j, t, 20 + 5 * i + 3 * j + (n_nationkey + t) % 7 AS pm FROM nation, (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j), (SELECT unnest(range(49)) AS t))"
+GRID = """pts AS (SELECT s_suppkey AS run, i, j, CASE WHEN s_suppkey % 17 = 3 AND i = 1 AND j = 1 THEN 48 ELSE 49 END AS n FROM supplier, (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j)),
+  grid AS (SELECT run, i, j, t, 20 + 5 * i + 3 * j + (run + t) % 7 AS pm FROM pts, (SELECT unnest(range(49)) AS t) WHERE run NOT IN (SELECT run FROM pts GROUP BY run HAVING min(n) <> max(n)))"""
 
 
 def grid(spark, sf_dir):
-    """run, i (latitude), j (longitude), t, pm: the issued lattice in long form."""
-    lattice = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("run"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
-    lattice = lattice.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(48))))
-    return lattice.withColumn("pm", 20 + 5 * F.col("i") + 3 * F.col("j") + (F.col("run") + F.col("t")) % 7)
+    """run, i (latitude), j (longitude), t, pm: one issued lattice per supplier, of whose runs a few hold a series that is too short."""
+    run, axis = F.col("s_suppkey"), F.sequence(F.lit(0), F.lit(2))
+    hours = lambda i, j: F.sequence(F.lit(0), F.when((run % 17 == 3) & (i == 1) & (j == 1), 47).otherwise(48))
+    point = lambda i, j: F.struct(i.alias("i"), j.alias("j"), F.transform(hours(i, j), lambda t: 20 + 5 * i + 3 * j + (run + t) % 7).alias("pm"))
+    points = F.flatten(F.transform(axis, lambda i: F.transform(axis, lambda j: point(i, j))))
+    return explode_grid(table(spark, sf_dir, "supplier").select(run.alias("run"), points.alias("points")))
 
 
 @query("s04_grid_runs", f"WITH {GRID} SELECT run, t, count(*) AS points, sum(pm)::BIGINT AS pm FROM grid GROUP BY run, t", inputs=False)
@@ -34,18 +38,18 @@ def grid_gradient(spark, sf_dir):
     return grid(spark, sf_dir).groupBy("run", "t").agg(r6(part(i > 1) - part(i < 1)).alias("north_south"), r6(part(j > 1) - part(j < 1)).alias("east_west"), r6(F.avg("pm")).alias("mean"), F.max("pm").alias("top"))
 
 
-@query("f14_trilinear", f"""WITH {GRID}, q AS (SELECT n_nationkey AS run, (n_nationkey % 20) / 10.0::DOUBLE AS y, ((n_nationkey * 7) % 20) / 10.0::DOUBLE AS x, (n_nationkey * 3) % 48 + 0.25::DOUBLE AS h FROM nation)
-  SELECT q.run, round(sum(pm * (1 - abs(y - i)) * (1 - abs(x - j)) * (1 - abs(h - t))), 6) AS pm FROM q JOIN grid g ON g.run = q.run AND abs(y - i) < 1 AND abs(x - j) < 1 AND abs(h - t) < 1 GROUP BY q.run""", inputs=False)
+@query("f14_trilinear", f"""WITH {GRID}, q AS (SELECT event_id, user_id AS run, (event_id % 20) / 10.0::DOUBLE AS y, ((event_id * 7) % 20) / 10.0::DOUBLE AS x, (event_id * 3) % 48 + 0.25::DOUBLE AS h FROM events)
+  SELECT q.event_id, round(sum(pm * (1 - abs(y - i)) * (1 - abs(x - j)) * (1 - abs(h - t))), 6) AS pm FROM q LEFT JOIN grid g ON g.run = q.run AND t IN (floor(h)::BIGINT, floor(h)::BIGINT + 1) AND abs(y - i) < 1 AND abs(x - j) < 1 GROUP BY q.event_id""", inputs=False)
 def trilinear(spark, sf_dir):
-    """Each point meets its (at most) eight corners by equal keys."""
-    n = F.col("n_nationkey")
-    q = table(spark, sf_dir, "nation").select(n.alias("run"), (n % 20 / 10.0).alias("y"), (n * 7 % 20 / 10.0).alias("x"), (n * 3 % 48 + 0.25).alias("h"))
+    """Every event's point meets its (at most) eight corners by equal keys; null where its run has no lattice."""
+    n = F.col("event_id")
+    q = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("run"), (n % 20 / 10.0).alias("y"), (n * 7 % 20 / 10.0).alias("x"), (n * 3 % 48 + 0.25).alias("h"))
     corner = lambda c: F.explode(F.array(F.floor(c).cast("int"), F.floor(c).cast("int") + 1))
     corners = q.withColumn("i", corner("y")).withColumn("j", corner("x")).withColumn("t", corner("h"))
     weight = (1 - F.abs(F.col("y") - F.col("i"))) * (1 - F.abs(F.col("x") - F.col("j"))) * (1 - F.abs(F.col("h") - F.col("t")))
     corners = corners.withColumn("w", weight).where("w > 0")
     met = corners.join(grid(spark, sf_dir), ["run", "i", "j", "t"], "left")
-    return met.groupBy("run").agg(r6(F.when(F.count("pm") == F.count(F.lit(1)), F.sum(F.col("pm") * F.col("w")))).alias("pm"))
+    return met.groupBy("event_id").agg(r6(F.when(F.count("pm") == F.count(F.lit(1)), F.sum(F.col("pm") * F.col("w")))).alias("pm"))
 
 
 @query("j10_station_match", f""", rep AS (SELECT us - us % {HOUR} AS at, arg_max(20 + v % 15, (us, obs_id)) AS temp, arg_max(us - us % {HOUR} + k * 60000000, (us, obs_id)) AS seen FROM readings WHERE series = 'error' GROUP BY 1)

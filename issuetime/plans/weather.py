@@ -94,12 +94,21 @@ def rain_exposure(spark, sf_dir):
     return touched(spark, sf_dir).groupBy("run_id").agg(r6(wx.complete(F.sum(part) / (F.max("stop") - F.max("start")), F.col("precip"))).alias("exposure"))
 
 
-@query("a19_path_average", """, x AS (SELECT run_id, h, temp, lead(temp) OVER (PARTITION BY run_id ORDER BY h) AS nxt FROM run_hours WHERE h <= 6) SELECT run_id, CASE WHEN count(nxt) = 6 AND count(temp) = 7 THEN round(sum((temp + nxt) / 2) / 6, 6) END AS mean, min(temp) AS low, max(temp) AS high FROM x GROUP BY run_id""")
+PATHS = ((90 * MINUTE, 2 * HOUR), (12 * HOUR, 4 * HOUR))
+
+
+@query("a19_path_average", f""", x AS (SELECT run_id, fetched, valid, temp, lead(temp) OVER (PARTITION BY run_id ORDER BY h) AS nxt FROM run_hours),
+  c AS (SELECT run_id, s - fetched AS ahead, e - s AS length, greatest(valid, s) AS a, least(valid + {HOUR}, e) AS b, temp, nxt, valid FROM (SELECT x.*, fetched + o AS s, fetched + o + n AS e FROM x CROSS JOIN (VALUES {", ".join(f"({o}::BIGINT, {n}::BIGINT)" for o, n in PATHS)}) t(o, n)) WHERE valid < e AND valid + {HOUR} > s),
+  v AS (SELECT *, temp + (nxt - temp) * (a - valid) / {HOUR}::DOUBLE AS va, temp + (nxt - temp) * (b - valid) / {HOUR}::DOUBLE AS vb FROM c)
+  SELECT run_id, ahead, CASE WHEN whole THEN round(area / length, 6) END AS mean, CASE WHEN whole THEN round(low, 6) END AS low, CASE WHEN whole THEN round(high, 6) END AS high FROM (
+    SELECT run_id, ahead, length, count(va + vb) = count(*) AND sum(b - a) = length AS whole, sum((va + vb) / 2 * (b - a)) AS area, least(min(va), min(vb)) AS low, greatest(max(va), max(vb)) AS high FROM v GROUP BY run_id, ahead, length)""")
 def path_average(spark, sf_dir):
-    nxt = F.lead("temp").over(Window.partitionBy("run_id").orderBy("h"))
-    x = run_hours(spark, sf_dir).where("h <= 6").select("run_id", "temp", nxt.alias("next"))
-    whole = (F.count("next") == 6) & (F.count("temp") == 7)
-    return x.groupBy("run_id").agg(r6(F.when(whole, F.sum((F.col("temp") + F.col("next")) / 2) / 6)).alias("mean"), F.min("temp").alias("low"), F.max("temp").alias("high"))
+    """Per run and window the mean of the path through its hourly temperatures, both ends interpolated, and the path's least and most."""
+    parts = wx.path_parts(run_hours(spark, sf_dir), "temp", PATHS)
+    whole = (F.count(F.col("va") + F.col("vb")) == F.count(F.lit(1))) & (F.sum(F.col("b") - F.col("a")) == F.col("length"))
+    area = F.sum((F.col("va") + F.col("vb")) / 2 * (F.col("b") - F.col("a")))
+    known = lambda c: r6(F.when(whole, c))
+    return parts.groupBy("run_id", "ahead", "length").agg(known(area / F.col("length")).alias("mean"), known(F.least(F.min("va"), F.min("vb"))).alias("low"), known(F.greatest(F.max("va"), F.max("vb"))).alias("high")).drop("length")
 
 
 @query("a50_morning_block", f" SELECT run_id, CASE WHEN count(pprob) = 2 THEN max(pprob) END AS rain_chance, CASE WHEN count(temp) = 2 THEN max(temp) END AS warmest, CASE WHEN count(speed) = 2 THEN avg(speed) END AS wind FROM run_hours WHERE valid % {24 * HOUR} IN ({7 * HOUR}, {8 * HOUR}) AND h < 24 GROUP BY run_id")
@@ -109,14 +118,17 @@ def morning_block(spark, sf_dir):
     return rows.groupBy("run_id").agg(two(F.max, "pprob").alias("rain_chance"), two(F.max, "temp").alias("warmest"), two(F.avg, "speed").alias("wind"))
 
 
-VECTORS = " SELECT run_id, h, round(-speed * sin(radians(direction)), 6) + 0.0 AS u, round(-speed * cos(radians(direction)), 6) + 0.0 AS v, ['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW'][(floor(direction / 22.5 + 0.5)::BIGINT % 16 + 1)] AS compass FROM run_hours"
+VECTORS = """, f AS (SELECT *, radians(direction - run_id * 53 % 360) AS off FROM run_hours) SELECT run_id, h, round(-speed * sin(radians(direction)), 6) + 0.0 AS u, round(-speed * cos(radians(direction)), 6) + 0.0 AS v, ['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW'][(floor(direction / 22.5 + 0.5)::BIGINT % 16 + 1)] AS compass,
+  CASE WHEN off IS NOT NULL THEN round(greatest(0, cos(off)), 6) END AS alignment, round(speed * cos(off), 6) + 0.0 AS from_source FROM f"""
 
 
 @query("f11_all_vectors", VECTORS)
 @query("f11_wind_vectors", VECTORS)
 def wind_vectors(spark, sf_dir):
+    """Components, compass name, and how far the wind comes from a source: alignment in [0, 1] and signed component against its bearing."""
     u, v = wx.wind_uv(F.col("speed"), F.col("direction"))
-    return run_hours(spark, sf_dir).select("run_id", "h", (r6(u) + 0.0).alias("u"), (r6(v) + 0.0).alias("v"), wx.compass(F.col("direction")).alias("compass"))
+    alignment, part = wx.from_bearing(F.col("speed"), F.col("direction"), F.col("run_id") * 53 % 360)
+    return run_hours(spark, sf_dir).select("run_id", "h", (r6(u) + 0.0).alias("u"), (r6(v) + 0.0).alias("v"), wx.compass(F.col("direction")).alias("compass"), r6(alignment).alias("alignment"), (r6(part) + 0.0).alias("from_source"))
 
 
 @query("f13_interpolated_point", f""", t AS (SELECT run_id, fetched + {90 * MINUTE} AS t FROM runs)
@@ -164,10 +176,21 @@ def revision_delta(spark, sf_dir):
     return r.where("before is not null").select("source", "valid", "run_id", r6(F.col("temp") - F.col("before.temp")).alias("revision"))
 
 
-@query("w20_wind_summaries", f"{WINDOW}, v AS (SELECT *, -speed * sin(radians(direction)) AS u, -speed * cos(radians(direction)) AS n FROM w) SELECT run_id, CASE WHEN count(u) = count(*) THEN round(sum(u * w) / sum(w), 6) END AS u, CASE WHEN count(u) = count(*) THEN round(sum(n * w) / sum(w), 6) END AS v, CASE WHEN count(u) = count(*) THEN round(sqrt(pow(sum(u * w), 2) + pow(sum(n * w), 2)) / sum(speed * w), 6) END AS coherence FROM v GROUP BY run_id")
+ORDERED = f""", b AS (SELECT *, fetched + {90 * MINUTE} AS s, fetched + {90 * MINUTE} + {LENGTH} AS e, -speed * sin(radians(direction)) AS u, -speed * cos(radians(direction)) AS n, speed / 3.6 * (200 + 20 * pprob) AS vent FROM run_hours),
+  p AS (SELECT *, greatest(least(e, valid + {HOUR}) - greatest(s, valid), 0) AS w, greatest(least(s, valid + {HOUR}) - greatest(fetched, valid), 0) AS w0, valid - {HOUR} >= fetched AS stepped,
+          sqrt(pow(u - lag(u) OVER (PARTITION BY run_id ORDER BY valid), 2) + pow(n - lag(n) OVER (PARTITION BY run_id ORDER BY valid), 2)) AS step FROM b WHERE valid + {HOUR} > fetched AND valid <= e),
+  g AS (SELECT run_id, count(u) FILTER (w > 0) = count(*) FILTER (w > 0) AS whole, count(vent) FILTER (w0 > 0) = count(*) FILTER (w0 > 0) AS whole0, count(step) FILTER (stepped) = count(*) FILTER (stepped) AS steps,
+          sum(u * w) / sum(w) AS u, sum(n * w) / sum(w) AS v, sum(speed * w) / sum(w) AS speed, sum(vent * w) / sum(w) AS during, sum(vent * w0) / sum(w0) AS before, max(step) FILTER (stepped) AS step, max(u) FILTER (h = 0) AS u0, max(n) FILTER (h = 0) AS v0 FROM p GROUP BY run_id),
+  t AS (SELECT *, sqrt(u * u + v * v) AS len, sqrt(u0 * u0 + v0 * v0) * sqrt(u * u + v * v) AS product FROM g)
+  SELECT run_id, CASE WHEN whole THEN round(u, 6) END AS u, CASE WHEN whole THEN round(v, 6) END AS v, CASE WHEN whole THEN round(speed, 6) END AS speed, CASE WHEN whole AND speed > 0.1 THEN round(least(len / speed, 1), 6) END AS coherence,
+    CASE WHEN whole AND product > 1e-6 THEN round(least(greatest((u0 * u + v0 * v) / product, -1), 1), 6) END AS turn_cos, CASE WHEN whole AND product > 1e-6 THEN round(least(greatest((u0 * v - v0 * u) / product, -1), 1), 6) END AS turn_sin,
+    CASE WHEN steps THEN round(step, 6) END AS max_step, CASE WHEN whole THEN round(during, 5) END AS vent_during, CASE WHEN whole0 THEN round(before, 5) END AS vent_before FROM t"""
+
+
+@query("w20_wind_summaries", ORDERED)
 def wind_summaries(spark, sf_dir):
-    u, v = wx.wind_uv(F.col("speed"), F.col("direction"))
-    rows, w = touched(spark, sf_dir).withColumn("u", u).withColumn("v", v), F.col("w")
-    total = lambda c: F.sum(F.col(c) * w)
-    whole = lambda c: r6(wx.complete(c, F.col("u")))
-    return rows.groupBy("run_id").agg(whole(total("u") / F.sum(w)).alias("u"), whole(total("v") / F.sum(w)).alias("v"), whole(F.sqrt(F.pow(total("u"), 2) + F.pow(total("v"), 2)) / total("speed")).alias("coherence"))
+    """Per run's window: mean vector and speed, coherence, turning from the first hour's wind, largest hourly step since the issue, and
+    ventilation (speed times a mixing height that rises with the chance of rain) in the window and before it. A missing hour nulls a mean."""
+    return wx.ordered_wind(run_hours(spark, sf_dir), 90 * MINUTE, LENGTH, 200 + 20 * F.col("pprob")).select(
+        "run_id", *(r6(c).alias(c) for c in ("u", "v", "speed", "coherence", "turn_cos", "turn_sin", "max_step")), *(F.round(c, 5).alias(c) for c in ("vent_during", "vent_before")),
+    )
