@@ -94,6 +94,43 @@ def prior_outlook(spark, sf_dir):
     return on.join(found, ["series", "label"], "left").select("series", "label", "dir", F.coalesce("events", F.lit(0)).alias("events"), r6(F.when(F.col("events") >= 2, F.col("m"))).alias("outlook"))
 
 
+OVERLAY = f"""{ONSETS}, o AS (SELECT a.series, a.label, a.dir, c.med AS level, b.med - c.med AS outcome FROM onsets a JOIN closed c ON c.series = a.series AND c.label = a.label JOIN closed b ON b.series = a.series AND b.label = a.label + {4 * B}),
+  f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY series, dir, (label - 1) // {DAY} ORDER BY label) = 1),
+  p AS (SELECT x.series, x.label, x.dir, count(f.label) AS events, min(level) AS lo, max(level) AS hi, median(outcome) AS m FROM onsets x LEFT JOIN f ON f.series = x.series AND f.dir = x.dir AND f.label + {4 * B} < x.label AND f.label >= x.label - {14 * DAY} GROUP BY ALL),
+  y AS (SELECT p.*, c.med AS level, m1.med AS m1, m2.med AS m2 FROM p JOIN closed c USING (series, label) LEFT JOIN closed m1 ON m1.series = p.series AND m1.label = p.label + {B} LEFT JOIN closed m2 ON m2.series = p.series AND m2.label = p.label + {2 * B}),
+  z AS (SELECT *, greatest(1, 0.03 * level) AS tol, CASE WHEN dir < 0 THEN least(level, m1, m2) ELSE greatest(level, m1, m2) END AS ext, unnest([1, 2]) AS age FROM y),
+  v AS (SELECT *, (m1 - level) * dir < -tol OR (age = 2 AND ((m2 - level) * dir < -tol OR ((ext - m2) * dir >= greatest(3, 0.08 * abs(ext)) AND ((ext - m1) * dir >= greatest(3, 0.08 * abs(ext)) OR (m1 - m2) * dir >= greatest(2, 0.05 * abs(ext)))))) AS back, CASE WHEN age = 1 THEN m1 ELSE m2 END AS anchor FROM z),
+  s AS (SELECT *, CASE WHEN events < 2 THEN 'insufficient' WHEN level NOT BETWEEN lo AND hi THEN 'outside' WHEN m1 IS NULL OR (age = 2 AND m2 IS NULL) THEN 'awaiting' WHEN back THEN 'reversed' ELSE 'active' END AS status FROM v)
+  SELECT series, label, age, events, status, CASE WHEN status = 'active' THEN round(greatest(0, anchor + (level + m - anchor) / age), 6) END AS projected FROM s"""
+
+
+@query("e13_event_overlay", OVERLAY)
+def event_overlay(spark, sf_dir):
+    """Each onset one and two buckets on: what completed prior events of its kind (one a day, in 14 days) say, if they are two or more,
+    its level lies inside theirs, and the buckets since neither go back over the trigger nor rebound; the weight halves with age."""
+    from issuetime.operators.joins import trailing_join
+
+    around = closed(spark, sf_dir)
+    for name, steps in (("m1", 1), ("m2", 2), ("end", 4)):
+        around = bk.at_offset(around, steps, B, name)
+    on = onsets(spark, sf_dir).select("series", "label", "dir").join(around.withColumnRenamed("med", "level"), ["series", "label"])
+    first = Window.partitionBy("series", "dir", "day").orderBy("label")
+    done = on.where("end is not null").withColumn("day", F.expr(f"(label - 1) div {DAY}")).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    done = done.select("series", F.col("label").alias("was"), F.col("dir").alias("was_dir"), F.col("level").alias("was_level"), (F.col("end") - F.col("level")).alias("outcome"))
+    seen = trailing_join(on.select("series", "label", "dir"), done, "label", "was", 14 * DAY + 1).where((F.col("dir") == F.col("was_dir")) & (F.col("was") + 4 * B < F.col("label")))
+    prior = seen.groupBy("series", "label").agg(F.count(F.lit(1)).alias("events"), F.min("was_level").alias("lo"), F.max("was_level").alias("hi"), F.median("outcome").alias("m"))
+    x = on.join(prior, ["series", "label"], "left").withColumn("events", F.coalesce("events", F.lit(0))).withColumn("age", F.explode(F.array(F.lit(1), F.lit(2))))
+    level, m1, m2, way, late = F.col("level"), F.col("m1"), F.col("m2"), F.col("dir"), F.col("age") == 2
+    limit, far = F.greatest(F.lit(1.0), 0.03 * level), F.when(way < 0, F.least(level, m1, m2)).otherwise(F.greatest(level, m1, m2))
+    margin = F.greatest(F.lit(3.0), 0.08 * F.abs(far))
+    rebound = ((far - m2) * way >= margin) & (((far - m1) * way >= margin) | ((m1 - m2) * way >= F.greatest(F.lit(2.0), 0.05 * F.abs(far))))
+    back = ((m1 - level) * way < -limit) | (late & (((m2 - level) * way < -limit) | rebound))
+    status = F.when(F.col("events") < 2, "insufficient").when(~level.between(F.col("lo"), F.col("hi")), "outside").when(m1.isNull() | (late & m2.isNull()), "awaiting").when(back, "reversed").otherwise("active")
+    anchor = F.when(late, m2).otherwise(m1)
+    projected = F.greatest(F.lit(0.0), anchor + (level + F.col("m") - anchor) / F.col("age"))
+    return x.withColumn("status", status).select("series", "label", F.col("age").cast("long").alias("age"), "events", "status", r6(F.when(F.col("status") == "active", projected)).alias("projected"))
+
+
 POINTS = "(SELECT event_id, value, (event_id % 200 - 100) / 100.0::DOUBLE * 110.57 AS n, ((event_id * 7) % 200 - 100) / 100.0::DOUBLE * 111.32 AS e FROM events)"
 
 
