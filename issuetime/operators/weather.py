@@ -48,7 +48,9 @@ def from_bearing(speed: Column, direction_from: Column, bearing: Column) -> tupl
 def path_parts(hours: DataFrame, field: str, windows: tuple[tuple[int, int], ...]) -> DataFrame:
     """run_id, ahead, length, a, b, va, vb: the straight pieces between hours, cut to each window (start after the run's fetch, length)."""
     following = F.lead(field).over(Window.partitionBy("run_id").orderBy("h"))
-    pieces = hours.select("run_id", "fetched", "valid", F.col(field).alias("x"), following.alias("next"))
+    first, last = min(o for o, _ in windows), max(o + n for o, n in windows)
+    near = hours.where((F.col("valid") > F.col("fetched") + first - HOUR) & (F.col("valid") < F.col("fetched") + last + HOUR))
+    pieces = near.select("run_id", "fetched", "valid", F.col(field).alias("x"), following.alias("next"))
     each = F.explode(F.array(*(F.struct(F.lit(o).cast("long").alias("ahead"), F.lit(n).cast("long").alias("length")) for o, n in windows)))
     cut = pieces.withColumn("_w", each).select("*", "_w.*").withColumn("a", F.greatest("valid", F.col("fetched") + F.col("ahead"))).withColumn("b", F.least(F.col("valid") + HOUR, F.col("fetched") + F.col("ahead") + F.col("length")))
     at = lambda t: F.col("x") + (F.col("next") - F.col("x")) * (F.col(t) - F.col("valid")) / HOUR
