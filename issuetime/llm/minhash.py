@@ -146,7 +146,7 @@ def class_labels(keyed: DataFrame, classes: DataFrame, words: int = 5) -> DataFr
     lists = stored(postings(classes), "postings")
     posted = lists.select("id").distinct().join(classes.select("id", "row"), "id")
     sets = stored(full_sets(keyed, posted, words), "sets")
-    links, labels, labelled = None, None, lists.withColumn("label", F.col("id"))
+    labels, labelled = None, lists.withColumn("label", F.col("id"))
     for turn in range(STAR_ROUNDS + 1):
         several = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
         open_lists = stored(labelled.join(several, "token"), "open-lists")
@@ -161,7 +161,8 @@ def class_labels(keyed: DataFrame, classes: DataFrame, words: int = 5) -> DataFr
         else:
             pairs = rare_pairs(open_lists.select("id", "label").distinct(), sets)
         found = stored(confirmed(pairs, classes, sets), "confirmed")
-        links = found if links is None else links.union(found)
+        # of the links before, each class's one to its label tells all, and leaves fewer rounds to go
+        links = found if labels is None else found.union(labels.select("id", "label"))
         labels = stored(components(links).withColumnRenamed("node", "id"), "labels")
         labelled = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     return labels if labels is not None else classes.select("id", F.col("id").alias("label")).where("false")
