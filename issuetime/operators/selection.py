@@ -7,29 +7,68 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from issuetime.schemas import DAY
 
-def choose_spaced(rows: DataFrame, ts: str, spacing: int, on: str = "series", end: str | None = None) -> DataFrame:
+LONG_AGO = -(1 << 62)
+
+
+def choose_spaced(rows: DataFrame, ts: str, spacing: int, on: str = "series", end: str | None = None, block: int = 7 * DAY) -> DataFrame:
     """The first row per key, then each next row at least ``spacing`` after the last chosen one's ``end`` (its clock if not given).
 
-    The choice depends on the one before, so it is folded over each key's clocks: Spark sorts and streams them within the
-    key, and only the clock of the last choice is carried. Clocks must be unique within a key.
+    The choice depends on the one before, but a block of time needs only the clock from which a row may be chosen again. So
+    every block of each key works out by itself where it would leave that clock for each way in (chains soon run together,
+    so few differ), one number is carried through those few rows per block, and then every block chooses by itself. A hot
+    key spreads over its blocks; a block's clocks must fit one task. Clocks must be unique within a key; rows without key,
+    clock or end are not chosen.
     """
+    import numpy as np
     import pandas as pd
 
-    clocks = rows.select(F.col(on).alias("_k"), F.col(ts).alias("_t"), F.col(end or ts).alias("_e"))
+    kind = dict(rows.dtypes)[on]
+    clocks = rows.select(F.col(on).alias("_k"), F.col(ts).cast("long").alias("_t"), F.col(end or ts).cast("long").alias("_e")).dropna()
+    clocks = clocks.withColumn("_b", ((F.col("_t") - F.pmod("_t", F.lit(block))) / block).cast("long"))
+
+    def after(t, e):
+        """For each row the place of the next one that may be chosen after it."""
+        return np.maximum(np.searchsorted(t, e + spacing), np.arange(1, len(t) + 1))
 
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = object(), 0
+    def exits(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_t", "_e"])
+        t, e = part["_t"].to_numpy(), part["_e"].to_numpy()
+        step = after(t, e)
+        last = np.where(step < len(t), step, np.arange(len(t)))
+        while (last[last] != last).any():
+            last = last[last]
+        free = e[last] + spacing
+        ends = np.append(free[1:] != free[:-1], True)  # of ways in with one outcome, the latest stands for all
+        return pd.DataFrame({"_k": part["_k"].to_numpy()[ends], "_b": part["_b"].to_numpy()[ends], "_t": t[ends], "_free": free[ends]})
+
+    def carry(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, free, passed = (None, None), LONG_AGO, False
         for part in parts:
-            keep = []
-            for k, t, e in zip(part["_k"], part["_t"], part["_e"], strict=True):
-                fresh = k != key or t >= last + spacing
-                keep.append(fresh)
-                if fresh:
-                    key, last = k, e
-            yield part.loc[keep, ["_k", "_t"]]
-
-    chosen = clocks.repartition("_k").sortWithinPartitions("_k", "_t").mapInPandas(fold, f"_k {dict(rows.dtypes)[on]}, _t bigint")
+            starts = []
+            for k, b, t, leaves in zip(part["_k"], part["_b"], part["_t"], part["_free"], strict=True):
+                if (k, b) != at:
+                    free = free if k == at[0] else LONG_AGO
+                    at, passed = (k, b), False
+                    starts.append((k, b, free))
+                if not passed and t >= free:
+                    free, passed = leaves, True
+            yield pd.DataFrame(starts, columns=["_k", "_b", "_free"])
+
+    def choose(part: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_t", "_e"])
+        t, kept = part["_t"].to_numpy(), []
+        step, i = after(t, part["_e"].to_numpy()), int(np.searchsorted(t, start["_free"].iloc[0]))
+        while i < len(t):
+            kept.append(i)
+            i = int(step[i])
+        return part.iloc[kept][["_k", "_t"]]
+
+    blocks = clocks.groupBy("_k", "_b")
+    ways = blocks.applyInPandas(exits, f"_k {kind}, _b bigint, _t bigint, _free bigint")
+    starts = ways.repartition("_k").sortWithinPartitions("_k", "_b", "_t").mapInPandas(carry, f"_k {kind}, _b bigint, _free bigint")
+    chosen = blocks.cogroup(starts.groupBy("_k", "_b")).applyInPandas(choose, f"_k {kind}, _t bigint")
     return rows.join(chosen, (F.col(on) == F.col("_k")) & (F.col(ts) == F.col("_t")), "left_semi")
 
 

@@ -183,7 +183,8 @@ def pit_recalibration(spark, sf_dir):
 
     Places are hundredths of the forecast's range, so a day's past is a histogram of a hundred rows, whatever its size.
     """
-    past = ln.training_rows(arrival_targets(spark, sf_dir)).groupBy("series", "day", F.expr(PIT).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    placed = arrival_targets(spark, sf_dir).withColumn("bin", F.expr(PIT))
+    past = ln.training_sums(placed, [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("c")], ("bin",))
     now = issues(spark, sf_dir).withColumn("day", day_of("issue_us")).withColumn("place", F.expr(LEVEL))
     asked = now.select("series", "day", "place").distinct()
     read = asked.join(past, ["series", "day"]).groupBy("series", "day", "place").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("bin") < F.col("place"), F.col("c")).otherwise(0)).alias("below")).where("n >= 10")
@@ -200,7 +201,8 @@ def kernel_climatology(spark, sf_dir):
     """Chance of a fall and mean change near each clock hour and level, from Gaussian weights over cells of the day's past rows."""
     cell = [F.expr(f"issue_us % {DAY} div {HOUR}").alias("hour"), F.floor(F.log(F.col("ref") + 5) * 4).cast("long").alias("level")]
     moved = F.col("target") - F.col("ref")
-    past = ln.training_rows(arrival_targets(spark, sf_dir)).groupBy("series", "day", *cell).agg(F.count(F.lit(1)).alias("n"), F.count_if(moved <= -20).alias("falls"), F.sum(moved).alias("moved"))
+    parts = [F.count(F.lit(1)).alias("n"), F.count_if(moved <= -20).alias("falls"), F.sum(moved).alias("moved")]
+    past = ln.training_sums(arrival_targets(spark, sf_dir).select("*", *cell), parts, [F.sum(c).alias(c) for c in ("n", "falls", "moved")], ("hour", "level"))
     asked = issues(spark, sf_dir).select("series", day_of("issue_us").alias("day"), *cell).distinct()
     met = asked.join(past.withColumnsRenamed({"hour": "hour2", "level": "level2"}), ["series", "day"])
     apart = F.abs(F.col("hour") - F.col("hour2"))

@@ -22,8 +22,9 @@ def evaluated(spark, sf_dir):
 
 @query("p07_training_rows", f"{TRAIN} SELECT series, day, count(*) AS n, min(issue_id) AS first, max(issue_id) AS last FROM train GROUP BY series, day")
 def training_rows(spark, sf_dir):
-    rows = ln.training_rows(arrival_targets(spark, sf_dir)).join(evaluated(spark, sf_dir), ["series", "day"])
-    return rows.groupBy("series", "day").agg(F.count(F.lit(1)).alias("n"), F.min("issue_id").alias("first"), F.max("issue_id").alias("last"))
+    parts = [F.count(F.lit(1)).alias("n"), F.min("issue_id").alias("least"), F.max("issue_id").alias("most")]
+    rows = ln.training_sums(arrival_targets(spark, sf_dir), parts, [F.sum("n").alias("n"), F.min("least").alias("first"), F.max("most").alias("last")])
+    return rows.join(evaluated(spark, sf_dir), ["series", "day"]).select("series", "day", "n", "first", "last")
 
 
 @query("m02_ridge_days", f"{TRAIN}, s AS (SELECT series, day, count(*) AS n, avg(ref) AS mx, avg(target) AS my, count(*) * covar_pop(ref, target) AS sxy, count(*) * var_pop(ref) AS sxx FROM train GROUP BY series, day) SELECT series, day, n, round(sxy / (sxx + 100), 6) AS slope, round(my - sxy / (sxx + 100) * mx, 5) AS intercept FROM s")
@@ -34,7 +35,8 @@ def ridge_days(spark, sf_dir):
 
 @query("m01_walk_forward", f"{TRAIN}, s AS (SELECT series, day, count(*) AS n, avg(target - ref) AS shift FROM train GROUP BY series, day) SELECT i.issue_id, CASE WHEN n >= 10 THEN round(i.ref + shift, 5) END AS pred FROM issues i LEFT JOIN s ON s.series = i.series AND s.day = i.issue_us // {DAY}")
 def walk_forward(spark, sf_dir):
-    fit = ln.training_rows(arrival_targets(spark, sf_dir)).groupBy("series", "day").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("target") - F.col("ref")).alias("shift"))
+    d = F.col("target") - F.col("ref")
+    fit = ln.training_sums(arrival_targets(spark, sf_dir), [F.count(F.lit(1)).alias("n"), F.count(d).alias("m"), F.sum(d).alias("d")], [F.sum("n").alias("n"), (F.sum("d") / F.sum("m")).alias("shift")])
     now = issues(spark, sf_dir).withColumn("day", F.expr(f"issue_us div {DAY}")).join(fit, ["series", "day"], "left")
     return now.select("issue_id", F.round(F.when(F.col("n") >= 10, F.col("ref") + F.col("shift")), 5).alias("pred"))
 
@@ -57,8 +59,9 @@ def fit_predict(spark, sf_dir):
 def ratio_distribution(spark, sf_dir):
     """Share of past log ratios that keep a level of 50 at or under 70."""
     z = F.log((F.col("target") + 5) / (F.col("ref") + 5))
-    rows = ln.training_rows(arrival_targets(spark, sf_dir)).join(evaluated(spark, sf_dir), ["series", "day"])
-    return rows.groupBy("series", "day").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((z <= F.log(F.lit(75 / 55.0))).cast("int"))).alias("below"))
+    held = (z <= F.log(F.lit(75 / 55.0))).cast("int")
+    rows = ln.training_sums(arrival_targets(spark, sf_dir), [F.count(F.lit(1)).alias("n"), F.count(held).alias("m"), F.sum(held).alias("held")], [F.sum("n").alias("n"), r6(F.sum("held") / F.sum("m")).alias("below")])
+    return rows.join(evaluated(spark, sf_dir), ["series", "day"]).select("series", "day", "n", "below")
 
 
 @query("m31_scaled_persistence", f"{TRAIN}, q AS (SELECT series, day, median(ln((target + 5) / (ref + 5))) AS z FROM train GROUP BY series, day) SELECT i.issue_id, round((i.ref + 5) * exp(z) - 5, 5) AS pred FROM issues i JOIN q ON q.series = i.series AND q.day = i.issue_us // {DAY}")

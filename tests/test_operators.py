@@ -1,10 +1,13 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from issuetime.operators import buckets as bk
 from issuetime.operators import joins as jn
+from issuetime.operators import learn as ln
 from issuetime.operators import selection as sel
-from issuetime.schemas import HOUR, SECOND, STANDARD, readings
+from issuetime.schemas import DAY, HOUR, SECOND, STANDARD, readings
 from issuetime.streaming import buckets as st
 
 B = STANDARD.bucket
@@ -54,6 +57,30 @@ def test_spacing_limit(spark):
     assert sorted(r["us"] for r in got) == [0, HOUR, 2 * HOUR]
 
 
+def test_spacing_across_blocks_is_that_of_one_fold(spark):
+    """Ends of uneven length over short blocks, some of them empty, in two keys; rows without clock are not chosen."""
+    rng = random.Random(3)
+    data = [(k, t, t + rng.choice([0, 1, 7, 40, 300])) for k in "ab" for t in sorted(rng.sample(range(-500, 4000), 900)) if not 1000 < t < 1400]
+    want, free = [], {}
+    for k, t, e in data:
+        if t >= free.get(k, t):
+            want.append((k, t))
+            free[k] = e + 3
+    df = spark.createDataFrame([*data, ("a", None, 5), (None, 7, 7)], "series string, us bigint, e bigint")
+    for block in (50, 1000, 10**6):
+        got = sel.choose_spaced(df, "us", 3, end="e", block=block).select("series", "us").collect()
+        assert sorted((r["series"], r["us"]) for r in got) == want
+
+
+def test_training_spans_hold_the_days_that_the_rule_names(spark):
+    c, rng = STANDARD, random.Random(5)
+    data = [("s", i, t, t + rng.choice([0, HOUR, 3 * DAY, 20 * DAY]), rng.choice([1.0, None])) for i, t in enumerate(rng.sample(range(-5 * DAY, 5 * DAY, HOUR // 2), 150))]
+    data += [("s", 900, 0, None, 1.0), ("s", 901, None, 0, 1.0), ("s", 902, DAY - c.embargo, 0, 1.0), ("s", 903, 2 * DAY - c.lookback, 0, 1.0)]
+    got = ln.training_rows(spark.createDataFrame(data, "series string, id int, issue_us bigint, complete bigint, target double")).select("id", "day").collect()
+    want = [(i, d) for _, i, t, done, y in data if None not in (t, done, y) for d in range(-10, 40) if d * DAY - c.lookback < t < d * DAY - c.embargo and done < d * DAY]
+    assert sorted((r["id"], r["day"]) for r in got) == sorted(want)
+
+
 def test_streamed_buckets_equal_batch(spark, tmp_path):
     source = readings(spark, "/root/testdata/sf0.01").select("series", F.timestamp_micros("us").alias("ts"), "obs_id", "v")
     source.repartitionByRange(6, "ts").write.parquet(str(tmp_path / "in"))
