@@ -59,14 +59,19 @@ def line_fit(y: str, x: str) -> list[Column]:
     return [F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count(F.lit(1)).alias("n_train")]
 
 
-def ridge_days(rows: DataFrame, y: str, x: str, alpha: float, clocks: Clocks = STANDARD) -> DataFrame:
-    """Per series and day the one-feature ridge fit of y on x from sums over the training rows, unpenalised intercept."""
+def fit_sums(rows: DataFrame, y: str, x: str, clocks: Clocks = STANDARD) -> DataFrame:
+    """Per series and day n, mx, my, sxy, sxx of the training rows: what any one-feature least squares of y on x needs."""
     n, mx, my = F.col("n"), F.col("mx"), F.col("my")
     parts = [F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.covar_pop(x, y).alias("cxy"), F.var_pop(x).alias("cxx")]
     mean = lambda v: F.sum(n * v) / F.sum(n)
     # sums of products about the mean: within the parts, and of the parts' means about the whole mean
     sxy, sxx = F.sum(n * F.col("cxy")) + F.sum(n * mx * my) - F.sum(n) * mean(mx) * mean(my), F.sum(n * F.col("cxx")) + F.sum(n * mx * mx) - F.sum(n) * mean(mx) * mean(mx)
-    t = training_sums(rows, parts, [F.sum("n").alias("n"), mean(mx).alias("mx"), mean(my).alias("my"), sxy.alias("sxy"), sxx.alias("sxx")], clocks=clocks)
+    return training_sums(rows.where(F.col(x).isNotNull()), parts, [F.sum("n").alias("n"), mean(mx).alias("mx"), mean(my).alias("my"), sxy.alias("sxy"), sxx.alias("sxx")], clocks=clocks)
+
+
+def ridge_days(rows: DataFrame, y: str, x: str, alpha: float, clocks: Clocks = STANDARD) -> DataFrame:
+    """Per series and day the one-feature ridge fit of y on x from sums over the training rows with both, unpenalised intercept."""
+    t = fit_sums(rows, y, x, clocks)
     slope = F.col("sxy") / (F.col("sxx") + alpha)
     return t.select("series", "day", "n", slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"))
 

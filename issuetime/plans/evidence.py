@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -111,24 +109,13 @@ def block_transforms(spark, sf_dir):
 @query("l05_separated_nearest")
 def separated_nearest(spark, sf_dir):
     """Per series the five readings nearest to a level of 50, no two within half a day, the closest first."""
-    import pandas as pd
-
     rows = readings(spark, sf_dir).select("series", "us", F.abs(F.col("v") - 50).alias("d"))
-
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, chosen = None, []
-        for part in parts:
-            keep = []
-            for s, us in zip(part["series"], part["us"], strict=True):
-                if s != key:
-                    key, chosen = s, []
-                fresh = len(chosen) < 5 and all(abs(us - c) >= 12 * HOUR for c in chosen)
-                keep.append(fresh)
-                if fresh:
-                    chosen.append(us)
-            yield part.loc[keep]
-
-    return rows.repartition("series").sortWithinPartitions("series", "d", "us").mapInPandas(fold, "series string, us bigint, d double")
+    picks = rows.select("series").distinct().withColumn("picks", F.expr("cast(array() as array<struct<d: double, us: bigint>>)"))
+    for _ in range(5):  # each round takes the nearest reading that is apart from all before: one minimum per series, partially aggregated
+        apart = ~F.exists("picks", lambda c: F.abs(c["us"] - F.col("us")) < 12 * HOUR)
+        best = rows.join(picks, "series").groupBy("series").agg(F.min(F.when(apart, F.struct("d", "us"))).alias("best"), F.first("picks").alias("picks"))
+        picks = best.select("series", F.when(F.col("best").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array("best"))).alias("picks"))
+    return picks.select("series", F.explode("picks").alias("p")).select("series", "p.us", "p.d")
 
 
 @query("u08_daily_concat", f"{SCORED}, m AS (SELECT series, day, avg(target - ref) AS shift FROM scored GROUP BY series, day) SELECT i.issue_id, round(i.ref + m.shift, 5) AS pred FROM issues i LEFT JOIN m ON m.series = i.series AND m.day = i.issue_us // {DAY} - 2")

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from issuetime.operators import buckets as bk
 from issuetime.operators import learn as ln
+from issuetime.operators.joins import asof_join_blocks
 from issuetime.operators.transform import RobustScaling
 from issuetime.plans.datasets import feature_rows
 from issuetime.plans.models import TRAIN
 from issuetime.plans.streams import work_dir
 from issuetime.plans.targets import B, arrival_targets, first_crossings, r6
 from issuetime.registry import query
-from issuetime.schemas import DAY, HOUR, issues, readings
+from issuetime.schemas import DAY, HOUR, issues, readings, run_hours, runs
 
 START = 1_704_067_200_000_000
 CUTOFFS = (START + 14 * DAY, START + 21 * DAY)
@@ -303,6 +304,39 @@ def log_linear(spark, sf_dir):
     return refitted(rows, fit)
 
 
+#: Named two-hour sessions by the clock hour at which they end.
+SESSIONS = {10: "morning", 16: "afternoon"}
+
+
+@query("m26_session_regressor")
+def session_regressor(spark, sf_dir):
+    """Boosted signed change of two-hour means, pooled over the leads of a day: trained on all windows, asked for the named sessions.
+
+    Besides the features of the past each window has its lead and the wind and rain that the newest run fetched before the issue gives for its end.
+    """
+    from pyspark.ml.regression import GBTRegressor
+
+    base = arrival_targets(spark, sf_dir).drop("target", "complete").join(feature_rows(readings(spark, sf_dir)).drop("us"), "issue_id")
+    angle = 2 * F.pi() * F.col("x_hour") / 24
+    base = base.withColumns({"x_sin": F.sin(angle), "x_cos": F.cos(angle), "all": F.lit("all")})
+    newest = runs(spark, sf_dir).groupBy("fetched").agg(F.max("run_id").alias("run_id")).withColumn("all", F.lit("all"))
+    base = asof_join_blocks(base, newest, "issue_us", "fetched", DAY, on="all").withColumn("run_id", F.col("right.run_id")).drop("right", "all")
+    base = base.withColumn("label", F.explode(F.sequence(bk.anchor(F.col("issue_us"), B) + B, bk.anchor(F.col("issue_us"), B) + 12 * B, F.lit(B))))
+    base = base.withColumn("step", ((F.col("label") - bk.anchor(F.col("issue_us"), B)) / B).cast("double"))
+    weather = run_hours(spark, sf_dir).select("run_id", F.col("valid").alias("label"), F.col("speed").cast("double").alias("speed"), F.col("precip").cast("double").alias("precip"))
+    rows = base.join(weather, ["run_id", "label"], "left").join(bk.closed_series(readings(spark, sf_dir)).select("series", "label", "med"), ["series", "label"], "left")
+    rows = kept(rows.withColumn("y", F.col("med") - F.col("ref")).withColumn("complete", F.col("label")), "session-rows")
+
+    def fit(train, test, cutoff):
+        ends = F.expr(f"label % {DAY} div {HOUR}")
+        test = test.withColumn("session", F.element_at(F.create_map(*(F.lit(x) for pair in SESSIONS.items() for x in pair)), ends.cast("int"))).where("session is not null")
+        train, test = scaled(train.where("y is not null"), test, [*COLUMNS, "step", "speed", "precip"])
+        model = GBTRegressor(featuresCol="x", labelCol="y", maxIter=8, maxDepth=3, seed=7).fit(train.select("x", "y"))
+        return model.transform(test).select("issue_id", "session", F.col("step").cast("long").alias("step"), (F.col("ref") + F.col("prediction")).alias("pred"))
+
+    return refitted(rows, fit)
+
+
 RECIPES = (0.0, 100.0, 1000.0)
 
 
@@ -310,9 +344,7 @@ RECIPES = (0.0, 100.0, 1000.0)
   SELECT a::DOUBLE AS alpha, i.series, count(*) AS n, round(avg(abs(my + sxy / (sxx + a) * (i.ref - mx) - i.pred)), 5) AS apart FROM issues i JOIN s ON s.series = i.series AND s.day = i.issue_us // {DAY} CROSS JOIN (SELECT unnest({list(RECIPES)}) AS a) GROUP BY a, i.series""")
 def recipe_replay(spark, sf_dir):
     """Recorded recipes refitted day by day and read at the issued clocks, against what was issued."""
-    rows = ln.training_rows(arrival_targets(spark, sf_dir))
-    n = F.count(F.lit(1))
-    sums = rows.groupBy("series", "day").agg(n.alias("n"), F.avg("ref").alias("mx"), F.avg("target").alias("my"), (n * F.covar_pop("ref", "target")).alias("sxy"), (n * F.var_pop("ref")).alias("sxx")).where("n >= 10")
+    sums = ln.fit_sums(arrival_targets(spark, sf_dir), "target", "ref").where("n >= 10")
     recipes = F.explode(F.array(*(F.lit(a) for a in RECIPES)))
     now = issues(spark, sf_dir).withColumn("day", F.expr(f"issue_us div {DAY}")).join(sums.drop("n").withColumn("alpha", recipes), ["series", "day"])
     again = F.col("my") + F.try_divide(F.col("sxy"), F.col("sxx") + F.col("alpha")) * (F.col("ref") - F.col("mx"))

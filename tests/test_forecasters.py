@@ -95,6 +95,23 @@ def test_log_linear_windows(spark):
     assert {r["step"] for r in got} == set(range(1, 7)) and all(np.isfinite(r["pred"]) for r in got)
 
 
+def test_sessions_are_named_whole_and_nearer_than_persistence(spark):
+    got = {(r["issue_id"], r["session"]): r for r in Q["m26_session_regressor"](spark, DIR).collect()}
+    issue = {r["issue_id"]: r for r in arrival_targets(spark, DIR).collect()}
+    levels = {(r["series"], r["label"]): r["med"] for r in fc.bk.closed_series(readings(spark, DIR)).collect()}
+    asked = {i for i, r in issue.items() if fc.CUTOFFS[0] <= r["issue_us"] < fc.CUTOFFS[-1] + fc.WEEK}
+    assert set(got) <= {(i, s) for i in asked for s in fc.SESSIONS.values()} and len(got) > len(asked)
+    ours, still = [], []
+    for (i, session), r in got.items():
+        end = issue[i]["issue_us"] // fc.B * fc.B + r["step"] * fc.B
+        assert fc.SESSIONS[end % DAY // HOUR] == session
+        if (issue[i]["series"], end) in levels:
+            level = levels[issue[i]["series"], end]
+            ours.append(abs(level - r["pred"]))
+            still.append(abs(level - issue[i]["ref"]))
+    assert len(ours) > 100 and np.mean(ours) < np.mean(still)
+
+
 def test_isotonic_map_pools_adjacent_violators(spark):
     got = Q["m16_isotonic_quality"](spark, DIR).collect()
     docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
