@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issuetime.llm import exact_dedup, language_model, minhash, mixing, neighbours, packing, pii, token_files, toxicity, warc
+from issuetime.llm import conversations, exact_dedup, language_model, minhash, mixing, neighbours, packing, pii, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(_table(spark, sf_dir, "conversations"))
+
+
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -124,6 +128,75 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
 FROM rows JOIN firsts USING (h)
 """
 
+def _option(cost: str, edit: str, line: str, state: int, when: str = "TRUE") -> str:
+    """One edit before the values ``v<state>`` of the turns after it; unusable ones are dear."""
+    return f"{{'c': CASE WHEN {when} THEN {cost} + v{state}.c ELSE 1000000000000 END, 'a': '{edit}' || v{state}.a, 't': {line} || v{state}.t}}"
+
+
+def _state_value(state: int) -> str:
+    """The cheapest of keeping, giving another role and deleting the turn in a state, as (cost, audit, lines) structs that compare in this order."""
+    goes = {0: (("s", 1), ("u", 2)), 1: (("u", 2),), 2: (("a", 3),), 3: (("u", 2),)}[state]
+    options = [_option("4", "D", "''", state)]
+    for role, after in goes:
+        options.append(_option("cut", "K", "chr(10) || role || ':' || text", after, f"NOT forced AND initial = '{role}'"))
+        if role != "s":
+            name = "user" if role == "u" else "assistant"
+            options.append(_option("3 + cut", "R", f"chr(10) || '{name}:' || text", after, f"NOT forced AND initial <> '{role}'"))
+    return f"least({', '.join(options)})"
+
+
+def _with_inserts(state: int) -> str:
+    one, two = (3, 2) if state == 2 else (2, 3)
+    first, second = ("assistant", "user") if state == 2 else ("user", "assistant")
+    return (
+        f"least(w{state}, {{'c': 3 + w{one}.c, 'a': 'I' || w{one}.a, 't': chr(10) || '{first}:' || w{one}.t}}, "
+        f"{{'c': 6 + w{two}.c, 'a': 'II' || w{two}.a, 't': chr(10) || '{first}:' || chr(10) || '{second}:' || w{two}.t}})"
+    )
+
+
+_STRUCT = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+OP12_SQL = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+marked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS what
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN what = 1 THEN '' WHEN what = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN what = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM marked WHERE what <> 0),
+ordered AS (
+  SELECT *, left(role, 1) AS initial, dense_rank() OVER (ORDER BY conv_id) AS g,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role)::VARCHAR || ':' || role || text)) AS i
+  FROM damaged),
+faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY g ORDER BY i) || initial AS pair
+  FROM ordered),
+turns AS (SELECT g, i, role, text, initial, fault IN ('blank', 'duplicate') AS forced, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS cut FROM faults),
+back AS (
+  SELECT g, max(i) + 1 AS i, {{'c': 0, 'a': '', 't': ''}}::{_STRUCT} AS v0, {{'c': 6, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}}::{_STRUCT} AS v1,
+         {{'c': 3, 'a': 'I', 't': chr(10) || 'assistant:'}}::{_STRUCT} AS v2, {{'c': 0, 'a': '', 't': ''}}::{_STRUCT} AS v3
+  FROM turns GROUP BY g
+  UNION ALL
+  SELECT g, i, {', '.join(f'({_with_inserts(s)})::{_STRUCT}' for s in range(4))}
+  FROM (SELECT b.g, t.i, {', '.join(f'({_state_value(s)})::{_STRUCT} AS w{s}' for s in range(4))} FROM back b JOIN turns t ON t.g = b.g AND t.i = b.i - 1)),
+sums AS (
+  SELECT conv_id, g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum((fault = 'blank')::INT) AS blank, sum((fault = 'duplicate')::INT) AS duplicate,
+         sum((fault = 'truncated')::INT) AS truncated, coalesce(sum((pair NOT IN ('su', 'ua', 'au'))::INT), 0) AS illegal
+  FROM faults GROUP BY conv_id, g),
+done AS (SELECT s.*, b.v0 FROM sums s JOIN back b ON b.g = s.g AND b.i = 1)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v0.c, 0)::BIGINT AS cost, coalesce(v0.a, '') AS audit, sha256(substr(coalesce(v0.t, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN done d ON o.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_near_duplicates": op2_near_duplicates,
@@ -135,5 +208,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_neighbours": op10_neighbours,
+    "op12_conversation_repair": op12_conversation_repair,
 }
-ORACLES = {"op1_mix_sources": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op5_web_archive": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op5_web_archive": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op12_conversation_repair": OP12_SQL}
