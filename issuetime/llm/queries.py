@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issuetime.llm import conversations, exact_dedup, language_model, minhash, mixing, neighbours, packing, pii, token_files, toxicity, warc
+from issuetime.llm import conversations, exact_dedup, language_id, language_model, minhash, mixing, neighbours, packing, pii, token_files, toxicity, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), seed="mix")
 
@@ -57,10 +63,19 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.compress_vectors(_table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damaged_and_repaired(_table(spark, sf_dir, "conversations"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -128,6 +143,34 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
 FROM rows JOIN firsts USING (h)
 """
 
+def _op11_sql(rounds: int = 4) -> str:
+    """Codebooks are numbers per (part, entry, position); each round assigns every part and replaces the entries that were used."""
+    assign = """SELECT x.r, x.p, min({{'d': x.d, 'e': x.e}}) AS best FROM (
+        SELECT v.r, v.p, b.e, sum((v.x - b.x) * (v.x - b.x)) AS d FROM comps v JOIN book{0} b ON b.p = v.p AND b.j = v.j GROUP BY ALL) x GROUP BY ALL"""
+    steps = []
+    for k in range(rounds):
+        steps.append(f"near{k} AS MATERIALIZED ({assign.format(k)})")
+        steps.append(f"""book{k + 1} AS MATERIALIZED (
+          SELECT b.p, b.e, b.j, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN (
+            SELECT n.p, n.best.e AS e, v.j, floor(sum(v.x)::DOUBLE / count(*))::BIGINT AS x FROM near{k} n JOIN comps v ON v.r = n.r AND v.p = n.p GROUP BY ALL) m
+          USING (p, e, j))""")
+    return f"""
+    WITH rows AS (
+      SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+      FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    comps AS MATERIALIZED (SELECT r, (i - 1) // (n // 4) AS p, (i - 1) % (n // 4) AS j, x FROM (SELECT r, len(v) AS n, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM rows)),
+    book0 AS MATERIALIZED (SELECT p, r - 1 AS e, j, x FROM comps WHERE r <= 256),
+    {", ".join(steps)},
+    last AS ({assign.format(rounds)}),
+    coded AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM last GROUP BY r),
+    digest AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM book{rounds})
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM rows JOIN coded USING (r), digest
+    """
+
+
+OP11_SQL = _op11_sql()
+
+
 def _option(cost: str, edit: str, line: str, state: int, when: str = "TRUE") -> str:
     """One edit before the values ``v<state>`` of the turns after it; unusable ones are dear."""
     return f"{{'c': CASE WHEN {when} THEN {cost} + v{state}.c ELSE 1000000000000 END, 'a': '{edit}' || v{state}.a, 't': {line} || v{state}.t}}"
@@ -208,6 +251,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_neighbours": op10_neighbours,
+    "op11_vector_codes": op11_vector_codes,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_language_id": op13_language_id,
 }
-ORACLES = {"op1_mix_sources": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op5_web_archive": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op12_conversation_repair": OP12_SQL}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op5_web_archive": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_conversation_repair": OP12_SQL}
