@@ -83,11 +83,11 @@ def full_sets(keyed: DataFrame, posted: DataFrame, words: int = 5) -> DataFrame:
     return keyed.select("row", "text").join(posted.select("id", "row").hint("shuffle_hash"), "row").select("id", "text").mapInArrow(sets, "id bigint, shingles binary")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) with at least T equal coordinates and 100 * intersection >= 75 * union of their full sets."""
+def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, least: int = T) -> DataFrame:
+    """The pairs (u, v) with at least ``least`` equal coordinates and 100 * intersection >= 75 * union of their full sets."""
     side = lambda c: classes.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
     matches = F.aggregate(F.zip_with("s_u", "s_v", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
-    near = pairs.join(side("u"), "u").join(side("v"), "v").where(100 * F.least("n_u", "n_v") >= 75 * F.greatest("n_u", "n_v")).where(matches >= T)
+    near = pairs.join(side("u"), "u").join(side("v"), "v").where(100 * F.least("n_u", "n_v") >= 75 * F.greatest("n_u", "n_v")).where(matches >= least)
     near = stored(near.select("u", "v"), "near")
 
     def verify(batches):
@@ -160,7 +160,8 @@ def class_labels(keyed: DataFrame, classes: DataFrame, words: int = 5) -> DataFr
             pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         else:
             pairs = rare_pairs(open_lists.select("id", "label").distinct(), sets)
-        found = stored(confirmed(pairs, classes, sets), "confirmed")
+        # pairs by whole-set shingles need no collisions
+        found = stored(confirmed(pairs, classes, sets, T if turn < STAR_ROUNDS else 0), "confirmed")
         # of the links before, each class's one to its label tells all, and leaves fewer rounds to go
         links = found if labels is None else found.union(labels.select("id", "label"))
         labels = stored(components(links).withColumnRenamed("node", "id"), "labels")

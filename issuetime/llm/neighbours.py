@@ -13,6 +13,7 @@ any curve, and the search costs more than an exact scan. All vectors are indexed
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
@@ -192,20 +193,26 @@ def nearest_neighbours(
 ) -> DataFrame:
     """The ``k`` nearest found of every row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score (cosine).
 
-    Columns read: vec_id, embedding. Rows with a null id, or a vector that is null, empty, zero or not finite throughout, take no
-    part, nor do vectors of another length than most (of equally common lengths the larger). Equal vectors are one class on the curves; of a class the k + 1 smallest ids can be in a result, so no more are
+    Columns read: vec_id, embedding. Rows with a null id, or a vector that is null, empty, zero or not finite throughout, take no part. Vectors of each
+    length are searched among themselves, as cosines need one length. A row is its own candidate never, another row of its vec_id is:
+    repeated ids give a query for each row and a place for each row. Equal vectors are one class on the curves; of a class the k + 1 first rows can be in a result, so no more are
     carried. Ties go to the smaller vec_id; with fewer candidates all are returned; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored(usable(vectors), "vectors")
-    lengths = rows.groupBy(F.octet_length("vector").alias("bytes")).agg(F.count(F.lit(1)).alias("n"))  # one row per length
-    common = lengths.agg(F.max_by("bytes", F.struct("n", "bytes"))).first()[0] or 0
-    rows = rows.where(F.octet_length("vector") == common)
-    first = Window.partitionBy("class").orderBy("vec_id")
+    rows = stored(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    lengths = sorted(r[0] for r in rows.select(F.octet_length("vector")).distinct().collect())  # one number per length
+    each = [_of_length(rows.where(F.octet_length("vector") == n), k, every, curves, dimensions, bits, block, sample, share) for n in lengths]
+    if not each:
+        return rows.selectExpr("vec_id as query_id", "0 as rank", "vec_id", "0d as score")
+    return reduce(DataFrame.unionByName, each)
+
+
+def _of_length(rows: DataFrame, k: int, every: int, curves: int, dimensions: int, bits: int, block: int, sample: int, share: float) -> DataFrame:
+    """``nearest_neighbours`` of rows (vec_id, row, vector, class) whose vectors have one length."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = Window.partitionBy("class").orderBy("vec_id", "row")
     members = stored(rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1), "members")
     classes = members.where("n = 1").select("class", "vector", F.col("vec_id").alias("least_id"))
-    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "class")
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), "class")
     queries = asked.select("class").distinct().join(classes, "class")
     places = stored(positions(classes, curves, dimensions, bits, partitions), "positions")
     curves, reach, _ = _windows(classes, queries, places, k, sample, share, curves, block)
@@ -233,6 +240,6 @@ def nearest_neighbours(
     merged = found.groupBy("query", "class", "least_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "least_id")
     near = merged.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("query", "class", "score")
-    answers = asked.join(near, asked["class"] == near["query"]).select("query_id", near["class"], "score").join(members.select("class", "vec_id"), "class").where("vec_id <> query_id")
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    answers = asked.join(near, asked["class"] == near["query"]).select("query_id", "query_row", near["class"], "score").join(members.select("class", "vec_id", "row"), "class").where("row <> query_row")
+    rank = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return answers.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

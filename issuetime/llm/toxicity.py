@@ -114,10 +114,12 @@ def _linear(rows, extra, y, n: int):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
-    """doc_id, text, low_quality, toxic of at most ``train_rows`` labelled documents, chosen by the hash of their id."""
+    """doc_id, text, low_quality, toxic of at most ``train_rows`` labelled documents, chosen by the hash of their id; of rows that share an id
+    the one with the least text, so that the bound is one of rows."""
     sure = labels.groupBy("doc_id").agg((1 - F.min("quality")).cast("int").alias("low_quality"), F.max("toxic").cast("int").alias("toxic")).dropna()
     some = sure.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most train_rows small rows
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most train_rows small rows
+    return found.groupBy("doc_id", "low_quality", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "low_quality", "toxic")
 
 
 def telling_features(rows: DataFrame, categories: tuple, least_docs: int, n: int) -> list[str]:

@@ -12,7 +12,7 @@ import base64
 import hashlib
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from issuetime.llm.common import shared_dir, stored
@@ -22,6 +22,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 #: An extension field: the length of the payload that a record stands for, also where the record has none of its own.
 LENGTH = "X-Payload-Length"
+#: Digests that a task remembers to drop equal payloads early; those past it are dropped after the shuffle.
+DIGESTS = 1_000_000
 
 
 def base32(hex_digest: Column) -> Column:
@@ -46,8 +48,8 @@ def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int =
 
     Of records with equal payloads of at least ``least_bytes`` bytes, that with the largest page_id (null smallest; of repeated
     rows one) is a response and the others revisit it; smaller ones are all responses. A null html is an empty payload, a
-    null url an empty target URI. Equal payloads are found by SHA-256 over partial aggregates, so a huge group of copies
-    neither meets in one task nor moves its bytes: only the responses' payloads are shuffled.
+    null url an empty target URI. Equal payloads are found by SHA-256 over partial aggregates, and each task compresses and passes on
+    one of its equal payloads, so a huge group of copies moves its bytes once per task at most. An empty table gives an empty archive.
     """
     spark = pages.sparkSession
     path = path or shared_dir(spark, "archive")
@@ -73,21 +75,25 @@ def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int =
     )
     records = rows.join(groups, "sha256").select(_record_id(F.col("page_id"), F.col("row")).alias("record_id"), "sha256", response.alias("whole"), header.cast("binary").alias("header"))
     records.write.parquet(f"{path}/headers")
-    # the bytes, compressed one by one: of one response per digest, met on (digest, id) so that copies stay apart until they are dropped
+    # the bytes of each digest once: a task passes on the first of its equal payloads, so that copies are neither compressed nor moved
     def compressed(batches):
         import pyarrow as pa
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=6)
+        pack, seen = zstandard.ZstdCompressor(level=6), set()
         for batch in batches:
-            packed = pa.array([pack.compress(x.as_buffer()) for x in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["sha256", "page_id", "packed"])
-
-    first = groups.select(F.col("sha256").alias("_sha"), F.col("first_id").alias("_id"))
-    packed = keyed.select("sha256", F.col("page_id").cast("long").alias("page_id"), "payload").mapInArrow(compressed, "sha256 string, page_id bigint, packed binary")
-    chosen = packed.join(first, (F.col("sha256") == F.col("_sha")) & F.col("page_id").eqNullSafe(F.col("_id"))).select("sha256", "page_id", "packed")
-    once = Window.partitionBy("sha256", "page_id").orderBy(F.lit(0))
-    chosen.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("sha256", "packed").write.parquet(f"{path}/payloads")
+            names, packed = [], []
+            if len(seen) > DIGESTS:
+                seen.clear()
+            for name, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if name not in seen:
+                    seen.add(name)
+                    names.append(name)
+                    packed.append(pack.compress(x.as_buffer()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(packed, pa.binary())], names=["sha256", "packed"])
+
+    packed = keyed.select("sha256", "payload").mapInArrow(compressed, "sha256 string, packed binary")
+    packed.dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")  # a row per task and digest at most
     return path
 
 

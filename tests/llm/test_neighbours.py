@@ -71,4 +71,19 @@ def test_huge_tiny_and_ragged_vectors(spark):
     rows = [(0, [1e200, 0.0, 1e200]), (1, [1.0, 0.0, 1.0]), (2, [1e-300, 1e-300, 0.0]), (3, [1.0, 2.0]), (50, [0.0, 5e-324, 0.0]), (4, [-1.0, 0.0, 0.0])]
     got = found(nn.nearest_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")))
     assert [i for i, _ in got[0]] == [1, 2, 50, 4] and [s for _, s in got[0]] == pytest.approx([1.0, 0.5, 0.0, -(0.5**0.5)])
-    assert [i for i, _ in got[50]] == [2, 0, 1, 4] and got[50][0][1] == pytest.approx(0.5**0.5)
+    assert 3 not in got[0] and [i for i, _ in got[50]] == [2, 0, 1, 4] and got[50][0][1] == pytest.approx(0.5**0.5)
+
+
+def test_repeated_ids_and_lengths(spark):
+    """Every row of an id is a query with five places of its own, and a candidate for the other rows of that id."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(120)] + [(i, rng.standard_normal(2).tolist()) for i in (50, 200, 201, 202)]
+    rows += [rows[50], (100, [1.0, 2.0, 3.0, 4.0]), (7, rows[7][1])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    want = []
+    for q, (i, v) in enumerate(rows):
+        if i % 50 == 0:
+            near = [(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w), j) for c, (j, w) in enumerate(rows) if c != q and len(w) == len(v)]
+            want += [(i, r, j, round(float(s), 9)) for r, (s, j) in enumerate(sorted(near, key=lambda n: (-round(n[0], 12), n[1]))[:5], 1)]
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in nn.nearest_neighbours(table).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 5 * 5 + 2 * 3

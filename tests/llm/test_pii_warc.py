@@ -109,3 +109,15 @@ def test_records_of_one_page_have_names_of_their_own_and_files_read_back(spark):
         if fields["WARC-Type"] == "revisit":
             response, payload = warc.parse_record(bytes(records[fields["WARC-Refers-To"]]["record"]))
             assert response["WARC-Type"] == "response" and response["WARC-Payload-Digest"] == fields["WARC-Payload-Digest"] and payload == bytes(records[r["record_id"]]["payload"])
+
+
+def test_many_equal_rows_store_their_bytes_once(spark, monkeypatch):
+    """Hundreds of rows of one id and payload, and ids without a payload of their own, over several tasks; an empty archive exports no file."""
+    pages = spark.createDataFrame([(5, "u", "same", "", 0)] * 600 + [(None, "u", "same", "", 0)] * 200 + [(i, "u", f"own {i}", "", 0) for i in range(50)], PAGES).repartition(6)
+    path = warc.write_archive(pages)
+    assert spark.read.parquet(f"{path}/payloads").count() == 51
+    got = warc.record_table(spark, path).collect()
+    assert len(got) == 850 and sum(r["record_type"] == "response" for r in got) == 51 and all(r["refers_to"] == 5 for r in got if r["record_type"] == "revisit")
+    empty = warc.write_archive(pages.where("false"))
+    folder = f"file://{empty.removeprefix('file://')}-files"
+    assert warc.export_files(spark, empty, folder).count() == 0

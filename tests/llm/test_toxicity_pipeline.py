@@ -40,3 +40,12 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, now, DIR)
     tokens = packing.token_pieces(now, tokenizer_path()).groupBy().sum("length").first()[0]
     assert packed.groupBy().sum("length").first()[0] == tokens
+
+
+def test_the_bound_is_one_of_rows(spark):
+    """One id on many rows gives one row to learn from, so that no more than the bound reach the driver."""
+    docs = spark.range(5000).selectExpr("1L as doc_id", "concat('text ', id) as text").union(spark.createDataFrame([(2, "b"), (3, None), (4, "d")], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 5)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.labelled(docs, labels, 2).count() == 2
+    assert [tuple(r) for r in toxicity.labelled(docs, labels, 10).orderBy("doc_id").collect()] == [(1, "text 0", 0, 1), (2, "b", 0, 0), (3, None, 0, 1), (4, "d", 0, 0)]
+    assert toxicity.toxicity(docs, labels).count() == docs.count()
