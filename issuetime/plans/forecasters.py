@@ -1,8 +1,11 @@
-"""Fitted forecasters, refitted at each cutoff on the outcomes closed before it, and applied to the week after."""
+"""Fitted forecasters, refitted for every day of the ledger on the outcomes closed before it.
 
-from __future__ import annotations
+Linear models are fitted for all days at once from sums (``operators.ridge``, ``operators.newton``); trees are ``pyspark.ml`` fits, one for each day
+(``operators.nightly``). A day trains on ``learn.training_spans``: two weeks back, past the embargo. Issues of days without enough closed rows have
+null forecasts.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,10 @@ from pyspark.sql import functions as F
 
 from issuetime.operators import buckets as bk
 from issuetime.operators import learn as ln
+from issuetime.operators import newton as nt
+from issuetime.operators import ridge as rg
 from issuetime.operators.joins import asof_join_blocks
+from issuetime.operators.nightly import LEAST, day_of, nightly
 from issuetime.operators.transform import RobustScaling
 from issuetime.plans.datasets import feature_rows
 from issuetime.plans.models import TRAIN
@@ -19,9 +25,6 @@ from issuetime.plans.targets import B, arrival_targets, first_crossings, r6
 from issuetime.registry import query
 from issuetime.schemas import DAY, HOUR, issues, readings, run_hours, runs
 
-START = 1_704_067_200_000_000
-CUTOFFS = (START + 14 * DAY, START + 21 * DAY)
-WEEK, LEAST = 7 * DAY, 20
 COLUMNS = ["ref", "p_fall", "x_fresh", "x_change", "x_sin", "x_cos"]
 
 
@@ -33,22 +36,13 @@ def kept(rows: DataFrame, label: str) -> DataFrame:
 
 
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues with features of the past, the target of the arrival, and the least and most level of the window (heads low, high)."""
+    """Issues with features of the past, the target of the arrival, and mean, least and most level of the window (heads mean, low, high)."""
     out = arrival_targets(spark, sf_dir).join(feature_rows(readings(spark, sf_dir)).drop("us"), "issue_id")
     angle = 2 * F.pi() * F.col("x_hour") / 24
-    window = bk.window_values(bk.closed_series(readings(spark, sf_dir)), 1, 6, B).select("series", "label", "low", "high")
+    window = bk.window_values(bk.closed_series(readings(spark, sf_dir)), 1, 6, B).select("series", "label", "mean", "low", "high")
     out = out.withColumns({"x_sin": F.sin(angle), "x_cos": F.cos(angle), "label": bk.anchor(F.col("issue_us"), B)}).join(window, ["series", "label"], "left")
-    out = out.withColumn("window_complete", F.col("label") + 6 * B)
-    return kept(out.withColumn("d", F.col("target") - F.col("ref")), "model-rows")
-
-
-def refitted(rows: DataFrame, fit_predict, complete: str = "complete") -> DataFrame:
-    """``fit_predict(train, test, cutoff)`` at each cutoff: train holds what had closed before it, test the week after it."""
-    parts = []
-    for cutoff in CUTOFFS:
-        test = rows.where((F.col("issue_us") >= cutoff) & (F.col("issue_us") < cutoff + WEEK))
-        parts.append(fit_predict(rows.where(F.col(complete) < cutoff), test, cutoff))
-    return reduce(DataFrame.unionByName, parts)
+    out = out.withColumn("d", F.col("target") - F.col("ref"))
+    return kept(out.withColumn("complete", F.greatest(F.col("complete"), F.col("label") + 6 * B)), "model-rows")
 
 
 def scaled(train: DataFrame, test: DataFrame, columns: list[str] = COLUMNS) -> tuple[DataFrame, DataFrame]:
@@ -58,46 +52,95 @@ def scaled(train: DataFrame, test: DataFrame, columns: list[str] = COLUMNS) -> t
     return tuple(vector.transform(model.transform(f)) for f in (train, test))
 
 
+def each_day(rows: DataFrame, fit_predict, schema: str, asked: DataFrame | None = None, keys: tuple = ("issue_id",)) -> DataFrame:
+    return nightly(rows, rows if asked is None else asked, fit_predict, schema, list(keys), f"{work_dir(rows.sparkSession)}/nightly")
+
+
+HEADS = ("arrival", "mean", "low", "high")
+
+
 @query("m05_boosted_heads")
 def boosted_heads(spark, sf_dir):
-    """Absolute-error boosting of the change, one model per head: arrival, least and most of the window."""
+    """Absolute-error boosting of the change, one model per head: arrival, and mean, least and most of the window."""
     from pyspark.ml.regression import GBTRegressor
 
-    def fit(train, test, cutoff):
+    def fit(train, test, day):
         train, test = scaled(train, test)
         out = test.select("issue_id", "ref", "x")
-        for head, y in (("arrival", "target"), ("low", "low"), ("high", "high")):
-            known = train.where(F.col(y).isNotNull() & (F.col("window_complete") < cutoff)).withColumn("y", F.col(y) - F.col("ref"))
-            model = GBTRegressor(featuresCol="x", labelCol="y", predictionCol=head, lossType="absolute", maxIter=6, maxDepth=3, seed=7).fit(known.select("x", "y"))
-            out = model.transform(out)
-        return out.select("issue_id", *((F.col("ref") + F.col(h)).alias(h) for h in ("arrival", "low", "high")))
+        for head in HEADS:
+            known = train.withColumn("y", F.col("target" if head == "arrival" else head) - F.col("ref")).where("y is not null")
+            model = GBTRegressor(featuresCol="x", labelCol="y", predictionCol=head, lossType="absolute", maxIter=5, maxDepth=3, seed=7)
+            out = model.fit(known.select("x", "y")).transform(out) if not known.isEmpty() else out.withColumn(head, F.lit(None).cast("double"))
+        return out.select("issue_id", *((F.col("ref") + F.col(h)).alias(h) for h in HEADS))
 
-    return refitted(model_rows(spark, sf_dir), fit)
+    return each_day(model_rows(spark, sf_dir), fit, "issue_id bigint, arrival double, mean double, low double, high double")
 
 
-def fit_chance(train: DataFrame, test: DataFrame, event) -> DataFrame:
-    """test with ``p``: the chance of an event by a logistic model; null where the training rows hold too few events."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
+def softmax_days(rows: DataFrame, asked: DataFrame, x: list[str], design, factors, names: list[str], keep: list[str], by: tuple = (), penalty: float = 0.01, raw: bool = False) -> DataFrame:
+    """``keep`` and the chances ``names`` of the rows ``asked``, by a model for each of their days (and ``by``), all fitted together.
+
+    ``rows``: x, y (class), w, and what ``training_spans`` needs. ``raw``: take the columns x as they are, else scaled by each model's quartiles.
+    """
+    by, keys = list(by), F.concat_ws(":", *by, F.col("model").cast("string"))
+    spans = kept(ln.training_spans(rows).withColumn("_serves", rg.served_days()).select(*by, "_serves", *x, "y", "w"), "spans")
+    if raw:
+        vector = F.array(*(F.col(c).cast("double") for c in x))
+        served = spans.select(*by, F.explode("_serves").alias("model"), "y", "w", vector.alias("z"))
+        now = asked.withColumn("model", day_of("issue_us")).withColumn("z", vector)
+    else:
+        served, scales = rg.served_rows(spans, by, "_serves", x, ["y", "w"])
+        now = asked.withColumn("model", day_of("issue_us")).join(scales, [*by, "model"], "left").withColumn("z", rg.scaled(x))
+    served = kept(served.withColumn("key", keys), "served")
+    enough = served.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("classes")).where(f"n >= {LEAST} and classes > 1").select("key")
+    theta = nt.fit_softmax(served.join(enough, "key", "left_semi"), "key", design, factors, penalty)
+    return nt.predict_softmax(now.withColumn("key", keys), "key", design, theta, names, keep)
+
+
+def three_classes(d):
+    """0 a fall by 20 or more, 1 neither, 2 a rise."""
+    return F.when(d <= -20, 0).when(d < 20, 1).when(d >= 20, 2)
 
-    train, test = scaled(train.where("d is not null"), test)
-    known = train.select("x", event.cast("double").alias("y"))
-    seen = known.agg(F.count_if(F.col("y") == 1).alias("events"), F.count_if(F.col("y") == 0).alias("others")).first()
-    if min(seen) < LEAST:
-        return test.withColumn("p", F.lit(None).cast("double"))
-    model = LogisticRegression(featuresCol="x", labelCol="y", regParam=0.01, standardization=False, maxIter=200, tol=1e-10).fit(known)
-    return model.transform(test).withColumn("p", vector_to_array("probability")[1])
+
+LEADS = (2, 4, 6)
 
 
 @query("m07_change_chances")
 def change_chances(spark, sf_dir):
-    """Chances of a fall and of a rise by at least 20, one logistic head each; none with under twenty events to learn from."""
+    """Chances of a fall and of a rise by at least 20 by each of several leads (buckets ahead), a logistic head each.
+
+    A head of which a day's training rows hold no event, or nothing else, has no chance.
+    """
+    base = model_rows(spark, sf_dir)
+    levels = bk.closed_series(readings(spark, sf_dir)).select("series", F.col("label").alias("at"), "med")
+    heads = base.withColumn("lead", F.explode(F.array(*(F.lit(k) for k in LEADS)))).withColumn("at", F.col("label") + F.col("lead") * B).join(levels, ["series", "at"], "left")
+    heads = heads.withColumn("way", F.explode(F.array(F.lit("fall"), F.lit("rise"))))
+    d = F.col("med") - F.col("ref")
+    rows = heads.withColumns({"target": d, "complete": F.col("at"), "w": F.lit(1.0), "y": F.when(F.col("way") == "fall", d <= -20).otherwise(d >= 20).cast("int")}).withColumn("head", F.concat_ws("_", "way", "lead"))
+    p = softmax_days(rows, rows, COLUMNS, *nt.multinomial(2, len(COLUMNS)), ["no", "yes"], ["issue_id", "head"], ("head",))
+    return p.groupBy("issue_id").agg(*(F.max(F.when(F.col("head") == f"{w}_{k}", F.col("yes"))).alias(f"{w}_{k}") for k in LEADS for w in ("fall", "rise")))
+
+
+FLOOR = 0.01
 
-    def fit(train, test, cutoff):
-        fall = fit_chance(train, test, F.col("d") <= -20).select("issue_id", F.col("p").alias("fall"))
-        return fall.join(fit_chance(train, test, F.col("d") >= 20).select("issue_id", F.col("p").alias("rise")), "issue_id")
 
-    return refitted(model_rows(spark, sf_dir), fit)
+@query("m06_logistic_change")
+def logistic_change(spark, sf_dir):
+    """Five classes of the change (large fall to large rise) by a multinomial model of every day, with flags of missing features.
+
+    Rows weigh by the inverse root of their class's number among the rows of their day's lookback, and no chance is under a hundredth.
+    """
+    columns = [*COLUMNS, "no_fresh", "no_change"]
+    rows = model_rows(spark, sf_dir).withColumns({"no_fresh": F.col("x_fresh").isNull().cast("double"), "no_change": F.col("x_change").isNull().cast("double"), "y": bk.change_class(F.col("d"))})
+    counts = ln.training_sums(rows.withColumn("series", F.lit("all")), [F.count(F.lit(1)).alias("c")], [F.sum("c").alias("c")], ("y",)).where("y is not null")
+    # a row's weight must hold for all days it serves: the class's share on the first of them
+    rows = rows.withColumn("day", day_of(F.greatest(F.col("issue_us") + ln.STANDARD.embargo, F.col("complete"))) + 1)
+    rows = rows.join(counts.select("day", "y", (1 / F.sqrt("c")).alias("w")), ["day", "y"], "left").drop("day").withColumn("w", F.coalesce("w", F.lit(1.0)))
+    names = [f"c{k}" for k in range(5)]
+    p = softmax_days(rows, rows, columns, *nt.multinomial(5, len(columns)), names, ["issue_id"])
+    floored = [F.greatest(F.col(n), F.lit(FLOOR)) for n in names]
+    total = sum(floored[1:], floored[0])
+    p = p.select("issue_id", *(F.when(F.col(n).isNotNull(), f / total).alias(n) for n, f in zip(names, floored, strict=True)))
+    return p.select("*", (F.col("c0") + F.col("c1")).alias("p_fall"), F.col("c2").alias("p_none"), (F.col("c3") + F.col("c4")).alias("p_rise"))
 
 
 @query("m08_class_forest")
@@ -106,56 +149,56 @@ def class_forest(spark, sf_dir):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import vector_to_array
 
-    def fit(train, test, cutoff):
-        train, test = scaled(train.where("d is not null"), test)
-        known = train.withColumn("y", F.when(F.col("d") <= -20, 0.0).when(F.col("d") < 20, 1.0).otherwise(2.0))
-        model = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=12, maxDepth=5, minInstancesPerNode=10, seed=7).fit(known.select("x", "y"))
+    def fit(train, test, day):
+        train, test = scaled(train, test)
+        known = train.withColumn("y", three_classes(F.col("d")).cast("double"))
+        model = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=TREES, maxDepth=5, minInstancesPerNode=10, seed=7).fit(known.select("x", "y"))
         p = vector_to_array("probability")
-        return model.transform(test).select("issue_id", *(F.try_element_at(p, F.lit(i + 1)).alias(n) for i, n in enumerate(("fall", "none", "rise"))))
+        return model.transform(test).select("issue_id", *(F.coalesce(F.try_element_at(p, F.lit(i + 1)), F.lit(0.0)).alias(n) for i, n in enumerate(("fall", "none", "rise"))))
 
-    return refitted(model_rows(spark, sf_dir), fit)
+    return each_day(model_rows(spark, sf_dir), fit, "issue_id bigint, fall double, none double, rise double")
 
 
 @query("m09_hazards")
 def hazards(spark, sf_dir):
     """First crossing of 20 within six buckets: a multinomial hazard for each bucket still at risk, and the incidence by the last.
 
-    A fall cannot happen from a level under 20; its mass goes to none.
+    The level enters as it is, by its distance above the threshold that a fall needs, and multiplied by the bucket. A fall
+    cannot happen from a level under 20; its mass goes to none.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-
     levels = bk.closed_series(readings(spark, sf_dir))
-    rows = kept(first_crossings(spark, sf_dir).join(levels, ["series", "label"]).withColumn("complete", F.col("label") + 6 * B).withColumn("issue_us", F.col("label")), "crossings")
+    rows = first_crossings(spark, sf_dir).join(levels, ["series", "label"]).withColumns({"complete": F.col("label") + 6 * B, "issue_us": F.col("label"), "w": F.lit(1.0), "series": F.col("series")})
+    rows = kept(rows, "crossings")
     angle = 2 * F.pi() * (F.col("label") % DAY) / DAY
-    step = [(F.col("s") == k).cast("double").alias(f"s{k}") for k in range(2, 7)]
-    inputs = [F.log(F.col("med") + 5).alias("level"), F.sin(angle).alias("sin"), F.cos(angle).alias("cos"), *step]
-    vector = VectorAssembler(inputCols=["level", "sin", "cos", *(f"s{k}" for k in range(2, 7))], outputCol="x")
-
-    def fit(train, test, cutoff):
-        risk = train.where("n = 6").withColumn("s", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("step", F.lit(6).cast("long")))))
-        y = F.when(F.col("s") < F.coalesce("step", F.lit(99)), 0.0).when(F.col("dir") < 0, 1.0).when(F.col("dir") > 0, 2.0).otherwise(0.0)
-        model = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=0.01, maxIter=60).fit(vector.transform(risk.select(*inputs, y.alias("y"))))
-        asked = test.select("series", "label", "med", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("s"))
-        p = vector_to_array("probability")
-        fall = F.when(F.col("med") >= 20, F.try_element_at(p, F.lit(2))).otherwise(0.0)
-        said = model.transform(vector.transform(asked.select("series", "label", "med", "s", *inputs))).select("series", "label", "s", fall.alias("fall"), F.coalesce(F.try_element_at(p, F.lit(3)), F.lit(0.0)).alias("rise"))
-        steps = said.groupBy("series", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("s", "fall", "rise"))), lambda x: F.struct(x["fall"].alias("fall"), x["rise"].alias("rise"))).alias("h"))  # six steps
-        out = steps.withColumn("c", ln.cumulative_incidence(F.col("h")))
-        return out.select("series", "label", F.col("c.fall").alias("fall"), F.col("c.rise").alias("rise"), F.col("h"))
 
+    def inputs(frame):
+        level, step = F.log(F.col("med") + 5), F.col("s")
+        near = F.greatest(F.col("med") - 20, F.lit(0.0)) / 50
+        return frame.withColumns({"level": level, "sin": F.sin(angle), "cos": F.cos(angle), "near": near, "level_step": level * step, "near_step": near * step, **{f"s{k}": (step == k).cast("double") for k in range(2, 7)}})
+
+    x = ["level", "sin", "cos", "near", "level_step", "near_step", *(f"s{k}" for k in range(2, 7))]
+    risk = inputs(rows.where("n = 6").withColumn("s", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("step", F.lit(6).cast("long"))))))
+    cause = F.when(F.col("s") < F.coalesce("step", F.lit(99)), 0).when(F.col("dir") < 0, 1).when(F.col("dir") > 0, 2).otherwise(0)
+    risk = risk.withColumns({"y": cause, "target": F.lit(0.0)})
+    asked = inputs(rows.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(6)))))
+    said = softmax_days(risk, asked, x, *nt.multinomial(3, len(x)), ["none", "fall", "rise"], ["series", "label", "med", "s"], raw=True)
+    said = said.withColumn("fall", F.when(F.col("med") < 20, F.col("fall") * 0).otherwise(F.col("fall")))
+    steps = said.groupBy("series", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("s", "fall", "rise"))), lambda x: F.struct(x["fall"].alias("fall"), x["rise"].alias("rise"))).alias("h"))  # six steps
+    out = steps.withColumn("c", F.when(F.col("h")[0]["fall"].isNotNull(), ln.cumulative_incidence(F.col("h"))))
     each = [F.col("h")[k][n].alias(f"{n}_{k + 1}") for n in ("fall", "rise") for k in range(6)]
-    return refitted(rows, fit).select("series", "label", "fall", "rise", *each)
+    return out.select("series", "label", F.col("c.fall").alias("fall"), F.col("c.rise").alias("rise"), *each)
 
 
 TREES = 12
+#: Outcomes of a leaf are kept as counts and means by cells of this length, so that a quantile is off by less than that.
+CELL = 1 / 32
 
 
 def leaf_cells(train: DataFrame, test: DataFrame, outcome: dict, columns: list[str] = COLUMNS):
-    """Leaves of a forest on the change of the arrival: (cells, asked, model).
+    """Leaves of a forest on the change of the arrival: (rows, sizes, asked).
 
-    cells: tree, leaf, rows of the leaf and, of each outcome (a column expression), its sum and its counts by whole units, so that a leaf is
-    described by a bounded number of numbers however many rows it holds. asked: the test rows with tree and leaf.
+    rows: tree, leaf and the outcomes (column expressions) of the training rows, once for each tree. sizes: tree, leaf, rows of the leaf and each
+    outcome's sum. asked: the test rows with tree and leaf.
     """
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import RandomForestRegressor
@@ -168,104 +211,106 @@ def leaf_cells(train: DataFrame, test: DataFrame, outcome: dict, columns: list[s
     return rows, sizes, spread(model.transform(test))
 
 
-@query("m10_leaf_distribution")
-def leaf_distribution(spark, sf_dir):
-    """Mean change, its chance to fall by 20 and its quartiles, from the training rows that share leaves with an issue.
+def leaf_quantiles(rows: DataFrame, sizes: DataFrame, asked: DataFrame, levels: tuple[float, ...]) -> DataFrame:
+    """issue_id, q (the least outcome d at which the leaves' weights reach each level), fell (the weight at or under -20).
 
-    Quartiles are those of the leaves' counts by whole units of the change.
+    A leaf is a number of cells bounded by the outcomes' range, whatever its rows; a quantile is its cell's mean.
     """
+    cells = rows.groupBy("tree", "leaf", F.floor(F.col("d") / CELL).alias("cell")).agg(F.count(F.lit(1)).alias("c"), F.sum("d").alias("sd"), F.count_if(F.col("d") <= -20).alias("fell"))
+    weights = cells.join(sizes, ["tree", "leaf"]).select("tree", "leaf", "cell", *((F.col(c) / F.col("n") / TREES).alias(c) for c in ("c", "sd", "fell")))
+    met = asked.select("issue_id", "tree", "leaf").join(weights, ["tree", "leaf"]).groupBy("issue_id", "cell").agg(*(F.sum(c).alias(c) for c in ("c", "sd", "fell")))
+    order = F.sort_array(F.collect_list(F.struct("cell", F.col("c").alias("w"), (F.col("sd") / F.col("c")).alias("v"))))
+    start = F.struct(F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("q"))
+
+    def step(s, x):
+        c = s["c"] + x["w"]
+        passed = [F.when((s["c"] < p - 1e-9) & (c >= p - 1e-9), F.array(x["v"])).otherwise(F.array().cast("array<double>")) for p in levels]
+        return F.struct(c.alias("c"), F.concat(s["q"], *passed).alias("q"))
 
-    def fit(train, test, cutoff):
+    return met.groupBy("issue_id").agg(order.alias("cells"), F.sum("fell").alias("fell")).select("issue_id", "fell", F.aggregate("cells", start, step, lambda s: s["q"]).alias("q"))
+
+
+@query("m10_leaf_distribution")
+def leaf_distribution(spark, sf_dir):
+    """Mean change, its chance to fall by 20 and its quartiles, from the training rows that share leaves with an issue."""
+
+    def fit(train, test, day):
         rows, sizes, asked = leaf_cells(train, test, {"d": F.col("d")})
-        units = rows.groupBy("tree", "leaf", F.floor("d").alias("unit")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") <= -20).alias("fell"))
-        weights = units.join(sizes, ["tree", "leaf"]).select("tree", "leaf", "unit", (F.col("c") / F.col("n") / TREES).alias("w"), (F.col("fell") / F.col("n") / TREES).alias("wf"))
-        met = asked.select("issue_id", "tree", "leaf").join(weights, ["tree", "leaf"]).groupBy("issue_id", "unit").agg(F.sum("w").alias("w"), F.sum("wf").alias("wf"))
-        cells = F.sort_array(F.collect_list(F.struct("unit", "w")))  # a row per whole unit of change at most
-        at = lambda q: F.aggregate("cells", F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("long").alias("v")), lambda s, x: F.struct((s["c"] + x["w"]).alias("c"), F.when(s["v"].isNull() & (s["c"] + x["w"] >= q - 1e-9), x["unit"]).otherwise(s["v"]).alias("v")), lambda s: s["v"])
-        spread = met.groupBy("issue_id").agg(cells.alias("cells"), F.sum("wf").alias("p_fall"))
         means = asked.join(sizes, ["tree", "leaf"]).groupBy("issue_id").agg((F.sum(F.col("sum_d") / F.col("n")) / TREES).alias("mean"), F.max("prediction").alias("forest"))
-        return spread.join(means, "issue_id").select("issue_id", "mean", "forest", "p_fall", *(at(q).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75)))
+        spread = leaf_quantiles(rows, sizes, asked, (0.25, 0.5, 0.75)).join(means, "issue_id")
+        return spread.select("issue_id", "mean", "forest", F.col("fell").alias("p_fall"), *(F.element_at("q", i + 1).alias(n) for i, n in enumerate(("q25", "q50", "q75"))))
 
-    return refitted(model_rows(spark, sf_dir), fit)
+    return each_day(model_rows(spark, sf_dir), fit, "issue_id bigint, mean double, forest double, p_fall double, q25 double, q50 double, q75 double")
 
 
 @query("m13_quantile_forest")
 def quantile_forest(spark, sf_dir):
     """Nine ordered quantiles of the arrival's change by the forest's leaf weights, and the chance of 70 or less read off them."""
-    from issuetime.functions.probability import cdf
-
     levels = (0.05, 0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9, 0.95)
+    names = [f"q{int(100 * p)}" for p in levels]
 
-    def fit(train, test, cutoff):
+    def fit(train, test, day):
         rows, sizes, asked = leaf_cells(train, test, {"d": F.col("d")})
-        units = rows.groupBy("tree", "leaf", F.floor("d").alias("unit")).agg(F.count(F.lit(1)).alias("c")).join(sizes, ["tree", "leaf"])
-        met = asked.select("issue_id", "ref", "tree", "leaf").join(units, ["tree", "leaf"]).groupBy("issue_id", "ref", "unit").agg(F.sum(F.col("c") / F.col("n") / TREES).alias("w"))
-        cells = met.groupBy("issue_id", "ref").agg(F.sort_array(F.collect_list(F.struct("unit", "w"))).alias("cells"))
-        start = F.struct(F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("q"))
+        out = leaf_quantiles(rows, sizes, asked, levels).join(test.select("issue_id", "ref"), "issue_id")
+        return out.select("issue_id", "ref", *(F.element_at("q", i + 1).alias(n) for i, n in enumerate(names)))
 
-        def step(s, x):
-            c = s["c"] + x["w"]
-            passed = [F.when((s["c"] < p - 1e-9) & (c >= p - 1e-9), F.array(x["unit"] + 0.5)).otherwise(F.array().cast("array<double>")) for p in levels]
-            return F.struct(c.alias("c"), F.concat(s["q"], *passed).alias("q"))
-
-        return cells.select("issue_id", "ref", F.aggregate("cells", start, step, lambda s: s["q"]).alias("q"))
-
-    out = refitted(model_rows(spark, sf_dir), fit)
-    x, knots = 70 - F.col("ref"), [F.element_at("q", i + 1) + 1e-6 * i for i in range(len(levels))]
+    out = each_day(model_rows(spark, sf_dir), fit, "issue_id bigint, ref double, " + ", ".join(f"{n} double" for n in names))
+    x, knots = 70 - F.col("ref"), [F.col(n) + 1e-6 * i for i, n in enumerate(names)]
     below = F.when(x <= knots[0], levels[0] * F.exp((x - knots[0]) / 20))
     for i in range(len(levels) - 1):
         below = below.when(x <= knots[i + 1], levels[i] + (x - knots[i]) / (knots[i + 1] - knots[i]) * (levels[i + 1] - levels[i]))
-    return out.select("issue_id", *(F.element_at("q", i + 1).alias(f"q{int(100 * p)}") for i, p in enumerate(levels)), below.otherwise(1 - (1 - levels[-1]) * F.exp(-(x - knots[-1]) / 20)).alias("p70"))
+    return out.select("issue_id", *names, below.otherwise(1 - (1 - levels[-1]) * F.exp(-(x - knots[-1]) / 20)).alias("p70"))
 
 
 @query("m28_joint_extrema")
 def joint_extrema(spark, sf_dir):
     """Least and most level of the window from the same leaves, so that the two belong together and never cross."""
 
-    def fit(train, test, cutoff):
-        both = train.where(F.col("low").isNotNull() & (F.col("window_complete") < cutoff))
-        _, sizes, asked = leaf_cells(both, test, {"low": F.col("low") - F.col("ref"), "high": F.col("high") - F.col("ref")})
-        mean = lambda c: F.col("ref") + F.sum(F.col(f"sum_{c}") / F.col("n")) / TREES
-        return asked.join(sizes, ["tree", "leaf"]).groupBy("issue_id", "ref").agg((F.sum(F.col("sum_low") / F.col("n")) / TREES).alias("l"), (F.sum(F.col("sum_high") / F.col("n")) / TREES).alias("h")).select("issue_id", (F.col("ref") + F.col("l")).alias("low"), (F.col("ref") + F.col("h")).alias("high"))
+    def fit(train, test, day):
+        _, sizes, asked = leaf_cells(train.where("low is not null"), test, {"low": F.col("low") - F.col("ref"), "high": F.col("high") - F.col("ref")})
+        mean = lambda c: F.sum(F.col(f"sum_{c}") / F.col("n")) / TREES
+        return asked.join(sizes, ["tree", "leaf"]).groupBy("issue_id", "ref").agg(mean("low").alias("l"), mean("high").alias("h")).select("issue_id", (F.col("ref") + F.col("l")).alias("low"), (F.col("ref") + F.col("h")).alias("high"))
 
-    return refitted(model_rows(spark, sf_dir), fit)
+    rows = model_rows(spark, sf_dir)
+    return each_day(rows.where("low is not null"), fit, "issue_id bigint, low double, high double", rows)
 
 
 @query("m04_ridge_heads")
 def ridge_heads(spark, sf_dir):
-    """Four heads (arrival, least, most and their middle) by ridge on one set of scaled inputs."""
-    from pyspark.ml.regression import LinearRegression
-
-    def fit(train, test, cutoff):
-        train, test = scaled(train, test)
-        out = test.select("issue_id", "ref", "x")
-        heads = {"arrival": F.col("target"), "low": F.col("low"), "high": F.col("high"), "middle": (F.col("low") + F.col("high")) / 2}
-        for head, y in heads.items():
-            known = train.withColumn("y", y - F.col("ref")).where(F.col("y").isNotNull() & (F.col("window_complete") < cutoff)).select("x", "y")
-            out = LinearRegression(featuresCol="x", labelCol="y", predictionCol=head, regParam=1.0, standardization=False, solver="normal").fit(known).transform(out)
-        return out.select("issue_id", *((F.col("ref") + F.col(h)).alias(h) for h in heads))
-
-    return refitted(model_rows(spark, sf_dir), fit)
+    """Four heads (arrival, and mean, least and most of the window) by robust ridge on one set of columns, for all days together."""
+    rows = model_rows(spark, sf_dir)
+    value = lambda h: F.col("target" if h == "arrival" else h)
+    each = rows.withColumn("head", F.explode(F.array(*(F.lit(h) for h in HEADS)))).withColumn("target", F.coalesce(*(F.when(F.col("head") == h, value(h)) for h in HEADS)))
+    spans = kept(ln.training_spans(each.withColumn("y", F.col("target") - F.col("ref"))).withColumn("_serves", rg.served_days()).select("head", "_serves", "y", *COLUMNS), "spans")
+    models = rg.ridge_models(spans, ["head"], "_serves", COLUMNS, "y", 10.0).where(f"n >= {LEAST}")
+    now = rows.withColumn("model", day_of("issue_us")).withColumn("head", F.explode(F.array(*(F.lit(h) for h in HEADS)))).join(models, ["head", "model"], "left")
+    said = now.select("issue_id", "head", (F.col("ref") + rg.ridge_prediction(COLUMNS)).alias("p"))
+    return said.groupBy("issue_id").agg(*(F.max(F.when(F.col("head") == h, F.col("p"))).alias(h) for h in HEADS))
+
+
+def base_chances(spark, sf_dir) -> DataFrame:
+    """Issues with their class y and the logarithms of two forecasts of it: the issued one, and the shares of the classes in the series before the issue's day."""
+    rows = arrival_targets(spark, sf_dir).withColumn("d", F.col("target") - F.col("ref")).withColumn("y", three_classes(F.col("d"))).withColumn("w", F.lit(1.0))
+    marks = [F.count_if(F.col("y") == k).alias(f"k{k}") for k in range(3)]
+    shares = ln.training_sums(rows, marks, [(F.sum(f"k{k}") + 1).alias(f"k{k}") for k in range(3)])
+    total = F.col("k0") + F.col("k1") + F.col("k2")
+    rows = rows.withColumn("day", day_of("issue_us")).join(shares.withColumn("all", total), ["series", "day"], "left")
+    log = lambda c: F.log(F.greatest(c, F.lit(1e-4)))
+    issued = {f"a{k}": log(F.col(c)) for k, c in enumerate(("p_fall", "p_none", "p_rise"))}
+    prior = {f"b{k}": log(F.coalesce(F.col(f"k{k}") / F.col("all"), F.lit(1 / 3))) for k in range(3)}
+    return kept(rows.withColumns(issued | prior).select("issue_id", "series", "issue_us", "complete", "target", "y", "w", *issued, *prior), "base-chances")
 
 
 @query("m15_stacked_chances")
 def stacked_chances(spark, sf_dir):
-    """The issued chances of fall, none and rise calibrated by a multinomial map of their logarithms."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-
-    logs = [F.log(F.greatest(F.col(c), F.lit(1e-4))).alias(f"l_{c}") for c in ("p_fall", "p_none", "p_rise")]
-    vector = VectorAssembler(inputCols=["l_p_fall", "l_p_none", "l_p_rise"], outputCol="x")
-
-    def fit(train, test, cutoff):
-        y = F.when(F.col("d") <= -20, 0.0).when(F.col("d") < 20, 1.0).otherwise(2.0)
-        known = vector.transform(train.where("d is not null").select(y.alias("y"), *logs))
-        model = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=0.01, maxIter=60).fit(known)
-        p = vector_to_array("probability")
-        return model.transform(vector.transform(test.select("issue_id", *logs))).select("issue_id", *(F.try_element_at(p, F.lit(i + 1)).alias(n) for i, n in enumerate(("fall", "none", "rise"))))
-
-    rows = kept(arrival_targets(spark, sf_dir).withColumn("d", F.col("target") - F.col("ref")), "ledger-rows")
-    return refitted(rows, fit)
+    """The issued chances calibrated in three ways, by models of every day: a temperature with biases, a matrix of their logarithms, and stacked with the series' past shares."""
+    rows = base_chances(spark, sf_dir)
+    issued, both = ["a0", "a1", "a2"], ["a0", "a1", "a2", "b0", "b1", "b2"]
+    out = rows.select("issue_id")
+    for name, x, (design, factors) in (("temperature", issued, nt.stack(3)), ("matrix", issued, nt.multinomial(3, 3)), ("stack", both, nt.stack(3, 2))):
+        names = [f"{name}_{c}" for c in ("fall", "none", "rise")]
+        out = out.join(softmax_days(rows, rows, x, design, factors, names, ["issue_id"], raw=True), "issue_id", "left")
+    return out
 
 
 @query("m25_class_medians")
@@ -273,35 +318,32 @@ def class_medians(spark, sf_dir):
     """A balanced forest says fall, stable or rise; the forecast moves by the median past change of that class, not at all if stable."""
     from pyspark.ml.classification import RandomForestClassifier
 
-    def fit(train, test, cutoff):
-        train, test = scaled(train.where(F.col("d").isNotNull() & (F.col("issue_us") >= cutoff - 14 * DAY)), test)
+    def fit(train, test, day):
+        train, test = scaled(train.where("d is not null"), test)
         known = train.withColumn("y", F.when(F.col("d") <= -10, 0.0).when(F.col("d") < 10, 1.0).otherwise(2.0))
         classes = known.groupBy("y").agg(F.count(F.lit(1)).alias("c"), F.median("d").alias("move"))  # three rows
         known = known.join(F.broadcast(classes.select("y", (1 / F.col("c")).alias("w"))), "y")
-        model = RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="w", numTrees=12, maxDepth=4, seed=7).fit(known.select("x", "y", "w"))
+        model = RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="w", numTrees=TREES, maxDepth=4, seed=7).fit(known.select("x", "y", "w"))
         said = model.transform(test).join(F.broadcast(classes.select(F.col("y").alias("prediction"), "move")), "prediction", "left")
         return said.select("issue_id", F.col("prediction").cast("long").alias("class"), (F.col("ref") + F.when(F.col("prediction") == 1, 0.0).otherwise(F.coalesce("move", F.lit(0.0)))).alias("pred"))
 
-    return refitted(model_rows(spark, sf_dir), fit)
+    return each_day(model_rows(spark, sf_dir), fit, "issue_id bigint, class bigint, pred double")
 
 
 @query("m27_log_linear")
 def log_linear(spark, sf_dir):
-    """Ridge on log levels for every two-hour window of the next half day, scaled by the lead."""
-    from pyspark.ml.regression import LinearRegression
-
+    """Ridge on log levels for every two-hour window of the next half day, scaled by the lead, for all days together."""
     levels = bk.closed_series(readings(spark, sf_dir)).select("series", F.col("label").alias("at"), "med")
-    base = arrival_targets(spark, sf_dir).select("series", "issue_id", "issue_us", "ref", bk.anchor(F.col("issue_us"), B).alias("from"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("step"))
+    base = issues(spark, sf_dir).select("series", "issue_id", "issue_us", "ref", bk.anchor(F.col("issue_us"), B).alias("from"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("step"))
     rows = base.withColumn("at", F.col("from") + F.col("step") * B).join(levels, ["series", "at"], "left").withColumn("complete", F.col("at"))
     lead, level = F.col("step") / 6, F.log(F.col("ref") + 5)
-    rows = kept(rows.select("issue_id", "step", "issue_us", "ref", "complete", (F.log(F.col("med") + 5) - level).alias("y"), level.alias("a"), lead.alias("b"), (level * lead).alias("c")), "windows")
-    vector = VectorAssembler(inputCols=["a", "b", "c"], outputCol="x")
-
-    def fit(train, test, cutoff):
-        model = LinearRegression(featuresCol="x", labelCol="y", regParam=0.001, solver="normal").fit(vector.transform(train.where("y is not null")).select("x", "y"))
-        return model.transform(vector.transform(test)).select("issue_id", F.col("step").cast("long").alias("step"), (F.exp(F.col("prediction")) * (F.col("ref") + 5) - 5).alias("pred"))
-
-    return refitted(rows, fit)
+    session = 2 * F.pi() * (F.col("at") % DAY) / DAY
+    x = {"a": level, "b": lead, "c": level * lead, "sin": F.sin(session), "cos": F.cos(session)}
+    rows = kept(rows.withColumns(x).withColumn("target", F.log(F.col("med") + 5) - level).withColumn("all", F.lit("all")), "windows")
+    spans = kept(ln.training_spans(rows).withColumn("_serves", rg.served_days()).select("all", "_serves", "target", *x), "spans")
+    models = rg.ridge_models(spans, ["all"], "_serves", list(x), "target", 1.0).where(f"n >= {LEAST}")
+    now = rows.withColumn("model", day_of("issue_us")).join(models, ["all", "model"], "left")
+    return now.select("issue_id", F.col("step").cast("long").alias("step"), (F.exp(rg.ridge_prediction(list(x))) * (F.col("ref") + 5) - 5).alias("pred"))
 
 
 #: Named two-hour sessions by the clock hour at which they end.
@@ -325,16 +367,15 @@ def session_regressor(spark, sf_dir):
     base = base.withColumn("step", ((F.col("label") - bk.anchor(F.col("issue_us"), B)) / B).cast("double"))
     weather = run_hours(spark, sf_dir).select("run_id", F.col("valid").alias("label"), F.col("speed").cast("double").alias("speed"), F.col("precip").cast("double").alias("precip"))
     rows = base.join(weather, ["run_id", "label"], "left").join(bk.closed_series(readings(spark, sf_dir)).select("series", "label", "med"), ["series", "label"], "left")
-    rows = kept(rows.withColumn("y", F.col("med") - F.col("ref")).withColumn("complete", F.col("label")), "session-rows")
+    ends = F.element_at(F.create_map(*(F.lit(x) for pair in SESSIONS.items() for x in pair)), F.expr(f"label % {DAY} div {HOUR}").cast("int"))
+    rows = kept(rows.withColumns({"target": F.col("med") - F.col("ref"), "complete": F.col("label"), "session": ends}), "session-rows")
 
-    def fit(train, test, cutoff):
-        ends = F.expr(f"label % {DAY} div {HOUR}")
-        test = test.withColumn("session", F.element_at(F.create_map(*(F.lit(x) for pair in SESSIONS.items() for x in pair)), ends.cast("int"))).where("session is not null")
-        train, test = scaled(train.where("y is not null"), test, [*COLUMNS, "step", "speed", "precip"])
-        model = GBTRegressor(featuresCol="x", labelCol="y", maxIter=8, maxDepth=3, seed=7).fit(train.select("x", "y"))
+    def fit(train, test, day):
+        train, test = scaled(train, test, [*COLUMNS, "step", "speed", "precip"])
+        model = GBTRegressor(featuresCol="x", labelCol="target", maxIter=5, maxDepth=3, seed=7).fit(train.select("x", "target"))
         return model.transform(test).select("issue_id", "session", F.col("step").cast("long").alias("step"), (F.col("ref") + F.col("prediction")).alias("pred"))
 
-    return refitted(rows, fit)
+    return each_day(rows, fit, "issue_id bigint, session string, step bigint, pred double", rows.where("session is not null"), ("issue_id", "session", "step"))
 
 
 RECIPES = (0.0, 100.0, 1000.0)

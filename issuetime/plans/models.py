@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from issuetime.operators import learn as ln
+from issuetime.operators import ridge as rg
 from issuetime.operators import scores as sc
 from issuetime.plans.targets import TARGET, arrival_targets, r6
 from issuetime.registry import query
@@ -33,6 +34,38 @@ def ridge_days(spark, sf_dir):
     return fit.select("series", "day", "n", r6("slope").alias("slope"), F.round("intercept", 5).alias("intercept"))
 
 
+def _robust_sql(key: str, alpha: float) -> str:
+    """Two robust-scaled columns and their ridge by ``key`` from the rows of ``train`` (columns y, x1, x2), in closed form."""
+    at = lambda c, p: f"quantile_disc({c}, {p})"
+    z = lambda c: f"CASE WHEN {c} IS NULL THEN 0 ELSE greatest(-4, least(4, ({c} - m{c}) / CASE WHEN w{c} > 0 THEN w{c} ELSE 1 END)) END"
+    scales = ", ".join(f"{at(c, 0.5)} AS m{c}, {at(c, 0.75)} - {at(c, 0.25)} AS w{c}" for c in ("x1", "x2"))
+    return f"""q AS (SELECT {key}, {scales} FROM rows GROUP BY {key}), z AS (SELECT {key}, y, {z("x1")} AS z1, {z("x2")} AS z2 FROM rows JOIN q USING ({key})),
+  s AS (SELECT {key}, count(*) AS n, avg(z1) AS a1, avg(z2) AS a2, avg(y) AS my, count(*) * var_pop(z1) + {alpha} AS s11, count(*) * var_pop(z2) + {alpha} AS s22, count(*) * covar_pop(z1, z2) AS s12, count(*) * covar_pop(z1, y) AS s1, count(*) * covar_pop(z2, y) AS s2 FROM z GROUP BY {key}),
+  b AS (SELECT *, (s22 * s1 - s12 * s2) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2 - s12 * s1) / (s11 * s22 - s12 * s12) AS b2 FROM s)
+  SELECT {key}, n, round(b1, 6) AS b1, round(b2, 6) AS b2, round(my - b1 * a1 - b2 * a2, 6) AS intercept FROM b"""
+
+
+@query("m02_robust_ridge", f"{TRAIN}, rows AS (SELECT series, day, target - ref AS y, ref AS x1, p_fall AS x2 FROM train), {_robust_sql('series, day', 5)}")
+def robust_ridge(spark, sf_dir):
+    """The change by ridge on columns less their medians, divided by their quartile ranges and held to four, for every series and day at once."""
+    rows = arrival_targets(spark, sf_dir).withColumn("y", F.col("target") - F.col("ref"))
+    spans = ln.training_spans(rows).withColumn("_serves", rg.served_days())
+    fit = rg.ridge_models(spans, ["series"], "_serves", ["ref", "p_fall"], "y", 5.0).withColumnRenamed("model", "day").join(evaluated(spark, sf_dir), ["series", "day"])
+    return fit.select("series", "day", "n", *(r6(F.element_at("coefficients", k)).alias(f"b{k}") for k in (1, 2)), r6("intercept").alias("intercept"))
+
+
+@query("m12_fold_ridge", f"{TARGET}, d AS (SELECT DISTINCT series, issue_us // {DAY} AS day FROM targets), f AS (SELECT *, ntile(4) OVER (PARTITION BY series ORDER BY day) AS fold FROM d), x AS (SELECT t.series, t.target - t.ref AS y, t.ref AS x1, t.p_fall AS x2, f.fold AS own FROM targets t JOIN f ON f.series = t.series AND f.day = t.issue_us // {DAY} WHERE target IS NOT NULL), rows AS (SELECT x.*, fold FROM x JOIN (SELECT unnest(range(1, 5)) AS fold) g ON g.fold <> x.own), {_robust_sql('series, fold', 5)}")
+def fold_ridge(spark, sf_dir):
+    """For each contiguous block of days the ridge fitted on the other three, for forecasts out of fold."""
+    from pyspark.sql import Window
+
+    rows = arrival_targets(spark, sf_dir).withColumns({"day": F.expr(f"issue_us div {DAY}"), "y": F.col("target") - F.col("ref")})
+    folds = rows.select("series", "day").distinct().withColumn("fold", F.ntile(4).over(Window.partitionBy("series").orderBy("day")))
+    spans = rows.join(folds, ["series", "day"]).withColumn("_serves", rg.other_folds("fold", 4))
+    fit = rg.ridge_models(spans, ["series"], "_serves", ["ref", "p_fall"], "y", 5.0)
+    return fit.select("series", F.col("model").alias("fold"), "n", *(r6(F.element_at("coefficients", k)).alias(f"b{k}") for k in (1, 2)), r6("intercept").alias("intercept"))
+
+
 @query("m01_walk_forward", f"{TRAIN}, s AS (SELECT series, day, count(*) AS n, avg(target - ref) AS shift FROM train GROUP BY series, day) SELECT i.issue_id, CASE WHEN n >= 10 THEN round(i.ref + shift, 5) END AS pred FROM issues i LEFT JOIN s ON s.series = i.series AND s.day = i.issue_us // {DAY}")
 def walk_forward(spark, sf_dir):
     d = F.col("target") - F.col("ref")
@@ -97,26 +130,6 @@ def inverse_error_weights(spark, sf_dir):
     return e.select("series", r6(a / (a + b)).alias("w_pred"))
 
 
-@query("m06_logistic_change")
-def logistic_change(spark, sf_dir):
-    """Multinomial classes of the change with weights that balance them, fitted on the first half and scored on the second."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = arrival_targets(spark, sf_dir).where("target is not null").withColumn("y", F.when(F.col("target") - F.col("ref") <= -20, 0.0).when(F.col("target") - F.col("ref") < 20, 1.0).otherwise(2.0))
-    cutoff = rows.agg(F.percentile_approx("issue_us", 0.5)).first()[0] or 0
-    train = rows.where(F.col("complete") < cutoff)
-    counts = train.groupBy("y").agg(F.count(F.lit(1)).alias("c"))
-    train = train.join(counts, "y").withColumn("w", 1 / F.sqrt(F.col("c")))
-    for step in (Imputer(inputCols=["ref", "p_fall"], outputCols=["ref_i", "fall_i"]), VectorAssembler(inputCols=["ref_i", "fall_i"], outputCol="x"), StandardScaler(inputCol="x", outputCol="z", withMean=True)):
-        model = step.fit(train) if hasattr(step, "fit") else step
-        train, rows = model.transform(train), model.transform(rows)
-    model = LogisticRegression(featuresCol="z", labelCol="y", weightCol="w", family="multinomial", regParam=0.01, maxIter=30).fit(train)
-    p = vector_to_array("probability")
-    return model.transform(rows.where(F.col("issue_us") >= cutoff)).select("issue_id", p[0].alias("p_fall"), p[1].alias("p_none"), p[2].alias("p_rise"))
-
-
 @query("m16_isotonic_quality")
 def isotonic_quality(spark, sf_dir):
     """Monotone map from text length to the probability of quality."""

@@ -19,44 +19,66 @@ def rows(spark):
     return fc.model_rows(spark, DIR)
 
 
-def test_chances_equal_newtons_method(rows):
-    cutoff = fc.CUTOFFS[0]
-    train, test = rows.where(F.col("complete") < cutoff), rows.where((F.col("issue_us") >= cutoff) & (F.col("issue_us") < cutoff + fc.WEEK))
-    got = {r["issue_id"]: r["p"] for r in fc.fit_chance(train, test, F.col("d") <= -20).select("issue_id", "p").collect()}
-    known, asked = fc.scaled(train.where("d is not null"), test)
-    known, asked = known.select("x", "d").collect(), asked.select("issue_id", "x").collect()
-    x, y = np.array([[1.0, *r["x"]] for r in known]), np.array([r["d"] <= -20 for r in known], float)
-    w, ridge = np.zeros(x.shape[1]), 0.01 * np.diag([0.0] + [1.0] * (x.shape[1] - 1))
-    for _ in range(50):
+@pytest.fixture(scope="module")
+def dense(spark, tmp_path_factory):
+    """Three weeks of one series, dense enough that most buckets are closed."""
+    at = tmp_path_factory.mktemp("dense")
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet")
+    events.where("event_type = 'click' and ts < timestamp'2024-01-12'").coalesce(1).write.parquet(str(at / "events.parquet"))
+    return str(at)
+
+
+def test_change_chances_equal_newtons_method(spark, rows):
+    """One head of one day against Newton's method on its training rows."""
+    levels = {(r["series"], r["label"]): r["med"] for r in fc.bk.closed_series(readings(spark, DIR)).collect()}
+    got = {r["issue_id"]: r["fall_4"] for r in Q["m07_change_chances"](spark, DIR).collect()}
+    base = [r.asDict() | {"med": levels.get((r["series"], r["label"] + 4 * fc.B))} for r in rows.collect()]
+    assert set(got) == {r["issue_id"] for r in base}
+    start = 19742 * DAY
+    train = [r for r in base if r["med"] is not None and r["label"] + 4 * fc.B < start and start - 14 * DAY < r["issue_us"] < start - 44 * HOUR]
+    scales = []
+    for c in fc.COLUMNS:
+        known = sorted(r[c] for r in train if r[c] is not None)
+        q = [known[max(1, int(np.ceil(p * len(known)))) - 1] for p in (0.25, 0.5, 0.75)] if len(known) >= 0.6 * len(train) else None
+        scales.append(q and (q[1], q[2] - q[0] or 1.0))
+    z = lambda frame: np.array([[1.0] + [0.0 if s is None or r[c] is None else np.clip((r[c] - s[0]) / s[1], -4, 4) for c, s in zip(fc.COLUMNS, scales)] for r in frame])
+    x, y = z(train), np.array([r["med"] - r["ref"] <= -20 for r in train], float)
+    # two classes with weights of opposite sign: a penalty on both is one on half the difference
+    w, ridge = np.zeros(x.shape[1]), 0.005 * np.diag([0.0] + [1.0] * (x.shape[1] - 1))
+    for _ in range(60):
         p = 1 / (1 + np.exp(-x @ w))
         w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) / len(y) + ridge + 1e-12 * np.eye(len(w)), x.T @ (p - y) / len(y) + ridge @ w)
-    assert len(got) == len(asked) > 100
-    for r in asked:
-        assert got[r["issue_id"]] == pytest.approx(1 / (1 + np.exp(-(w[0] + np.dot(w[1:], list(r["x"]))))), abs=2e-3)
+    test = [r for r in base if r["issue_us"] // DAY == 19742]
+    assert [got[r["issue_id"]] for r in test] == pytest.approx((1 / (1 + np.exp(-z(test) @ w))).tolist(), abs=1e-6) and len(test) > 50
 
 
-def test_thin_support_gives_no_chance(rows):
-    few = rows.where("d is not null").limit(30)
-    assert {r["p"] for r in fc.fit_chance(few, few, F.col("d") <= -1000).select("p").collect()} == {None}
+def test_thin_support_gives_no_chance(spark, rows):
+    """A head without events, or with hardly any rows, has no model."""
+    few = rows.withColumns({"y": F.lit(0), "w": F.lit(1.0)})
+    said = fc.softmax_days(few, few, fc.COLUMNS, *fc.nt.multinomial(2, len(fc.COLUMNS)), ["no", "yes"], ["issue_id"])
+    assert {r["yes"] for r in said.collect()} == {None}
 
 
 def test_leaf_weights_give_the_forests_mean(spark):
-    got = Q["m10_leaf_distribution"](spark, DIR).collect()
-    assert len(got) > 300
+    got = [r for r in Q["m10_leaf_distribution"](spark, DIR).collect() if r["mean"] is not None]
+    assert len(got) > 2500
     for r in got:
         assert r["mean"] == pytest.approx(r["forest"], abs=1e-6) and 0 <= r["p_fall"] <= 1 and r["q25"] <= r["q50"] <= r["q75"]
 
 
-def test_quantiles_and_extrema_are_ordered(spark):
-    for r in Q["m13_quantile_forest"](spark, DIR).collect():
+def test_quantiles_and_extrema_are_ordered(spark, dense):
+    got = [r for r in Q["m13_quantile_forest"](spark, dense).collect() if r["q5"] is not None]
+    assert len(got) > 500
+    for r in got:
         q = [r[c] for c in ("q5", "q10", "q25", "q40", "q50", "q60", "q75", "q90", "q95")]
         assert q == sorted(q) and 0 <= r["p70"] <= 1
-    assert all(r["low"] <= r["high"] for r in Q["m28_joint_extrema"](spark, DIR).collect())
+    both = [r for r in Q["m28_joint_extrema"](spark, dense).collect() if r["low"] is not None]
+    assert len(both) > 500 and all(r["low"] <= r["high"] for r in both)
 
 
-def test_incidence_is_the_fold_of_the_hazards(spark):
-    got = Q["m09_hazards"](spark, DIR).collect()
-    assert len(got) > 100
+def test_incidence_is_the_fold_of_the_hazards(spark, dense):
+    got = [r for r in Q["m09_hazards"](spark, dense).collect() if r["fall"] is not None]
+    assert len(got) > 50
     for r in got:
         alive, fall, rise = 1.0, 0.0, 0.0
         for k in range(1, 7):
@@ -69,38 +91,43 @@ def test_incidence_is_the_fold_of_the_hazards(spark):
 def test_fitted_heads_beat_the_level(spark, rows):
     truth = {r["issue_id"]: (r["target"], r["ref"]) for r in rows.where("target is not null").collect()}
     for name, column in (("m05_boosted_heads", "arrival"), ("m04_ridge_heads", "arrival"), ("m25_class_medians", "pred")):
-        met = [(r[column], *truth[r["issue_id"]]) for r in Q[name](spark, DIR).collect() if r["issue_id"] in truth]
-        assert len(met) > 100 and np.mean([abs(p - y) for p, y, _ in met]) < np.mean([abs(ref - y) for _, y, ref in met])
+        met = [(r[column], *truth[r["issue_id"]]) for r in Q[name](spark, DIR).collect() if r["issue_id"] in truth and r[column] is not None]
+        assert len(met) > 700 and np.mean([abs(p - y) for p, y, _ in met]) < np.mean([abs(ref - y) for _, y, ref in met])
 
 
 @pytest.mark.parametrize("name", ["m08_class_forest", "m06_logistic_change"])
 def test_chances_of_classes(spark, name):
     got = Q[name](spark, DIR).collect()
     truth = {r["issue_id"]: r["target"] - r["ref"] for r in arrival_targets(spark, DIR).where("target is not null").collect()}
-    chances = {r["issue_id"]: [v for c, v in r.asDict().items() if c != "issue_id"] for r in got}
-    assert all(sum(p) == pytest.approx(1) and min(p) >= 0 for p in chances.values())
+    columns = ("p_fall", "p_none", "p_rise") if name == "m06_logistic_change" else ("fall", "none", "rise")
+    assert len(got) == readings(spark, DIR).where("obs_id % 3 = 0").count()
+    if name == "m06_logistic_change":
+        assert all(min(r[f"c{k}"] for k in range(5)) >= fc.FLOOR / 1.05 and r["c0"] + r["c1"] == pytest.approx(r["p_fall"]) for r in got if r["c0"] is not None)
+    chances = {r["issue_id"]: [r[c] for c in columns] for r in got if r[columns[0]] is not None}
+    assert len(chances) > 2500 and all(sum(p) == pytest.approx(1) and min(p) >= 0 for p in chances.values())
     fell = [p[0] for i, p in chances.items() if i in truth and truth[i] <= -20]
     assert np.mean(fell) > np.mean([p[0] for i, p in chances.items() if i in truth and truth[i] > -20])
 
 
 def test_calibrated_chances_score_better_than_issued(spark):
     truth = {r["issue_id"]: (float(r["target"] - r["ref"] <= -20), r["p_fall"]) for r in arrival_targets(spark, DIR).where("target is not null").collect()}
-    got = [(r["fall"], r["none"], r["rise"], *truth[r["issue_id"]]) for r in Q["m15_stacked_chances"](spark, DIR).collect() if r["issue_id"] in truth]
-    assert len(got) > 100 and all(sum(r[:3]) == pytest.approx(1) for r in got)
+    got = [(r["stack_fall"], r["stack_none"], r["stack_rise"], *truth[r["issue_id"]]) for r in Q["m15_stacked_chances"](spark, DIR).collect() if r["issue_id"] in truth and r["stack_fall"] is not None]
+    assert len(got) > 700 and all(sum(r[:3]) == pytest.approx(1) for r in got)
     assert np.mean([(p - y) ** 2 for p, _, _, y, _ in got]) < np.mean([(q - y) ** 2 for *_, y, q in got])
 
 
 def test_log_linear_windows(spark):
     got = Q["m27_log_linear"](spark, DIR).collect()
-    assert {r["step"] for r in got} == set(range(1, 7)) and all(np.isfinite(r["pred"]) for r in got)
+    assert {r["step"] for r in got} == set(range(1, 7)) and all(np.isfinite(r["pred"]) for r in got if r["pred"] is not None) and sum(r["pred"] is not None for r in got) > 15_000
 
 
 def test_sessions_are_named_whole_and_nearer_than_persistence(spark):
     got = {(r["issue_id"], r["session"]): r for r in Q["m26_session_regressor"](spark, DIR).collect()}
+    assert {i for i, _ in got} == {r["issue_id"] for r in arrival_targets(spark, DIR).collect()}
+    got = {k: r for k, r in got.items() if r["pred"] is not None}
     issue = {r["issue_id"]: r for r in arrival_targets(spark, DIR).collect()}
     levels = {(r["series"], r["label"]): r["med"] for r in fc.bk.closed_series(readings(spark, DIR)).collect()}
-    asked = {i for i, r in issue.items() if fc.CUTOFFS[0] <= r["issue_us"] < fc.CUTOFFS[-1] + fc.WEEK}
-    assert set(got) <= {(i, s) for i in asked for s in fc.SESSIONS.values()} and len(got) > len(asked)
+    assert len(got) > 5000
     ours, still = [], []
     for (i, session), r in got.items():
         end = issue[i]["issue_us"] // fc.B * fc.B + r["step"] * fc.B
