@@ -25,18 +25,28 @@ from issuetime.llm.tokens import blocks
 #: Longer runs of letters count as several words, so that no product of probabilities leaves the range of doubles.
 LONGEST = 32
 ROUNDS, SMOOTHING, FLOOR = 2, 0.1, 1e-9
-START, UNKNOWN = "▁", 0
+START, WIDE = "▁", 1 << 21  # more than there are characters
 _WORD = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
 _vocabularies: dict[str, Pieces] = {}
 
 
 class Pieces:
-    """Numbers (from 1) of a vocabulary's pieces of lower-case letters, with or without the mark of a word's start; 0 is a character without a piece."""
+    """Numbers (from 1) of a vocabulary's pieces of lower-case letters, with or without the mark of a word's start; 0 is a character without a piece.
+
+    Beginnings of pieces are the nodes of a trie, held as sorted (node, character) steps.
+    """
 
     def __init__(self, pieces: list[str]) -> None:
+        import numpy as np
+
         usable = sorted({p for p in pieces if p == START or p.removeprefix(START).isalpha() and p == p.lower()})
         self.ids = {p: i for i, p in enumerate(usable, 1)}
-        self.beginnings = {p[:n] for p in usable for n in range(1, len(p))}
+        nodes = {p: i for i, p in enumerate(sorted({p[:n] for p in usable for n in range(1, len(p) + 1)}), 1)}
+        self.piece = np.zeros(len(nodes) + 1, np.int32)  # of each beginning the piece that it is, 0 if none
+        for p, i in self.ids.items():
+            self.piece[nodes[p]] = i
+        steps = sorted((nodes.get(p[:-1], 0) * WIDE + ord(p[-1]), i) for p, i in nodes.items())
+        self.step, self.to = (np.array([x[i] for x in steps], np.int64) for i in (0, 1))
 
     @staticmethod
     def shared(path: str) -> Pieces:
@@ -52,21 +62,24 @@ class Pieces:
         """The lattice of each word as arrays word, start, end, piece, by ascending end; every character has an edge of its own."""
         import numpy as np
 
-        ids, beginnings, out = self.ids, self.beginnings, []
-        for w, word in enumerate(words):
-            marked = START + word
-            n = len(marked)
-            for i in range(n):
-                j = i + 1
-                piece = marked[i]
-                out.append((w, i, j, ids.get(piece, UNKNOWN)))
-                while piece in beginnings and j < n:
-                    j += 1
-                    piece = marked[i:j]
-                    if piece in ids:
-                        out.append((w, i, j, ids[piece]))
-        table = np.array(out, np.int32).reshape(-1, 4)
-        return table[np.argsort(table[:, 2], kind="stable")].T
+        sizes = np.array([len(w) + 1 for w in words])
+        letters = np.frombuffer("".join(START + w for w in words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        ends, word = np.cumsum(sizes), np.repeat(np.arange(len(words)), sizes)
+        first, stop = (ends - sizes)[word], ends[word]
+        start, node, length, found = np.arange(len(letters)), np.zeros(len(letters), np.int64), 1, []
+        while len(start):  # one more character of every beginning that goes on
+            key = node * WIDE + letters[start + length - 1]
+            at = np.minimum(np.searchsorted(self.step, key), len(self.step) - 1)
+            known = self.step[at] == key
+            node = np.where(known, self.to[at], 0)
+            edge = self.piece[node] > 0 if length > 1 else np.ones(len(start), bool)
+            found.append((word[start[edge]], start[edge], start[edge] + length, self.piece[node[edge]]))
+            on = known & (start + length < stop[start])
+            start, node, length = start[on], node[on], length + 1
+        word, start, end, piece = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(end - first[start], kind="stable")
+        start, base = start[order], first[start[order]]
+        return word[order], start - base, end[order] - base, piece[order]
 
 
 def _forward(edges, weights, n: int, longest: int):
