@@ -13,6 +13,41 @@ def trailing(span: int, ts: str = "us", on: str = "series", shift: int = 0) -> W
     return Window.partitionBy(on).orderBy(ts).rangeBetween(-shift - span + 1, -shift)
 
 
+def trailing_stats(rows: DataFrame, span: int, value: str = "v", ts: str = "us", on: str = "series") -> DataFrame:
+    """``rows`` with n, sd (population), low, high and slope (a minute) of the values in (t - span, t], rows of the same clock included.
+
+    Time is cut into blocks as long as the span. A trailing span is the end of the block before and the beginning of its own, so
+    it is one running total over the block's rows and one, from the far end, over the rows of the block before, which are handed on
+    to it. Every row is added twice, whatever the span holds, and a key spreads over its blocks. Neither clock nor key may be null.
+    """
+    minute, block = 60_000_000.0, F.floor(F.col(ts) / span)
+    keyed = rows.withColumns({"_v": F.col(value).cast("double"), "_at": F.col(ts), "_b": block, "_own": F.lit(True)})
+    handed = keyed.select(on, "_v", (F.col("_at") + span).alias("_at"), (F.col("_b") + 1).alias("_b"), F.lit(False).alias("_own"))
+    both = keyed.unionByName(handed, allowMissingColumns=True)
+    x = (F.col("_at") - F.when(F.col("_own"), 0).otherwise(span) - F.col("_b") * span) / minute  # against the beginning of the block that it serves
+    both = both.withColumn("_x", x)
+    begun = Window.partitionBy(on, "_b").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    ended = Window.partitionBy(on, "_b").orderBy(F.col("_at").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    v, x = F.col("_v"), F.col("_x")
+
+    def total(name, own, frame):
+        mine = F.col("_own") if own else ~F.col("_own")
+        terms = {"n": v, "v": v, "vv": v * v, "x": x, "xx": x * x, "xv": x * v, "low": v, "high": v}
+        f = {"n": F.count, "low": F.min, "high": F.max}.get(name, F.sum)
+        return f(F.when(mine & v.isNotNull(), terms[name])).over(frame)
+
+    names = ("n", "v", "vv", "x", "xx", "xv", "low", "high")
+    both = both.withColumns({f"_p_{k}": total(k, True, begun) for k in names}).withColumns({f"_s_{k}": total(k, False, ended) for k in names}).where("_own")
+    add = lambda k: F.coalesce(F.col(f"_p_{k}"), F.lit(0.0)) + F.coalesce(F.col(f"_s_{k}"), F.lit(0.0))
+    n = add("n")
+    mean = lambda k: F.try_divide(add(k), n)
+    out = both.withColumns({
+        "n": n.cast("long"), "sd": F.sqrt(F.greatest(F.lit(0.0), mean("vv") - mean("v") * mean("v"))), "low": F.least("_p_low", "_s_low"), "high": F.greatest("_p_high", "_s_high"),
+        "slope": F.try_divide(mean("xv") - mean("x") * mean("v"), mean("xx") - mean("x") * mean("x")),
+    })
+    return out.select(*rows.columns, "n", "sd", "low", "high", "slope")
+
+
 def median_over(value: str, frame: WindowSpec) -> Column:
     return F.percentile(value, F.lit(0.5)).over(frame)
 

@@ -12,13 +12,14 @@ from issuetime.schemas import DAY
 LONG_AGO = -(1 << 62)
 
 
-def choose_spaced(rows: DataFrame, ts: str, spacing: int, on: str = "series", end: str | None = None, block: int = 7 * DAY) -> DataFrame:
+def choose_spaced(rows: DataFrame, ts: str, spacing: int, on: str = "series", end: str | None = None, block: int = 7 * DAY, whole: int = 200_000) -> DataFrame:
     """The first row per key, then each next row at least ``spacing`` after the last chosen one's ``end`` (its clock if not given).
 
     The choice depends on the one before, but a block of time needs only the clock from which a row may be chosen again. So
     every block of each key works out by itself where it would leave that clock for each way in (chains soon run together,
     so few differ), one number is carried through those few rows per block, and then every block chooses by itself. A hot
-    key spreads over its blocks; a block's clocks must fit one task. Clocks must be unique within a key; rows without key,
+    key spreads over its blocks; a block's clocks must fit one task. If no key has more than ``whole`` clocks, which are counted first, each
+    key is one block: its clocks are folded in one pass. Clocks must be unique within a key; rows without key,
     clock or end are not chosen.
     """
     import numpy as np
@@ -65,6 +66,10 @@ def choose_spaced(rows: DataFrame, ts: str, spacing: int, on: str = "series", en
             i = int(step[i])
         return part.iloc[kept][["_k", "_t"]]
 
+    largest = clocks.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= whole:
+        chosen = clocks.groupBy("_k").applyInPandas(lambda part: choose(part, pd.DataFrame({"_free": [LONG_AGO]})), f"_k {kind}, _t bigint")
+        return rows.join(chosen, (F.col(on) == F.col("_k")) & (F.col(ts) == F.col("_t")), "left_semi")
     blocks = clocks.groupBy("_k", "_b")
     ways = blocks.applyInPandas(exits, f"_k {kind}, _b bigint, _t bigint, _free bigint")
     starts = ways.repartition("_k").sortWithinPartitions("_k", "_b", "_t").mapInPandas(carry, f"_k {kind}, _b bigint, _free bigint")

@@ -127,7 +127,6 @@ LEVELS = """ SELECT obs_id, round(greatest(CASE WHEN v = 0 THEN 0 WHEN v < 30 TH
 
 
 @query("f10_all_levels", LEVELS)
-@query("f10_corrected_level", LEVELS)
 def corrected_level(spark, sf_dir):
     from issuetime.functions.clock import corrected_everywhere
 

@@ -106,8 +106,11 @@ def history_report(spark, sf_dir):
     """The last six hours of each series: level, extremes, gaps."""
     r = readings(spark, sf_dir)
     now = r.groupBy("series").agg(F.max("us").alias("now"))
-    recent = r.join(now, "series").where(F.col("us") > F.col("now") - 7 * DAY)  # the row before the window lies at most so far back, or the gap is one anyway
-    x = recent.withColumn("gap", F.col("us") - F.lag("us").over(Window.partitionBy("series").orderBy("us"))).where(F.col("us") > F.col("now") - 6 * HOUR)
+    dated = r.join(now, "series")
+    before = dated.where(F.col("us") <= F.col("now") - 6 * HOUR).groupBy("series").agg(F.max("us").alias("before"))  # the reading before the window, however old
+    recent = dated.where(F.col("us") > F.col("now") - 6 * HOUR).join(before, "series", "left")
+    last = F.coalesce(F.lag("us").over(Window.partitionBy("series").orderBy("us")), F.col("before"))
+    x = recent.withColumn("gap", F.col("us") - last)
     return x.groupBy("series").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("v")).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"), F.count_if(F.col("gap") > 30 * MINUTE).alias("gaps"), F.max_by("v", F.struct("us", "obs_id")).alias("last"))
 
 

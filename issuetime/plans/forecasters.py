@@ -404,3 +404,46 @@ def session_analogues(spark, sf_dir):
     near = Window.partitionBy("issue_id").orderBy(F.abs(F.col("level") - F.col("ref")), "past")
     best = now.join(past, ["series", "day", "session"]).withColumn("rank", F.row_number().over(near)).where("rank <= 5")
     return best.groupBy("issue_id").agg(F.count(F.lit(1)).alias("n"), r6(F.first("ref") + F.avg("d")).alias("pred"))
+
+
+RIDGE = "count(*) AS n, avg(x) AS mx, avg(target) AS my, count(*) * covar_pop(x, target) AS sxy, count(*) * var_pop(x) AS sxx"
+REVISED = "CASE WHEN issue_id % 7 = 0 AND issue_id % 13 <> 0 THEN ref * 1.1::DOUBLE ELSE ref END"
+
+
+@query("v07_replay_fidelity", f"""{TRAIN}, recipes AS (SELECT unnest({list(RECIPES)}) AS alpha),
+  s AS (SELECT series, day, {RIDGE} FROM (SELECT series, day, ref AS x, target FROM train) GROUP BY ALL HAVING count(*) >= 10),
+  z AS (SELECT series, day, {RIDGE} FROM (SELECT series, day, {REVISED} AS x, target FROM train) GROUP BY ALL HAVING count(*) >= 10),
+  e AS (SELECT a.alpha::DOUBLE AS alpha, i.series, abs(round(s.my + s.sxy / (s.sxx + a.alpha) * (i.ref - s.mx), 2) - (z.my + z.sxy / (z.sxx + a.alpha) * ({REVISED.replace("ref", "i.ref").replace("issue_id", "i.issue_id")} - z.mx))) AS apart
+    FROM issues i JOIN s ON s.series = i.series AND s.day = i.issue_us // {DAY} JOIN z ON z.series = i.series AND z.day = s.day CROSS JOIN recipes a)
+  SELECT alpha, series, count(*) AS n, round(avg((apart < 0.0051)::INT), 6) AS exact, round(quantile_cont(apart, 0.5), 5) AS middle, round(quantile_cont(apart, 0.95), 5) AS p95, round(max(apart), 5) AS most FROM e GROUP BY ALL""")
+def replay_fidelity(spark, sf_dir):
+    """Recorded recipes replayed: forecasts as recorded when issued, to two decimals, against the same recipes refitted on the levels as revised since.
+
+    Both are stored tables: the recipes, and the ledger of recorded values.
+    """
+    recipes = kept(spark.createDataFrame([(a,) for a in RECIPES], "alpha double"), "recipes")
+    first = arrival_targets(spark, sf_dir).withColumn("x", F.col("ref"))
+    revised = first.withColumn("x", F.expr(REVISED.replace("::DOUBLE", "D")))
+
+    def refitted(rows):
+        sums = ln.fit_sums(rows, "target", "x").where("n >= 10").drop("n").crossJoin(F.broadcast(recipes))  # a handful of recipes
+        now = rows.select("series", "issue_id", "x", F.expr(f"issue_us div {DAY}").alias("day")).join(sums, ["series", "day"])
+        return now.select("series", "issue_id", "alpha", (F.col("my") + F.try_divide(F.col("sxy"), F.col("sxx") + F.col("alpha")) * (F.col("x") - F.col("mx"))).alias("value"))
+
+    ledger = kept(refitted(first).withColumn("recorded", F.round("value", 2)).drop("value"), "recorded")
+    apart = F.abs(F.col("recorded") - F.col("value"))
+    met = refitted(revised).join(ledger, ["series", "issue_id", "alpha"]).withColumn("apart", apart)
+    return met.groupBy("alpha", "series").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("apart") < 0.0051).cast("int"))).alias("exact"), *(F.round(F.percentile("apart", F.lit(p)), 5).alias(c) for p, c in ((0.5, "middle"), (0.95, "p95"))), F.round(F.max("apart"), 5).alias("most"))
+
+
+@query("m16_isotonic_tails")
+def isotonic_tails(spark, sf_dir):
+    """The issued chance of a fall through a monotone map of every day, learned from the outcomes of its trailing window."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    rows = arrival_targets(spark, sf_dir).withColumn("y", (F.col("target") - F.col("ref") <= -20).cast("double"))
+
+    def fit(train, test, day):
+        return IsotonicRegression(featuresCol="p_fall", labelCol="y").fit(train.select("p_fall", "y")).transform(test).select("issue_id", F.col("prediction").alias("calibrated"))
+
+    return each_day(kept(rows, "issued-chances"), fit, "issue_id bigint, calibrated double")

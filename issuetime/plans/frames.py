@@ -44,11 +44,9 @@ def raw_lags(spark, sf_dir):
     FROM readings WINDOW w AS {frame(6 * HOUR)})
   SELECT obs_id, n, round(CASE WHEN n >= 3 THEN sd END, 5) AS sd, round(CASE WHEN n >= 2 THEN rng END, 5) AS range, round(CASE WHEN n >= 3 THEN slope END, 5) AS slope FROM x""")
 def trailing_stats(spark, sf_dir):
-    w = fr.trailing(6 * HOUR)
-    n, minutes = F.count(F.lit(1)).over(w), F.col("us") / MINUTE - 28_401_120
-    x = readings(spark, sf_dir).withColumn("minutes", minutes)
-    stats = [(fr.least_rows(F.stddev_pop("v").over(w), n, 3), "sd"), (fr.least_rows(F.max("v").over(w) - F.min("v").over(w), n, 2), "range"), (fr.least_rows(F.regr_slope("v", "minutes").over(w), n, 3), "slope")]
-    return x.select("obs_id", n.alias("n"), *(F.round(c, 5).alias(a) for c, a in stats))
+    x, n = fr.trailing_stats(readings(spark, sf_dir), 6 * HOUR), F.col("n")
+    stats = [(fr.least_rows(F.col("sd"), n, 3), "sd"), (fr.least_rows(F.col("high") - F.col("low"), n, 2), "range"), (fr.least_rows(F.col("slope"), n, 3), "slope")]
+    return x.select("obs_id", "n", *(F.round(c, 5).alias(a) for c, a in stats))
 
 
 @query("w04_sequence_bins", f""" SELECT i.issue_id, (i.issue_us - r.us) // {30 * MINUTE} AS bin, count(*) AS n, round(avg(r.v), 5) AS v FROM issues i JOIN readings r

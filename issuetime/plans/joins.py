@@ -33,7 +33,7 @@ def asof_latest_run(spark, sf_dir):
   SELECT i.issue_id, r.obs_id, r.v FROM issues i ASOF LEFT JOIN r ON i.series = r.series AND i.issue_us >= r.visible_us""")
 def asof_visible_reading(spark, sf_dir):
     right = readings(spark, sf_dir).select("series", "obs_id", "visible_us", "v")
-    return jn.asof_join(issues(spark, sf_dir), right, "issue_us", "visible_us", tie="obs_id").select("issue_id", "right.obs_id", "right.v")
+    return jn.asof_join_blocks(issues(spark, sf_dir), right, "issue_us", "visible_us", DAY, tie="obs_id").select("issue_id", "right.obs_id", "right.v")
 
 
 @query("j02_revision_asof", f""" SELECT series, obs_id, receipt_id, round(v, 6) AS v FROM receipts WHERE greatest(available, confirmed) <= {ISSUE}
@@ -189,11 +189,15 @@ def validated_readings(spark, sf_dir):
   later AS (SELECT source, fetched, min(run_id) AS run_id FROM runs WHERE run_id % 4 <> 0 GROUP BY ALL)
   SELECT * FROM firsts UNION ALL SELECT * FROM later l WHERE NOT EXISTS (SELECT 1 FROM firsts f WHERE f.source = l.source AND f.fetched = l.fetched)""")
 def append_once(spark, sf_dir):
-    from issuetime.sources.ingest import missing_issues
-
-    r = runs(spark, sf_dir).select("source", "fetched", "run_id")
-    first = missing_issues(r.where("run_id % 4 = 0"), None, ["source", "fetched"], "run_id")
-    return first.unionByName(missing_issues(r.where("run_id % 4 <> 0"), first, ["source", "fetched"], "run_id"))
+    """Runs appended to a stored table in two deliveries, the second of them twice: the first row of each source and clock stays."""
+    from issuetime.plans.streams import work_dir
+    from issuetime.sources.ingest import append_issues
+
+    path = f"{work_dir(spark)}/issued"
+    r = runs(spark, sf_dir).select("source", "fetched", "run_id").withColumn("date", F.expr(f"fetched div {DAY}"))
+    for part in ("run_id % 4 = 0", "run_id % 4 <> 0", "run_id % 4 <> 0"):
+        append_issues(r.where(part), path, ["source", "fetched"], "run_id", "date")
+    return spark.read.parquet(path).select("source", "fetched", "run_id")
 
 
 @query("s01_readings_scan", f" SELECT series, us, obs_id, v FROM readings WHERE us BETWEEN {ISSUE} AND {ISSUE + 3 * DAY}")

@@ -52,13 +52,20 @@ def trilinear(spark, sf_dir):
     return met.groupBy("event_id").agg(r6(F.when(F.count("pm") == F.count(F.lit(1)), F.sum(F.col("pm") * F.col("w")))).alias("pm"))
 
 
-@query("j10_station_match", f""", rep AS (SELECT us - us % {HOUR} AS at, arg_max(20 + v % 15, (us, obs_id)) AS temp, arg_max(us - us % {HOUR} + k * 60000000, (us, obs_id)) AS seen FROM readings WHERE series = 'error' GROUP BY 1)
-  SELECT h.run_id, h.valid, round(h.temp - r.temp, 6) AS error FROM run_hours h JOIN rep r ON r.at = h.valid WHERE h.h = 1 AND r.seen <= h.valid + {2 * HOUR} AND h.temp IS NOT NULL""")
+@query("j10_station_match", f""", names AS (SELECT series AS station, row_number() OVER (ORDER BY series) - 1 AS i, count(*) OVER () AS c FROM (SELECT DISTINCT series FROM readings)),
+  rep AS (SELECT series AS station, us - us % {HOUR} AS at, arg_max(20 + v % 15, (us, obs_id)) AS temp, arg_max(us - us % {HOUR} + k * 60000000, (us, obs_id)) AS seen FROM readings GROUP BY 1, 2)
+  SELECT r.station, h.h, count(*) AS n, round(avg(h.temp - r.temp), 6) AS bias, round(avg(abs(h.temp - r.temp)), 6) AS mae FROM run_hours h JOIN names s ON s.i = h.run_id % s.c JOIN rep r ON r.at = h.valid AND r.station = s.station WHERE r.seen <= h.valid + {2 * HOUR} AND h.temp IS NOT NULL GROUP BY ALL""")
 def station_match(spark, sf_dir):
-    last = F.struct("us", "obs_id")
-    rep = readings(spark, sf_dir).where("series = 'error'").groupBy((F.col("us") - F.col("us") % HOUR).alias("valid")).agg(F.max_by(20 + F.col("v") % 15, last).alias("was"), F.max_by(F.col("us") - F.col("us") % HOUR + F.col("k") * MINUTE, last).alias("seen"))
-    met = run_hours(spark, sf_dir).where("h = 1 and temp is not null").join(rep, "valid").where(F.col("seen") <= F.col("valid") + 2 * HOUR)
-    return met.select("run_id", "valid", r6(F.col("temp") - F.col("was")).alias("error"))
+    """Every run's hours against the newest report of its station in that hour, if seen within two hours: errors by station and lead."""
+    r, last = readings(spark, sf_dir), F.struct("us", "obs_id")
+    hour = F.col("us") - F.col("us") % HOUR
+    rep = r.groupBy(F.col("series").alias("station"), hour.alias("valid")).agg(F.max_by(20 + F.col("v") % 15, last).alias("was"), F.max_by(hour + F.col("k") * MINUTE, last).alias("seen"))
+    names = r.select(F.col("series").alias("station")).distinct().withColumn("i", F.row_number().over(Window.orderBy("station")) - 1)  # a row a station
+    of_run = names.crossJoin(names.agg(F.count(F.lit(1)).alias("c")))
+    hours = run_hours(spark, sf_dir).where("temp is not null")
+    met = hours.join(of_run, F.col("run_id") % F.col("c") == F.col("i")).join(rep, ["station", "valid"]).where(F.col("seen") <= F.col("valid") + 2 * HOUR)
+    error = F.col("temp") - F.col("was")
+    return met.groupBy("station", F.col("h").cast("long").alias("h")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(error)).alias("bias"), r6(F.avg(F.abs(error))).alias("mae"))
 
 
 STATIONS = """, names AS (SELECT series, 3.0::DOUBLE + 0.05 * i AS lat, 101.5::DOUBLE + 0.07 * ((i * 3) % 5) AS lon FROM (SELECT series, row_number() OVER (ORDER BY series) - 1 AS i FROM (SELECT DISTINCT series FROM readings))),
@@ -185,12 +192,6 @@ def as_issued_backtest(spark, sf_dir):
     return y.groupBy("series", "version").agg(F.count(F.lit(1)).alias("issued"), F.count("target").alias("scored"), r6(F.avg(F.abs(F.col("pred") - F.col("target")))).alias("mae"), r6(F.avg(F.abs(F.col("ref") - F.col("target")))).alias("ref_mae"))
 
 
-@query("v07_replay_fidelity", " SELECT i.series, count(*) AS n, round(median(abs(i.pred - (0.8 * r.v + 10))), 6) AS med, round(quantile_cont(abs(i.ref - r.v * 1.01), 0.95), 6) AS p95 FROM issues i JOIN readings r ON r.obs_id = i.issue_id GROUP BY i.series")
-def replay_fidelity(spark, sf_dir):
-    met = issues(spark, sf_dir).join(readings(spark, sf_dir).select(F.col("obs_id").alias("issue_id"), "v"), "issue_id")
-    return met.groupBy("series").agg(F.count(F.lit(1)).alias("n"), r6(F.median(F.abs(F.col("pred") - (0.8 * F.col("v") + 10)))).alias("med"), r6(F.percentile(F.abs(F.col("ref") - F.col("v") * 1.01), F.lit(0.95))).alias("p95"))
-
-
 @query("v14_prespecified", f"{SCORED}, c AS (SELECT k / 100.0::DOUBLE AS tau, count(*) FILTER (day < 19737 AND d > -20 AND p_fall >= k / 100.0::DOUBLE) AS f FROM scored CROSS JOIN (SELECT unnest(range(0, 34)) AS k) GROUP BY k), b AS (SELECT min(tau) AS tau FROM c WHERE f <= 10) SELECT b.tau, count(*) FILTER (d <= -20 AND p_fall >= b.tau) AS caught, count(*) FILTER (d > -20 AND p_fall >= b.tau) AS false_calls FROM scored CROSS JOIN b WHERE day >= 19737 GROUP BY b.tau")
 def prespecified(spark, sf_dir):
     """The least threshold with at most ten false calls before the split, applied after it."""

@@ -93,9 +93,14 @@ def hash_sample(spark, sf_dir):
     return issues(spark, sf_dir).orderBy(F.xxhash64("issue_id", F.lit(7)), "issue_id").limit(200).select("series", "issue_id", "issue_us")
 
 
-@query("p08_valid_clock", f" SELECT issue_id FROM issues WHERE recorded_us - issue_us BETWEEN 0 AND 120000000 AND issue_us % {2 * HOUR} >= 0")
+@query("p08_valid_clock", f" SELECT issue_id FROM issues WHERE recorded_us - issue_us BETWEEN 0 AND 120000000 AND (recorded_us + {12 * HOUR} + {2 * HOUR - 1}) // {2 * HOUR} = (issue_us + {12 * HOUR} + {2 * HOUR - 1}) // {2 * HOUR}")
 def valid_clock(spark, sf_dir):
-    return issues(spark, sf_dir).where((F.col("recorded_us") - F.col("issue_us")).between(0, 2 * MINUTE)).select("issue_id")
+    """Issues recorded within two minutes whose target closes at the same label by the recorded clock, from which it was stored, and by the issue's."""
+    from issuetime.operators.buckets import bucket_label
+
+    closes = lambda c: bucket_label(F.col(c) + 12 * HOUR, 2 * HOUR)
+    prompt = (F.col("recorded_us") - F.col("issue_us")).between(0, 2 * MINUTE)
+    return issues(spark, sf_dir).where(prompt & (closes("recorded_us") == closes("issue_us"))).select("issue_id")
 
 
 @query("p09_unsealed", f" SELECT issue_id FROM issues WHERE NOT (issue_us + {12 * HOUR} < {1_705_708_800_000_000} AND issue_us + {28 * HOUR} > {1_705_449_600_000_000})")

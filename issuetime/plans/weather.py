@@ -25,7 +25,6 @@ RUN_HOURS = " SELECT run_id, h, valid, speed, direction, temp, precip, pprob FRO
 
 
 @query("s03_all_run_hours", RUN_HOURS)
-@query("s03_exploded_runs", RUN_HOURS)
 def exploded_runs(spark, sf_dir):
     """Runs of the accepted sources from their payloads: the hours as a JSON array, decoded and exploded."""
     fields = ("h", "valid", "speed", "direction", "temp", "precip", "pprob")
@@ -38,7 +37,6 @@ POINTS = " SELECT run_id, h, CASE WHEN pprob - 5 BETWEEN 0 AND 90 THEN pprob - 5
 
 
 @query("p03_all_points", POINTS)
-@query("p03_sanitised_points", POINTS)
 def sanitised_points(spark, sf_dir):
     """Out-of-range chances, amounts and directions become null; the shifts make some points fall outside."""
     p, rain, direction = F.col("pprob") - 5, F.col("precip") - 0.5, F.col("direction") + 30
@@ -123,7 +121,6 @@ VECTORS = """, f AS (SELECT *, radians(direction - run_id * 53 % 360) AS off FRO
 
 
 @query("f11_all_vectors", VECTORS)
-@query("f11_wind_vectors", VECTORS)
 def wind_vectors(spark, sf_dir):
     """Components, compass name, and how far the wind comes from a source: alignment in [0, 1] and signed component against its bearing."""
     u, v = wx.wind_uv(F.col("speed"), F.col("direction"))
@@ -149,7 +146,6 @@ WET = """, x AS (SELECT run_id, h, precip > 0 AS wet FROM run_hours), f AS (SELE
 
 
 @query("e14_whole_runs", WET)
-@query("e14_wet_timing", WET)
 def wet_timing(spark, sf_dir):
     """First and last wet hour of the run's first day; the end of the last wet stretch is sought up to the run's last hour."""
     run = Window.partitionBy("run_id")
@@ -168,7 +164,6 @@ REVISIONS = f""", r AS (SELECT source, valid, run_id, temp, arg_max(temp, (fetch
 
 
 @query("w16_all_revisions", REVISIONS)
-@query("w16_revision_delta", REVISIONS)
 def revision_delta(spark, sf_dir):
     """What each run changes against the newest run with the same hour that is at least an hour older."""
     older = Window.partitionBy("source", "valid").orderBy("fetched").rangeBetween(Window.unboundedPreceding, -HOUR)

@@ -67,8 +67,8 @@ def test_spacing_across_blocks_is_that_of_one_fold(spark):
             want.append((k, t))
             free[k] = e + 3
     df = spark.createDataFrame([*data, ("a", None, 5), (None, 7, 7)], "series string, us bigint, e bigint")
-    for block in (50, 1000, 10**6):
-        got = sel.choose_spaced(df, "us", 3, end="e", block=block).select("series", "us").collect()
+    for block, whole in ((50, 0), (1000, 0), (10**6, 0), (50, 1000)):
+        got = sel.choose_spaced(df, "us", 3, end="e", block=block, whole=whole).select("series", "us").collect()
         assert sorted((r["series"], r["us"]) for r in got) == want
 
 
@@ -90,3 +90,23 @@ def test_streamed_buckets_equal_batch(spark, tmp_path):
     want = {(r["series"], r["label"]): r["med"] for r in bk.closed_series(readings(spark, "/root/testdata/sf0.01")).collect()}
     last = max(k[1] for k in want) - 2 * B
     assert {k: v for k, v in got.items() if k[1] < last} == {k: v for k, v in want.items() if k[1] < last}
+
+
+def test_trailing_stats_over_blocks_equal_plain_windows(spark):
+    """Equal clocks, rows on the edges of blocks, negative clocks, missing values, a hot key and a single row."""
+    from issuetime.operators.frames import trailing_stats
+
+    rng, span = random.Random(9), 1000
+    data = [("hot", rng.choice([t, t // 250 * 250]), rng.choice([None, 5.0, rng.uniform(-50, 50)])) for t in (rng.randint(-5000, 5000) for _ in range(700))] + [("b", 17, 3.0)]
+    got = trailing_stats(spark.createDataFrame(data, "series string, us bigint, v double"), span).collect()
+    assert len(got) == len(data)
+    for r in got:
+        near = [(t / 60e6, v) for s, t, v in data if s == r["series"] and r["us"] - span < t <= r["us"] and v is not None]
+        values = [v for _, v in near]
+        assert r["n"] == len(near) and (r["low"], r["high"]) == ((min(values), max(values)) if near else (None, None))
+        if near:
+            mean, at = sum(values) / len(near), sum(t for t, _ in near) / len(near)
+            assert r["sd"] == pytest.approx((sum((v - mean) ** 2 for v in values) / len(near)) ** 0.5, abs=1e-6)
+            spread = sum((t - at) ** 2 for t, _ in near)
+            if spread * (60e6) ** 2 > 1:
+                assert r["slope"] == pytest.approx(sum((t - at) * (v - mean) for t, v in near) / spread, rel=1e-4, abs=1e-2)
