@@ -21,6 +21,8 @@ from issuetime.llm.common import stored
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Integers are held to this size, so that the squares of 256 components add up exactly in 64 bits.
 LARGEST = 1 << 26
+#: Integers up to this size have squared distances over 256 components that doubles hold exactly.
+EXACT = 1 << 21
 #: Rows of one trie, and children of a node that are worked on at once: bounds of a task's memory.
 TRIE_ROWS, CHILDREN, SALTS = 1 << 15, 256, 16
 
@@ -46,6 +48,8 @@ def walk(leaves, entries):
     """
     import numpy as np
 
+    small = max(int(np.abs(x).max(initial=0)) for x in (leaves, entries)) <= EXACT
+    real, squares = entries.astype(float), np.cumsum((entries.astype(float) ** 2)[:, ::-1], axis=1)[:, ::-1]  # of each entry from each component on
     depth_end, open_ = leaves.shape[1], [iter([(0, len(leaves), 0, np.zeros(len(entries), np.int64))])]
 
     def children(low, high, depth, above):
@@ -58,8 +62,12 @@ def walk(leaves, entries):
             lone = np.flatnonzero(e - s == 1)
             if len(lone):
                 alone = sums[lone]
-                for d in range(depth + 1, depth_end):
-                    alone += (leaves[s[lone], d][:, None] - entries[:, d]) ** 2
+                if small and depth + 1 < depth_end:  # all whole numbers that doubles hold exactly
+                    tail = leaves[s[lone], depth + 1 :].astype(float)
+                    alone += ((tail**2).sum(axis=1)[:, None] - 2 * (tail @ real[:, depth + 1 :].T) + squares[:, depth + 1]).astype(np.int64)
+                else:
+                    for d in range(depth + 1, depth_end):
+                        alone += (leaves[s[lone], d][:, None] - entries[:, d]) ** 2
                 yield s[lone], alone
             for j in np.flatnonzero(e - s > 1):
                 yield int(s[j]), int(e[j]), depth + 1, sums[j]

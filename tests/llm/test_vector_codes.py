@@ -43,7 +43,7 @@ def got(df):
     return sorted((tuple(r) for r in df.select("vec_id", "label", "code", "error", "label_error", "codebooks_sha256").collect()), key=repr)
 
 
-@pytest.mark.parametrize("values", [3, 50, 100_000])
+@pytest.mark.parametrize("values", [3, 50, 100_000, 1 << 25])
 def test_walk_finds_the_nearest_entry(values, monkeypatch):
     monkeypatch.setattr(vc, "CHILDREN", 7)
     rng = np.random.default_rng(values)
