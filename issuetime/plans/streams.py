@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from issuetime.plans.targets import r6
 from issuetime.registry import query
-from issuetime.schemas import HOUR, MINUTE, readings_of, receipts_of, runs_of, table
+from issuetime.schemas import DAY, HOUR, MINUTE, readings, readings_of, receipts_of, runs_of, table
 from issuetime.sources.ingest import existing
 from issuetime.streaming import buckets as st
 from issuetime.streaming import detector
@@ -19,7 +19,7 @@ from issuetime.streaming import detector
 def work_dir(spark: SparkSession) -> str:
     """A new folder in ``spark.checkpoint.dir``; a machine-local one only in local mode with that setting unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if not base and (not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid4().hex}"
 
@@ -84,10 +84,37 @@ def stream_ledger(spark, sf_dir):
     return revision_asof(ledger, LEDGER_CLOCK).select("series", "obs_id", "receipt_id", r6("v").alias("v"))
 
 
+DELIVERIES = 10 * DAY
+#: Every so many readings come with the delivery after their own.
+WITHHELD = 50
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of the readings in deliveries of ten days each, oldest first, some of them one delivery late."""
+    r = readings(spark, sf_dir).select("series", "us", "obs_id", "v")
+    dated = r.withColumn("delivery", F.expr(f"us div {DELIVERIES}") + (F.col("obs_id") % WITHHELD == 0).cast("int"))
+    path = f"{work_dir(spark)}/deliveries"
+    for d in sorted(x[0] for x in dated.select("delivery").distinct().collect()):  # a number a delivery
+        dated.where(F.col("delivery") == d).drop("delivery").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("t06_late_rows", f""", d AS (SELECT *, us // {DELIVERIES} + (obs_id % {WITHHELD} = 0)::INT AS delivery FROM readings), c AS (SELECT delivery, max(us) AS newest FROM d GROUP BY delivery),
+  w AS (SELECT delivery, max(newest) OVER (ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c)
+  SELECT obs_id, coalesce(us <= before - {HOUR}, FALSE) AS late FROM d JOIN w USING (delivery)""")
+def late_rows(spark, sf_dir):
+    """Readings that come a delivery late are set aside; the ledger holds the others."""
+    at = work_dir(spark)
+    detector.set_late_aside(deliveries(spark, sf_dir), at, f"{at}/state", HOUR)
+    kept, late = (existing(spark, f"{at}/{part}") for part in ("ledger", "late"))
+    return kept.select("obs_id", F.lit(False).alias("late")).unionByName(late.select("obs_id", F.lit(True).alias("late")))
+
+
 @query("t07_stream_detector")
 def stream_detector(spark, sf_dir):
-    """Falls of 60 below the highest level since the detector was armed, with six hours' hold."""
-    return finished(detector.detected(reading_stream(spark, sf_dir), 60.0, 6 * HOUR, "1 hour"))
+    """Falls of 60 below the highest level since the detector was armed, and the clocks at which a hold of six hours had passed and it armed again."""
+    with detector.timer_states(spark):
+        return finished(detector.detected(reading_stream(spark, sf_dir), 60.0, 6 * HOUR, "1 hour"))
 
 
 @query("t08_stream_publication", f" SELECT event_type AS series, slot, min_by(event_id, (us, event_id)) AS issue_id FROM (SELECT *, epoch_us(ts) AS us, epoch_us(ts) // {4 * HOUR} AS slot FROM events WHERE event_id % 3 = 0) GROUP BY event_type, slot".replace("min_by", "arg_min"), inputs=False)
