@@ -146,7 +146,7 @@ def class_labels(keyed: DataFrame, classes: DataFrame, words: int = 5) -> DataFr
     lists = stored(postings(classes), "postings")
     posted = lists.select("id").distinct().join(classes.select("id", "row"), "id")
     sets = stored(full_sets(keyed, posted, words), "sets")
-    labels, labelled = None, lists.withColumn("label", F.col("id"))
+    links, labels, whole, labelled = None, None, True, lists.withColumn("label", F.col("id"))
     for turn in range(STAR_ROUNDS + 1):
         several = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
         open_lists = stored(labelled.join(several, "token"), "open-lists")
@@ -162,11 +162,18 @@ def class_labels(keyed: DataFrame, classes: DataFrame, words: int = 5) -> DataFr
             pairs = rare_pairs(open_lists.select("id", "label").distinct(), sets)
         # pairs by whole-set shingles need no collisions
         found = stored(confirmed(pairs, classes, sets, T if turn < STAR_ROUNDS else 0), "confirmed")
-        # of the links before, each class's one to its label tells all, and leaves fewer rounds to go
-        links = found if labels is None else found.union(labels.select("id", "label"))
-        labels = stored(components(links).withColumnRenamed("node", "id"), "labels")
+        links = found if links is None else links.union(found)
+        whole = turn >= STAR_ROUNDS - 1
+        if not whole:  # a class's smallest neighbour tells most of a star apart; chains wait for the components
+            labels = links.select(F.col("u").alias("id"), F.col("v").alias("label")).union(links.select("v", "u")).groupBy("id").agg(F.min("label").alias("label"))
+            labels = labels.select("id", F.least("id", "label").alias("label"))
+        else:
+            labels = stored(components(links).withColumnRenamed("node", "id"), "labels")
+            links = labels.select(F.col("id").alias("u"), F.col("label").alias("v"))  # each class's link to its label tells all that the links told
         labelled = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    return labels if labels is not None else classes.select("id", F.col("id").alias("label")).where("false")
+    if links is None:
+        return classes.select("id", F.col("id").alias("label")).where("false")
+    return labels if whole else components(links).withColumnRenamed("node", "id")
 
 
 def _decided(keyed: DataFrame, words: int) -> DataFrame:
