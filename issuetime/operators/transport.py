@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 #: Kilometres of one degree of latitude, as the paths are defined.
 DEGREE_KM = 111.2
 
-PATH = "lat double, lon double, traced double, reached boolean, contacts array<double>"
+PATH = "lat double, lon double, traced double, reached boolean, contacts array<double>, sampled double"
+#: Arrivals of one run that meet its lattices in one task.
+SHARE = 100_000
 
 
 def within(lat, lon, corners: Sequence[tuple[float, float]]):
@@ -28,8 +30,9 @@ def within(lat, lon, corners: Sequence[tuple[float, float]]):
     return turns != 0
 
 
-def _at(fields, axes, places):
-    """Each path's value of each of ``fields`` (paths x lats x lons x times) at its place; NaN outside or where a corner that weighs is not finite."""
+def _at(fields, axes, places, which):
+    """Each path's value of each of ``fields`` (lattices x lats x lons x times) at its place in its lattice ``which``; NaN outside or where a corner that
+    weighs is not finite. A corner of weight exactly zero is not asked, so that a path may run along a missing value's edge."""
     import numpy as np
 
     inside, low, part = True, [], []
@@ -38,64 +41,77 @@ def _at(fields, axes, places):
         i = np.clip(np.searchsorted(axis, x) - 1, 0, len(axis) - 2)
         low.append(i)
         part.append((x - axis[i]) / (axis[i + 1] - axis[i]))
-    rows, totals = np.arange(len(low[0])), [np.zeros(len(low[0])) for _ in fields]
+    totals = [np.zeros(len(low[0])) for _ in fields]
     for corner in np.ndindex(2, 2, 2):
         w = np.prod([p if c else 1 - p for p, c in zip(part, corner, strict=True)], axis=0)
         for total, field in zip(totals, fields, strict=True):
-            value = field[(rows, *(i + c for i, c in zip(low, corner, strict=True)))]
-            total += np.where(w > 1e-12, w * np.where(np.isfinite(value), value, np.nan), 0.0)
+            value = field[(which, *(i + c for i, c in zip(low, corner, strict=True)))]
+            total += np.where(w != 0, w * np.where(np.isfinite(value), value, np.nan), 0.0)
     return [np.where(inside, total, np.nan) for total in totals]
 
 
-def back_paths(arrivals: DataFrame, lats: Sequence[float], lons: Sequence[float], hours: int, sectors: Sequence[Sequence[tuple[float, float]]], most: float = 48.0, step: float = 0.5) -> DataFrame:
-    """``arrivals`` with the end of each path, the hours traced, whether ``most`` was reached, and the age of its first contact with each sector.
+def back_paths(
+    arrivals: DataFrame, lattices: DataFrame, lats: Sequence[float], lons: Sequence[float], hours: int, sectors: Sequence[Sequence[tuple[float, float]]], most: float = 48.0, step: float = 0.5, share: int = SHARE
+) -> DataFrame:
+    """``arrivals`` with the end of each path, the hours traced, whether ``most`` was reached, the age of its first contact with each sector, and ``sampled``.
 
-    ``arrivals``: at_lat, at_lon, at_hour and the run's winds u, v (array<double> in km/h over lats, lons and ``hours`` hours,
-    in this order) besides columns of the caller, which are carried. A path goes back by midpoint steps and ends early where the wind is not known:
-    off the lattice, before the run, or beside a missing value. Each row is a path of its own with a lattice of a fixed size, so rows
-    may lie in any partition and no group is gathered. Rows without winds, of another length or without a place trace no hour.
+    ``arrivals``: run, level, at_lat, at_lon, at_hour besides columns of the caller, which are carried. ``lattices``: run, level and the run's winds u, v and
+    field s (array<double>, winds in km/h, over lats, lons and ``hours`` hours in this order), one row for each run and level. A path goes back
+    by midpoint steps and ends early where the wind is not known: off the lattice, before the run, or beside a missing value. sampled is the
+    field at the path's end, null where it is not known. Arrivals without a lattice, or with one of another length, trace no hour.
+
+    Arrivals travel to their run's lattices, which are moved once. A run with more than ``share`` arrivals is dealt to as many groups as it has
+    shares, each with the run's lattices, so that a group holds about a share at most.
     """
     import numpy as np
     import pandas as pd
 
     axes = [np.asarray(lats, float), np.asarray(lons, float), np.arange(hours, dtype=float)]
-    shape, kept = (len(lats), len(lons), hours), [c for c in arrivals.columns if c not in ("u", "v", "at_lat", "at_lon", "at_hour")]
-    size = int(np.prod(shape))
-
-    def lattice(column) -> np.ndarray:
-        none = np.full(size, np.nan)
-        known = (none if x is None or len(x) != size else np.asarray(x, float) for x in column)
-        return np.stack(list(known)).reshape(-1, *shape)
-
-    def trace(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in parts:
-            for a in range(0, len(whole), 1000):
-                part = whole.iloc[a : a + 1000]
-                winds = lattice(part["u"]), lattice(part["v"])
-                lat, lon, hour = (part[c].to_numpy(float, na_value=np.nan).copy() for c in ("at_lat", "at_lon", "at_hour"))
-                going, traced = np.ones(len(part), bool), np.zeros(len(part))
-                contacts = np.full((len(part), len(sectors)), np.nan)
-                for age in np.arange(0, most + step / 2, step):
-                    for s, corners in enumerate(sectors):
-                        met = going & np.isnan(contacts[:, s]) & within(lat, lon, corners)
-                        contacts[met, s] = age
-                    traced[going] = age
-                    if age >= most or not going.any():
-                        break
-                    u, v = _at(winds, axes, (lat, lon, hour))
-                    mid = lat - v * step / 2 / DEGREE_KM, lon - u * step / 2 / (DEGREE_KM * np.cos(np.radians(lat))), hour - step / 2
-                    u, v = _at(winds, axes, mid)
-                    going &= np.isfinite(u) & np.isfinite(v)
-                    lat = np.where(going, lat - v * step / DEGREE_KM, lat)
-                    lon = np.where(going, lon - u * step / (DEGREE_KM * np.cos(np.radians(mid[0]))), lon)
-                    hour = hour - step
-                out = part[kept].copy()
-                out["lat"], out["lon"], out["traced"], out["reached"] = lat, lon, traced, going
-                out["contacts"] = [[None if np.isnan(x) else x for x in row] for row in contacts.tolist()]
-                yield out
-
+    shape, kept = (len(lats), len(lons), hours), [c for c in arrivals.columns if c not in ("at_lat", "at_lon", "at_hour")]
+    size, names = int(np.prod(shape)), ("u", "v", "s")
+    unknown = np.full(shape, np.nan)
+
+    def lattice(x) -> np.ndarray:
+        return unknown if x is None or len(x) != size else np.asarray(x, float).reshape(shape)
+
+    def trace(part: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame(columns=[*kept, "lat", "lon", "traced", "reached", "contacts", "sampled"], dtype=object)
+        order = {level: i for i, level in enumerate(mine["level"], 1)}
+        fields = [(unknown,) * 3] + [tuple(lattice(x) for x in row) for row in zip(*(mine[n] for n in names), strict=True)]
+        which = np.array([order.get(level, 0) for level in part["level"]], int)
+        u_all, v_all, s_all = (np.stack([f[k] for f in fields]) for k in range(3))
+        lat, lon, hour = (part[c].to_numpy(float, na_value=np.nan).copy() for c in ("at_lat", "at_lon", "at_hour"))
+        going, traced = np.ones(len(part), bool), np.zeros(len(part))
+        contacts = np.full((len(part), len(sectors)), np.nan)
+        for age in np.arange(0, most + step / 2, step):
+            for s, corners in enumerate(sectors):
+                met = going & np.isnan(contacts[:, s]) & within(lat, lon, corners)
+                contacts[met, s] = age
+            traced[going] = age
+            if age >= most or not going.any():
+                break
+            u, v = _at((u_all, v_all), axes, (lat, lon, hour), which)
+            mid = lat - v * step / 2 / DEGREE_KM, lon - u * step / 2 / (DEGREE_KM * np.cos(np.radians(lat))), hour - step / 2
+            u, v = _at((u_all, v_all), axes, mid, which)
+            going &= np.isfinite(u) & np.isfinite(v)
+            lat = np.where(going, lat - v * step / DEGREE_KM, lat)
+            lon = np.where(going, lon - u * step / (DEGREE_KM * np.cos(np.radians(mid[0]))), lon)
+            hour = np.where(going, hour - step, hour)
+        (sampled,) = _at((s_all,), axes, (lat, lon, hour), which)
+        out = part[kept].copy()
+        out["lat"], out["lon"], out["traced"], out["reached"] = lat, lon, traced, going
+        out["contacts"] = [[None if np.isnan(x) else x for x in row] for row in contacts.tolist()]
+        out["sampled"] = [None if np.isnan(x) else float(x) for x in sampled]
+        return out
+
+    hot = arrivals.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share).select("run", F.ceil(F.col("n") / share).cast("int").alias("_parts"))
+    hot = F.broadcast(hot)  # at most one row for each ``share`` arrivals
+    carried = [c for c in arrivals.columns if c not in ("run", "level")]
+    a = arrivals.join(hot, "run", "left").withColumn("_salt", F.pmod(F.xxhash64(*carried), F.coalesce("_parts", F.lit(1)).cast("bigint"))).drop("_parts")
+    b = lattices.join(hot, "run", "left").select("run", "level", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)).cast("bigint") - 1)).alias("_salt"), *(F.col(n).cast("array<double>").alias(n) for n in names))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in arrivals.schema.fields if f.name in kept)
-    return arrivals.mapInPandas(trace, f"{fields}, {PATH}")
+    return a.groupBy("run", "_salt").cogroup(b.groupBy("run", "_salt")).applyInPandas(trace, f"{fields}, {PATH}")
 
 
 def path_summary(paths: DataFrame, by: str, primary: int, least: float = 12.0, most: float = 48.0) -> DataFrame:

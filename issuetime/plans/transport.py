@@ -14,27 +14,31 @@ SECTORS = (((0.1, 0.3), (0.9, 0.2), (0.8, 0.9), (0.3, 0.8)), ((0.6, 1.3), (1.5,
 
 
 def winds(spark, sf_dir):
-    """run, level, u, v: one lattice of hourly winds per supplier and level; a few runs miss an hour."""
+    """run, level, u, v, s: one lattice of hourly winds, and of a level carried by them, per supplier and level; a few runs miss an hour."""
     run, level = F.col("s_suppkey"), F.col("level")
     axis, hours = F.sequence(F.lit(0), F.lit(2)), F.sequence(F.lit(0), F.lit(HOURS - 1))
     over = lambda f: F.flatten(F.transform(axis, lambda i: F.flatten(F.transform(axis, lambda j: F.transform(hours, lambda t: f(i, j, t))))))
     higher = (level == LEVELS[1]).cast("double")
     u = over(lambda i, j, t: F.when((run % 17 == 3) & (t == 9), None).otherwise((run % 5 - 2) * 1.0 + 0.1 * i + 0.2 * ((run + t) % 4) + higher))
     v = over(lambda i, j, t: (run % 3 - 1) * 1.0 + 0.1 * j - 0.5 * higher)
+    s = over(lambda i, j, t: 20.0 + 3.0 * i + 2.0 * j + ((run * 7 + t * 5) % 12) * 1.0)
     levels = F.explode(F.array(*(F.lit(x) for x in LEVELS)))
-    return table(spark, sf_dir, "supplier").withColumn("level", levels).select(run.alias("run"), "level", u.alias("u"), v.alias("v"))
+    return table(spark, sf_dir, "supplier").withColumn("level", levels).select(run.alias("run"), "level", u.alias("u"), v.alias("v"), s.alias("s"))
 
 
 def arrivals(spark, sf_dir):
-    """event_id, place, level and the winds of three arrivals at both levels: start, middle and end of each event's two hours."""
+    """event_id, place, level, run: three arrivals at both levels, at the start, middle and end of each event's two hours."""
     n = F.col("event_id")
     at = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("run"), (n * 3 % 39 + 8).cast("double").alias("start"), F.posexplode(F.array(F.lit(0.0), F.lit(1.0), F.lit(2.0))).alias("place", "later"))
-    at = at.select("event_id", "run", "place", (F.col("start") + F.col("later")).alias("at_hour"), F.lit(1.0).alias("at_lat"), F.lit(1.0).alias("at_lon"))
-    return at.join(winds(spark, sf_dir), "run").drop("run")
+    at = at.withColumn("level", F.explode(F.array(*(F.lit(x) for x in LEVELS))))
+    return at.select("event_id", "run", "place", "level", (F.col("start") + F.col("later")).alias("at_hour"), F.lit(1.0).alias("at_lat"), F.lit(1.0).alias("at_lon"))
 
 
 def paths(spark, sf_dir):
-    return tr.back_paths(arrivals(spark, sf_dir), AXIS, AXIS, HOURS, SECTORS)
+    """Paths of the arrivals whose run has a lattice."""
+    runs = winds(spark, sf_dir)
+    known = arrivals(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run")), "run", "left_semi")
+    return tr.back_paths(known, runs, AXIS, AXIS, HOURS, SECTORS)
 
 
 @query("m23_back_trajectories")
@@ -48,3 +52,13 @@ def back_trajectories(spark, sf_dir):
 def path_summary(spark, sf_dir):
     """Both levels of each window's three paths together."""
     return tr.path_summary(paths(spark, sf_dir), "event_id", LEVELS[0])
+
+
+@query("m24_sampled_field")
+def sampled_field(spark, sf_dir):
+    """Where the air that arrives in the middle of each event was six hours before, at both levels, and the field there; null off the lattice or before the run."""
+    middle = arrivals(spark, sf_dir).where("place = 1")
+    known = middle.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run")), "run", "left_semi")
+    out = tr.back_paths(known, winds(spark, sf_dir), AXIS, AXIS, HOURS, (), most=6.0)
+    whole = F.col("reached")
+    return out.select("event_id", "level", *(F.round(F.when(whole, F.col(c)), 6).alias(c) for c in ("lat", "lon", "sampled")))

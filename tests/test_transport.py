@@ -24,7 +24,7 @@ def wind(field, lat, lon, hour, hours):
         for dj in (0, 1):
             for dt in (0, 1):
                 w = abs(1 - di - (lat - i)) * abs(1 - dj - (lon - j)) * abs(1 - dt - (hour - t))
-                if w > 1e-12:
+                if w != 0:
                     value = field[((i + di) * 3 + j + dj) * hours + t + dt]
                     if value is None:
                         return None
@@ -32,12 +32,12 @@ def wind(field, lat, lon, hour, hours):
     return total
 
 
-def walk(u, v, hour, hours=plan.HOURS):
+def walk(u, v, hour, hours=plan.HOURS, most=48):
     lat = lon = 1.0
     seen, age = [None, None], 0.0
     while True:
         seen = [age if s is None and inside(lat, lon, c) else s for s, c in zip(seen, plan.SECTORS, strict=True)]
-        if age >= 48:
+        if age >= most:
             return lat, lon, age, True, seen
         a, b = wind(u, lat, lon, hour, hours), wind(v, lat, lon, hour, hours)
         if a is None or b is None:
@@ -51,8 +51,9 @@ def walk(u, v, hour, hours=plan.HOURS):
 
 
 def test_paths_and_summaries_equal_a_plain_walk(spark):
-    given = plan.arrivals(spark, DIR).collect()
-    walked = {(r["event_id"], r["place"], r["level"]): walk(r["u"], r["v"], r["at_hour"]) for r in given if r["event_id"] % 9 == 0}
+    winds = {(r["run"], r["level"]): r for r in plan.winds(spark, DIR).collect()}
+    given = [(r, winds.get((r["run"], r["level"]))) for r in plan.arrivals(spark, DIR).collect()]
+    walked = {(r["event_id"], r["place"], r["level"]): walk(w["u"], w["v"], r["at_hour"]) for r, w in given if r["event_id"] % 9 == 0 and w}
     got = {(r["event_id"], r["place"], r["level"]): r for r in plan.paths(spark, DIR).where("event_id % 9 = 0").collect()}
     assert set(got) == set(walked) and got
     for key, (lat, lon, age, reached, seen) in walked.items():
@@ -76,7 +77,25 @@ def test_paths_and_summaries_equal_a_plain_walk(spark):
 
 def test_odd_rows_trace_nothing_and_no_wind_reaches_the_limit(spark):
     still = [0.0] * (9 * 60)
-    rows = [(1, 1.0, 1.0, 55.0, still, still), (2, 1.0, 1.0, 55.0, None, still), (3, None, 1.0, 55.0, still, still), (4, 1.0, 1.0, 55.0, still[:5], still), (5, 9.0, 1.0, 55.0, still, still)]
-    df = spark.createDataFrame(rows, "id int, at_lat double, at_lon double, at_hour double, u array<double>, v array<double>")
-    got = {r["id"]: (r["traced"], r["reached"]) for r in tr.back_paths(df, plan.AXIS, plan.AXIS, 60, plan.SECTORS).collect()}
-    assert got == {1: (48.0, True), 2: (0.0, False), 3: (0.0, False), 4: (0.0, False), 5: (0.0, False)}
+    rows = [(1, 1, 1.0, 1.0, 55.0), (2, 2, 1.0, 1.0, 55.0), (3, 1, None, 1.0, 55.0), (4, 4, 1.0, 1.0, 55.0), (5, 1, 9.0, 1.0, 55.0), (6, None, 1.0, 1.0, 55.0), (7, 77, 1.0, 1.0, 55.0)] + [(100 + i, 1, 1.0, 1.0, 50.0 + i % 9) for i in range(60)]
+    arrivals = spark.createDataFrame([(i, run, 0, *at) for i, run, *at in rows], "id int, run bigint, level int, at_lat double, at_lon double, at_hour double")
+    lattices = spark.createDataFrame([(1, 0, still, still, [7.0] * len(still)), (2, 0, None, still, still), (4, 0, still[:5], still, still), (9, 0, still, still, still)], "run bigint, level int, u array<double>, v array<double>, s array<double>")
+    for share in (10, 1000):  # the hot run goes to several groups or to one
+        got = {r["id"]: (r["traced"], r["reached"], r["sampled"]) for r in tr.back_paths(arrivals, lattices, plan.AXIS, plan.AXIS, 60, plan.SECTORS, share=share).collect()}
+        assert {i: g for i, g in got.items() if i < 100} == {1: (48.0, True, 7.0), 2: (0.0, False, 0.0), 3: (0.0, False, None), 4: (0.0, False, 0.0), 5: (0.0, False, None), 6: (0.0, False, None), 7: (0.0, False, None)}
+        assert len(got) == len(rows) and all(got[100 + i][:2] == (48.0, True) for i in range(60))
+
+
+def test_sampled_field_is_that_of_the_plain_walk(spark):
+    winds = {(r["run"], r["level"]): r for r in plan.winds(spark, DIR).collect()}
+    places = {(r["event_id"], r["level"]): r for r in plan.arrivals(spark, DIR).where("place = 1").collect()}
+    seen = 0
+    for r in registry.queries()["m24_sampled_field"](spark, DIR).collect():
+        p = places[r["event_id"], r["level"]]
+        w = winds[p["run"], p["level"]]
+        lat, lon, age, reached, _ = walk(w["u"], w["v"], p["at_hour"], most=6)
+        assert (r["lat"] is not None) == reached
+        if reached:
+            assert math.isclose(r["lat"], lat, abs_tol=1e-6) and math.isclose(r["sampled"], wind(w["s"], lat, lon, p["at_hour"] - age, plan.HOURS), abs_tol=1e-5)
+            seen += 1
+    assert seen > 10
