@@ -37,25 +37,25 @@ NEAR = """WITH e AS (SELECT vec_id, unnest(list_transform(embedding, lambda x: x
 
 def standardised(spark, sf_dir):
     """Vectors with each column standardised over all rows; the second half of the columns is a block of half weight."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
-    st = e.groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))  # one row per column
-    scaled = e.join(F.broadcast(st), "i").withColumn("z", (F.col("v") - F.col("m")) / F.col("s") * F.when(F.col("i") < 32, 1.0).otherwise(0.5))
-    return scaled.groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "z"))), lambda x: x["z"]).alias("embedding"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    st = e.select(F.posexplode("embedding").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("i").collect()  # one row per column
+    scales = F.array(*(F.struct(F.lit(r["m"]).alias("m"), F.lit((r["s"] or 1.0) / (1.0 if r["i"] < 32 else 0.5)).alias("w")) for r in st)) if st else F.array()
+    return e.select("vec_id", F.zip_with("embedding", scales, lambda v, c: (v - c["m"]) / c["w"]).alias("embedding")) if st else e
 
 
 @query("l06_kernel_neighbours", f"{NEAR} SELECT query_id, vec_id, rank, round(exp(-d / max(d) OVER (PARTITION BY query_id)), 6) AS weight FROM r WHERE rank <= 10", inputs=False)
 def kernel_neighbours(spark, sf_dir):
-    """Queries (every id divisible by 50, sent in blocks of a bounded size) against all rows; each task keeps its best ten."""
+    """The ten nearest rows of every query (ids divisible by 50), cells that cannot hold one ruled out, weighed by their distance."""
     near = nearest_ten(spark, sf_dir)
     far = F.max("d").over(Window.partitionBy("query_id"))
     return near.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), r6(F.exp(-F.col("d") / far)).alias("weight"))
 
 
 def nearest_ten(spark, sf_dir):
-    from issuetime.operators.nearest import nearest_blocks
+    from issuetime.operators.nearest import nearest_rows
 
     e = standardised(spark, sf_dir)
-    return nearest_blocks(e.where("vec_id % 50 = 0"), e, 10)
+    return nearest_rows(e.where("vec_id % 50 = 0"), e, 10)
 
 
 @query("m17_analogue_forecast", f"{NEAR}, k AS (SELECT query_id, vec_id, exp(-d / max(d) OVER (PARTITION BY query_id)) AS w FROM r WHERE rank <= 10) SELECT query_id, round(sum(w * label) / sum(w), 6) AS mean, round((sum(w) FILTER (label = 0) + 2 * 0.1) / (sum(w) + 2), 6) AS share FROM (SELECT k.*, e.label FROM k JOIN embeddings e USING (vec_id)) GROUP BY query_id".replace("sum(w) FILTER (label = 0)", "coalesce(sum(w) FILTER (label = 0), 0)"), inputs=False)
@@ -68,6 +68,22 @@ def analogue_forecast(spark, sf_dir):
     return cases.groupBy("query_id").agg(r6(F.sum(F.col("w") * F.col("label")) / F.sum("w")).alias("mean"), r6(share).alias("share"))
 
 
+@query("m17_transferred_median", f"""{NEAR}, k AS (SELECT query_id, vec_id, exp(-d / max(d) OVER (PARTITION BY query_id)) AS w FROM r WHERE rank <= 10),
+  c AS (SELECT k.query_id, k.w, e.label - 10 * e.embedding[1]::DOUBLE AS moved, k.vec_id FROM k JOIN embeddings e USING (vec_id)),
+  t AS (SELECT *, sum(w) OVER (PARTITION BY query_id ORDER BY moved, vec_id ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY query_id) AS whole FROM c)
+  SELECT query_id, round(10 * any_value(q.embedding[1]::DOUBLE) + min(moved) FILTER (upto >= whole / 2 - 1e-12), 6) AS forecast FROM t JOIN embeddings q ON q.vec_id = t.query_id GROUP BY query_id""", inputs=False)
+def transferred_median(spark, sf_dir):
+    """The nearest cases' outcomes less their own level, their weighted median, moved to the level of the query (ten times the first column)."""
+    near = nearest_ten(spark, sf_dir)
+    w = F.exp(-F.col("d") / F.max("d").over(Window.partitionBy("query_id")))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", (10 * F.col("embedding")[0].cast("double")).alias("level"))
+    cases = near.select("query_id", "vec_id", w.alias("w")).join(e, "vec_id").withColumn("moved", F.col("label") - F.col("level"))
+    order = Window.partitionBy("query_id").orderBy("moved", "vec_id").rowsBetween(Window.unboundedPreceding, 0)  # ten cases
+    reached = cases.withColumn("upto", F.sum("w").over(order)).withColumn("whole", F.sum("w").over(Window.partitionBy("query_id"))).where("upto >= whole / 2 - 1e-12")
+    own = e.select(F.col("vec_id").alias("query_id"), "level")
+    return reached.groupBy("query_id").agg(F.min("moved").alias("moved")).join(own, "query_id").select("query_id", r6(F.col("level") + F.col("moved")).alias("forecast"))
+
+
 @query("l07_bin_extremes", """, x AS (SELECT *, min(us) OVER w AS f, max(us) OVER w AS l FROM readings WINDOW w AS (PARTITION BY series)), b AS (SELECT *, least(floor((us - f) * 24 / (l - f + 1)::DOUBLE), 23) AS bin FROM x),
   r AS (SELECT *, row_number() OVER (PARTITION BY series, bin ORDER BY v, us) AS lo, row_number() OVER (PARTITION BY series, bin ORDER BY v DESC, us) AS hi FROM b) SELECT series, us, v FROM r WHERE lo = 1 OR hi = 1 OR us IN (f, l)""")
 def bin_extremes(spark, sf_dir):
