@@ -105,15 +105,18 @@ def leak_check(spark, sf_dir):
 
 @query("v06_second_path", f"{TARGET} SELECT series, count(*) AS n, count(target) AS labelled, 0::BIGINT AS differ FROM targets GROUP BY series")
 def second_path(spark, sf_dir):
-    """Targets by the operators against the same by plain SQL joins over the closed buckets."""
-    frames = {"issues": issues(spark, sf_dir), "closed": bk.closed_series(readings(spark, sf_dir))}
+    return target_differences(arrival_targets(spark, sf_dir), issues(spark, sf_dir), bk.closed_series(readings(spark, sf_dir)))
+
+
+def target_differences(targets: DataFrame, issued: DataFrame, closed: DataFrame) -> DataFrame:
+    """series, n, labelled, differ: targets (issue_id, target) against the same by plain SQL joins over the closed buckets."""
     at = f"i.issue_us + {STANDARD.lead}"
-    again = spark.sql(
+    again = issued.sparkSession.sql(
         f"""SELECT i.issue_id, CASE WHEN pmod({at}, {B}) = 0 THEN a.med ELSE a.med + (b.med - a.med) * pmod({at}, {B}) / {B} END AS again FROM {{issues}} i
         LEFT JOIN {{closed}} a ON a.series = i.series AND a.label = {at} - pmod({at}, {B}) LEFT JOIN {{closed}} b ON b.series = i.series AND b.label = {at} - pmod({at}, {B}) + {B}""",
-        **frames,
+        issues=issued, closed=closed,
     )
-    met = arrival_targets(spark, sf_dir).join(again, "issue_id")
+    met = targets.join(again, "issue_id")
     same = F.col("target").isNull() & F.col("again").isNull() | (F.abs(F.col("target") - F.col("again")) <= 1e-6)
     return met.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.count("target").alias("labelled"), F.count_if(~F.coalesce(same, F.lit(False))).alias("differ"))
 
