@@ -24,55 +24,68 @@ def vocabulary_path() -> str:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's target and the words that the mix takes of it; null and blank texts have none to take."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), seed="mix")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set, its component and whether it stays; texts without words are linked with nothing."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and token ids in the files written, null as empty text, the end id appended."""
     return token_files.document_tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's spans of personal data, null as empty text."""
     return pii.span_digest(pii.personal_data(_table(spark, sf_dir, "documents")))
 
 
 def op5_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the archive written; null html as an empty payload."""
     return warc.record_table(spark, warc.write_archive(_table(spark, sf_dir, "pages")))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's chances of low quality and toxicity; null and empty texts have the base rates."""
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base and model score; null as empty text, of which the end alone is scored."""
     return language_model.score_texts(_table(spark, sf_dir, "documents"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its packed sequence; null as empty text, of which the end id alone is packed."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row that stays of its text; null, empty and blank texts are one text."""
     return exact_dedup.dedup_documents(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found of every query row; null, zero and non-finite vectors take no part."""
     return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's code and errors; vectors that are null or hold null or non-finite components are left out."""
     codes = vector_codes.compress_vectors(_table(spark, sf_dir, "embeddings"))
     return codes.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults and cheapest repair after damage; nulls in role and text as one space."""
     return conversations.damaged_and_repaired(_table(spark, sf_dir, "conversations"))
 
 
 def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from those not held out; und for null texts and texts without letters."""
     return language_id.identify_languages(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
