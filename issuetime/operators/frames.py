@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from issuetime.schemas import DAY
 
-def trailing(span: int, ts: str = "us", on: str = "series", shift: int = 0) -> WindowSpec:
+
+def trailing(span: int, ts: str = "us", on: str | list[str] = "series", shift: int = 0) -> WindowSpec:
     """Rows in (t - shift - span, t - shift]."""
     return Window.partitionBy(on).orderBy(ts).rangeBetween(-shift - span + 1, -shift)
 
@@ -52,10 +55,27 @@ def median_over(value: str, frame: WindowSpec) -> Column:
     return F.percentile(value, F.lit(0.5)).over(frame)
 
 
+def in_blocks(rows: DataFrame, reach: int, compute: Callable[[DataFrame, list[str]], DataFrame], ts: str = "us", on: str = "series", block: int = DAY) -> DataFrame:
+    """``compute(rows, keys)`` with every key's time cut into blocks that begin with the rows up to ``reach`` before them.
+
+    compute adds columns by windows over ``keys`` that look back less than ``reach``; each row is answered in its own block, so a hot key spreads over
+    its blocks. Rows near a block's end are carried twice, at most one in two. Rows without a clock are not answered.
+    """
+    length = max(block, 2 * reach)
+    own = F.floor(F.col(ts) / length)
+    late = F.pmod(F.col(ts), F.lit(length)) >= length - reach
+    spread = rows.where(F.col(ts).isNotNull()).withColumn("_block", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    return compute(spread, [on, "_block"]).where(F.col("_block") == own).drop("_block")
+
+
 def fresh_reference(readings: DataFrame, span: int, max_age: int, name: str = "fresh", shift: int = 0) -> DataFrame:
     """Median of the last ``span``, null unless its newest reading is at most ``max_age`` old."""
-    frame = trailing(span, shift=shift)
-    return readings.withColumn(name, F.when(F.col("us") - shift - F.max("us").over(frame) <= max_age, median_over("v", frame)))
+
+    def added(rows: DataFrame, keys: list[str]) -> DataFrame:
+        frame = trailing(span, on=keys, shift=shift)
+        return rows.withColumn(name, F.when(F.col("us") - shift - F.max("us").over(frame) <= max_age, median_over("v", frame)))
+
+    return in_blocks(readings, shift + span, added)
 
 
 def least_rows(value: Column, count: Column, least: int) -> Column:

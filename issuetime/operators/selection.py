@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from issuetime.operators.joins import asof_join_blocks
 from issuetime.schemas import DAY
 
 LONG_AGO = -(1 << 62)
@@ -98,3 +99,47 @@ def bin_extremes(rows: DataFrame, ts: str, value: str, bins: int, on: str) -> Da
     part = Window.partitionBy(on, "_bin")
     low, high = F.row_number().over(part.orderBy(F.col(value), F.col(ts))), F.row_number().over(part.orderBy(F.col(value).desc(), F.col(ts)))
     return binned.withColumn("_l", low).withColumn("_h", high).where((F.col("_l") == 1) | (F.col("_h") == 1) | F.col(ts).isin(F.col("_first"), F.col("_last"))).drop("_first", "_last", "_bin", "_l", "_h")
+
+
+def fill_slots(chosen: DataFrame, rows: DataFrame, n: int, ts: str, on: str, tries: int = 64) -> DataFrame:
+    """``on``, ``ts`` of the chosen rows and, while a key has fewer than ``n``, of further rows that split its largest time gaps.
+
+    The largest gap between kept rows (of equal ones the earlier) takes the candidate nearest its middle (of equally near ones the earlier). A
+    gap's candidates are the rows nearest the centres of ``tries`` equal parts of it, found by partial minima, so a key folds a bounded number of
+    clocks whatever it holds. Keys with too few candidates stay short. Clocks must be unique within a key.
+    """
+    import heapq
+    from bisect import bisect_left, insort
+
+    import pandas as pd
+
+    kind = dict(rows.dtypes)[on]
+    kept = chosen.select(F.col(on).alias("_k"), F.col(ts).alias("_t")).distinct()
+    order = Window.partitionBy("_k").orderBy("_t")
+    gaps = kept.withColumn("_n", F.lead("_t").over(order)).where("_n - _t > 1")
+    block = 7 * DAY
+    inside = asof_join_blocks(rows.select(F.col(on).alias("_k_"), F.col(ts).alias("t")), gaps.select(F.col("_k").alias("_k_"), F.col("_t").alias("a"), F.col("_n").alias("b")), "t", "a", block, on="_k_")
+    inside = inside.where("right is not null").select("_k_", "t", "right.a", "right.b").where("t > a and t < b")
+    width = (F.col("b") - F.col("a")) / tries
+    part = F.floor((F.col("t") - F.col("a")) / width)
+    off = F.abs(F.col("t") - F.col("a") - (part + 0.5) * width)
+    candidates = inside.groupBy("_k_", "a", part.alias("part")).agg(F.min_by("t", F.struct(off, "t")).alias("t"))
+    both = kept.select("_k", "_t", F.lit(True).alias("_kept")).unionByName(candidates.select(F.col("_k_").alias("_k"), F.col("t").alias("_t"), F.lit(False).alias("_kept")))
+
+    def fill(part: pd.DataFrame) -> pd.DataFrame:
+        held, free = sorted(part["_t"][part["_kept"]].tolist()), sorted(part["_t"][~part["_kept"]].tolist())
+        gaps = [(a - b, a, b) for a, b in zip(held, held[1:], strict=False)]
+        heapq.heapify(gaps)
+        while gaps and len(held) < n:
+            _, a, b = heapq.heappop(gaps)
+            near = free[max(0, bisect_left(free, (a + b) / 2) - 1) : bisect_left(free, (a + b) / 2) + 1]
+            near = [t for t in near if a < t < b]
+            if near:
+                t = min(near, key=lambda x: (abs(2 * x - a - b), x))
+                insort(held, t)
+                free.remove(t)
+                for x, y in ((a, t), (t, b)):
+                    heapq.heappush(gaps, (x - y, x, y))
+        return pd.DataFrame({on: part["_k"].iloc[:1].tolist() * len(held), ts: held})
+
+    return both.groupBy("_k").applyInPandas(fill, f"`{on}` {kind}, `{ts}` bigint")

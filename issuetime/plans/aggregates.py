@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from issuetime.operators import buckets as bk
 from issuetime.operators import scores as sc
-from issuetime.operators.ranks import ranked
+from issuetime.operators.ranks import quantiles, ranked
 from issuetime.plans.targets import B, r6
 from issuetime.registry import query
 from issuetime.schemas import DAY, HOUR, MINUTE, readings, table
@@ -53,7 +53,8 @@ def decayed_baseline(spark, sf_dir):
 
 @query("a12_interpolated_quantiles", " SELECT series, " + ", ".join(f"round(quantile_cont(v, {q}), 6) AS q{int(100 * q)}" for q in (0.05, 0.5, 0.95)) + " FROM readings GROUP BY series")
 def interpolated_quantiles(spark, sf_dir):
-    return readings(spark, sf_dir).groupBy("series").agg(*(r6(F.percentile("v", F.lit(q))).alias(f"q{int(100 * q)}") for q in (0.05, 0.5, 0.95)))
+    found = quantiles(readings(spark, sf_dir), "series", "v", {f"q{int(100 * q)}": q for q in (0.05, 0.5, 0.95)})
+    return found.select("series", *(r6(c).alias(c) for c in found.columns[1:]))
 
 
 @query("a13_conservative_quantile", ", r AS (SELECT series, v, row_number() OVER (PARTITION BY series ORDER BY v) AS i, count(*) OVER (PARTITION BY series) AS n FROM readings) SELECT series, max(v) FILTER (i = least(n, ceil((n + 1) * 0.9::DOUBLE))) AS upper, round(max(least(n, ceil((n + 1) * 0.9::DOUBLE)) / (n + 1)), 6) AS covers FROM r GROUP BY series")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from issuetime.operators import buckets as bk
 from issuetime.operators import scores as sc
-from issuetime.operators.ranks import ranked
+from issuetime.operators.ranks import quantiles, ranked
 from issuetime.plans.targets import B, TARGET, arrival_targets, r6
 from issuetime.registry import query
 from issuetime.schemas import DAY, HOUR, issues, readings, table
@@ -34,8 +34,9 @@ def point_metrics(spark, sf_dir):
 
 @query("a25_error_profile", f"{SCORED} SELECT series, round(quantile_cont(abs(pred - target), 0.9), 6) AS p90, round(avg((abs(pred - target) < abs(d))::INT), 6) AS wins FROM scored GROUP BY series")
 def error_profile(spark, sf_dir):
-    e = F.abs(F.col("pred") - F.col("target"))
-    return scored(spark, sf_dir).groupBy("series").agg(r6(F.percentile(e, F.lit(0.9))).alias("p90"), r6(F.avg((e < F.abs("d")).cast("int"))).alias("wins"))
+    rows = scored(spark, sf_dir).withColumn("e", F.abs(F.col("pred") - F.col("target")))
+    wins = rows.groupBy("series").agg(r6(F.avg((F.col("e") < F.abs("d")).cast("int"))).alias("wins"))
+    return quantiles(rows, "series", "e", {"p90": 0.9}).join(wins, "series").select("series", r6("p90").alias("p90"), "wins")
 
 
 @query("a26_pinball", f"{SCORED} SELECT series, " + ", ".join(f"round(avg(greatest({t}::DOUBLE * (target - pred), ({t}::DOUBLE - 1) * (target - pred))), 6) AS q{int(100 * t)}" for t in (0.1, 0.5, 0.9)) + " FROM scored GROUP BY series")

@@ -90,6 +90,17 @@ def bin_extremes(spark, sf_dir):
     return sel.bin_extremes(readings(spark, sf_dir), "us", "v", 24, "series").select("series", "us", "v")
 
 
+SLOTS = 60
+
+
+@query("l07_filled_slots")
+def filled_slots(spark, sf_dir):
+    """The extremes of each bin, and rows that split the largest gaps in time until every series has sixty."""
+    r = readings(spark, sf_dir)
+    chosen = sel.bin_extremes(r, "us", "v", 24, "series").select("series", "us")
+    return sel.fill_slots(chosen, r, SLOTS, "us", "series")
+
+
 @query("l08_stride", f""", j AS (SELECT *, sum(j) OVER (PARTITION BY series ORDER BY us) AS seg FROM (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY series ORDER BY us) > {HOUR} THEN 1 ELSE 0 END AS j FROM readings)),
   r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY us) - 1 AS i, min(us) OVER (PARTITION BY series, seg) AS a, max(us) OVER (PARTITION BY series, seg) AS b FROM j) SELECT series, us FROM r WHERE i % 10 = 0 OR us IN (a, b)""")
 def stride(spark, sf_dir):

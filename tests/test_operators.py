@@ -110,3 +110,36 @@ def test_trailing_stats_over_blocks_equal_plain_windows(spark):
             spread = sum((t - at) ** 2 for t, _ in near)
             if spread * (60e6) ** 2 > 1:
                 assert r["slope"] == pytest.approx(sum((t - at) * (v - mean) for t, v in near) / spread, rel=1e-4, abs=1e-2)
+
+
+def test_spare_slots_split_the_largest_gaps(spark):
+    """Against the same greedy rule over all rows, which is what few rows between kept ones come to; keys with too few rows stay short."""
+    rng = random.Random(4)
+    data = {"a": sorted(rng.sample(range(0, 30 * DAY, HOUR), 300)), "b": [0, HOUR, 3 * HOUR, 9 * HOUR], "c": [5]}
+    chosen = {"a": data["a"][::60] + data["a"][-1:], "b": [0, 9 * HOUR], "c": [5]}
+    frame = lambda d: spark.createDataFrame([(k, t) for k, ts in d.items() for t in ts], "series string, us bigint")
+    got = {}
+    for r in sel.fill_slots(frame(chosen), frame(data), 40, "us", "series", tries=100_000).collect():
+        got.setdefault(r["series"], []).append(r["us"])
+    for k, ts in data.items():
+        held = sorted(chosen[k])
+        while len(held) < 40:
+            split = [(a - b, a, b) for a, b in zip(held, held[1:]) if any(a < t < b for t in ts)]
+            if not split:
+                break
+            _, a, b = min(split)
+            held = sorted([*held, min((t for t in ts if a < t < b), key=lambda t: (abs(2 * t - a - b), t))])
+        assert sorted(got[k]) == held
+    few = sel.fill_slots(frame(chosen), frame(data), 40, "us", "series", tries=8).where("series = 'a'").collect()
+    assert len(few) == 40 and {r["us"] for r in few} <= set(data["a"])
+
+
+def test_quantiles_by_ranges_are_interpolated(spark):
+    from issuetime.operators.ranks import quantiles
+
+    rng = random.Random(6)
+    data = [("a", rng.choice([1.0, 2.0, rng.uniform(0, 9), None])) for _ in range(301)] + [("b", 5.0), ("c", None)]
+    got = {r["series"]: (r["low"], r["mid"], r["high"]) for r in quantiles(spark.createDataFrame(data, "series string, v double"), "series", "v", {"low": 0.05, "mid": 0.5, "high": 1.0}, parts=7).collect()}
+    values = sorted(v for k, v in data if k == "a" and v is not None)
+    at = lambda q: values[int(q * (len(values) - 1))] + (q * (len(values) - 1) % 1) * (values[min(len(values) - 1, int(q * (len(values) - 1)) + 1)] - values[int(q * (len(values) - 1))])
+    assert got["a"] == pytest.approx((at(0.05), at(0.5), at(1.0))) and got["b"] == (5.0, 5.0, 5.0) and "c" not in got
