@@ -101,6 +101,22 @@ def bin_extremes(rows: DataFrame, ts: str, value: str, bins: int, on: str) -> Da
     return binned.withColumn("_l", low).withColumn("_h", high).where((F.col("_l") == 1) | (F.col("_h") == 1) | F.col(ts).isin(F.col("_first"), F.col("_last"))).drop("_first", "_last", "_bin", "_l", "_h")
 
 
+def separated_nearest(cases: DataFrame, k: int, apart: int, ts: str, on: str, distance: str) -> DataFrame:
+    """``on``, ``ts``, ``distance``, rank: greedily the nearest case of each key, then each next one at least ``apart`` in time from all before.
+
+    A round takes one minimum for each key, partially aggregated; a key carries its at most ``k`` choices. Equal distances go to the earlier
+    case; cases without key, clock or distance are not chosen.
+    """
+    rows = cases.select(F.col(on).alias("_k"), F.col(ts).alias("t"), F.col(distance).alias("d")).dropna()
+    picks = rows.select("_k").distinct().withColumn("picks", F.expr("cast(array() as array<struct<d: double, t: bigint>>)"))
+    for _ in range(k):
+        free = ~F.exists("picks", lambda c: F.abs(c["t"] - F.col("t")) < apart)
+        best = rows.join(picks, "_k").groupBy("_k").agg(F.min(F.when(free, F.struct("d", "t"))).alias("best"), F.first("picks").alias("picks"))
+        picks = best.select("_k", F.when(F.col("best").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array("best"))).alias("picks"))
+    each = picks.select("_k", F.posexplode("picks").alias("at", "p"))
+    return each.select(F.col("_k").alias(on), F.col("p.t").alias(ts), F.col("p.d").alias(distance), (F.col("at") + 1).cast("long").alias("rank"))
+
+
 def fill_slots(chosen: DataFrame, rows: DataFrame, n: int, ts: str, on: str, tries: int = 64) -> DataFrame:
     """``on``, ``ts`` of the chosen rows and, while a key has fewer than ``n``, of further rows that split its largest time gaps.
 

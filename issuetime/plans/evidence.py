@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from issuetime.operators import buckets as bk
 from issuetime.operators import scores as sc
+from issuetime.operators import selection as sel
 from issuetime.plans.scoring import DAYS, KNOWN, SCORED, day_sums, known_before, scored
 from issuetime.plans.streams import work_dir
 from issuetime.plans.targets import B, r6
@@ -110,12 +111,27 @@ def block_transforms(spark, sf_dir):
 def separated_nearest(spark, sf_dir):
     """Per series the five readings nearest to a level of 50, no two within half a day, the closest first."""
     rows = readings(spark, sf_dir).select("series", "us", F.abs(F.col("v") - 50).alias("d"))
-    picks = rows.select("series").distinct().withColumn("picks", F.expr("cast(array() as array<struct<d: double, us: bigint>>)"))
-    for _ in range(5):  # each round takes the nearest reading that is apart from all before: one minimum per series, partially aggregated
-        apart = ~F.exists("picks", lambda c: F.abs(c["us"] - F.col("us")) < 12 * HOUR)
-        best = rows.join(picks, "series").groupBy("series").agg(F.min(F.when(apart, F.struct("d", "us"))).alias("best"), F.first("picks").alias("picks"))
-        picks = best.select("series", F.when(F.col("best").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array("best"))).alias("picks"))
-    return picks.select("series", F.explode("picks").alias("p")).select("series", "p.us", "p.d")
+    return sel.separated_nearest(rows, 5, 12 * HOUR, "us", "series", "d").select("series", "us", "d")
+
+
+def case_features(rows):
+    """series, us and what cases are compared by: level, change over two hours, and the clock as a point on a circle; null where a value is missing."""
+    from issuetime.plans.datasets import feature_rows
+
+    met = rows.select("series", F.col("obs_id").alias("issue_id"), "us", "v").join(feature_rows(rows).drop("us"), "issue_id")
+    angle = 2 * F.pi() * F.col("x_hour") / 24
+    return met.select("series", "us", (F.log(F.col("v") + 5)).alias("level"), (F.col("x_change") / 50).alias("change"), F.sin(angle).alias("sin"), F.cos(angle).alias("cos"))
+
+
+@query("l05_separated_cases")
+def separated_cases(spark, sf_dir):
+    """Of each series the five past cases most like its newest one by level, change and clock, a day old at least, no two within half a day."""
+    cases = case_features(readings(spark, sf_dir)).dropna()
+    names = ("level", "change", "sin", "cos")
+    newest = cases.groupBy("series").agg(F.max_by(F.struct("us", *names), "us").alias("now"))  # a row a series
+    met = cases.join(newest, "series").where(F.col("us") <= F.col("now.us") - DAY)
+    far = sum(((F.col(n) - F.col(f"now.{n}")) ** 2 for n in names[1:]), (F.col("level") - F.col("now.level")) ** 2)
+    return sel.separated_nearest(met.withColumn("d", far), 5, 12 * HOUR, "us", "series", "d").select("series", "us", "rank", r6("d").alias("d"))
 
 
 @query("u08_daily_concat", f"{SCORED}, m AS (SELECT series, day, avg(target - ref) AS shift FROM scored GROUP BY series, day) SELECT i.issue_id, round(i.ref + m.shift, 5) AS pred FROM issues i LEFT JOIN m ON m.series = i.series AND m.day = i.issue_us // {DAY} - 2")

@@ -62,7 +62,7 @@ def stream_readings(spark, sf_dir):
 def stream_runs(spark, sf_dir):
     """Immutable run snapshots: the first of each source and clock is kept, whatever is delivered later."""
     at = work_dir(spark)
-    st.publish(runs_of(file_stream(spark, sf_dir, "orders")).select("source", "fetched", "run_id"), f"{at}/runs", f"{at}/state", ["source", "fetched"], "run_id")
+    st.publish(runs_of(file_stream(spark, sf_dir, "orders")).select("source", "fetched", "run_id"), f"{at}/runs", f"{at}/state", ["source", "fetched"], "run_id", f"fetched div {DAY}")
     return spark.read.parquet(f"{at}/runs").select("source", "fetched", "run_id")
 
 
@@ -123,8 +123,8 @@ def stream_publication(spark, sf_dir):
     at = work_dir(spark)
     for turn in range(2):
         rows = reading_stream(spark, sf_dir).where("obs_id % 3 = 0").select("series", F.expr(f"unix_micros(ts) div {4 * HOUR}").alias("slot"), F.col("obs_id").alias("issue_id"), F.struct(F.unix_micros("ts").alias("us"), "obs_id").alias("place"))
-        st.publish(rows, f"{at}/issues", f"{at}/state", ["series", "slot"], "place")
-        st.publish(rows, f"{at}/issues", f"{at}/again", ["series", "slot"], "place")
+        st.publish(rows, f"{at}/issues", f"{at}/state", ["series", "slot"], "place", f"slot * {4 * HOUR} div {DAY}")
+        st.publish(rows, f"{at}/issues", f"{at}/again", ["series", "slot"], "place", f"slot * {4 * HOUR} div {DAY}")
     return existing(spark, f"{at}/issues").select("series", "slot", "issue_id")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from issuetime import schemas
 
-FAMILIES = ("targets", "joins", "aggregates", "frames", "weather", "scoring", "selection", "events", "scans", "models", "streams", "evidence", "datasets", "ledger", "forecasters", "transport", "states", "policies")
+FAMILIES = ("targets", "joins", "aggregates", "frames", "weather", "scoring", "selection", "events", "scans", "models", "streams", "evidence", "datasets", "ledger", "forecasters", "transport", "states", "policies", "channels")
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
