@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from issuetime.operators import buckets as bk
 from issuetime.operators import frames as fr
+from issuetime.operators.joins import asof_join_blocks
 from issuetime.operators.machine import run_machine
 from issuetime.plans.targets import B
 from issuetime.registry import query
-from issuetime.schemas import DAY, readings
+from issuetime.schemas import DAY, HOUR, readings, run_hours, runs
 
 #: States of the event and what a bucket says of it.
 IDLE, FORMING, HELD_ONCE, CONFIRMED, REBOUND = range(5)
@@ -84,3 +85,27 @@ def air_states(spark, sf_dir):
         .when(F.col("event").isin(FORMING, HELD_ONCE), "forming").when(d1 <= -20, "rapid_improvement").when((d2 >= 10) | (gap >= 8), "rising").when((d2 <= -10) | (gap <= -8), "improving").when(F.col("med") > 55, "stable_high").otherwise("steady")
     )
     return f.select("series", "label", state.alias("state"))
+
+
+AHEAD = 6 * HOUR
+
+
+@query("e15_dry_dispersion", f""", x AS (SELECT a.series, a.label, a.med - b.med AS d1, b.med - c.med AS d2 FROM closed a LEFT JOIN closed b ON b.series = a.series AND b.label = a.label - {B} LEFT JOIN closed c ON c.series = a.series AND c.label = a.label - {2 * B}),
+  o AS (SELECT fetched, max(run_id) AS run_id FROM runs GROUP BY fetched), w AS (SELECT x.*, o.run_id FROM x ASOF LEFT JOIN o ON x.label >= o.fetched),
+  h AS (SELECT w.series, w.label, count(precip) AS n, max(precip) AS wet, arg_max(temp, valid) - arg_min(temp, valid) AS warming, max(speed) AS wind FROM w JOIN run_hours r ON r.run_id = w.run_id AND r.valid > w.label AND r.valid <= w.label + {AHEAD} GROUP BY ALL)
+  SELECT w.series, w.label, coalesce(w.label % {DAY} BETWEEN {4 * HOUR} AND {12 * HOUR} AND d1 < 0 AND d2 < 0 AND d1 + d2 <= -10, FALSE) AS falling, coalesce(n = 6 AND wet <= 0.5, FALSE) AS dry, coalesce(n = 6 AND warming > 0, FALSE) AS warming, coalesce(n = 6 AND wind >= 12, FALSE) AS ventilated,
+    falling AND dry AND coalesce(n = 6 AND h.warming > 0, FALSE) AND ventilated AS watch FROM w LEFT JOIN h USING (series, label)""")
+def dry_dispersion(spark, sf_dir):
+    """Morning buckets after two falls, and what the newest run fetched before them says of the next six hours: dry, warming, ventilated; a watch if all hold."""
+    x = bk.at_offset(bk.at_offset(bk.closed_series(readings(spark, sf_dir)), -1, B, "b"), -2, B, "c")
+    d1, d2 = F.col("med") - F.col("b"), F.col("b") - F.col("c")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    x = x.select("series", "label", sure((F.col("label") % DAY).between(4 * HOUR, 12 * HOUR) & (d1 < 0) & (d2 < 0) & (d1 + d2 <= -10)).alias("falling")).withColumn("all", F.lit("all"))
+    newest = runs(spark, sf_dir).groupBy("fetched").agg(F.max("run_id").alias("run_id")).withColumn("all", F.lit("all"))
+    x = asof_join_blocks(x, newest, "label", "fetched", DAY, on="all").select("series", "label", "falling", F.col("right.run_id").alias("run_id"))
+    hours = run_hours(spark, sf_dir).select("run_id", "valid", "precip", "temp", "speed")
+    asked = x.where("run_id is not null").withColumn("valid", F.explode(F.sequence(F.col("label") + HOUR, F.col("label") + AHEAD, F.lit(HOUR))))  # labels are whole hours
+    h = asked.join(hours, ["run_id", "valid"]).groupBy("series", "label").agg(F.count("precip").alias("n"), F.max("precip").alias("wet"), (F.max_by("temp", "valid") - F.min_by("temp", "valid")).alias("rise"), F.max("speed").alias("wind"))
+    whole = F.col("n") == 6
+    out = x.join(h, ["series", "label"], "left").select("series", "label", "falling", sure(whole & (F.col("wet") <= 0.5)).alias("dry"), sure(whole & (F.col("rise") > 0)).alias("warming"), sure(whole & (F.col("wind") >= 12)).alias("ventilated"))
+    return out.withColumn("watch", F.col("falling") & F.col("dry") & F.col("warming") & F.col("ventilated"))
