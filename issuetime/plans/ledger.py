@@ -214,6 +214,35 @@ def kernel_climatology(spark, sf_dir):
     return met.groupBy("series", "day", "hour", "level").agg(r6((total("falls") + 0.4) / (total("n") + 2)).alias("p_fall"), F.round(total("moved") / (total("n") + 2), 5).alias("shift"))
 
 
+_TREND = f"""trend AS (SELECT i.issue_id, greatest(-2, least(2, coalesce(floor((a.med - b.med) / 15), 0)))::BIGINT AS trend FROM issues i
+  LEFT JOIN closed a ON a.series = i.series AND a.label = i.issue_us // {B} * {B} LEFT JOIN closed b ON b.series = i.series AND b.label = i.issue_us // {B} * {B} - {2 * B})"""
+_KERNEL3 = f"{KERNEL} * exp(-0.5 * pow(a.trend - b.trend, 2))"
+
+
+@query("m18_trend_climatology", f"""{TRAIN}, {_TREND}, c AS (SELECT series, day, {CELL}, trend, count(*) AS n, count(*) FILTER (target - ref <= -20) AS falls, sum(target - ref) AS moved FROM train JOIN trend USING (issue_id) GROUP BY ALL),
+  q AS (SELECT DISTINCT series, issue_us // {DAY} AS day, {CELL}, trend FROM issues JOIN trend USING (issue_id))
+  SELECT a.series, a.day, a.hour, a.level, a.trend, round((sum({_KERNEL3} * b.falls) + 0.4) / (sum({_KERNEL3} * b.n) + 2), 6) AS p_fall, round(sum({_KERNEL3} * b.moved) / (sum({_KERNEL3} * b.n) + 2), 5) AS shift
+  FROM q a JOIN c b ON a.series = b.series AND a.day = b.day GROUP BY a.series, a.day, a.hour, a.level, a.trend""")
+def trend_climatology(spark, sf_dir):
+    """Chance of a fall and mean change near each clock hour, level and trend of the last two closed buckets, from Gaussian weights over cells of past rows.
+
+    A day's past is at most hours times levels times five trends of cells, whatever its rows.
+    """
+    closed = bk.closed_series(readings(spark, sf_dir))
+    two = bk.at_offset(closed, -2, B, "before").select("series", "label", F.floor((F.col("med") - F.col("before")) / 15).alias("t"))
+    cell = {"hour": F.expr(f"issue_us % {DAY} div {HOUR}"), "level": F.floor(F.log(F.col("ref") + 5) * 4).cast("long"), "trend": F.greatest(F.lit(-2), F.least(F.lit(2), F.coalesce("t", F.lit(0)))).cast("long")}
+    celled = lambda rows: rows.withColumn("label", bk.anchor(F.col("issue_us"), B)).join(two, ["series", "label"], "left").withColumns(cell)
+    moved, axes = F.col("target") - F.col("ref"), ("hour", "level", "trend")
+    parts = [F.count(F.lit(1)).alias("n"), F.count_if(moved <= -20).alias("falls"), F.sum(moved).alias("moved")]
+    past = ln.training_sums(celled(arrival_targets(spark, sf_dir)), parts, [F.sum(c).alias(c) for c in ("n", "falls", "moved")], axes)
+    asked = celled(issues(spark, sf_dir)).select("series", day_of("issue_us").alias("day"), *axes).distinct()
+    met = asked.join(past.withColumnsRenamed({c: f"{c}2" for c in axes}), ["series", "day"])
+    apart = F.abs(F.col("hour") - F.col("hour2"))
+    w = F.exp(-0.5 * F.pow(F.least(apart, 24 - apart) / 3.0, 2) - 0.5 * F.pow((F.col("level") - F.col("level2")) / 2.0, 2) - 0.5 * F.pow(F.col("trend") - F.col("trend2"), 2))
+    total = lambda c: F.sum(w * F.col(c))
+    return met.groupBy("series", "day", *axes).agg(r6((total("falls") + 0.4) / (total("n") + 2)).alias("p_fall"), F.round(total("moved") / (total("n") + 2), 5).alias("shift"))
+
+
 @query("m19_prequential_blend", f"""{KNOWN} SELECT i.issue_id, round((w1 * i.pred + w2 * i.ref + w3 * (i.ref + 50) / 2) / (w1 + w2 + w3), 6) AS pred FROM issues i JOIN (
   SELECT series, day, 1 / pow(coalesce(a / n, 10) + 3, 2) AS w1, 1 / pow(coalesce(b / n, 10) + 3, 2) AS w2, 1 / pow(coalesce((a + b) / (2 * n), 10) + 3, 2) AS w3 FROM known) k ON k.series = i.series AND k.day = i.issue_us // {DAY}""")
 def prequential_blend(spark, sf_dir):
