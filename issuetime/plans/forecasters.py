@@ -447,3 +447,29 @@ def isotonic_tails(spark, sf_dir):
         return IsotonicRegression(featuresCol="p_fall", labelCol="y").fit(train.select("p_fall", "y")).transform(test).select("issue_id", F.col("prediction").alias("calibrated"))
 
     return each_day(kept(rows, "issued-chances"), fit, "issue_id bigint, calibrated double")
+
+
+#: Recorded recipes of fixed models: name, column, days of the window, penalty.
+RECORDED = [("plain", "ref", 14, 0.0), ("shrunk", "ref", 14, 100.0), ("short", "ref", 7, 100.0), ("chance", "p_fall", 10, 1.0)]
+
+
+@query("m30_recorded_recipes", f"""{TRAIN}, recipes AS (SELECT * FROM (VALUES {", ".join(f"('{n}', '{c}', {d}, {a}::DOUBLE)" for n, c, d, a in RECORDED)}) r(recipe, feature, span, alpha)),
+  x AS (SELECT recipe, d.series, d.day, alpha, feature, CASE feature WHEN 'ref' THEN t.ref ELSE t.p_fall END AS x, target FROM targets t JOIN days d ON d.series = t.series AND t.target IS NOT NULL AND t.issue_us < d.day * {DAY} - {44 * HOUR} AND t.complete < d.day * {DAY}
+    JOIN recipes r ON t.issue_us > (d.day - r.span) * {DAY}),
+  s AS (SELECT recipe, series, day, alpha, feature, {RIDGE} FROM x GROUP BY ALL HAVING count(*) >= 10),
+  p AS (SELECT s.recipe, i.series, i.issue_id, my + sxy / nullif(sxx + alpha, 0) * (CASE feature WHEN 'ref' THEN i.ref ELSE i.p_fall END - mx) AS again FROM issues i JOIN s ON s.series = i.series AND s.day = i.issue_us // {DAY})
+  SELECT recipe, p.series, count(*) AS n, round(avg(abs(again - i.pred)), 5) AS apart, round(avg(abs(again - t.target)), 5) AS error FROM p JOIN issues i USING (issue_id) LEFT JOIN targets t USING (issue_id) WHERE again IS NOT NULL GROUP BY recipe, p.series""")
+def recorded_recipes(spark, sf_dir):
+    """Every recipe of a stored table (column, window, penalty) refitted day by day and read at the issued clocks: how far it is from what was issued, and its error."""
+    path = f"{work_dir(spark)}/recipes"
+    spark.createDataFrame(RECORDED, "recipe string, feature string, span int, alpha double").coalesce(1).write.parquet(path)
+    recipes = spark.read.parquet(path)
+    rows, parts = arrival_targets(spark, sf_dir), []
+    for feature, span in sorted((r["feature"], r["span"]) for r in recipes.select("feature", "span").distinct().collect()):  # the kinds of fit that the recipes name
+        x = rows.withColumn("x", F.col(feature))
+        sums = ln.fit_sums(x, "target", "x", ln.STANDARD._replace(lookback=span * DAY)).where("n >= 10")
+        mine = recipes.where((F.col("feature") == feature) & (F.col("span") == span)).select("recipe", "alpha")
+        now = x.select("series", "issue_id", "x", "pred", "target", F.expr(f"issue_us div {DAY}").alias("day")).join(sums, ["series", "day"]).crossJoin(F.broadcast(mine))  # a few recipes
+        parts.append(now.select("recipe", "series", "pred", "target", (F.col("my") + F.try_divide(F.col("sxy"), F.col("sxx") + F.col("alpha")) * (F.col("x") - F.col("mx"))).alias("again")))
+    met = rg.union(parts).where("again is not null")
+    return met.groupBy("recipe", "series").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(F.abs(F.col("again") - F.col(c))), 5).alias(n) for c, n in (("pred", "apart"), ("target", "error"))))
