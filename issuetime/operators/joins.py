@@ -42,6 +42,12 @@ def asof_join_blocks(left: DataFrame, right: DataFrame, left_ts: str, right_ts:
     return asof_join(lefts, rights, left_ts, right_ts, "on_block", tie).drop("on_block")
 
 
+def asof_join_sized(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, block: int, on: str = "series", tie: str | None = None, whole: int = 5_000_000) -> DataFrame:
+    """:func:`asof_join` if no key has more than ``whole`` rows on the right, which are counted first, else :func:`asof_join_blocks`; the rows are the same."""
+    largest = right.groupBy(on).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return asof_join(left, right, left_ts, right_ts, on, tie) if largest <= whole else asof_join_blocks(left, right, left_ts, right_ts, block, on, tie)
+
+
 def newest_visible(obs: DataFrame, visible: str, end: str, on: str = "series") -> DataFrame:
     """``obs`` with ``newest``: the row (struct) with the newest observation end among those visible so far, itself included."""
     seen = Window.partitionBy(on).orderBy(visible).rangeBetween(Window.unboundedPreceding, 0)

@@ -33,7 +33,7 @@ def asof_latest_run(spark, sf_dir):
   SELECT i.issue_id, r.obs_id, r.v FROM issues i ASOF LEFT JOIN r ON i.series = r.series AND i.issue_us >= r.visible_us""")
 def asof_visible_reading(spark, sf_dir):
     right = readings(spark, sf_dir).select("series", "obs_id", "visible_us", "v")
-    return jn.asof_join_blocks(issues(spark, sf_dir), right, "issue_us", "visible_us", DAY, tie="obs_id").select("issue_id", "right.obs_id", "right.v")
+    return jn.asof_join_sized(issues(spark, sf_dir), right, "issue_us", "visible_us", DAY, tie="obs_id").select("issue_id", "right.obs_id", "right.v")
 
 
 @query("j02_revision_asof", f""" SELECT series, obs_id, receipt_id, round(v, 6) AS v FROM receipts WHERE greatest(available, confirmed) <= {ISSUE}

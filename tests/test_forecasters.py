@@ -167,6 +167,20 @@ def test_separated_nearest_and_sample(spark):
             if len(chosen) < 5 and all(abs(us - c) >= 12 * HOUR for c in chosen):
                 chosen.append(us)
         assert got[s] == set(chosen)
+    from issuetime.plans.evidence import case_features
+
+    cases, found = {}, {}
+    for x in case_features(readings(spark, DIR)).dropna().collect():
+        cases.setdefault(x["series"], []).append(x)
+    for x in Q["l05_separated_cases"](spark, DIR).collect():
+        found.setdefault(x["series"], {})[x["rank"]] = x["us"]
+    for s, mine in cases.items():
+        now = max(mine, key=lambda x: x["us"])
+        chosen = []
+        for _, us in sorted((sum((x[n] - now[n]) ** 2 for n in ("level", "change", "sin", "cos")), x["us"]) for x in mine if x["us"] <= now["us"] - DAY):
+            if len(chosen) < 5 and all(abs(us - c) >= 12 * HOUR for c in chosen):
+                chosen.append(us)
+        assert [found[s][k] for k in sorted(found[s])] == chosen and len(chosen) == 5
     first, again = (sorted(map(str, Q["l11_hash_sample"](spark, DIR).collect())) for _ in range(2))
     assert first == again and 0 < len(first) < len(r)
 

@@ -143,3 +143,11 @@ def test_quantiles_by_ranges_are_interpolated(spark):
     values = sorted(v for k, v in data if k == "a" and v is not None)
     at = lambda q: values[int(q * (len(values) - 1))] + (q * (len(values) - 1) % 1) * (values[min(len(values) - 1, int(q * (len(values) - 1)) + 1)] - values[int(q * (len(values) - 1))])
     assert got["a"] == pytest.approx((at(0.05), at(0.5), at(1.0))) and got["b"] == (5.0, 5.0, 5.0) and "c" not in got
+
+
+def test_sized_as_of_join_gives_the_same_rows_either_way(spark):
+    rng = random.Random(8)
+    left = spark.createDataFrame([("a" if i % 5 else "b", rng.randint(-100, 5000), i) for i in range(300)], "series string, t bigint, i int")
+    right = spark.createDataFrame([("a" if i % 7 else "b", rng.randint(0, 4000) // 10 * 10, i) for i in range(400)], "series string, u bigint, k int")
+    plain, blocks = (sorted((r["i"], r["right"] and (r["right"]["u"], r["right"]["k"])) for r in jn.asof_join_sized(left, right, "t", "u", 300, tie="k", whole=w).collect()) for w in (1000, 10))
+    assert plain == blocks and len(plain) == 300 and any(x is None for _, x in plain)

@@ -31,7 +31,7 @@ def close(a, b):
 
 #: Queries that SQL can't express, tested in the other files: against plain Python or, for fitted trees, a plain loop over days and properties of what they give.
 PLAIN = {
-    "a49_path_summary", "l05_separated_nearest", "l07_filled_slots", "l11_hash_sample", "m04_ridge_heads", "m05_boosted_heads", "m06_logistic_change", "m07_change_chances", "m08_class_forest", "m09_hazards",
+    "a49_path_summary", "l05_separated_cases", "l05_separated_nearest", "l07_filled_slots", "l11_hash_sample", "m04_ridge_heads", "m05_boosted_heads", "m06_logistic_change", "m07_change_chances", "m08_class_forest", "m09_hazards",
     "m10_leaf_distribution", "m13_quantile_forest", "m15_stacked_chances", "m16_isotonic_quality", "m16_isotonic_tails", "m23_back_trajectories", "m24_sampled_field", "m25_class_medians", "m26_session_regressor", "m27_log_linear", "m28_joint_extrema", "t07_stream_detector",
 }
 
