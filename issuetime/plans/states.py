@@ -11,7 +11,7 @@ from issuetime.operators.joins import asof_join_blocks
 from issuetime.operators.machine import run_machine
 from issuetime.plans.targets import B
 from issuetime.registry import query
-from issuetime.schemas import DAY, HOUR, readings, run_hours, runs
+from issuetime.schemas import DAY, HOUR, newest_runs, readings, run_hours_of
 
 #: States of the event and what a bucket says of it.
 IDLE, FORMING, HELD_ONCE, CONFIRMED, REBOUND = range(5)
@@ -101,9 +101,9 @@ def dry_dispersion(spark, sf_dir):
     d1, d2 = F.col("med") - F.col("b"), F.col("b") - F.col("c")
     sure = lambda c: F.coalesce(c, F.lit(False))
     x = x.select("series", "label", sure((F.col("label") % DAY).between(4 * HOUR, 12 * HOUR) & (d1 < 0) & (d2 < 0) & (d1 + d2 <= -10)).alias("falling")).withColumn("all", F.lit("all"))
-    newest = runs(spark, sf_dir).groupBy("fetched").agg(F.max("run_id").alias("run_id")).withColumn("all", F.lit("all"))
+    newest = newest_runs(spark, sf_dir)
     x = asof_join_blocks(x, newest, "label", "fetched", DAY, on="all").select("series", "label", "falling", F.col("right.run_id").alias("run_id"))
-    hours = run_hours(spark, sf_dir).select("run_id", "valid", "precip", "temp", "speed")
+    hours = run_hours_of(newest).select("run_id", "valid", "precip", "temp", "speed")
     asked = x.where("run_id is not null").withColumn("valid", F.explode(F.sequence(F.col("label") + HOUR, F.col("label") + AHEAD, F.lit(HOUR))))  # labels are whole hours
     h = asked.join(hours, ["run_id", "valid"]).groupBy("series", "label").agg(F.count("precip").alias("n"), F.max("precip").alias("wet"), (F.max_by("temp", "valid") - F.min_by("temp", "valid")).alias("rise"), F.max("speed").alias("wind"))
     whole = F.col("n") == 6
