@@ -27,6 +27,12 @@ def binary_scores(p: str, y: str) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier"), F.avg(loss).alias("log_loss"), F.avg(y).alias("base_rate")]
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation of the rows that hold both; NaN if either does not vary among them, where ``corr`` would divide by zero."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(a) * F.stddev_pop(b)), F.when(F.count(a) > 0, F.lit(float("nan"))))
+
+
 def wilson_lower(hits: Column, n: Column, z: float = 1.96) -> Column:
     p = hits / n
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)

@@ -84,7 +84,7 @@ def spearman(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"))
     x = ranked(rows, "g", "q").select("g", "p", F.col("average").alias("x"))
     y = ranked(x, "g", "p").withColumnRenamed("average", "y")
-    return y.groupBy("g").agg(F.count(F.lit(1)).alias("n"), r6(F.corr("x", "y")).alias("rho"))
+    return y.groupBy("g").agg(F.count(F.lit(1)).alias("n"), r6(sc.correlation("x", "y")).alias("rho"))
 
 
 @query("a43_effective_n", " SELECT series, round(pow(sum(k), 2) / sum(k * k), 6) AS effective FROM readings GROUP BY series")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from issuetime.operators import buckets as bk
 from issuetime.operators import learn as ln
+from issuetime.operators import scores as sc
 from issuetime.operators.joins import asof_join_blocks
 from issuetime.plans.datasets import feature_rows
 from issuetime.plans.models import TRAIN
@@ -14,7 +15,7 @@ from issuetime.plans.scoring import KNOWN, SCORED, known_before, scored
 from issuetime.plans.streams import work_dir
 from issuetime.plans.targets import B, TARGET, arrival_targets, r6
 from issuetime.registry import query
-from issuetime.schemas import DAY, HOUR, STANDARD, issues, readings, run_hours, runs
+from issuetime.schemas import DAY, HOUR, STANDARD, issues, newest_runs, readings, run_hours_of
 
 
 def day_of(c: str):
@@ -133,11 +134,11 @@ def issued_evidence(spark, sf_dir):
     label = F.col("label") - 1
     d = bk.closed_series(readings(spark, sf_dir)).groupBy("series", F.expr(f"(label - 1) div {DAY}").alias("day")).agg(F.avg(F.when(label % DAY < NOON, F.col("med"))).alias("anchor"), F.avg(F.when(label % DAY >= NOON, F.col("med"))).alias("truth"))
     d = d.dropna().withColumn("clock", F.col("day") * DAY + NOON).withColumn("all", F.lit("all"))
-    newest = runs(spark, sf_dir).groupBy("fetched").agg(F.max("run_id").alias("run_id")).withColumn("all", F.lit("all"))
+    newest = newest_runs(spark, sf_dir)
     met = asof_join_blocks(d, newest, "clock", "fetched", DAY, on="all").where("right is not null").withColumn("run_id", F.col("right.run_id"))
     at = lambda c: F.when(c, F.col("temp"))
     moved = F.when(F.count(at(F.col("h") < 12)) == 12, F.avg(at(F.col("h").between(1, 11))) - F.max(at(F.col("h") == 0)))
-    p = run_hours(spark, sf_dir).groupBy("run_id").agg(moved.alias("moved"))
+    p = run_hours_of(newest).groupBy("run_id").agg(moved.alias("moved"))
     out = met.join(p, "run_id", "left")
     return out.groupBy("series").agg(F.count(F.lit(1)).alias("days"), F.count("moved").alias("scored"), r6(F.avg(F.abs(F.col("anchor") + F.col("moved") - F.col("truth")))).alias("mae"), r6(F.avg(F.when(F.col("moved").isNotNull(), F.abs(F.col("anchor") - F.col("truth"))))).alias("ref_mae"))
 
@@ -151,10 +152,10 @@ def wind_evidence(spark, sf_dir):
         c = bk.at_offset(c, k, B, f"m{k}")
     changes = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("later"), (F.col(f"m{k}") - F.col("med")).alias("change")) for k in (1, 2, 3))))
     c = c.select("series", "label", changes.alias("x")).select("series", "label", "x.later", "x.change", F.lit("all").alias("all")).where("change is not null")
-    newest = runs(spark, sf_dir).groupBy("fetched").agg(F.max("run_id").alias("run_id")).withColumn("all", F.lit("all"))
+    newest = newest_runs(spark, sf_dir)
     met = asof_join_blocks(c, newest, "label", "fetched", HOUR, on="all").where("right is not null").withColumn("run_id", F.col("right.run_id"))
-    wind = run_hours(spark, sf_dir).where("h = 0 and speed is not null").select("run_id", "speed")
-    return met.join(wind, "run_id").groupBy("series", "later").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("speed", "change"), 5).alias("corr"))
+    wind = run_hours_of(newest).where("h = 0 and speed is not null").select("run_id", "speed")
+    return met.join(wind, "run_id").groupBy("series", "later").agg(F.count(F.lit(1)).alias("n"), F.round(sc.correlation("speed", "change"), 5).alias("corr"))
 
 
 @query("m03_two_feature_ridge", f"""{TRAIN}, s AS (SELECT series, day, count(*)::DOUBLE AS n, avg(ref) AS m1, stddev_pop(ref) AS s1, avg(p_fall) AS m2, stddev_pop(p_fall) AS s2, avg(target - ref) AS my, corr(ref, p_fall) AS r, covar_pop(ref, target - ref) / stddev_pop(ref) AS c1, covar_pop(p_fall, target - ref) / stddev_pop(p_fall) AS c2 FROM train GROUP BY series, day HAVING count(*) >= 10),
@@ -166,7 +167,7 @@ def two_feature_ridge(spark, sf_dir):
     rows = ln.training_rows(arrival_targets(spark, sf_dir)).withColumn("y", y)
     s = rows.groupBy("series", "day").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.avg("ref").alias("m1"), F.stddev_pop("ref").alias("s1"), F.avg("p_fall").alias("m2"), F.stddev_pop("p_fall").alias("s2"),
-        F.avg("y").alias("my"), F.corr("ref", "p_fall").alias("r"), F.covar_pop("ref", "y").alias("v1"), F.covar_pop("p_fall", "y").alias("v2"),
+        F.avg("y").alias("my"), sc.correlation("ref", "p_fall").alias("r"), F.covar_pop("ref", "y").alias("v1"), F.covar_pop("p_fall", "y").alias("v2"),
     ).where("n >= 10")
     n, r, c1, c2 = F.col("n"), F.col("r"), F.try_divide("v1", "s1"), F.try_divide("v2", "s2")
     det = F.pow(n + 5, 2) - F.pow(n * r, 2)
