@@ -48,6 +48,23 @@ def asof_join_sized(left: DataFrame, right: DataFrame, left_ts: str, right_ts: s
     return asof_join(left, right, left_ts, right_ts, on, tie) if largest <= whole else asof_join_blocks(left, right, left_ts, right_ts, block, on, tie)
 
 
+def nearest_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, tie: str, before: int, after: int, block: int, on: str = "series") -> DataFrame:
+    """``left`` with the struct ``right``: the right row nearest in time, at most ``before`` earlier or ``after`` later, of equally near ones that with the smallest ``tie``.
+
+    An as-of join to either side finds the only two rows that can be nearest, so no pairs are formed. ``right`` is null where neither is in reach.
+    """
+    others = [c for c in right.columns if c not in (on, right_ts)]
+    rows = right.groupBy(on, right_ts).agg(F.min_by(F.struct(*others), tie).alias("_row")).select(on, right_ts, "_row.*")  # of one clock the smallest tie
+    met = asof_join_blocks(left, rows, left_ts, right_ts, block, on).withColumnRenamed("right", "earlier")
+    met = asof_join_blocks(met.withColumn("at_back", -F.col(left_ts)), rows.withColumn("at_back", -F.col(right_ts)), "at_back", "at_back", block, on).drop("at_back")
+    late = F.struct(*(F.col(f"right.{c}").alias(c) for c in rows.columns))
+    early = F.struct(*(F.col(f"earlier.{c}").alias(c) for c in rows.columns))
+    behind, ahead = F.col(left_ts) - F.col(f"earlier.{right_ts}"), F.col(f"right.{right_ts}") - F.col(left_ts)
+    back, forth = F.coalesce(behind <= before, F.lit(False)), F.coalesce(ahead <= after, F.lit(False))
+    sooner = (behind < ahead) | ((behind == ahead) & (F.col(f"earlier.{tie}") <= F.col(f"right.{tie}")))
+    return met.withColumn("right", F.when(back & (~forth | sooner), early).when(forth, late)).drop("earlier")
+
+
 def newest_visible(obs: DataFrame, visible: str, end: str, on: str = "series") -> DataFrame:
     """``obs`` with ``newest``: the row (struct) with the newest observation end among those visible so far, itself included."""
     seen = Window.partitionBy(on).orderBy(visible).rangeBetween(Window.unboundedPreceding, 0)
