@@ -81,7 +81,10 @@ def ordered_wind(hours: DataFrame, ahead: int, length: int, height: Column) -> D
 
 
 def explode_grid(runs: DataFrame, points: str = "points") -> DataFrame:
-    """run, i, j, t, pm of runs with an array of lattice points (i, j, pm: a series); a run whose series differ in length is dropped."""
+    """run, i, j, t, pm of runs with an array of lattice points (i, j, pm: a series); a run whose series differ in length is dropped.
+
+    Joins sort and merge them: Spark's size of an exploded table is that of its runs, for which it would broadcast it.
+    """
     same = F.forall(points, lambda p: F.size(p["pm"]) == F.size(F.element_at(points, 1)["pm"]))
     point = runs.where(same).select("run", F.explode(points).alias("p"))
-    return point.select("run", "p.i", "p.j", F.posexplode("p.pm").alias("t", "pm"))
+    return point.select("run", "p.i", "p.j", F.posexplode("p.pm").alias("t", "pm")).hint("merge")
