@@ -52,6 +52,10 @@ def trilinear(spark, sf_dir):
     return met.groupBy("event_id").agg(r6(F.when(F.count("pm") == F.count(F.lit(1)), F.sum(F.col("pm") * F.col("w")))).alias("pm"))
 
 
+#: Reports (one a station and hour) that are sent to every task.
+REPORTS = 200_000
+
+
 @query("j10_station_match", f""", names AS (SELECT series AS station, row_number() OVER (ORDER BY series) - 1 AS i, count(*) OVER () AS c FROM (SELECT DISTINCT series FROM readings)),
   rep AS (SELECT series AS station, us - us % {HOUR} AS at, arg_max(20 + v % 15, (us, obs_id)) AS temp, arg_max(us - us % {HOUR} + k * 60000000, (us, obs_id)) AS seen FROM readings GROUP BY 1, 2)
   SELECT r.station, h.h, count(*) AS n, round(avg(h.temp - r.temp), 6) AS bias, round(avg(abs(h.temp - r.temp)), 6) AS mae FROM run_hours h JOIN names s ON s.i = h.run_id % s.c JOIN rep r ON r.at = h.valid AND r.station = s.station WHERE r.seen <= h.valid + {2 * HOUR} AND h.temp IS NOT NULL GROUP BY ALL""")
@@ -60,10 +64,11 @@ def station_match(spark, sf_dir):
     r, last = readings(spark, sf_dir), F.struct("us", "obs_id")
     hour = F.col("us") - F.col("us") % HOUR
     rep = r.groupBy(F.col("series").alias("station"), hour.alias("valid")).agg(F.max_by(20 + F.col("v") % 15, last).alias("was"), F.max_by(hour + F.col("k") * MINUTE, last).alias("seen"))
-    names = r.select(F.col("series").alias("station")).distinct().withColumn("i", F.row_number().over(Window.orderBy("station")) - 1)  # a row a station
-    of_run = names.crossJoin(names.agg(F.count(F.lit(1)).alias("c")))
-    hours = run_hours(spark, sf_dir).where("temp is not null")
-    met = hours.join(of_run, F.col("run_id") % F.col("c") == F.col("i")).join(rep, ["station", "valid"]).where(F.col("seen") <= F.col("valid") + 2 * HOUR)
+    names = r.select(F.col("series").alias("station")).distinct().withColumn("i", (F.row_number().over(Window.orderBy("station")) - 1).cast("long"))  # a row a station
+    hours = run_hours(spark, sf_dir).where("temp is not null").withColumn("i", F.col("run_id") % max(names.count(), 1))  # one number
+    rep = rep.join(F.broadcast(names), "station").where(F.col("seen") <= F.col("valid") + 2 * HOUR)
+    rep = F.broadcast(rep) if rep.count() <= REPORTS else rep  # counted first: few reports go to the hours, many meet them by a sort
+    met = hours.join(rep, ["i", "valid"])
     error = F.col("temp") - F.col("was")
     return met.groupBy("station", F.col("h").cast("long").alias("h")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(error)).alias("bias"), r6(F.avg(F.abs(error))).alias("mae"))
 
