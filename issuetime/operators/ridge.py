@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.ml.feature import PolynomialExpansion
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Values that a quantile sketch keeps: up to so many, quartiles are exact; past them their ranks are off by about 2 / SKETCH at most.
@@ -23,8 +23,40 @@ def finite(c: str) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c).cast("double"))
 
 
-def robust_scales(rows: DataFrame, by: list[str], serves: str, x: list[str], least: float = 0.6) -> DataFrame:
-    """``by``, model, n, centers, widths (arrays along ``x``) for every model that rows serve.
+def exact_quantiles(rows: DataFrame, by: list[str], serves: str, x: list[str], each: DataFrame, levels: tuple[float, ...]) -> DataFrame:
+    """``by``, model, c (place in ``x``), p (place in ``levels``) and q: the value whose place among the model's finite ones is the level's, counted out.
+
+    ``each``: models with a sketch ``q{i}`` and a number of values ``n{i}`` for every column. The sketch's values some ranks to both sides of the level bracket the
+    answer: what lies under the bracket is counted, and only what lies in it is counted by value. A bracket that misses the place, which is possible as
+    sketches are random, gives way to the whole range.
+    """
+    at = lambda i, p: F.kll_sketch_get_quantile_double(F.when(F.col(f"n{i}") > 0, F.col(f"q{i}")), F.lit(min(max(p, 0.0), 1.0)))
+    side = 16.0 / SKETCH
+    asked = F.array(*(F.struct(F.lit(i).alias("c"), F.lit(j).alias("p"), F.greatest(F.lit(1.0), F.ceil(F.col(f"n{i}") * p)).cast("long").alias("place"), at(i, p - side).alias("lo"), at(i, p + side).alias("hi")) for i in range(len(x)) for j, p in enumerate(levels)))
+    places = each.select(*by, "model", F.inline(asked)).where("lo is not null")
+    values = rows.select(*by, serves, F.posexplode(F.array(*(finite(c) for c in x))).alias("c", "v")).where("v is not null")
+    sets = rows.select(*by, serves).distinct().withColumn("model", F.explode(serves))
+
+    def counted(places: DataFrame) -> DataFrame:
+        asks = sets.join(places, [*by, "model"]).groupBy(*by, serves, "c").agg(F.collect_list(F.struct("model", "p", "place", "lo", "hi")).alias("_asks"))  # one for each model and level
+        met = values.join(asks, [*by, serves, "c"]).withColumn("_a", F.explode(F.filter("_asks", lambda a: F.col("v") <= a["hi"])))
+        met = met.select(*by, "c", "_a.model", "_a.p", "_a.place", F.when(F.col("v") >= F.col("_a.lo"), F.col("v")).alias("v"))  # null: under the bracket
+        group = [*by, "model", "c", "p", "place"]
+        so_far = Window.partitionBy(*group).orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        found = met.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(so_far))
+        first = F.min_by(F.struct("v"), F.when(F.col("upto") >= F.col("place"), F.col("upto")))
+        return found.groupBy(*group).agg(first.alias("q")).withColumn("q", F.col("q.v"))
+
+    found = counted(places).persist()
+    missed = found.where("q is null")
+    if not missed.isEmpty():
+        wide = places.join(missed.select(*by, "model", "c", "p"), [*by, "model", "c", "p"], "left_semi").withColumns({"lo": F.lit(float("-inf")), "hi": F.lit(float("inf"))})
+        return found.where("q is not null").unionByName(counted(wide)).drop("place")
+    return found.drop("place")
+
+
+def robust_scales(rows: DataFrame, by: list[str], serves: str, x: list[str], least: float = 0.6, exact: bool = False) -> DataFrame:
+    """``by``, model, n, centers, widths (arrays along ``x``) for every model that rows serve; ``exact``: quartiles counted out instead of sketched.
 
     The center is the median and the width the quartile range (1 if it is 0) of the finite values. A column of which less than ``least`` is finite
     has a null width.
@@ -38,6 +70,11 @@ def robust_scales(rows: DataFrame, by: list[str], serves: str, x: list[str], lea
     known = lambda i: (F.col(f"n{i}") > 0) & (F.col(f"n{i}") >= least * F.col("n"))
     at = lambda i, p: F.kll_sketch_get_quantile_double(F.when(known(i), F.col(f"q{i}")), F.lit(p))
     width = lambda i: at(i, 0.75) - at(i, 0.25)
+    if exact:
+        q = exact_quantiles(rows, by, serves, x, each, (0.25, 0.5, 0.75))
+        q = q.groupBy(*by, "model").agg(*(F.max(F.when((F.col("c") == i) & (F.col("p") == j), F.col("q"))).alias(f"e{i}_{j}") for i in range(len(x)) for j in range(3)))
+        each = each.join(q, [*by, "model"], "left")
+        at = lambda i, p: F.when(known(i), F.col(f"e{i}_{(0.25, 0.5, 0.75).index(p)}"))
     return each.select(*by, "model", "n", F.array(*(at(i, 0.5) for i in range(len(x)))).alias("centers"), F.array(*(F.when(width(i) > 0, width(i)).when(known(i), 1.0) for i in range(len(x)))).alias("widths"))
 
 
@@ -47,15 +84,15 @@ def scaled(x: list[str], clip: float = 4.0) -> Column:
     return F.array(*(F.when(z.isNull(), 0.0).otherwise(F.greatest(F.lit(-clip), F.least(F.lit(clip), z))) for z in each))
 
 
-def served_rows(rows: DataFrame, by: list[str], serves: str, x: list[str], keep: list[str], clip: float = 4.0, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
+def served_rows(rows: DataFrame, by: list[str], serves: str, x: list[str], keep: list[str], clip: float = 4.0, least: float = 0.6, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Each row once for every model it serves: ``by``, model, ``keep`` and ``z`` (scaled by that model's quartiles); and the models' scales."""
-    scales = robust_scales(rows, by, serves, x, least)
+    scales = robust_scales(rows, by, serves, x, least, exact)
     sets = rows.select(*by, serves).distinct().withColumn("model", F.explode(serves)).join(scales, [*by, "model"])
     sets = sets.groupBy(*by, serves).agg(F.collect_list(F.struct("model", "centers", "widths")).alias("_scales"))  # one for each model that a row serves
     return rows.join(sets, [*by, serves]).select(*by, *keep, *x, F.inline("_scales")).select(*by, "model", *keep, scaled(x, clip).alias("z")), scales
 
 
-def ridge_models(rows: DataFrame, by: list[str], serves: str, x: list[str], y: str, alpha: float, clip: float = 4.0, least: float = 0.6) -> DataFrame:
+def ridge_models(rows: DataFrame, by: list[str], serves: str, x: list[str], y: str, alpha: float, clip: float = 4.0, least: float = 0.6, exact: bool = False) -> DataFrame:
     """``by``, model, n, centers, widths, coefficients, intercept (unpenalised) of least squares of y on the scaled columns plus ``alpha`` times the squares.
 
     ``serves``: an array column with the numbers of the models that a row trains. Rows without y train none. Dropped columns have a coefficient of 0.
@@ -63,7 +100,7 @@ def ridge_models(rows: DataFrame, by: list[str], serves: str, x: list[str], y: s
     import numpy as np
 
     known = rows.where(finite(y).isNotNull() & (F.size(serves) > 0))
-    products, scales = served_rows(known, by, serves, x, [y], clip, least)
+    products, scales = served_rows(known, by, serves, x, [y], clip, least, exact)
     products = products.select(*by, "model", array_to_vector(F.concat("z", F.array(F.col(y).cast("double")))).alias("z"))
     products = PolynomialExpansion(degree=2, inputCol="z", outputCol="products").transform(products)
     sums = products.groupBy(*by, "model").agg(vector_to_array(Summarizer.sum(F.col("products"))).alias("sums")).join(scales, [*by, "model"])

@@ -50,7 +50,7 @@ def robust_ridge(spark, sf_dir):
     """The change by ridge on columns less their medians, divided by their quartile ranges and held to four, for every series and day at once."""
     rows = arrival_targets(spark, sf_dir).withColumn("y", F.col("target") - F.col("ref"))
     spans = ln.training_spans(rows).withColumn("_serves", rg.served_days())
-    fit = rg.ridge_models(spans, ["series"], "_serves", ["ref", "p_fall"], "y", 5.0).withColumnRenamed("model", "day").join(evaluated(spark, sf_dir), ["series", "day"])
+    fit = rg.ridge_models(spans, ["series"], "_serves", ["ref", "p_fall"], "y", 5.0, exact=True).withColumnRenamed("model", "day").join(evaluated(spark, sf_dir), ["series", "day"])
     return fit.select("series", "day", "n", *(r6(F.element_at("coefficients", k)).alias(f"b{k}") for k in (1, 2)), r6("intercept").alias("intercept"))
 
 
@@ -62,7 +62,7 @@ def fold_ridge(spark, sf_dir):
     rows = arrival_targets(spark, sf_dir).withColumns({"day": F.expr(f"issue_us div {DAY}"), "y": F.col("target") - F.col("ref")})
     folds = rows.select("series", "day").distinct().withColumn("fold", F.ntile(4).over(Window.partitionBy("series").orderBy("day")))
     spans = rows.join(folds, ["series", "day"]).withColumn("_serves", rg.other_folds("fold", 4))
-    fit = rg.ridge_models(spans, ["series"], "_serves", ["ref", "p_fall"], "y", 5.0)
+    fit = rg.ridge_models(spans, ["series"], "_serves", ["ref", "p_fall"], "y", 5.0, exact=True)
     return fit.select("series", F.col("model").alias("fold"), "n", *(r6(F.element_at("coefficients", k)).alias(f"b{k}") for k in (1, 2)), r6("intercept").alias("intercept"))
 
 
