@@ -13,6 +13,8 @@ DEGREE_KM = 111.2
 PATH = "lat double, lon double, traced double, reached boolean, contacts array<double>, sampled double"
 #: Arrivals of one run that meet its lattices in one task.
 SHARE = 100_000
+#: Lattice values that a group of small runs holds about; an arrival counts as ``ARRIVAL`` of them.
+GROUP, ARRIVAL = 2_000_000, 20
 
 
 def within(lat, lon, corners: Sequence[tuple[float, float]]):
@@ -61,7 +63,8 @@ def back_paths(
     field at the path's end, null where it is not known. Arrivals without a lattice, or with one of another length, trace no hour.
 
     Arrivals travel to their run's lattices, which are moved once. A run with more than ``share`` arrivals is dealt to as many groups as it has
-    shares, each with the run's lattices, so that a group holds about a share at most.
+    shares, each with the run's lattices, so that a group holds about a share at most. The shares meet in groups of many small runs, so that the
+    steps of a group's paths are taken together, and equal arrivals go one path.
     """
     import numpy as np
     import pandas as pd
@@ -77,13 +80,17 @@ def back_paths(
     def trace(part: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
         if not len(part):
             return pd.DataFrame(columns=[*kept, "lat", "lon", "traced", "reached", "contacts", "sampled"], dtype=object)
-        order = {level: i for i, level in enumerate(mine["level"], 1)}
+        order = {place: i for i, place in enumerate(zip(mine["run"], mine["level"], strict=True), 1)}
         fields = [(unknown,) * 3] + [tuple(lattice(x) for x in row) for row in zip(*(mine[n] for n in names), strict=True)]
-        which = np.array([order.get(level, 0) for level in part["level"]], int)
+        which = np.array([order.get(place, 0) for place in zip(part["run"], part["level"], strict=True)], int)
         u_all, v_all, s_all = (np.stack([f[k] for f in fields]) for k in range(3))
         lat, lon, hour = (part[c].to_numpy(float, na_value=np.nan).copy() for c in ("at_lat", "at_lon", "at_hour"))
-        going, traced = np.ones(len(part), bool), np.zeros(len(part))
-        contacts = np.full((len(part), len(sectors)), np.nan)
+        # equal arrivals have one path
+        same = pd.DataFrame({"which": which, "lat": lat, "lon": lon, "hour": hour}).groupby(["which", "lat", "lon", "hour"], sort=False, dropna=False).ngroup().to_numpy()
+        first = np.unique(same, return_index=True)[1]
+        which, lat, lon, hour = which[first], lat[first], lon[first], hour[first]
+        going, traced = np.ones(len(first), bool), np.zeros(len(first))
+        contacts = np.full((len(first), len(sectors)), np.nan)
         for age in np.arange(0, most + step / 2, step):
             for s, corners in enumerate(sectors):
                 met = going & np.isnan(contacts[:, s]) & within(lat, lon, corners)
@@ -100,18 +107,21 @@ def back_paths(
             hour = np.where(going, hour - step, hour)
         (sampled,) = _at((s_all,), axes, (lat, lon, hour), which)
         out = part[kept].copy()
-        out["lat"], out["lon"], out["traced"], out["reached"] = lat, lon, traced, going
-        out["contacts"] = [[None if np.isnan(x) else x for x in row] for row in contacts.tolist()]
-        out["sampled"] = [None if np.isnan(x) else float(x) for x in sampled]
+        out["lat"], out["lon"], out["traced"], out["reached"] = lat[same], lon[same], traced[same], going[same]
+        met = [[None if np.isnan(x) else x for x in row] for row in contacts.tolist()]
+        ends = [None if np.isnan(x) else float(x) for x in sampled]
+        out["contacts"], out["sampled"] = [met[i] for i in same], [ends[i] for i in same]
         return out
 
     hot = arrivals.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share).select("run", F.ceil(F.col("n") / share).cast("int").alias("_parts"))
     hot = F.broadcast(hot)  # at most one row for each ``share`` arrivals
+    cells = (arrivals.count() * ARRIVAL + lattices.count() * size) // GROUP + 1  # counted first: two numbers
+    cell = F.when(F.col("run").isNotNull(), F.pmod(F.xxhash64("run", "_salt"), F.lit(cells))).otherwise(-1).alias("_cell")
     carried = [c for c in arrivals.columns if c not in ("run", "level")]
     a = arrivals.join(hot, "run", "left").withColumn("_salt", F.pmod(F.xxhash64(*carried), F.coalesce("_parts", F.lit(1)).cast("bigint"))).drop("_parts")
     b = lattices.join(hot, "run", "left").select("run", "level", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)).cast("bigint") - 1)).alias("_salt"), *(F.col(n).cast("array<double>").alias(n) for n in names))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in arrivals.schema.fields if f.name in kept)
-    return a.groupBy("run", "_salt").cogroup(b.groupBy("run", "_salt")).applyInPandas(trace, f"{fields}, {PATH}")
+    return a.select("*", cell).drop("_salt").groupBy("_cell").cogroup(b.select("*", cell).drop("_salt").groupBy("_cell")).applyInPandas(trace, f"{fields}, {PATH}")
 
 
 def path_summary(paths: DataFrame, by: str, primary: int, least: float = 12.0, most: float = 48.0) -> DataFrame:
