@@ -34,9 +34,7 @@ LAGS = (2 * HOUR, 6 * HOUR)
 @query("w02_raw_lags", f""", x AS (SELECT obs_id, us, v, {', '.join(f"quantile_cont(v, 0.5) OVER {frame(SPAN, s)} AS m{i}, max(us) OVER {frame(SPAN, s)} AS t{i}" for i, s in enumerate(LAGS))} FROM readings)
   SELECT obs_id, {', '.join(f"round(CASE WHEN us - {s} - t{i} <= {AGE} THEN v - m{i} END, 6) AS d{i}" for i, s in enumerate(LAGS))} FROM x""")
 def raw_lags(spark, sf_dir):
-    out = readings(spark, sf_dir)
-    for i, s in enumerate(LAGS):
-        out = fr.fresh_reference(out, SPAN, AGE, f"m{i}", s)
+    out = fr.fresh_references(readings(spark, sf_dir), SPAN, AGE, {f"m{i}": s for i, s in enumerate(LAGS)})
     return out.select("obs_id", *(r6(F.col("v") - F.col(f"m{i}")).alias(f"d{i}") for i in range(len(LAGS))))
 
 
