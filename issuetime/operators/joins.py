@@ -93,3 +93,33 @@ def overlap_join(windows: DataFrame, blocks: DataFrame, on: str, block: int) ->
     spread = windows.withColumn("at", at)
     weight = F.least("stop", F.col("at") + block) - F.greatest("start", "at")
     return spread.join(blocks, [on, "at"], "left").withColumn("w", weight)
+
+
+def nearest_levels(now: DataFrame, past: DataFrame, group: list[str], k: int) -> DataFrame:
+    """issue_id, ref and ``best``: up to ``k`` structs (apart, past, d) of the group's rows nearest in level, nearest first, ties to the smaller ``past``.
+
+    ``now``: ``group``, issue_id, ref. ``past``: ``group``, level, past, d. The rows of a group are numbered by level, so that an issue meets the k numbers
+    to either side of its own level, whatever the size of the group. Levels that are missing or not finite come last.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    known, asked = past.where(finite("level")), now.where(finite("ref"))
+    # rows at an issue's own level lie below it; of equal levels the smaller number of a past row is met first on either side
+    both = known.select(*group, F.col("level").alias("_at"), F.lit(0).alias("_side"), "past", "d").unionByName(asked.select(*group, F.col("ref").alias("_at"), F.lit(1).alias("_side"), "issue_id"), allowMissingColumns=True)
+    far_first = Window.partitionBy(*group).orderBy("_at", "_side", F.col("past").desc())
+    near_first = Window.partitionBy(*group).orderBy("_at", "_side", "past")
+    count = F.sum(1 - F.col("_side"))
+    both = both.withColumn("_below", count.over(far_first.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_above", count.over(near_first.rowsBetween(Window.unboundedPreceding, 0)))
+    sides = lambda below, above: F.explode(F.array(*below, *above)).alias("_place")
+    place = lambda side, n: F.struct(F.lit(side).alias("side"), n.alias("n"))
+    mine = both.where("_side = 1").select(*group, "issue_id", F.col("_at").alias("ref"), sides([place(0, F.col("_below") - i) for i in range(k)], [place(1, F.col("_below") + 1 + i) for i in range(k)]))
+    theirs = both.where("_side = 0").select(*group, "past", "d", F.col("_at").alias("level"), sides([place(0, F.col("_below"))], [place(1, F.col("_above"))]))
+    met = mine.join(theirs, [*group, "_place"]).select("issue_id", "ref", "level", "past", "d")
+    # missing or infinite levels: the first of each kind; an issue without a finite level is equally far from all finite ones
+    odd = past.where(~finite("level")).withColumn("_n", F.row_number().over(Window.partitionBy(*group, "level").orderBy("past"))).where(F.col("_n") <= k).drop("_n")
+    lost = now.where(~finite("ref"))
+    first = known.join(lost.select(*group).distinct(), group, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy("past"))).where(F.col("_n") <= k).drop("_n")
+    for side, rows in ((now, odd), (lost, first)):
+        met = met.unionByName(side.join(rows, group).select("issue_id", "ref", "level", "past", "d"))
+    apart = F.abs(F.col("level") - F.col("ref"))
+    each = met.groupBy("issue_id").agg(F.first("ref").alias("ref"), F.sort_array(F.collect_list(F.struct(apart.isNull().alias("none"), apart.alias("apart"), "past", "d"))).alias("best"))  # a few times k
+    return each.select("issue_id", "ref", F.slice("best", 1, k).alias("best"))
