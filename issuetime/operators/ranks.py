@@ -25,6 +25,22 @@ def ranked(rows: DataFrame, key: str, value: str, parts: int = 64) -> DataFrame:
     return placed.withColumn("place", F.col("place") + F.col("_base")).withColumn("average", F.col("average") + F.col("_base")).drop("_range", "_base")
 
 
+def average_ranks(counts: DataFrame, key: str, value: str, n: str, parts: int = 64) -> DataFrame:
+    """key, value, average (the mean place, from 1, of the ``n`` rows of that value, null last) and total (rows of the key).
+
+    ``counts`` has every value of a key once, so that no rows of equal value meet; values are cut into ranges as by ``ranked``.
+    """
+    bounds = counts.groupBy(key).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)]).alias("_bounds"))
+    place = F.when(F.col(value).isNull(), parts).otherwise(F.size(F.filter("_bounds", lambda b: b < F.col(value))))
+    cut = counts.select(key, value, n).join(bounds, key).withColumn("_range", place).drop("_bounds")
+    below = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(key, "_range").agg(F.sum(n).alias("_n"))
+    base = sizes.select(key, "_range", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy(key)).alias("total"))
+    upto = F.sum(n).over(Window.partitionBy(key, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = cut.withColumn("_upto", upto).join(base, [key, "_range"])
+    return placed.select(key, value, (F.col("_base") + F.col("_upto") - (F.col(n) - 1) / 2).alias("average"), "total")
+
+
 def quantiles(rows: DataFrame, key: str, value: str, levels: dict[str, float], parts: int = 64) -> DataFrame:
     """key and, under each name of ``levels``, the linearly interpolated quantile of the key's values; nulls do not count.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from issuetime.operators import buckets as bk
 from issuetime.operators import scores as sc
-from issuetime.operators.ranks import quantiles, ranked
+from issuetime.operators.ranks import average_ranks, quantiles, ranked
 from issuetime.plans.targets import B, r6
 from issuetime.registry import query
 from issuetime.schemas import DAY, HOUR, MINUTE, readings, table
@@ -82,9 +82,16 @@ def network_medians(spark, sf_dir):
 @query("a23_spearman", "WITH r AS (SELECT l_returnflag AS g, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0::DOUBLE AS y FROM lineitem) SELECT g, count(*) AS n, round(corr(x, y), 6) AS rho FROM r GROUP BY g", inputs=False)
 def spearman(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"))
-    x = ranked(rows, "g", "q").select("g", "p", F.col("average").alias("x"))
-    y = ranked(x, "g", "p").withColumnRenamed("average", "y")
-    return y.groupBy("g").agg(F.count(F.lit(1)).alias("n"), r6(sc.correlation("x", "y")).alias("rho"))
+    pairs = rows.groupBy("g", "q", "p").agg(F.count(F.lit(1)).alias("c"))
+    apart = F.col("average") - (F.col("total") + 1) / 2  # from the mean place, which ties leave as it is
+
+    def places(value: str, name: str):
+        return average_ranks(pairs.groupBy("g", value).agg(F.sum("c").alias("c")), "g", value, "c").select(F.col("g").alias(f"g_{name}"), F.col(value).alias(f"{value}_{name}"), apart.alias(name))
+
+    met = pairs.join(places("q", "x"), (F.col("g") == F.col("g_x")) & F.col("q").eqNullSafe(F.col("q_x"))).join(places("p", "y"), (F.col("g") == F.col("g_y")) & F.col("p").eqNullSafe(F.col("p_y")))
+    total = lambda a, b: F.sum(F.col("c") * F.col(a) * F.col(b))
+    rho = F.coalesce(F.try_divide(total("x", "y"), F.sqrt(total("x", "x")) * F.sqrt(total("y", "y"))), F.lit(float("nan")))
+    return met.groupBy("g").agg(F.sum("c").alias("n"), r6(rho).alias("rho"))
 
 
 @query("a43_effective_n", " SELECT series, round(pow(sum(k), 2) / sum(k * k), 6) AS effective FROM readings GROUP BY series")
