@@ -2,14 +2,13 @@
 
 A row serves several models (the days after it, or the folds it is not in). Quartiles come from mergeable quantile sketches, and a model
 from the sums of all products of its scaled columns, so no training rows are gathered: rows that serve the same models are sketched
-together first, and each model's sums are partial aggregates of vectors as long as the number of products.
+together first, then meet the models' scales in groups of bounded size, of which each gives one vector of products for each model.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import PolynomialExpansion
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Values that a quantile sketch keeps: up to so many, quartiles are exact; past them their ranks are off by about 2 / SKETCH at most.
 SKETCH = 4096
+#: Rows of a group that meets the scales of its models at once, about.
+GROUP = 50_000
 
 
 def finite(c: str) -> Column:
@@ -84,12 +85,37 @@ def scaled(x: list[str], clip: float = 4.0) -> Column:
     return F.array(*(F.when(z.isNull(), 0.0).otherwise(F.greatest(F.lit(-clip), F.least(F.lit(clip), z))) for z in each))
 
 
-def served_rows(rows: DataFrame, by: list[str], serves: str, x: list[str], keep: list[str], clip: float = 4.0, least: float = 0.6, exact: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Each row once for every model it serves: ``by``, model, ``keep`` and ``z`` (scaled by that model's quartiles); and the models' scales."""
-    scales = robust_scales(rows, by, serves, x, least, exact)
-    sets = rows.select(*by, serves).distinct().withColumn("model", F.explode(serves)).join(scales, [*by, "model"])
-    sets = sets.groupBy(*by, serves).agg(F.collect_list(F.struct("model", "centers", "widths")).alias("_scales"))  # one for each model that a row serves
-    return rows.join(sets, [*by, serves]).select(*by, *keep, *x, F.inline("_scales")).select(*by, "model", *keep, scaled(x, clip).alias("z")), scales
+def product_sums(rows: DataFrame, by: list[str], serves: str, x: list[str], y: str, scales: DataFrame, clip: float = 4.0) -> DataFrame:
+    """``by``, model and ``sums``: all products of 1, the columns scaled by the model's quartiles and y, summed over the rows that serve the model.
+
+    Rows that serve the same models meet these models' scales in groups of at most about ``GROUP``, so a row moves once, however many models it serves.
+    """
+    import numpy as np
+
+    sets = rows.groupBy(*by, serves).agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("_shares")).persist()  # a row for each set of models
+    to = sets.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1))).withColumn("model", F.explode(serves))
+    to = to.join(scales.select(*by, "model", "centers", "widths"), [*by, "model"])
+    to = to.select(*(F.col(c).alias(c) for c in to.columns))  # columns apart from those of ``rows``
+    plain = [F.coalesce(finite(c), F.lit(float("nan"))).alias(f"_x{i}") for i, c in enumerate(x)]
+    dealt = rows.join(F.broadcast(sets), [*by, serves]).withColumn("_share", F.pmod(F.xxhash64(y, *x), F.col("_shares")))
+    dealt = dealt.select(*by, serves, "_share", *plain, F.col(y).cast("double").alias("_y"))
+    kinds = dict(to.dtypes)
+
+    def summed(left, right):
+        import pyarrow as pa
+
+        values = np.stack([left.column(f"_x{i}").to_numpy() for i in range(len(x))], axis=1)
+        full, sums = np.ones((len(values), len(x) + 2)), []
+        full[:, -1] = left.column("_y").to_numpy()
+        for center, width in zip(right.column("centers").to_pylist(), right.column("widths").to_pylist(), strict=True):
+            full[:, 1:-1] = np.clip(np.nan_to_num((values - np.array(center, float)) / np.array(width, float), nan=0.0), -clip, clip)
+            sums.append((full.T @ full).ravel() if len(full) else np.zeros((len(x) + 2) ** 2))
+        return pa.table({**{c: right.column(c) for c in [*by, "model"]}, "sums": pa.array([s.tolist() for s in sums], pa.list_(pa.float64()))})
+
+    group = [*by, serves, "_share"]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [*by, "model"]), "sums array<double>"])
+    parts = dealt.groupBy(*group).cogroup(to.groupBy(*group)).applyInArrow(summed, schema)
+    return parts.groupBy(*by, "model").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
 
 
 def ridge_models(rows: DataFrame, by: list[str], serves: str, x: list[str], y: str, alpha: float, clip: float = 4.0, least: float = 0.6, exact: bool = False) -> DataFrame:
@@ -100,21 +126,16 @@ def ridge_models(rows: DataFrame, by: list[str], serves: str, x: list[str], y: s
     import numpy as np
 
     known = rows.where(finite(y).isNotNull() & (F.size(serves) > 0))
-    products, scales = served_rows(known, by, serves, x, [y], clip, least, exact)
-    products = products.select(*by, "model", array_to_vector(F.concat("z", F.array(F.col(y).cast("double")))).alias("z"))
-    products = PolynomialExpansion(degree=2, inputCol="z", outputCol="products").transform(products)
-    sums = products.groupBy(*by, "model").agg(vector_to_array(Summarizer.sum(F.col("products"))).alias("sums")).join(scales, [*by, "model"])
+    scales = robust_scales(known, by, serves, x, least, exact).persist()  # a row for each model, read for the sums and the models
+    sums = product_sums(known, by, serves, x, y, scales, clip).join(scales, [*by, "model"])
     p = len(x)
 
     def solved(frames):
         for frame in frames:
             out = []
             for n, s in zip(frame["n"], frame["sums"], strict=True):
-                moment, product, at = np.zeros(p + 1), np.zeros((p + 1, p + 1)), 0
-                for j in range(p + 1):  # the expansion gives each variable, then its products with those up to itself
-                    moment[j], product[j, : j + 1] = s[at], s[at + 1 : at + 2 + j]
-                    at += 2 + j
-                product = np.tril(product) + np.tril(product, -1).T
+                s = s.reshape(p + 2, p + 2)
+                moment, product = s[0, 1:], s[1:, 1:]
                 spread, mean = product - np.outer(moment, moment) / n, moment / n
                 w = np.linalg.solve(spread[:p, :p] + alpha * np.eye(p), spread[:p, p])
                 out.append((w.tolist(), float(mean[p] - mean[:p] @ w)))
