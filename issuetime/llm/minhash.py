@@ -14,7 +14,8 @@ that shares most, which connects most of a group of copies. Then what is left be
 classes of lists that still hold several components meet on their rarest whole-set shingles. A set of n shingles has a
 link to a smaller or equal one only through the rarest n - ceil(3n/4) + 1 of its own and the rarest n - ceil(6n/7) + 1 of the other,
 and at their first common one enough of both must be left behind it, so that copies changed too much to link with anything (most of a large group) hold only shingles of their own there and
-form no pair at all, and no link between components is lost.
+form no pair at all, and no link between components is lost. Nor do sets pair whose parities (of the numbers of shingles that hash to each of 1,024
+places) differ at more places than linked sets can have different shingles: common shingles cancel out, each other one changes one place.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from issuetime.llm.shingles import Shingler, mix
 from issuetime.llm.tokens import blocks
 
 K, T, STAR_ROUNDS = 32, 12, 2
+#: 64-bit words of a set's parities.
+MARKS = 16
 
 
 def _set_hash(hashes) -> bytes:
@@ -108,6 +111,14 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, least: int
     return near.join(set_of("u"), "u").join(set_of("v"), "v").select("u", "v", "x_u", "x_v").mapInArrow(verify, "u bigint, v bigint")
 
 
+def parities(hashes):
+    """Whether an odd number of a set's shingles hash to each of 64 * ``MARKS`` places, as ``MARKS`` integers."""
+    import numpy as np
+
+    odd = np.bincount(((mix(hashes) >> np.uint64(32)) % np.uint64(64 * MARKS)).astype(np.int64), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def rare_pairs(open_ids: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (u, v) of different labels among the open classes (id, label) whose sets can have a similarity of 0.75.
 
@@ -120,25 +131,32 @@ def rare_pairs(open_ids: DataFrame, sets: DataFrame) -> DataFrame:
 
         for batch in batches:
             found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            marks = iter([parities(x.view(np.uint64)).tolist() for x in found if len(x)])
             n = np.array([len(x) for x in found], np.int64)
             flat = np.concatenate([*found, np.zeros(0, np.int64)])
             rows = np.repeat(np.arange(len(n)), n)
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0).take(pa.array(rows)), "n": pa.array(n[rows]), "label": batch.column(2).take(pa.array(rows)), "shingle": pa.array(flat)})
+            first = np.isin(np.arange(len(rows)), np.cumsum(n) - n)
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0).take(pa.array(rows)), "n": pa.array(n[rows]), "label": batch.column(2).take(pa.array(rows)), "shingle": pa.array(flat), "marks": pa.array([next(marks) if f else None for f in first.tolist()], pa.list_(pa.int64()))})
 
-    tokens = stored(sets.join(open_ids, "id").select("id", "shingles", "label").mapInArrow(listed, "id bigint, n bigint, label bigint, shingle bigint"), "shingles")
+    tokens = stored(sets.join(open_ids, "id").select("id", "shingles", "label").mapInArrow(listed, "id bigint, n bigint, label bigint, shingle bigint, marks array<bigint>"), "shingles")  # marks: on one row of each class
     common = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # shingles that no other open class has come first in every class, and fill its prefix
-    shared = tokens.join(common, "shingle")
+    shared = tokens.drop("marks").join(common, "shingle")
     own = shared.groupBy("id").agg((F.first("n") - F.count(F.lit(1))).alias("alone"))
     by_rarity = Window.partitionBy("id").orderBy("df", "shingle")
     prefix = shared.withColumn("at", F.row_number().over(by_rarity)).join(own, "id").withColumn("at", F.col("at") + F.col("alone"))
-    prefix = stored(prefix.where("at <= n - ceil(3 * n / 4) + 1").select("shingle", "id", "n", "label", "at"), "prefix")
-    small = prefix.where("at <= n - ceil(6 * n / 7) + 1").select("shingle", F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("label").alias("label_u"), F.col("at").alias("at_u"))
-    large = prefix.select("shingle", F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("label").alias("label_v"), F.col("at").alias("at_v"))
+    marks = tokens.where("marks is not null").select("id", *(F.col("marks")[i].alias(f"m{i}") for i in range(MARKS)))
+    prefix = prefix.where("at <= n - ceil(3 * n / 4) + 1").join(marks, "id")
+    prefix = stored(prefix.select("shingle", "id", "n", "label", "at", *(f"m{i}" for i in range(MARKS))), "prefix")
+    marked = lambda c: [F.col(f"m{i}").alias(f"{c}{i}") for i in range(MARKS)]
+    small = prefix.where("at <= n - ceil(6 * n / 7) + 1").select("shingle", F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("label").alias("label_u"), F.col("at").alias("at_u"), *marked("mu"))
+    large = prefix.select("shingle", F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("label").alias("label_v"), F.col("at").alias("at_v"), *marked("mv"))
     fits = "label_u <> label_v and (n_u < n_v or (n_u = n_v and u < v)) and 100 * n_u >= 75 * n_v"
     # at a pair's first common shingle, what is left behind it in either set must still allow the whole overlap
     enough = "175 * (1 + least(n_u - at_u, n_v - at_v)) >= 75 * (n_u + n_v)"
-    return small.join(large, "shingle").where(f"{fits} and {enough}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    # linked sets differ by a seventh of their sizes' sum at most
+    alike = f"7 * ({' + '.join(f'bit_count(mu{i} ^ mv{i})' for i in range(MARKS))}) <= n_u + n_v"
+    return small.join(large, "shingle").where(f"{fits} and {enough} and {alike}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def class_labels(keyed: DataFrame, classes: DataFrame, words: int = 5) -> DataFrame:

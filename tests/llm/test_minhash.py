@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from issuetime.llm import minhash
 from issuetime.llm.components import components
 
@@ -78,3 +81,32 @@ def test_components_of_paths(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (100, 70), (60, 70)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys([50, 60, 70, 100], 50)}
+
+
+def test_copies_changed_too_much_form_no_pairs(spark):
+    """op2, pipeline (round 3): a large group of copies of which two have a similarity of about 0.7; two true links among them are found."""
+    rng = np.random.default_rng(43)
+    whole = rng.integers(0, 1 << 63, 300)
+    sets = []
+    for _ in range(120):  # each lacks some other shingles of the whole, so that no shingle is common to all
+        own = whole.copy()
+        own[rng.choice(300, 28, replace=False)] = rng.integers(0, 1 << 63, 28)
+        sets.append(np.unique(own.astype(np.uint64)))
+    for i in (5, 70):  # a link: a twentieth changed
+        twin = sets[i].copy()
+        twin[:15] = rng.integers(0, 1 << 63, 15).astype(np.uint64)
+        sets.append(np.unique(twin))
+    table = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "id long, shingles binary")
+    pairs = {(r["u"], r["v"]) for r in minhash.rare_pairs(table.select("id", F.col("id").alias("label")), table).collect()}
+    similar = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))
+    links = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if similar(a, b)}
+    assert {(5, 120), (70, 121)} <= links <= pairs and len(pairs) < 60
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(47)
+    for n, m in ((0, 3), (40, 2), (900, 300), (5000, 4000)):
+        common = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        a, b = np.concatenate([common, rng.integers(0, 1 << 63, m).astype(np.uint64)]), np.concatenate([common, rng.integers(0, 1 << 63, m + 1).astype(np.uint64)])
+        apart = sum(int(x).bit_count() for x in (minhash.parities(a) ^ minhash.parities(b)).view(np.uint64))
+        assert 0 < apart <= 2 * m + 1
