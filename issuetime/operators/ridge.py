@@ -97,7 +97,7 @@ def product_sums(rows: DataFrame, by: list[str], serves: str, x: list[str], y: s
     to = to.join(scales.select(*by, "model", "centers", "widths"), [*by, "model"])
     to = to.select(*(F.col(c).alias(c) for c in to.columns))  # columns apart from those of ``rows``
     plain = [F.coalesce(finite(c), F.lit(float("nan"))).alias(f"_x{i}") for i, c in enumerate(x)]
-    dealt = rows.join(F.broadcast(sets), [*by, serves]).withColumn("_share", F.pmod(F.xxhash64(y, *x), F.col("_shares")))
+    dealt = rows.join(F.broadcast(sets), [*by, serves]).withColumn("_share", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_shares")))
     dealt = dealt.select(*by, serves, "_share", *plain, F.col(y).cast("double").alias("_y"))
     kinds = dict(to.dtypes)
 
