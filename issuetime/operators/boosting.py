@@ -63,8 +63,8 @@ class Codes:
         return np.stack([b[codes[:, i]] for i, b in enumerate(self.bins[model])], axis=1)
 
 
-def coded(rows: DataFrame, codes: Codes) -> DataFrame:
-    """first, last, y and the places ``c`` of the features z; to be written once, as every level reads them."""
+def coded(rows: DataFrame, codes: Codes, keep: tuple[str, ...] = ()) -> DataFrame:
+    """first, last, y, the places ``c`` of the features z and the numbers ``keep`` (bigint); to be written once, as every level reads them."""
 
     def said(batches):
         import numpy as np
@@ -72,9 +72,9 @@ def coded(rows: DataFrame, codes: Codes) -> DataFrame:
 
         for batch in batches:
             c = codes.of(numbers(batch.column(3))) if batch.num_rows else np.zeros((0, 1), np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.FixedSizeListArray.from_arrays(pa.array(c.ravel()), c.shape[1]).cast(pa.list_(pa.int32()))], names=["first", "last", "y", "c"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.FixedSizeListArray.from_arrays(pa.array(c.ravel()), c.shape[1]).cast(pa.list_(pa.int32())), *batch.columns[4:]], names=["first", "last", "y", "c", *keep])
 
-    return rows.select("first", "last", "y", "z").mapInArrow(said, "first bigint, last bigint, y array<double>, c array<int>")
+    return rows.select("first", "last", "y", "z", *keep).mapInArrow(said, ", ".join(["first bigint, last bigint, y array<double>, c array<int>", *(f"`{k}` bigint" for k in keep)]))
 
 
 def leaves(tree, binned):

@@ -56,18 +56,33 @@ def exact_quantiles(rows: DataFrame, by: list[str], serves: str, x: list[str], e
     return found.drop("place")
 
 
+def sketched(rows: DataFrame, by: list[str], serves: str, x: list[str]) -> DataFrame:
+    """``by``, model, n and for every column its number of finite values ``n{i}`` and their sketch ``q{i}``, for every model that rows serve."""
+    parts = rows.groupBy(*by, serves).agg(
+        F.count(F.lit(1)).alias("n"), *(F.count(finite(c)).alias(f"n{i}") for i, c in enumerate(x)), *(F.kll_sketch_agg_double(finite(c), SKETCH).alias(f"q{i}") for i, c in enumerate(x))
+    )
+    return parts.withColumn("model", F.explode(serves)).groupBy(*by, "model").agg(
+        F.sum("n").alias("n"), *(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(x))), *(F.kll_merge_agg_double(f"q{i}", SKETCH).alias(f"q{i}") for i in range(len(x)))
+    )
+
+
+def medians(rows: DataFrame, by: list[str], serves: str, value: str) -> DataFrame:
+    """``by``, model, n (rows) and the exact ``median`` of the finite values (the mean of the middle two of an even number) for every model that rows serve."""
+    # the upper middle is the lower one from the other end
+    both = rows.withColumns({"_up": finite(value), "_down": -finite(value)})
+    each = sketched(both, by, serves, ["_up", "_down"]).persist()
+    q = exact_quantiles(both, by, serves, ["_up", "_down"], each, (0.5,))
+    q = q.groupBy(*by, "model").agg(((F.max(F.when(F.col("c") == 0, F.col("q"))) - F.max(F.when(F.col("c") == 1, F.col("q")))) / 2).alias("median"))
+    return each.select(*by, "model", "n").join(q, [*by, "model"], "left")
+
+
 def robust_scales(rows: DataFrame, by: list[str], serves: str, x: list[str], least: float = 0.6, exact: bool = False) -> DataFrame:
     """``by``, model, n, centers, widths (arrays along ``x``) for every model that rows serve; ``exact``: quartiles counted out instead of sketched.
 
     The center is the median and the width the quartile range (1 if it is 0) of the finite values. A column of which less than ``least`` is finite
     has a null width.
     """
-    parts = rows.groupBy(*by, serves).agg(
-        F.count(F.lit(1)).alias("n"), *(F.count(finite(c)).alias(f"n{i}") for i, c in enumerate(x)), *(F.kll_sketch_agg_double(finite(c), SKETCH).alias(f"q{i}") for i, c in enumerate(x))
-    )
-    each = parts.withColumn("model", F.explode(serves)).groupBy(*by, "model").agg(
-        F.sum("n").alias("n"), *(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(x))), *(F.kll_merge_agg_double(f"q{i}", SKETCH).alias(f"q{i}") for i in range(len(x)))
-    )
+    each = sketched(rows, by, serves, x)
     known = lambda i: (F.col(f"n{i}") > 0) & (F.col(f"n{i}") >= least * F.col("n"))
     at = lambda i, p: F.kll_sketch_get_quantile_double(F.when(known(i), F.col(f"q{i}")), F.lit(p))
     width = lambda i: at(i, 0.75) - at(i, 0.25)
