@@ -10,7 +10,7 @@ from issuetime.operators import buckets as bk
 from issuetime.operators import frames as fr
 from issuetime.plans.targets import B, r6
 from issuetime.registry import query
-from issuetime.schemas import DAY, HOUR, MINUTE, STANDARD, readings
+from issuetime.schemas import DAY, HOUR, MINUTE, STANDARD, issues, readings
 
 SPAN, AGE = STANDARD.span, STANDARD.max_age
 
@@ -50,11 +50,8 @@ def trailing_stats(spark, sf_dir):
 @query("w04_sequence_bins", f""" SELECT i.issue_id, (i.issue_us - r.us) // {30 * MINUTE} AS bin, count(*) AS n, round(avg(r.v), 5) AS v FROM issues i JOIN readings r
   ON r.series = i.series AND r.us > i.issue_us - {5 * HOUR} AND r.us <= i.issue_us GROUP BY ALL""")
 def sequence_bins(spark, sf_dir):
-    from issuetime.operators.joins import trailing_join
-    from issuetime.schemas import issues
-
-    near = trailing_join(issues(spark, sf_dir), readings(spark, sf_dir), "issue_us", "us", 5 * HOUR)
-    return near.groupBy("issue_id", F.expr(f"(issue_us - us) div {30 * MINUTE}").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 5).alias("v"))
+    met = fr.trailing_bins(issues(spark, sf_dir), readings(spark, sf_dir), "issue_us", "us", 30 * MINUTE, 10, "issue_id")
+    return met.select("issue_id", "bin", "n", F.round("mean", 5).alias("v"))
 
 
 @query("w06_gap_safe_change", f" SELECT a.series, a.label, round(a.med - b.med, 6) AS change, round((a.med - b.med) / nullif(b.med, 0), 6) AS share FROM closed a LEFT JOIN closed b ON a.series = b.series AND b.label = a.label - {2 * B}")
