@@ -11,19 +11,25 @@ from issuetime.operators.weather import explode_grid
 from issuetime.plans.scoring import EVENTS, SCORED, event_rows, scored
 from issuetime.plans.targets import B, r6
 from issuetime.registry import query
-from issuetime.schemas import DAY, HOUR, MINUTE, issues, readings, receipts, run_hours, table
+from issuetime.schemas import DAY, HOUR, MINUTE, issues, once, readings, receipts, run_hours, spread_by, table
 
 GRID = """pts AS (SELECT s_suppkey AS run, i, j, CASE WHEN s_suppkey % 17 = 3 AND i = 1 AND j = 1 THEN 48 ELSE 49 END AS n FROM supplier, (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j)),
   grid AS (SELECT run, i, j, t, 20 + 5 * i + 3 * j + (run + t) % 7 AS pm FROM pts, (SELECT unnest(range(49)) AS t) WHERE run NOT IN (SELECT run FROM pts GROUP BY run HAVING min(n) <> max(n)))"""
 
 
+#: Lattices that a task may build.
+GRID_RUNS = 5_000
+
+
 def grid(spark, sf_dir):
     """run, i (latitude), j (longitude), t, pm: one issued lattice per supplier, of whose runs a few hold a series that is too short."""
-    run, axis = F.col("s_suppkey"), F.sequence(F.lit(0), F.lit(2))
+    run, axis = F.col("run"), F.sequence(F.lit(0), F.lit(2))
     hours = lambda i, j: F.sequence(F.lit(0), F.when((run % 17 == 3) & (i == 1) & (j == 1), 47).otherwise(48))
     point = lambda i, j: F.struct(i.alias("i"), j.alias("j"), F.transform(hours(i, j), lambda t: 20 + 5 * i + 3 * j + (run + t) % 7).alias("pm"))
     points = F.flatten(F.transform(axis, lambda i: F.transform(axis, lambda j: point(i, j))))
-    return explode_grid(table(spark, sf_dir, "supplier").select(run.alias("run"), points.alias("points")))
+    # a run becomes 441 rows: runs are dealt to the tasks before, as few bytes of them would be read by one task
+    dealt = spread_by(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run")), ["run"], GRID_RUNS)
+    return explode_grid(dealt.select("run", once(points).alias("points")))
 
 
 @query("s04_grid_runs", f"WITH {GRID} SELECT run, t, count(*) AS points, sum(pm)::BIGINT AS pm FROM grid GROUP BY run, t", inputs=False)
