@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from issuetime.schemas import MINUTE, micros
+from issuetime.schemas import MINUTE, micros, once
 
 
 def export_csv(rows: DataFrame, columns: list[str], path: str) -> None:
@@ -35,5 +35,5 @@ def load_detections(spark: SparkSession, path: str) -> DataFrame:
 def decode_runs(runs: DataFrame, key: str, fields: tuple[str, ...], payload: str = "payload") -> DataFrame:
     """One row per run and hour from payloads of JSON text with an array ``hourly``; runs whose payload is malformed give none."""
     kinds = ", ".join(f"{f} {'bigint' if f in ('h', 'valid') else 'double'}" for f in fields)
-    hours = F.explode(F.from_json(payload, f"hourly array<struct<{kinds.replace(' ', ':').replace(',:', ', ')}>>")["hourly"])
-    return runs.select(key, hours.alias("_hour")).select(key, *(F.col("_hour")[f].alias(f) for f in fields))
+    hours = once(F.from_json(payload, f"hourly array<struct<{kinds.replace(' ', ':').replace(',:', ', ')}>>")["hourly"])
+    return runs.select(key, hours.alias("_hours")).select(key, F.explode("_hours").alias("_hour")).select(key, *(F.col("_hour")[f].alias(f) for f in fields))
