@@ -11,6 +11,8 @@ from issuetime.operators.joins import asof_join_blocks
 from issuetime.schemas import DAY
 
 LONG_AGO = -(1 << 62)
+#: Keys whose choices go to every task.
+FEW_KEYS = 10_000
 
 
 def choose_spaced(rows: DataFrame, ts: str, spacing: int, on: str = "series", end: str | None = None, block: int = 7 * DAY, whole: int = 200_000) -> DataFrame:
@@ -104,12 +106,15 @@ def bin_extremes(rows: DataFrame, ts: str, value: str, bins: int, on: str) -> Da
 def separated_nearest(cases: DataFrame, k: int, apart: int, ts: str, on: str, distance: str) -> DataFrame:
     """``on``, ``ts``, ``distance``, rank: greedily the nearest case of each key, then each next one at least ``apart`` in time from all before.
 
-    A round takes one minimum for each key, partially aggregated; a key carries its at most ``k`` choices. Equal distances go to the earlier
-    case; cases without key, clock or distance are not chosen.
+    A round takes one minimum for each key, partially aggregated where the cases lie; a key carries its at most ``k`` choices, which go to the tasks if there
+    are at most ``FEW_KEYS`` keys, so that no hot key's cases meet. Equal distances go to the earlier case; cases without key, clock or distance are not chosen.
+    Every round reads the cases: have them written before.
     """
     rows = cases.select(F.col(on).alias("_k"), F.col(ts).alias("t"), F.col(distance).alias("d")).dropna()
     picks = rows.select("_k").distinct().withColumn("picks", F.expr("cast(array() as array<struct<d: double, t: bigint>>)"))
+    few = picks.limit(FEW_KEYS + 1).count() <= FEW_KEYS
     for _ in range(k):
+        picks = F.broadcast(picks) if few else picks
         free = ~F.exists("picks", lambda c: F.abs(c["t"] - F.col("t")) < apart)
         best = rows.join(picks, "_k").groupBy("_k").agg(F.min(F.when(free, F.struct("d", "t"))).alias("best"), F.first("picks").alias("picks"))
         picks = best.select("_k", F.when(F.col("best").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array("best"))).alias("picks"))

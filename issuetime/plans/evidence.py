@@ -126,12 +126,15 @@ def case_features(rows):
 @query("l05_separated_cases")
 def separated_cases(spark, sf_dir):
     """Of each series the five past cases most like its newest one by level, change and clock, a day old at least, no two within half a day."""
-    cases = case_features(readings(spark, sf_dir)).dropna()
+    from issuetime.plans.forecasters import kept
+
+    cases = kept(case_features(readings(spark, sf_dir)).dropna(), "cases")
     names = ("level", "change", "sin", "cos")
     newest = cases.groupBy("series").agg(F.max_by(F.struct("us", *names), "us").alias("now"))  # a row a series
     met = cases.join(newest, "series").where(F.col("us") <= F.col("now.us") - DAY)
     far = sum(((F.col(n) - F.col(f"now.{n}")) ** 2 for n in names[1:]), (F.col("level") - F.col("now.level")) ** 2)
-    return sel.separated_nearest(met.withColumn("d", far), 5, 12 * HOUR, "us", "series", "d").select("series", "us", "rank", r6("d").alias("d"))
+    met = kept(met.select("series", "us", far.alias("d")), "distances")
+    return sel.separated_nearest(met, 5, 12 * HOUR, "us", "series", "d").select("series", "us", "rank", r6("d").alias("d"))
 
 
 @query("u08_daily_concat", f"{SCORED}, m AS (SELECT series, day, avg(target - ref) AS shift FROM scored GROUP BY series, day) SELECT i.issue_id, round(i.ref + m.shift, 5) AS pred FROM issues i LEFT JOIN m ON m.series = i.series AND m.day = i.issue_us // {DAY} - 2")

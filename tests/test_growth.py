@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from issuetime import registry
 from issuetime.operators import frames as fr
 from issuetime.operators import nearest as nr
+from issuetime.operators import selection as sel
 from issuetime.plans import scans, weather
 from issuetime.schemas import HOUR, run_hours_of
 
@@ -97,3 +98,23 @@ def test_queries_of_several_lots(spark, monkeypatch):
     whole = sorted(tuple(r) for r in nr.nearest_rows(table, table, 3, 4, 30).collect())
     monkeypatch.setattr(nr, "LOT", 40)
     assert whole == sorted(tuple(r) for r in nr.nearest_rows(table, table, 3, 4, 30).collect()) and len(whole) == 600
+
+
+def test_cases_of_a_hot_key_do_not_meet(spark):
+    """l05 (F32): few keys' choices go to the cases; before, all of a key's cases went to one task in every round."""
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.randrange(500), round(rng.random(), 2)) for _ in range(300)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = sel.separated_nearest(spark.createDataFrame(rows, "series string, us long, d double"), 4, 60, "us", "series", "d")
+        assert "SortMergeJoin" not in plan_of(out)
+        got = {(r["series"], r["rank"]): (r["d"], r["us"]) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    for key in "ab":
+        picks = []
+        for _ in range(4):
+            free = [(d, us) for s, us, d in rows if s == key and all(abs(us - t) >= 60 for _, t in picks)]
+            picks += [min(free)] if free else []
+        assert [got[key, i + 1] for i in range(len(picks))] == picks
