@@ -56,3 +56,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = shared_dir(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def met(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """The join of two tables that grow with the input, both shuffled: Spark sizes tables by their compressed files, arrays and exploded rows
+    as one value, and would broadcast by way of the driver what is many times larger in memory."""
+    return left.join(right.hint("merge"), on, how)

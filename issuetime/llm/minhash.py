@@ -25,7 +25,7 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from issuetime.llm.common import own_rows, stored
+from issuetime.llm.common import met, own_rows, stored
 from issuetime.llm.components import components
 from issuetime.llm.shingles import Shingler, mix
 from issuetime.llm.tokens import blocks
@@ -67,7 +67,7 @@ def postings(classes: DataFrame) -> DataFrame:
     tokens = classes.select("id", F.posexplode("signature").alias("coordinate", "value"))
     tokens = tokens.select("id", (F.shiftleft(F.col("coordinate").cast("long"), 32) + F.col("value")).alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    mine = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("mine"))  # K at most
+    mine = met(tokens, shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("mine"))  # K at most
     # coordinates that no other class has come first in the order of rarity and fill the rest of the prefix
     return mine.where(F.size("mine") >= T).select("id", F.explode(F.slice("mine", F.lit(1), F.size("mine") - F.lit(T - 1))).alias("x")).select("x.token", "id")
 
@@ -90,7 +90,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, least: int
     """The pairs (u, v) with at least ``least`` equal coordinates and 100 * intersection >= 75 * union of their full sets."""
     side = lambda c: classes.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
     matches = F.aggregate(F.zip_with("s_u", "s_v", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
-    near = pairs.join(side("u"), "u").join(side("v"), "v").where(100 * F.least("n_u", "n_v") >= 75 * F.greatest("n_u", "n_v")).where(matches >= least)
+    near = met(met(pairs, side("u"), "u"), side("v"), "v").where(100 * F.least("n_u", "n_v") >= 75 * F.greatest("n_u", "n_v")).where(matches >= least)
     near = stored(near.select("u", "v"), "near")
 
     def verify(batches):
@@ -108,7 +108,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, least: int
             yield pa.RecordBatch.from_pydict({"u": pa.array(u[keep], pa.int64()), "v": pa.array(v[keep], pa.int64())})
 
     set_of = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"x_{c}"))
-    return near.join(set_of("u"), "u").join(set_of("v"), "v").select("u", "v", "x_u", "x_v").mapInArrow(verify, "u bigint, v bigint")
+    return met(met(near, set_of("u"), "u"), set_of("v"), "v").select("u", "v", "x_u", "x_v").mapInArrow(verify, "u bigint, v bigint")
 
 
 def parities(hashes):
@@ -138,15 +138,15 @@ def rare_pairs(open_ids: DataFrame, sets: DataFrame) -> DataFrame:
             first = np.isin(np.arange(len(rows)), np.cumsum(n) - n)
             yield pa.RecordBatch.from_pydict({"id": batch.column(0).take(pa.array(rows)), "n": pa.array(n[rows]), "label": batch.column(2).take(pa.array(rows)), "shingle": pa.array(flat), "marks": pa.array([next(marks) if f else None for f in first.tolist()], pa.list_(pa.int64()))})
 
-    tokens = stored(sets.join(open_ids, "id").select("id", "shingles", "label").mapInArrow(listed, "id bigint, n bigint, label bigint, shingle bigint, marks array<bigint>"), "shingles")  # marks: on one row of each class
+    tokens = stored(met(sets, open_ids, "id").select("id", "shingles", "label").mapInArrow(listed, "id bigint, n bigint, label bigint, shingle bigint, marks array<bigint>"), "shingles")  # marks: on one row of each class
     common = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # shingles that no other open class has come first in every class, and fill its prefix
-    shared = tokens.drop("marks").join(common, "shingle")
+    shared = met(tokens.drop("marks"), common, "shingle")
     own = shared.groupBy("id").agg((F.first("n") - F.count(F.lit(1))).alias("alone"))
     by_rarity = Window.partitionBy("id").orderBy("df", "shingle")
-    prefix = shared.withColumn("at", F.row_number().over(by_rarity)).join(own, "id").withColumn("at", F.col("at") + F.col("alone"))
+    prefix = met(shared.withColumn("at", F.row_number().over(by_rarity)), own, "id").withColumn("at", F.col("at") + F.col("alone"))
     marks = tokens.where("marks is not null").select("id", *(F.col("marks")[i].alias(f"m{i}") for i in range(MARKS)))
-    prefix = prefix.where("at <= n - ceil(3 * n / 4) + 1").join(marks, "id")
+    prefix = met(prefix.where("at <= n - ceil(3 * n / 4) + 1"), marks, "id")
     prefix = stored(prefix.select("shingle", "id", "n", "label", "at", *(f"m{i}" for i in range(MARKS))), "prefix")
     marked = lambda c: [F.col(f"m{i}").alias(f"{c}{i}") for i in range(MARKS)]
     small = prefix.where("at <= n - ceil(6 * n / 7) + 1").select("shingle", F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("label").alias("label_u"), F.col("at").alias("at_u"), *marked("mu"))
@@ -156,25 +156,25 @@ def rare_pairs(open_ids: DataFrame, sets: DataFrame) -> DataFrame:
     enough = "175 * (1 + least(n_u - at_u, n_v - at_v)) >= 75 * (n_u + n_v)"
     # linked sets differ by a seventh of their sizes' sum at most
     alike = f"7 * ({' + '.join(f'bit_count(mu{i} ^ mv{i})' for i in range(MARKS))}) <= n_u + n_v"
-    return small.join(large, "shingle").where(f"{fits} and {enough} and {alike}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return met(small, large, "shingle").where(f"{fits} and {enough} and {alike}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def class_labels(keyed: DataFrame, classes: DataFrame, words: int = 5) -> DataFrame:
     """id, label of the classes that links connect."""
     lists = stored(postings(classes), "postings")
-    posted = lists.select("id").distinct().join(classes.select("id", "row"), "id")
+    posted = met(lists.select("id").distinct(), classes.select("id", "row"), "id")
     sets = stored(full_sets(keyed, posted, words), "sets")
     links, labels, whole, labelled = None, None, True, lists.withColumn("label", F.col("id"))
     for turn in range(STAR_ROUNDS + 1):
         several = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-        open_lists = stored(labelled.join(several, "token"), "open-lists")
+        open_lists = stored(met(labelled, several, "token"), "open-lists")
         if open_lists.isEmpty():
             break
         if turn < STAR_ROUNDS:
             central = open_lists.groupBy("id").agg(F.count(F.lit(1)).alias("lists"))
             order = F.struct(-F.col("lists"), F.xxhash64("id", F.lit(turn)), "id")
-            pivot = open_lists.join(central, "id").groupBy("token").agg(F.min_by(F.struct("id", "label"), order).alias("p")).select("token", F.col("p.id").alias("v"), F.col("p.label").alias("label_v"))
-            pairs = open_lists.withColumnRenamed("id", "u").join(pivot, "token").where("label <> label_v")
+            pivot = met(open_lists, central, "id").groupBy("token").agg(F.min_by(F.struct("id", "label"), order).alias("p")).select("token", F.col("p.id").alias("v"), F.col("p.label").alias("label_v"))
+            pairs = met(open_lists.withColumnRenamed("id", "u"), pivot, "token").where("label <> label_v")
             pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         else:
             pairs = rare_pairs(open_lists.select("id", "label").distinct(), sets)
@@ -188,7 +188,7 @@ def class_labels(keyed: DataFrame, classes: DataFrame, words: int = 5) -> DataFr
         else:
             labels = stored(components(links).withColumnRenamed("node", "id"), "labels")
             links = labels.select(F.col("id").alias("u"), F.col("label").alias("v"))  # each class's link to its label tells all that the links told
-        labelled = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        labelled = met(lists, labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     if links is None:
         return classes.select("id", F.col("id").alias("label")).where("false")
     return labels if whole else components(links).withColumnRenamed("node", "id")
@@ -202,11 +202,11 @@ def _decided(keyed: DataFrame, words: int) -> DataFrame:
     # classes are nodes by a number of their own, as several may hold one doc_id or none
     classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "set_hash", "own", F.col("own.row").alias("row"), "n_shingles", "signature"), "classes")
     labels = class_labels(keyed, classes, words)
-    linked = classes.select("id", "own").join(labels, "id")
+    linked = met(classes.select("id", "own"), labels, "id")
     best = linked.groupBy("label").agg(F.min("own").alias("best"))
-    of_class = classes.select("id", "set_hash", "own").join(linked.join(best, "label").select("id", "best"), "id", "left")
+    of_class = met(classes.select("id", "set_hash", "own"), met(linked, best, "label").select("id", "best"), "id", "left")
     of_class = of_class.select(F.col("set_hash").alias("class"), F.coalesce("best", "own").alias("best"))
-    return rows.withColumn("_class", F.when(F.col("n_shingles") > 0, F.col("set_hash"))).join(of_class, F.col("_class") == F.col("class"), "left").select("doc_id", "row", "n_shingles", "best")
+    return met(rows.withColumn("_class", F.when(F.col("n_shingles") > 0, F.col("set_hash"))), of_class, F.col("_class") == F.col("class"), "left").select("doc_id", "row", "n_shingles", "best")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
