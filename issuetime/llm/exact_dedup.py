@@ -12,7 +12,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from issuetime.llm.common import SPACE, own_rows, shared_dir, stored
+from issuetime.llm.common import SPACE, met, own_rows, shared_dir, stored
 
 
 def text_digest(text: Column) -> Column:
@@ -72,7 +72,7 @@ def _decide(rows: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     fresh = winners.where("_old is null")
     index.add(fresh.select("text_sha256", F.col("_best.doc_id").alias("keep_id"), F.col("_best.n_code_points").alias("n_code_points"), F.lit(batch).alias("batch")))
     new = F.col("_old").isNull()
-    return rows.join(winners, "text_sha256").select(
+    return met(rows, winners, "text_sha256").select(
         "doc_id", F.when(new, F.col("_best.doc_id")).otherwise(F.col("_known")).alias("keep_id"), "group_size",
         (new & (F.col("row") == F.col("_best.row"))).alias("kept"), "text_sha256", "n_code_points", "row",
     )

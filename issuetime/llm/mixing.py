@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from issuetime.llm.common import SPACE, WORD, own_rows, stored
+from issuetime.llm.common import SPACE, WORD, met, own_rows, stored
 
 
 def word_count(text: Column) -> Column:
@@ -82,8 +82,7 @@ def _placed(sized: DataFrame, weights, share: float, cap: float, seed: str, digi
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
     rest = F.floor("target").cast("long") - F.col("_epochs") * F.col("source_size") - F.col("_bucket_start") - F.col("_within")
     return (
-        sized.withColumn("_within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(cuts.withColumn("_epochs", epochs), ["_source", "_bucket"])
+        met(sized.withColumn("_within", F.coalesce(F.sum("size").over(inside), F.lit(0))), cuts.withColumn("_epochs", epochs), ["_source", "_bucket"])
         .withColumn("target", F.col("target").cast("double"))
         .withColumn("taken", (F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long"))
     )

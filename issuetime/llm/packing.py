@@ -13,7 +13,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from issuetime.llm.common import stored
+from issuetime.llm.common import met, stored
 from issuetime.llm.tokens import PieceEncoder, blocks
 
 CAPACITY, END_ID = 1024, 0
@@ -100,7 +100,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, bu
     # bounded by the patterns' lengths, whatever the number of documents
     places = spark.createDataFrame(rows, "_length bigint, _from bigint, _to bigint, _each bigint, _at bigint, _sequence bigint")
     inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "start")
-    ranked = pieces.withColumn("_row", F.row_number().over(inside) - 1).join(bases, ["length", "_bucket"]).withColumn("_rank", F.col("_base") + F.col("_row"))
+    ranked = met(pieces.withColumn("_row", F.row_number().over(inside) - 1), bases, ["length", "_bucket"]).withColumn("_rank", F.col("_base") + F.col("_row"))
     placed = ranked.join(F.broadcast(places), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     index = F.col("_rank") - F.col("_from")
     return placed.select(
